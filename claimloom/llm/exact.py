@@ -54,7 +54,8 @@ def exact_dedup(docs: DataFrame, text: str = "text", id_col: str = "doc_id", dig
     groups = met.groupBy("full_hash").agg(F.count("*").alias("group_size"), F.max(F.struct(order.alias("o"), F.col("id"))).alias("best"))
     groups = groups.select("full_hash", F.col("best.id").alias("keep_id"), "group_size")
     # repeated rows: the first of those with the same hash and id
-    again = Window.partitionBy("full_hash", "id").orderBy(F.desc("chars"))
+    # (by a hash of both, so that a large group is not dealt to one task by its hash alone)
+    again = Window.partitionBy(F.xxhash64("full_hash", "id"), "full_hash", "id").orderBy(F.desc("chars"))
     met = met.withColumn("_n", F.row_number().over(again)).join(groups, "full_hash")
     met = met.withColumn("kept", F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("_n") == 1))
     return alone.unionByName(met.select(*alone.columns))
