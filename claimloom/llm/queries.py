@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-from claimloom.llm import exact, mixing, packing, sharding
+from claimloom.llm import ann, exact, language, minhash, mixing, packing, secrets, sharding, substring, toxicity
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
+    "op2_substring": substring.op2_substring,
+    "op3_language": language.op3_language,
+    "op4_secrets": secrets.op4_secrets,
     "op5_exact_dedup": exact.op5_exact_dedup,
     "op6_packing": packing.op6_packing,
+    "op7_ann": ann.op7_ann,
     "op8_sharding": sharding.op8_sharding,
+    "op9_minhash": minhash.op9_minhash,
     "op10_mixing": mixing.op10_mixing,
 }
 
-#: Those that SQL can express.
+#: Those that SQL can express over whole tables; the others are tested against brute force.
 ORACLES = {"op5_exact_dedup": exact.OP5_SQL, "op10_mixing": mixing.OP10_SQL}
