@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimloom.llm.store import stored
+from claimloom.llm.store import small_batches, stored
 
 TREES = 8
 SAMPLE = 16_384
@@ -137,6 +137,7 @@ def _rank(top: int):
 def neighbours(table: DataFrame, id_col: str = "vec_id", vector: str = "embedding", query_every: int = 20, top: int = TOP, share: float = SEARCH_SHARE) -> DataFrame:
     """``query_id, rank, id, score``: of rows whose id is divisible by ``query_every``, the nearest others."""
     spark = table.sparkSession
+    small_batches(spark)
     rows = table.select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<float>").alias("v")).filter("id is not null and v is not null and size(v) > 0")
     rows = rows.filter("forall(v, x -> x is not null and not isnan(x) and abs(x) < float('infinity')) and exists(v, x -> x <> 0)")
     common = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimloom.llm.store import stored
+from claimloom.llm.store import small_batches, stored
 from claimloom.llm.textcore import text_chunks
 
 BUCKETS = 1 << 12
@@ -93,6 +93,7 @@ class TextModel:
 
 def text_model(docs: DataFrame, text: str = "text", lang: str = "lang"):
     """The model (broadcast: languages x ``BUCKETS`` numbers) from all documents with a stated language."""
+    small_batches(docs.sparkSession)
     rows = docs.filter(F.col(lang).isNotNull()).select(F.lower(F.col(lang)).alias("lang"), F.col(text).alias("text"))
     got = rows.mapInArrow(_counter, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).collect()
     return docs.sparkSession.sparkContext.broadcast(TextModel(got))

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimloom.llm.bitset import maybe_in
-from claimloom.llm.store import stored
+from claimloom.llm.store import small_batches, stored
 from claimloom.llm.textcore import gram_hashes, hash_spans, mix64, text_chunks, word_spans
 
 BANDS, ROWS = 32, 6
@@ -148,6 +148,7 @@ def _similar(floor: float):
 
 def classes(docs: DataFrame, text: str = "text", id_col: str = "doc_id", k: int = SHINGLE_WORDS, percent: int = round(100 * THRESHOLD)) -> DataFrame:
     """Per row ``id, n`` (set size), ``component_id`` and ``set_id`` (smallest id with an equal set). ids are integers; a null id is linked with nothing."""
+    small_batches(docs.sparkSession)
     signed = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(_signer(k), "id long, n long, s1 long, s2 long, planes array<long>, bands array<long>")
     signed = stored(signed, "near-signatures")
     use = signed.filter("n > 0 and id is not null")

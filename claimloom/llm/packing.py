@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimloom.llm.store import stored
+from claimloom.llm.store import small_batches, stored
 from claimloom.llm.tokens import byte_pairs
 
 WINDOW = 1024
@@ -110,6 +110,7 @@ def _packer(window: int, grain: int):
 
 def packed(docs: DataFrame, text: str = "text", source: str = "source", id_col: str = "doc_id", tokenizer: str | None = None, window: int = WINDOW, grain: int = GRAIN, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """One row per piece: ``id, start, length, ids_crc32, doc_tokens, sequence_id, offset, queue`` (the source after an ``s``, or ``n`` for null)."""
+    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.when(F.col(source).isNull(), "n").otherwise(F.concat(F.lit("s"), F.col(source).cast("string"))).alias("queue"), F.col(text).alias("text"))
     ids = rows.mapInArrow(_encoder(tokenizer or default_tokenizer()), f"id {kind}, queue string, chunk long, at long, size long, ids binary")

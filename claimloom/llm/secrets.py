@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from claimloom.llm.store import small_batches
 from claimloom.llm.textcore import text_chunks
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -194,6 +195,7 @@ def _scan(batches):
 
 def scanned(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """Per row: ``id, n_assign, n_access, n_hex, base_sha256, spans, n_confirmed``."""
+    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).mapInArrow(_scan, f"id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_confirmed long")
 

@@ -18,6 +18,12 @@ def shared_dir(spark: SparkSession) -> str:
     return d.rstrip("/")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of a few MB between JVM and Python, whatever the texts' lengths: both sides hold some of them off the heap."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet below the shared folder and read it again.
 

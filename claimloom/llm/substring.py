@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimloom.llm.bitset import maybe_in
-from claimloom.llm.store import stored
+from claimloom.llm.store import small_batches, stored
 from claimloom.llm.textcore import _power, gram_hashes, hash_spans, mix64, sliding_argmin, text_chunks, word_spans
 
 WINDOW = 20
@@ -247,6 +247,7 @@ def _finish(with_places: bool):
 def repeated(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """``doc, start, windows``: runs of windows (by first word) that also start earlier; a null id is the largest long."""
     spark = docs.sparkSession
+    small_batches(spark)
     n = docs.count()
     own = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from claimloom.llm.store import small_batches
 from claimloom.llm.textcore import gram_hashes, hash_spans, text_chunks, word_spans
 
 #: Texts of each kind in the fit, at most.
@@ -134,6 +135,7 @@ def held_out(id_col) -> F.Column:
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "doc_id"):
     """The model (broadcast) from rows outside the held-out fold."""
     spark = docs.sparkSession
+    small_batches(spark)
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").alias("id")).agg(F.max("toxic").alias("toxic"))
     prior = known.agg(F.avg("toxic")).first()[0] or 0.0
     order = F.xxhash64(F.col("id"), F.lit(11))
