@@ -13,7 +13,11 @@ hold more than one component go on: some more rounds of leaders, and at last all
 different components whose estimate passes (the join condition drops the rest).
 So no link that passes bands and estimate can join two components unseen.
 With 32 bands of 6 minima a link of similarity 0.85 is missed with
-probability 3e-7, one of the estimate's errors of 0.136 (4.5 sigma) with 4e-6.
+probability 3e-7, by an error of the estimate of 0.115 (4.3 sigma) with 1e-5.
+
+The distance 1 - similarity is a metric, and each member's exact distance from one leader is
+known after the first round: two members with one leader whose distances from it differ by
+more than a link's distance cannot be linked, and are not paired at last.
 
 Null and empty texts have an empty set and are linked with nothing; repeated
 rows share a set and so a class; an empty table gives an empty result.
@@ -34,10 +38,10 @@ from claimloom.llm.textcore import gram_hashes, hash_spans, mix64, text_chunks,
 
 BANDS, ROWS = 32, 6
 N_HASHES = BANDS * ROWS
-B_BITS = 2
+B_BITS = 4
 WORDS = N_HASHES // 64
 #: How far below the threshold an estimate may be and still be checked.
-SLACK = 0.136
+SLACK = 0.115
 LEADER_ROUNDS = 4
 SHINGLE_WORDS, THRESHOLD = 5, 0.8
 
@@ -165,18 +169,20 @@ def classes(docs: DataFrame, text: str = "text", id_col: str = "doc_id", k: int
     likely = _similar(percent / 100 - SLACK)
     pq = sign.select(F.col("id").alias("b"), F.col("planes").alias("q"))
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        """The pairs ``a, b`` that the full sets confirm."""
+    def measured(pairs: DataFrame) -> DataFrame:
+        """The pairs ``a, b`` with the similarity of their full sets, and whether that makes a link."""
         pairs = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
-        both = F.size(F.array_intersect("sa", "sb"))
-        return pairs.filter(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b")
+        pairs = pairs.withColumn("both", F.size(F.array_intersect("sa", "sb"))).withColumn("any", F.size("sa") + F.size("sb") - F.col("both"))
+        return pairs.select("a", "b", (1 - F.col("both") / F.col("any")).alias("far"), (100 * F.col("both") >= percent * F.col("any")).alias("link"))
 
     def by_leader(b: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Members paired with their bucket's leader where the estimate passes and the components differ; the leaders."""
+        """Members paired with their bucket's leader; the leaders."""
         lead = stored(b.groupBy("key").agg(F.max(F.struct("score", (-F.col("id")).alias("m"))).alias("x")).select("key", (-F.col("x.m")).alias("a"), F.col("x.score").alias("lead_score")), "near-leaders")
         pairs = b.select("key", F.col("id").alias("b"), F.col("comp").alias("cb")).join(lead, "key").filter("a <> b").select("a", "b", "cb", "lead_score").distinct()
-        pairs = pairs.join(sign.select(F.col("id").alias("a"), F.col("planes").alias("p")), "a").join(pq, "b").filter(likely)
-        return pairs.select("a", "b", "cb", "lead_score"), lead
+        return pairs, lead
+
+    def estimated(pairs: DataFrame) -> DataFrame:
+        return pairs.join(sign.select(F.col("id").alias("a"), F.col("planes").alias("p")), "a").join(pq, "b").filter(likely).select("a", "b")
 
     comp = ids.select("id", F.col("id").alias("comp"))
     open_ = bucket.join(ids, "id").select("key", "id", "score", F.col("id").alias("comp"))
@@ -188,12 +194,17 @@ def classes(docs: DataFrame, text: str = "text", id_col: str = "doc_id", k: int
                 pairs = pairs.groupBy("b").agg(F.max_by("a", F.struct("lead_score", -F.col("a"))).alias("a"))
             else:
                 ca = comp.select(F.col("id").alias("a"), F.col("comp").alias("ca"))
-                pairs = pairs.join(ca, "a").filter("ca <> cb").select("a", "b").distinct()
+                pairs = estimated(pairs.join(ca, "a").filter("ca <> cb").select("a", "b").distinct())
         else:
-            left = open_.select("key", F.col("id").alias("a"), F.col("comp").alias("ca")).join(sign.select(F.col("id").alias("a"), F.col("planes").alias("p")), "a")
-            right = open_.select(F.col("key").alias("key2"), F.col("id").alias("b"), F.col("comp").alias("cb")).join(pq, "b")
-            pairs = left.join(right, F.expr(f"key = key2 and a < b and ca <> cb and {likely}")).select("a", "b").distinct()
-        found = stored(confirmed(pairs), "near-links")
+            rest = open_.join(pivot, "id", "left").join(sign.select("id", "planes"), "id")
+            left = rest.select("key", F.col("id").alias("a"), F.col("comp").alias("ca"), F.col("pivot").alias("va"), F.col("far").alias("fa"), F.col("planes").alias("p"))
+            right = rest.select(F.col("key").alias("key2"), F.col("id").alias("b"), F.col("comp").alias("cb"), F.col("pivot").alias("vb"), F.col("far").alias("fb"), F.col("planes").alias("q"))
+            near = f"coalesce(va <> vb, true) or abs(fa - fb) <= {1 - percent / 100 + 1e-9}"
+            pairs = left.join(right, F.expr(f"key = key2 and a < b and ca <> cb and ({near}) and {likely}")).select("a", "b").distinct()
+        found = stored(measured(pairs), "near-links")
+        if turn == 0:
+            pivot = found.select(F.col("b").alias("id"), F.col("a").alias("pivot"), "far")
+        found = found.filter("link")
         if n := found.count():
             links += n
             ca, cb = comp.select(F.col("id").alias("a"), F.col("comp").alias("ca")), comp.select(F.col("id").alias("b"), F.col("comp").alias("cb"))
