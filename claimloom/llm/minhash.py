@@ -144,8 +144,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _similar(floor: float):
-    """On planes ``p`` and ``q``: the estimate, corrected for chance agreement, is at least ``floor``."""
-    differ = " + ".join("bit_count(" + " | ".join(f"(p[{b * WORDS + w}] ^ q[{b * WORDS + w}])" for b in range(B_BITS)) + ")" for w in range(WORDS))
+    """On ``planes_a`` and ``planes_b``: the estimate, corrected for chance agreement, is at least ``floor``."""
+    differ = " + ".join("bit_count(" + " | ".join(f"(planes_a[{b * WORDS + w}] ^ planes_b[{b * WORDS + w}])" for b in range(B_BITS)) + ")" for w in range(WORDS))
     c = 2.0**-B_BITS
     return f"({1 - c} * {N_HASHES} - ({differ})) >= {floor * (1 - c) * N_HASHES - 1e-9}"
 
@@ -163,11 +163,10 @@ def classes(docs: DataFrame, text: str = "text", id_col: str = "doc_id", k: int
     shared = keyed.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1")
     bucket = stored(keyed.join(shared, "key"), "near-buckets")
     ids = stored(bucket.groupBy("id").agg(F.sum("members").alias("score")), "near-nodes")
-    sign = stored(nodes.select("id", "planes").join(ids, "id"), "near-planes")
+    sign = stored(nodes.select("id", "planes", "bands").join(ids, "id"), "near-planes")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text")).filter(maybe_in(F.xxhash64("id"), ids.select(F.xxhash64("id").alias("h"))))
     sets = stored(texts.join(ids.select("id"), "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_set_maker(k), "id long, set array<long>"), "near-full-sets")
     likely = _similar(percent / 100 - SLACK)
-    pq = sign.select(F.col("id").alias("b"), F.col("planes").alias("q"))
 
     def measured(pairs: DataFrame) -> DataFrame:
         """The pairs ``a, b`` with the similarity of their full sets, and whether that makes a link."""
@@ -182,7 +181,7 @@ def classes(docs: DataFrame, text: str = "text", id_col: str = "doc_id", k: int
         return pairs, lead
 
     def estimated(pairs: DataFrame) -> DataFrame:
-        return pairs.join(sign.select(F.col("id").alias("a"), F.col("planes").alias("p")), "a").join(pq, "b").filter(likely).select("a", "b")
+        return pairs.join(sign.select(F.col("id").alias("a"), F.col("planes").alias("planes_a")), "a").join(sign.select(F.col("id").alias("b"), F.col("planes").alias("planes_b")), "b").filter(likely).select("a", "b")
 
     comp = ids.select("id", F.col("id").alias("comp"))
     open_ = bucket.join(ids, "id").select("key", "id", "score", F.col("id").alias("comp"))
@@ -196,12 +195,15 @@ def classes(docs: DataFrame, text: str = "text", id_col: str = "doc_id", k: int
                 ca = comp.select(F.col("id").alias("a"), F.col("comp").alias("ca"))
                 pairs = estimated(pairs.join(ca, "a").filter("ca <> cb").select("a", "b").distinct())
         else:
-            rest = open_.join(pivot, "id", "left").join(sign.select("id", "planes"), "id")
-            left = rest.select("key", F.col("id").alias("a"), F.col("comp").alias("ca"), F.col("pivot").alias("va"), F.col("far").alias("fa"), F.col("planes").alias("p"))
-            right = rest.select(F.col("key").alias("key2"), F.col("id").alias("b"), F.col("comp").alias("cb"), F.col("pivot").alias("vb"), F.col("far").alias("fb"), F.col("planes").alias("q"))
-            near = f"coalesce(va <> vb, true) or abs(fa - fb) <= {1 - percent / 100 + 1e-9}"
-            pairs = left.join(right, F.expr(f"key = key2 and a < b and ca <> cb and ({near}) and {likely}")).select("a", "b").distinct()
-        found = stored(measured(pairs), "near-links")
+            # all pairs left, each once (at its first common key); the condition confirms them on the full sets, so only links leave the join
+            rest = open_.join(pivot, "id", "left").join(sign.select("id", "planes", "bands"), "id").join(sets, "id")
+            side = lambda x: rest.select(F.col("key").alias(f"key_{x}"), *[F.col(c).alias(f"{c}_{x}") for c in ("id", "comp", "pivot", "far", "planes", "bands", "set")])
+            near = f"coalesce(pivot_a <> pivot_b, true) or coalesce(abs(far_a - far_b), 0) <= {1 - percent / 100 + 1e-9}"
+            same = f"size(array_intersect(set_a, set_b)) * {100 + percent} >= {percent} * (size(set_a) + size(set_b))"
+            pairs = side("a").join(side("b"), F.expr(f"key_a = key_b and id_a < id_b and comp_a <> comp_b and ({near}) and {likely} and get(array_intersect(bands_a, bands_b), 0) = key_a and {same}"))
+            found = stored(pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), F.lit(True).alias("link")), "near-links")
+        if turn < LEADER_ROUNDS:
+            found = stored(measured(pairs), "near-links")
         if turn == 0:
             pivot = found.select(F.col("b").alias("id"), F.col("a").alias("pivot"), "far")
         found = found.filter("link")
