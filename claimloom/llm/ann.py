@@ -148,7 +148,7 @@ def neighbours(table: DataFrame, id_col: str = "vec_id", vector: str = "embeddin
     n = points.count()
     sample = points.select("v", F.xxhash64("pid").alias("o")).orderBy("o").limit(SAMPLE).collect()
     depth = max(0, min(int(math.log2(max(1, n / LEAF))), int(math.log2(max(1, len(sample) / SAMPLE_LEAF)))))
-    forest = spark.sparkContext.broadcast(Forest(np.array([r["v"] for r in sample], np.float32).reshape(len(sample), -1), depth))
+    forest = spark.sparkContext.broadcast(Forest(np.array([r["v"] for r in sample], np.float32).reshape(len(sample), len(sample[0]["v"]) if sample else 1), depth))
     cells = stored(points.select("pid", "v").mapInArrow(_assign(forest), "cell long, pid long, v array<float>"), "ann-cells")
     counts = np.zeros(TREES << depth, np.int64)
     for r in cells.groupBy("cell").count().collect():

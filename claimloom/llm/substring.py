@@ -139,7 +139,7 @@ _FETCHED = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
 
 
 class FMIndex:
-    """Suffixes of ``tokens`` (0 parts segments) in the order of their first ``2 ** rounds`` tokens, and their BWT in a wavelet matrix.
+    """Suffixes of ``tokens`` (0 parts segments and is the last) in the order of their first ``2 ** rounds`` tokens, and their BWT in a wavelet matrix.
 
     Backward search is exact for patterns up to that length.
     """
