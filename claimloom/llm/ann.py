@@ -32,6 +32,7 @@ LEAF, SAMPLE_LEAF = 128, 8
 SEARCH_SHARE = 0.62
 SEARCH_LEAST = 2000
 TOP = 20
+BINS, BIN_ROWS = 48, 50_000
 
 
 class Forest:
@@ -120,16 +121,31 @@ def _rank(top: int):
         schema = pa.schema([("qid", pa.int64()), ("pid", pa.int64()), ("score", pa.float64())])
         if not len(points) or not len(queries):
             return schema.empty_table()
-        p, pid = _matrix(points.column("v")).astype(np.float64), points.column("pid").to_numpy()
-        q, qid = _matrix(queries.column("v")).astype(np.float64), queries.column("qid").to_numpy()
-        order = np.argsort(pid, kind="stable")
-        p, pid = p[order], pid[order]
+        p, pid, pc = _matrix(points.column("v")).astype(np.float64), points.column("pid").to_numpy(), points.column("cell").to_numpy()
+        q, qid, qc = _matrix(queries.column("v")).astype(np.float64), queries.column("qid").to_numpy(), queries.column("cell").to_numpy()
+        order, ask = np.lexsort((pid, pc)), np.argsort(qc, kind="stable")
+        p, pid, pc, q, qid, qc = p[order], pid[order], pc[order], q[ask], qid[ask], qc[ask]
         out = []
-        for a in range(0, len(q), 256):
-            s = q[a : a + 256] @ p.T
-            best = np.argsort(-s, axis=1, kind="stable")[:, : top + 1]
-            out.append((np.repeat(qid[a : a + 256], best.shape[1]), pid[best].ravel(), np.take_along_axis(s, best, 1).ravel()))
-        return pa.table([pa.array(np.concatenate(x)) for x in zip(*out)], schema=schema)
+        for c in np.unique(qc):
+            lo, hi = np.searchsorted(pc, [c, c + 1])
+            a, b = np.searchsorted(qc, [c, c + 1])
+            for i in range(a, b if hi > lo else a, 256):
+                j = min(i + 256, b)
+                s = q[i:j] @ p[lo:hi].T
+                best = np.argsort(-s, axis=1, kind="stable")[:, : top + 1]
+                out.append((np.repeat(qid[i:j], best.shape[1]), pid[lo:hi][best].ravel(), np.take_along_axis(s, best, 1).ravel()))
+        if not out:
+            return schema.empty_table()
+        who, what, score = (np.concatenate(x) for x in zip(*out))
+        # a point may come from several trees
+        o = np.lexsort((-score, what, who))
+        who, what, score = who[o], what[o], score[o]
+        new = np.flatnonzero(np.concatenate([[True], (np.diff(who) != 0) | (np.diff(what) != 0)]))
+        who, what, score = who[new], what[new], score[new]
+        o = np.lexsort((what, -score, who))
+        who, what, score = who[o], what[o], score[o]
+        keep = np.arange(len(who)) - np.searchsorted(who, who) <= top
+        return pa.table([pa.array(x[keep]) for x in (who, what, score)], schema=schema)
 
     return run
 
@@ -158,7 +174,10 @@ def neighbours(table: DataFrame, id_col: str = "vec_id", vector: str = "embeddin
     parts = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     ask = points.select("pid", "v").join(asking.select(F.col("qid").alias("pid")).distinct(), "pid", "left_semi").repartition(parts, "pid")
     walks = ask.mapInArrow(_walk(forest, spark.sparkContext.broadcast(counts), budget), "cell long, qid long, v array<float>")
-    found = cells.groupBy("cell").cogroup(walks.groupBy("cell")).applyInArrow(_rank(top), "qid long, pid long, score double")
+    # cells are ranked in bins, each of which gives a query's best once: at least BINS, and BIN_ROWS vectors in each, about
+    bins = F.pmod(F.xxhash64("cell"), F.lit(max(BINS, -(-n * TREES // BIN_ROWS)))).alias("bin")
+    cells, walks = cells.select(bins, "cell", "pid", "v"), walks.select(bins, "cell", "qid", "v")
+    found = cells.groupBy("bin").cogroup(walks.groupBy("bin")).applyInArrow(_rank(top), "qid long, pid long, score double")
     found = found.groupBy("qid", "pid").agg(F.max("score").alias("score"))
     found = found.withColumn("_n", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "pid"))).filter(F.col("_n") <= top + 1)
     found = found.join(points.select("pid", "ids"), "pid").select("qid", "score", F.explode("ids").alias("id"))
