@@ -64,8 +64,8 @@ def assigned(docs: DataFrame, text: str = "text", id_col: str = "doc_id", shards
         moving = rows.filter("linked").join(want, "unit").filter("want <> shard")
         ranked = running_total(moving, ["want"], "unit_key", ["u", "id"], F.lit(1), "_r", n)
         moved = ranked.withColumn("shard", F.when(F.col("_r") <= F.get(_table(room), F.col("want")), F.col("want")).otherwise(F.col("shard")))
-        stay = rows.join(want, "unit", "left").filter(F.col("want").isNull() | (F.col("want") == F.col("shard")))
-        rows = stored(stay.select(*rows.columns).unionByName(moved.select(*rows.columns)), f"shard-round{k}")
+        stay = rows.filter("linked").join(want, "unit", "left").filter(F.col("want").isNull() | (F.col("want") == F.col("shard")))
+        rows = stored(rows.filter("not linked").unionByName(stay.select(*rows.columns)).unionByName(moved.select(*rows.columns)), f"shard-round{k}")
     load, _ = _loads(rows, shards)
     out, need = [max(0, a - b) for a, b in zip(load, quota)], [max(0, b - a) for a, b in zip(load, quota)]
     half = 1 << (KEY_BITS - 1)
