@@ -45,32 +45,51 @@ class BytePairs:
         of = _byte_of_char()
         ranks = {bytes(of[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
         self.encode = tiktoken.Encoding("units", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.length = np.zeros(max(ranks.values()) + 1, np.int64)  # bytes that a token stands for
+        self.length[list(ranks.values())] = [len(t) for t in ranks]
         self._clear()
 
     def _clear(self) -> None:
-        self.index: dict[int, int] = {}
+        self.known = np.zeros(0, np.uint64)  # hashes of encoded units, ascending
+        self.start = np.zeros(0, np.int64)  # in ``flat``
+        self.size = np.zeros(0, np.int64)
         self.flat = np.zeros(1 << 16, np.uint16)
-        self.start = np.zeros(1 << 16, np.int64)
-        self.size = np.zeros(1 << 16, np.int32)
         self.used = 0
 
-    def _add(self, h: int, unit: bytes) -> int:
-        ids = self.encode(unit.decode("utf-8"))
-        k = len(self.index)
-        if k == len(self.start):
-            self.start, self.size = np.concatenate([self.start, np.zeros_like(self.start)]), np.concatenate([self.size, np.zeros_like(self.size)])
+    def _append(self, ids: np.ndarray) -> None:
         while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         self.flat[self.used : self.used + len(ids)] = ids
-        self.start[k], self.size[k] = self.used, len(ids)
         self.used += len(ids)
-        self.index[h] = k
-        return k
+
+    def _learn(self, hashes: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, joins: np.ndarray) -> None:
+        """Encode units (``hashes`` ascending and new).
+
+        Those cut by the pattern on both sides (``joins``) stay apart when they are put
+        side by side, so one call encodes them all; the lengths of its tokens give the bounds.
+        """
+        start, size = np.zeros(len(hashes), np.int64), np.zeros(len(hashes), np.int64)
+        many = np.flatnonzero(joins)
+        if len(many):
+            long = ends[many] - starts[many]
+            upto = np.cumsum(long)
+            text = data[np.repeat(starts[many] - upto + long, long) + np.arange(upto[-1])].tobytes().decode("utf-8")
+            ids = np.array(self.encode(text), np.uint16)
+            bound = np.searchsorted(np.cumsum(self.length[ids]), upto) + 1
+            first = np.concatenate([[0], bound[:-1]])
+            start[many], size[many] = self.used + first, bound - first
+            self._append(ids)
+        for i in np.flatnonzero(~joins).tolist():
+            ids = np.array(self.encode(data[starts[i] : ends[i]].tobytes().decode("utf-8")), np.uint16)
+            start[i], size[i] = self.used, len(ids)
+            self._append(ids)
+        at = np.searchsorted(self.known, hashes)
+        self.known, self.start, self.size = np.insert(self.known, at, hashes), np.insert(self.start, at, start), np.insert(self.size, at, size)
 
     def batch(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(first row, ids of consecutive texts as uint16, their bounds)."""
         for a, _, data, off in text_chunks(texts):
-            if len(self.index) > CACHE_UNITS:
+            if len(self.known) > CACHE_UNITS:
                 self._clear()
             cut = np.zeros(len(data) + 1, bool)
             if len(data) > 3:
@@ -82,19 +101,21 @@ class BytePairs:
             for d in (-2, -1, 0, 1, 2):
                 at = inner + d
                 cut[at[(at >= 0) & (at < len(cut))]] = False
+            by_rule = cut.copy()
             cut[off[:-1][off[1:] > off[:-1]]] = True
             cut[len(data) :] = False
             starts = np.flatnonzero(cut)
             ends = np.append(starts[1:], len(data))[: len(starts)]
             h = hash_spans(data, starts, ends)
             u, first, inv = np.unique(h, return_index=True, return_inverse=True)
-            got = np.fromiter((self.index.get(x, -1) for x in u.tolist()), np.int64, len(u))
-            raw = data.tobytes()
-            for i in np.flatnonzero(got < 0).tolist():
-                j = first[i]
-                got[i] = self._add(int(u[i]), raw[starts[j] : ends[j]])
-            which = got[inv]
-            size = self.size[which].astype(np.int64)
+            at = np.searchsorted(self.known, u)
+            new = np.ones(len(u), bool)
+            new[at < len(self.known)] = self.known[at[at < len(self.known)]] != u[at < len(self.known)]
+            if new.any():
+                s, e = starts[first[new]], ends[first[new]]
+                self._learn(u[new], data, s, e, by_rule[s] & by_rule[e])
+            which = np.searchsorted(self.known, u)[inv]
+            size = self.size[which]
             upto = np.concatenate([[0], np.cumsum(size)])
             ids = self.flat[np.repeat(self.start[which] - upto[:-1], size) + np.arange(upto[-1])] if len(which) else np.zeros(0, np.uint16)
             yield a, ids, upto[np.searchsorted(starts, off)]
