@@ -12,8 +12,9 @@ Counts are sums of the text model's posteriors (grouped aggregations), and a pag
 taken out of its host's.  The text's weight is bounded (``MAX_GRAMS``), as trigrams of one
 text depend on each other.
 
-Null and empty texts have no text evidence; null ids pass; repeated rows count
-each; an empty table gives an empty result; other columns are untouched.
+Null and empty texts have no text evidence and are rejected; null ids are ordinary ids; repeated
+rows count each and share their decision, rows of one id with other texts are judged apart; an
+empty table gives an empty result; other columns are untouched.
 """
 
 from __future__ import annotations
@@ -38,6 +39,8 @@ SMOOTHING = 5.0
 #: Texts whose trigrams are, on average, so much less likely than uniform ones are no language.
 FLOOR = -1.5
 MIN_CONFIDENCE = 0.5
+#: A host with more than this part of all rows is joined by broadcast (there are fewer than 1 / HOT_SHARE).
+HOT_SHARE = 1e-3
 
 #: A-Z as a-z; white space, digits and punctuation as one space.
 _MAP = np.arange(256, dtype=np.uint8)
@@ -168,16 +171,19 @@ def _counts(n: int, cols: str = "c") -> Column:
 def fused(ev: DataFrame, langs: list[str]) -> DataFrame:
     """Add ``lang, confidence, host_prior`` to evidence rows."""
     n = len(langs)
-    base = ev.groupBy("host", "domain").agg(*_sums(n))
-    everything = [float(x or 0) for x in base.agg(*[F.sum(f"c{i}") for i in range(n)]).first()]
+    base = stored(ev.groupBy("host", "domain").agg(F.count(F.lit(1)).alias("rows"), *_sums(n)), "lang-hosts")
+    n_rows, *everything = [float(x or 0) for x in base.agg(F.sum("rows"), *[F.sum(f"c{i}") for i in range(n)]).first()]
     total = sum(everything)
     world = F.array(*[F.lit((x + 1.0) / (total + n)) for x in everything])
     size = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
     toward = lambda c, parent: F.zip_with(c, parent, lambda x, q: (x + SMOOTHING * q) / (size(c) + SMOOTHING))
     domain = base.groupBy("domain").agg(*[F.sum(f"c{i}").alias(f"c{i}") for i in range(n)]).select("domain", _counts(n).alias("dc"))
-    host = base.select("host", "domain", _counts(n).alias("hc")).join(domain, "domain").select("host", "domain", "hc", toward(F.col("dc"), world).alias("parent"))
+    is_hot = F.col("rows") > n_rows * HOT_SHARE
+    prior = lambda hosts: hosts.select("host", "domain", _counts(n).alias("hc")).join(domain, "domain").select("host", "domain", "hc", toward(F.col("dc"), world).alias("parent"))
+    hot = base.filter(is_hot)
+    cold = ev.join(F.broadcast(hot.select("host", "domain")), ["host", "domain"], "left_anti").join(prior(base.filter(~is_hot)), ["host", "domain"])
     own = F.zip_with("hc", "p", lambda a, b: F.greatest(a - b, F.lit(0.0)))
-    rows = ev.join(host, ["host", "domain"]).withColumn("host_prior", toward(own, F.col("parent")))
+    rows = ev.join(F.broadcast(prior(hot)), ["host", "domain"]).unionByName(cold).withColumn("host_prior", toward(own, F.col("parent")))
     score = F.zip_with("ll", "host_prior", lambda a, q: a + F.log(q))
     for name in ("declared", "segment", "suffix"):
         # values that are no language of the model are one value; a missing one says nothing
@@ -212,10 +218,13 @@ def identified_documents(docs: DataFrame, model, text: str = "text", source: str
 KEPT = f"grams > 0 and fit >= {FLOOR} and confidence >= {MIN_CONFIDENCE}"
 
 
-def kept_documents(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
+def kept_documents(docs: DataFrame, text: str = "text", source: str = "source", lang: str = "lang", id_col: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` whose language is identified."""
-    gone = identified_documents(docs, text_model(docs), id_col=id_col).filter(f"not ({KEPT})").select(F.col("id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("_gone")), "left_anti")
+    row = F.struct(F.col(id_col).alias("id"), F.xxhash64(text, source, lang).alias("of"))
+    rows = docs.select(row.alias("row"), F.col(text).alias("text"), F.col(source).alias("source"), F.col(lang).alias("lang"))
+    judged = identified_documents(rows, text_model(docs, text, lang), id_col="row")
+    gone = judged.filter(f"not ({KEPT})").select(F.col("id.id").alias("_gone_id"), F.col("id.of").alias("_gone_of")).distinct()
+    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("_gone_id")) & (F.xxhash64(text, source, lang) == F.col("_gone_of")), "left_anti")
 
 
 def op3_language(spark, sf_dir: str) -> DataFrame:

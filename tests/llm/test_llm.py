@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
@@ -244,3 +245,36 @@ def test_pipeline(spark, sf):
         want = set(got)
     out = p.STAGES[-1][1](spark, rows, sf)
     assert {r.doc_id for r in out.select("doc_id").distinct().collect()} == want
+
+
+@pytest.mark.parametrize("share", [1e-9, 2.0])
+def test_language_hosts_joined_either_way(spark, sf, share, monkeypatch):
+    model = language.text_model(spark.read.parquet(f"{sf}/documents.parquet"))
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    rows = lambda: {(r.id, r.lang, round(r.confidence, 9)) for r in language.identified_pages(pages, model).collect()}
+    want = rows()
+    monkeypatch.setattr(language, "HOT_SHARE", share)
+    assert rows() == want and len(want) == pages.count()
+
+
+def test_language_judges_rows_of_one_id_apart(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang", "source")
+    text = docs.orderBy("doc_id").first()["text"]
+    more = spark.createDataFrame([(-1, text, "en", "a"), (-1, text, "en", "a"), (-1, "", "en", "a"), (-1, None, None, None), (None, text, "en", "a"), (None, "", "en", "a")], docs.schema)
+    got = language.kept_documents(docs.unionByName(more)).filter("doc_id = -1 or doc_id is null").collect()
+    assert sorted((r.doc_id is None, r.text == text) for r in got) == [(False, True), (False, True), (True, True)]
+
+
+def test_units_match_the_tokenizer(spark):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(packing.default_tokenizer())
+    tok.encode_special_tokens = True
+    parts = [" ", "  ", "\n", "\t", "\r\n", "\x85", "\xa0", "　", "a", "Foo", "don't", "'s", "12", "\xe9", "\xdf", "漢", "\U0001f600", "é", "<|endoftext|>", ",", "\x00"]
+    rnd = np.random.default_rng(5)
+    texts = ["".join(parts[j] for j in rnd.integers(0, len(parts), rnd.integers(0, 40))) for _ in range(3000)] + ["", None, "a" * 20_000, " " * 3000]
+    enc, got = packing.byte_pairs(packing.default_tokenizer()), []
+    for lo in range(0, len(texts), 500):
+        for _, ids, bound in enc.batch(pa.array(texts[lo : lo + 500], pa.string())):
+            got += [ids[a:b].tolist() for a, b in zip(bound, bound[1:])]
+    assert got == [tok.encode(t or "", add_special_tokens=False).ids for t in texts]
