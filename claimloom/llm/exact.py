@@ -13,13 +13,15 @@ columns, whatever their names, are not touched.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimloom.llm.bitset import maybe_in
 from claimloom.llm.store import stored
 
 PREFIX_CHARS = 64
+#: A group with more than this part of all rows is joined by broadcast; there are fewer such groups than parts.
+HOT_PARTS = 1000
 _SPACES = " \t\n\x0b\x0c\r"
 
 
@@ -47,17 +49,19 @@ def exact_dedup(docs: DataFrame, text: str = "text", id_col: str = "doc_id", dig
 
     Of equal texts the row with most code points, then the smallest id, stays.
     """
-    rows = stored(classes(docs, text, id_col, digest), "exact-rows")
-    alone = rows.filter("full_hash is null").select("*", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"))
+    rows = stored(classes(docs, text, id_col, digest).withColumn("row", F.monotonically_increasing_id()), "exact-rows")
+    alone = rows.filter("full_hash is null").withColumns({"keep_id": F.col("id"), "group_size": F.lit(1).cast("long"), "kept": F.lit(True)}).drop("row")
     met = rows.filter("full_hash is not null")
-    order = F.struct(F.col("chars"), F.col("id").isNotNull(), -F.col("id"))
-    groups = met.groupBy("full_hash").agg(F.count("*").alias("group_size"), F.max(F.struct(order.alias("o"), F.col("id"))).alias("best"))
-    groups = groups.select("full_hash", F.col("best.id").alias("keep_id"), "group_size")
-    # repeated rows: the first of those with the same hash and id
-    # (by a hash of both, so that a large group is not dealt to one task by its hash alone)
-    again = Window.partitionBy(F.xxhash64("full_hash", "id"), "full_hash", "id").orderBy(F.desc("chars"))
-    met = met.withColumn("_n", F.row_number().over(again)).join(groups, "full_hash")
-    met = met.withColumn("kept", F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("_n") == 1))
+    # of repeated rows the first one stored stays
+    order = F.struct("chars", F.col("id").isNotNull(), -F.col("id"), (-F.col("row")).alias("o"), "id", "row")
+    groups = met.groupBy("full_hash").agg(F.count("*").alias("group_size"), F.max(order).alias("best"))
+    groups = stored(groups.select(F.col("full_hash").alias("_f"), F.col("best.id").alias("keep_id"), F.col("best.row").alias("keep_row"), "group_size"), "exact-groups")
+    # rows of large groups meet their survivor by broadcast (fewer than HOT_PARTS groups have so many), the others by hash
+    hot = F.col("group_size") * HOT_PARTS > rows.count()
+    same = F.col("full_hash") == F.col("_f")
+    tried = met.join(F.broadcast(groups.filter(hot)), same, "left")
+    rest = tried.filter("_f is null").select(*met.columns).join(groups.filter(~hot), same)
+    met = tried.filter("_f is not null").unionByName(rest).withColumn("kept", F.col("row") == F.col("keep_row"))
     return alone.unionByName(met.select(*alone.columns))
 
 
