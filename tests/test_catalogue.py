@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from claimloom.plans import catalogue
+from claimloom.plans import catalogue, relations  # noqa: F401  (relations adds its queries to the catalogue)
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
