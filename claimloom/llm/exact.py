@@ -65,12 +65,19 @@ def exact_dedup(docs: DataFrame, text: str = "text", id_col: str = "doc_id", dig
     return alone.unionByName(met.select(*alone.columns))
 
 
+def _identity(id_: Column, digest: Column, chars: Column) -> Column:
+    return F.concat_ws(":", digest, chars, F.when(id_.isNull(), "null").otherwise(F.concat(F.lit("="), id_)))
+
+
 def deduplicated(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """The rows that stay, with all columns of ``docs``."""
-    kept = exact_dedup(docs, text, id_col, digest=True).filter("kept").select(F.col("id").alias("_id"), F.col("digest").alias("_h"), F.col("chars").alias("_c"))
-    rows = docs.withColumns({"_id2": F.col(id_col), "_h2": F.sha2(normalised(F.col(text)), 256), "_c2": F.length(F.coalesce(F.col(text), F.lit(""))).cast("long")})
-    rows = rows.join(kept, F.expr("_id2 <=> _id and _h2 = _h and _c2 = _c"), "left_semi")
-    return rows.dropDuplicates(["_id2", "_h2", "_c2"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows that stay, with all columns of ``docs``.
+
+    Repeated rows are merged by the key that the survivors are joined by, so texts are shuffled once.
+    """
+    kept = exact_dedup(docs, text, id_col, digest=True).filter("kept").select(_identity(F.col("id"), F.col("digest"), F.col("chars")).alias("_k"))
+    length = F.length(F.coalesce(F.col(text), F.lit("")))
+    rows = docs.withColumn("_k", _identity(F.col(id_col), F.sha2(normalised(F.col(text)), 256), length)).dropDuplicates(["_k"])
+    return rows.join(kept, "_k", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op5_exact_dedup(spark, sf_dir: str) -> DataFrame:
