@@ -278,3 +278,19 @@ def test_units_match_the_tokenizer(spark):
         for _, ids, bound in enc.batch(pa.array(texts[lo : lo + 500], pa.string())):
             got += [ids[a:b].tolist() for a, b in zip(bound, bound[1:])]
     assert got == [tok.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
+@pytest.mark.parametrize("parts", [10**6, 1])
+def test_exact_groups_joined_either_way(spark, docs, parts, monkeypatch):
+    monkeypatch.setattr(exact, "HOT_PARTS", parts)
+    rows = [(i, t) for i, t in zip(docs.doc_id.tolist(), docs.text)][:300]
+    rows += [(1000 + i, "a b" if i % 2 else "a  b") for i in range(200)] + [(7777, "r")] * 50 + [(None, "r")]
+    groups = collections.defaultdict(list)
+    for i, t in rows:
+        groups[re.sub(r"[\x20\x09-\x0D]", "", t)].append((-len(t), i is None, i or 0, i))
+    want = collections.Counter((i, min(g)[3], len(g)) for g in groups.values() for *_, i in g)
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = exact.exact_dedup(frame).collect()
+    assert collections.Counter((r.id, r.keep_id, r.group_size) for r in got) == want
+    assert sum(r.kept for r in got) == len(groups) and all(r.id == r.keep_id for r in got if r.kept)
+    assert sorted(r.doc_id for r in exact.deduplicated(frame).collect()) == sorted(min(g)[3] for g in groups.values())
