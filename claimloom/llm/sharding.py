@@ -1,12 +1,17 @@
 """Balanced label propagation: documents in shards of even size, linked ones together.
 
-Documents with equal texts are linked (through their text's hash).  Each round,
-a group's members in other shards ask to move to the shard where most of them
-are; a shard admits as many as it has room for, where documents without links
-count as room because they can go anywhere.  Groups larger than
-``1 / (8 * shards)`` of all rows are first split into blocks, so a group of any
-size spreads over tasks and shards.  Last, rows leave shards above their quota,
-those without links first, for the shards below it: row counts differ by one at most.
+Documents with equal texts are linked (through their text's hash).  A group larger
+than ``1 / (8 * shards)`` of all rows is large; there are fewer than ``8 * shards`` of
+them, so they are placed first, on the driver, largest first: whole where a shard
+has room for all, else (and above a shard's quota always) in parts that fill as few shards as possible.
+The other groups then propagate labels: a group's members ask to move to the shard where most
+of them are; a shard admits whole groups while it has room, documents without links
+counting as room because they can go anywhere.  Refused groups ask anew, by the
+room left; the few that remain are placed as the large ones are.  Last, rows without links leave shards
+above their quota for the shards below it: row counts differ by one at most.
+
+Rows of large groups meet their places by broadcast and are told apart by bucketed running
+totals, so a group of any size spreads over tasks.
 
 Null texts count as empty; null ids are allowed; repeated rows are separate rows of one group;
 an empty table gives an empty result.
@@ -19,65 +24,99 @@ from itertools import accumulate
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimloom.llm.ranks import KEY_BITS, running_total, uniform_key
+from claimloom.llm.ranks import running_total, uniform_key
 from claimloom.llm.store import stored
 
 SHARDS = 16
 ROUNDS = 3
+#: Refused groups that the driver places, at most (more ask in further rounds).
+REFUSED = 10_000
 
 
 def _table(values: list[int]):
     return F.array(*[F.lit(int(v)).cast("long") for v in values])
 
 
-def _loads(rows: DataFrame, shards: int) -> tuple[list[int], list[int]]:
-    """Rows and rows without links of each shard (``shards`` numbers)."""
-    got = {r["shard"]: (r["n"], r["f"]) for r in rows.groupBy("shard").agg(F.count("*").alias("n"), F.sum(F.when(F.col("linked"), 0).otherwise(1)).alias("f")).collect()}
-    return [got.get(s, (0, 0))[0] for s in range(shards)], [got.get(s, (0, 0))[1] for s in range(shards)]
+def _nth_shard(nth, sizes: list[int]):
+    """The shard that row ``nth`` (from 1) falls into where shards take ``sizes`` rows in turn."""
+    ends = list(accumulate(sizes))
+    to = F.lit(len(sizes) - 1)
+    for s in reversed(range(len(sizes) - 1)):
+        to = F.when(nth <= ends[s], F.lit(s)).otherwise(to)
+    return to
+
+
+def placed(groups: list[tuple[int, int]], room: list[int]) -> list[tuple[int, int, int, int]]:
+    """``group, first, last, shard``: where a group's rows go by rank, for ``(group, members)``, largest first; ``room`` is taken down."""
+    out = []
+    for group, members in sorted(groups, key=lambda g: (-g[1], g[0])):
+        done = 0
+        while done < members:
+            left = members - done
+            whole = [s for s in range(len(room)) if room[s] >= left]
+            # the tightest shard that holds all, else the roomiest
+            s = min(whole, key=lambda s: (room[s], s)) if whole else max(range(len(room)), key=lambda s: (room[s], -s))
+            take = min(left, room[s])
+            out.append((group, done + 1, done + take, s))
+            room[s] -= take
+            done += take
+    return out
 
 
 def assigned(docs: DataFrame, text: str = "text", id_col: str = "doc_id", shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
-    """``id, size, text_crc32, linked, unit, shard, slot`` of every row."""
+    """``id, size, text_crc32, linked, shard, slot`` of every row."""
+    spark = docs.sparkSession
     whole = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), (F.octet_length(whole) + 1).cast("long").alias("size"), F.crc32(whole).alias("text_crc32"), F.xxhash64(whole, F.octet_length(whole)).alias("group"), uniform_key(F.col(id_col), F.crc32(whole)).alias("u"))
-    rows = stored(rows, "shard-rows")
+    rows = stored(rows.withColumn("start", (F.col("u") % shards).cast("int")), "shard-rows")
     n = rows.count()
-    block = max(1, n // (8 * shards))
-    groups = rows.groupBy("group").agg(F.count("*").alias("members")).filter("members > 1")
-    rows = rows.join(groups, "group", "left").withColumn("linked", F.col("members").isNotNull())
-    large = running_total(rows.filter(F.col("members") > block), ["group"], "u", ["id"], F.lit(1), "_r", n)
-    large = large.withColumn("part", F.floor((F.col("_r") - 1) / block).cast("long")).drop("_r")
-    rest = rows.filter(F.col("members").isNull() | (F.col("members") <= block)).withColumn("part", F.lit(0).cast("long"))
-    rows = rest.unionByName(large.select(*rest.columns))
-    rows = rows.withColumn("unit", F.when(F.col("linked"), F.xxhash64("group", "part")))
-    rows = rows.withColumn("unit_key", F.when(F.col("linked"), uniform_key(F.col("unit")))).withColumn("shard", (F.col("u") % shards).cast("int"))
-    rows = stored(rows.select("id", "size", "text_crc32", "u", "linked", "unit", "unit_key", "shard"), "shard-start")
     quota = [n // shards + (s < n % shards) for s in range(shards)]
-    for k in range(rounds):
-        load, free = _loads(rows, shards)
-        room = [max(0, quota[s] - load[s] + free[s]) for s in range(shards)]
-        # where a unit's members are, and how many a shard would have to admit to hold all
-        at = rows.filter("linked").groupBy("unit", "shard").agg(F.count("*").alias("here"))
-        total = at.groupBy("unit").agg(F.sum("here").alias("all"))
-        at = at.join(total, "unit").withColumn("fits", F.col("all") - F.col("here") <= F.get(_table(room), F.col("shard")))
-        want = at.groupBy("unit").agg(F.max_by("shard", F.struct("fits", "here", F.xxhash64("unit", "shard", F.lit(k)))).alias("want"), F.count("*").alias("places")).filter("places > 1").select("unit", "want")
-        moving = rows.filter("linked").join(want, "unit").filter("want <> shard")
-        ranked = running_total(moving, ["want"], "unit_key", ["u", "id"], F.lit(1), "_r", n)
-        moved = ranked.withColumn("shard", F.when(F.col("_r") <= F.get(_table(room), F.col("want")), F.col("want")).otherwise(F.col("shard")))
-        stay = rows.filter("linked").join(want, "unit", "left").filter(F.col("want").isNull() | (F.col("want") == F.col("shard")))
-        rows = stored(rows.filter("not linked").unionByName(stay.select(*rows.columns)).unionByName(moved.select(*rows.columns)), f"shard-round{k}")
-    load, _ = _loads(rows, shards)
+    room = list(quota)
+    at = rows.groupBy("group", "start").agg(F.count("*").alias("here"))
+    groups = at.groupBy("group").agg(F.sum("here").alias("members"), F.max_by("start", F.struct("here", F.xxhash64("group", "start"))).alias("want")).filter("members > 1")
+    groups = stored(groups, "shard-groups")
+    large = F.col("members") > max(1, n // (8 * shards))
+    pieces = placed([(r["group"], r["members"]) for r in groups.filter(large).collect()], room)  # fewer than 8 * shards groups
+    todo, homes = groups.filter(~large), []
+    left = todo.count()
+    for k in range(4 * rounds):
+        if not left or (k >= rounds and left <= REFUSED):
+            break
+        if k:
+            open_room = F.pmod(F.xxhash64("group", F.lit(k)), F.lit(max(1, sum(room)))) + 1
+            todo = todo.withColumn("want", _nth_shard(open_room, room))
+        ranked = running_total(todo.withColumn("_key", uniform_key(F.col("group"), F.lit(k))), ["want"], "_key", ["group"], F.col("members"), "_r", left)
+        fits = F.col("_r") <= F.get(_table(room), F.col("want"))
+        ranked = stored(ranked.withColumn("fits", fits).select("group", "members", "want", "fits"), f"shard-round{k}")
+        homes.append(ranked.filter("fits").select("group", F.col("want").alias("home")))
+        for r in ranked.filter("fits").groupBy("want").agg(F.sum("members").alias("used")).collect():
+            room[r["want"]] -= r["used"]
+        todo = ranked.filter("not fits").select("group", "members", "want")
+        left = todo.count()
+    pieces += placed([(r["group"], r["members"]) for r in todo.collect()] if left else [], room)
+    parts = F.broadcast(spark.createDataFrame(pieces, "group long, first long, last long, shard int"))
+    keys = F.broadcast(spark.createDataFrame(sorted({(p[0],) for p in pieces}), "group long"))
+    cut = running_total(rows.join(keys, "group"), ["group"], "u", ["id"], F.lit(1), "_r", n)
+    cut = cut.join(parts, "group").filter("_r between first and last").withColumn("linked", F.lit(True))
+    rest = rows.join(keys, "group", "left_anti")
+    if homes:
+        home = homes[0]
+        for more in homes[1:]:
+            home = home.unionByName(more)
+        rest = rest.join(home, "group", "left")
+    else:
+        rest = rest.withColumn("home", F.lit(None).cast("int"))
+    rest = rest.withColumn("shard", F.coalesce("home", "start")).withColumn("linked", F.col("home").isNotNull())
+    cols = ["id", "size", "text_crc32", "u", "linked", "shard"]
+    rows = stored(cut.select(*cols).unionByName(rest.select(*cols)), "shard-linked")
+    # linked rows are within every quota, so only rows without links leave
+    got = {(r["shard"], r["linked"]): r["n"] for r in rows.groupBy("shard", "linked").agg(F.count("*").alias("n")).collect()}
+    load = [got.get((s, True), 0) + got.get((s, False), 0) for s in range(shards)]
     out, need = [max(0, a - b) for a, b in zip(load, quota)], [max(0, b - a) for a, b in zip(load, quota)]
-    half = 1 << (KEY_BITS - 1)
-    leave = F.floor(F.coalesce(F.col("unit_key"), F.col("u")) / 2).cast("long") + F.when(F.col("linked"), half).otherwise(0)
-    rows = running_total(rows.withColumn("_leave", leave), ["shard"], "_leave", ["u", "id"], F.lit(1), "_r", 2 * n)
-    nth = F.get(_table([0, *accumulate(out)]), F.col("shard")) + F.col("_r")
-    ends = list(accumulate(need))
-    to = F.lit(shards - 1)
-    for s in reversed(range(shards - 1)):
-        to = F.when(nth <= ends[s], F.lit(s)).otherwise(to)
-    rows = rows.withColumn("shard", F.when(F.col("_r") <= F.get(_table(out), F.col("shard")), to).otherwise(F.col("shard")).cast("int")).drop("_r", "_leave")
-    rows = stored(rows, "shard-end")
+    free = running_total(rows.filter("not linked"), ["shard"], "u", ["id"], F.lit(1), "_r", n)
+    to = _nth_shard(F.get(_table([0, *accumulate(out)]), F.col("shard")) + F.col("_r"), need)
+    free = free.withColumn("shard", F.when(F.col("_r") <= F.get(_table(out), F.col("shard")), to).otherwise(F.col("shard")).cast("int"))
+    rows = stored(rows.filter("linked").unionByName(free.select(*rows.columns)), "shard-end")
     return running_total(rows, ["shard"], "u", ["id"], F.lit(1), "slot", n).withColumn("slot", F.col("slot").cast("long") - 1)
 
 

@@ -294,3 +294,13 @@ def test_exact_groups_joined_either_way(spark, docs, parts, monkeypatch):
     assert collections.Counter((r.id, r.keep_id, r.group_size) for r in got) == want
     assert sum(r.kept for r in got) == len(groups) and all(r.id == r.keep_id for r in got if r.kept)
     assert sorted(r.doc_id for r in exact.deduplicated(frame).collect()) == sorted(min(g)[3] for g in groups.values())
+
+
+@pytest.mark.parametrize("sizes, free", [([2] * 20 + [3] * 5, 160), ([81, 300, 641, 640, 100, 90, 7], 8397), ([3000, 700, 41], 1259), ([5, 5, 2], 3)])
+def test_shards_keep_groups_whole(spark, sizes, free):
+    texts = [f"copied {g}" for g, size in enumerate(sizes) for _ in range(size)] + [f"single {i}" for i in range(free)]
+    got = sharding.assigned(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).toPandas()
+    n, quota = got.groupby("shard").size().reindex(range(16), fill_value=0), max(1, len(texts) // 16)
+    assert sorted(got.id) == list(range(len(texts))) and n.max() - n.min() <= 1
+    places = got.assign(text=[texts[i] for i in got.id]).groupby("text").shard.nunique()
+    assert [places[f"copied {g}"] for g in range(len(sizes))] == [-(-size // quota) for size in sizes]
