@@ -7,6 +7,8 @@ hashed words (and pairs of words) is fitted in numpy on the non-negative risk
 
 with logistic loss; where the second term falls below zero, its gradient is
 ascended instead.  The class prior is the toxic share among labelled training rows.
+Every feature of enough positives stays in the fit; how easily its weight leaves zero depends on its
+evidence (see ``EVIDENCE``), so risk and weight decay decide on it, not a cut.
 The fit sees a bounded sample (``MAX_POSITIVE``, ``MAX_UNLABELLED`` whole texts, taken by
 hash); every text is then scored in one narrow pass.
 
@@ -28,10 +30,10 @@ from claimloom.llm.textcore import gram_hashes, hash_spans, text_chunks, word_sp
 #: Texts of each kind in the fit, at most.
 MAX_POSITIVE, MAX_UNLABELLED = 4000, 12000
 BUCKETS = 1 << 20
-#: A feature must occur in so many positives of the sample.
-MIN_POSITIVES = 4
-#: Standard errors by which a feature's rate in positives must exceed that in unlabelled texts: 0.17 times the root of the positives, in these bounds.
-LIFT = (4.0, 7.0)
+#: A feature must occur in so many positives of the sample (in 1 of fewer than ``FEW``, one more for each further ``FEW``, up to this).
+MIN_POSITIVES, FEW = 4, 20
+#: A feature counts ``z * z / (z * z + EVIDENCE)`` in the fit, where its rates in positives and unlabelled texts differ by ``z`` standard errors.
+EVIDENCE = 9.0
 EPOCHS, BATCHES, RATE, DECAY = 60, 12, 0.05, 3e-4
 THRESHOLD = 0.3
 
@@ -65,7 +67,8 @@ def fit(rows: list[tuple[bool, np.ndarray]], prior: float, seed: int = 5) -> tup
     back = np.bincount(np.concatenate([*other, np.zeros(0, np.int32)]), minlength=BUCKETS)[seen] / max(1, len(other))
     rate = (n + back * len(pos)) / (2 * len(pos))
     lift = (n / len(pos) - back) / np.sqrt(rate * (1 - rate) * (1 / len(pos) + 1 / max(1, len(other))) + 1e-12)
-    vocab = seen[(n >= min(MIN_POSITIVES, len(pos))) & (lift >= np.clip(0.17 * len(pos) ** 0.5, *LIFT))]
+    some = n >= min(MIN_POSITIVES, 1 + len(pos) // FEW)
+    vocab, scale = seen[some], np.append(lift[some] ** 2 / (lift[some] ** 2 + EVIDENCE), 1.0)
 
     def known(x):
         i = np.searchsorted(vocab, x)
@@ -73,21 +76,22 @@ def fit(rows: list[tuple[bool, np.ndarray]], prior: float, seed: int = 5) -> tup
         return i[vocab[i] == x] if len(vocab) else i[:0]
 
     parts = [[known(x) for y, x in rows if y == kind] for kind in (True, False)]
-    w, b = np.zeros(len(vocab) + 1), base
+    w = np.zeros(len(vocab) + 1)
     w[-1] = base
-    m, v, step = np.zeros_like(w), np.zeros_like(w), 0
+    # steps in w / scale; all features share one second moment, the intercept has its own
+    m, v, step = np.zeros_like(w), np.zeros(2), 0
     rng = np.random.default_rng(seed)
     sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
     def side(part):
         """Margins of texts, and a function from their derivatives to the gradient."""
         at, owner = np.concatenate([*part, np.zeros(0, np.int64)]).astype(np.int64), np.repeat(np.arange(len(part)), [len(x) for x in part])
-        z = np.bincount(owner, weights=w[at], minlength=len(part)) + w[-1]
+        z = np.bincount(owner, weights=(w * scale)[at], minlength=len(part)) + w[-1]
 
         def back(d):
             g = np.bincount(at, weights=d[owner], minlength=len(w))
             g[-1] = d.sum()
-            return g
+            return g * scale
 
         return z, back
 
@@ -103,9 +107,10 @@ def fit(rows: list[tuple[bool, np.ndarray]], prior: float, seed: int = 5) -> tup
             g = prior * back_p((sig(zp) - 1) / len(p)) + g_neg if negative >= 0 else -g_neg
             g[:-1] += DECAY * w[:-1]
             step += 1
-            m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-            w -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    return vocab, w[:-1], float(w[-1])
+            m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * np.array([np.square(g[:-1]).max(initial=0.0), g[-1] ** 2])
+            size = np.sqrt(v / (1 - 0.999**step)) + 1e-8
+            w -= RATE * (m / (1 - 0.9**step)) / np.append(np.full(len(vocab), size[0]), size[1])
+    return vocab, (w * scale)[:-1], float(w[-1])
 
 
 def _featurise(batches):

@@ -304,3 +304,20 @@ def test_shards_keep_groups_whole(spark, sizes, free):
     assert sorted(got.id) == list(range(len(texts))) and n.max() - n.min() <= 1
     places = got.assign(text=[texts[i] for i in got.id]).groupby("text").shard.nunique()
     assert [places[f"copied {g}"] for g in range(len(sizes))] == [-(-size // quota) for size in sizes]
+
+
+@pytest.mark.parametrize("positives, others, holding", [(9, 142, 4), (1000, 3000, 12)])
+def test_toxicity_keeps_words_of_few_positives(positives, others, holding):
+    rng = np.random.default_rng(3)
+    common = lambda: rng.integers(0, 400, 30)
+    rows = [(True, np.unique(np.append(common(), 500 if i < holding else 600)).astype(np.int32)) for i in range(positives)]
+    rows += [(False, np.unique(common()).astype(np.int32)) for _ in range(others)]
+    vocab, w, b = toxicity.fit(rows, 0.14)
+    dense = np.zeros(toxicity.BUCKETS)
+    dense[vocab] = w
+    assert dense[500] > 10 * np.abs(dense[:400]).mean()
+
+
+def test_toxicity_finds_some_of_a_small_table(spark, sf):
+    got = toxicity.op1_toxicity(spark, sf).toPandas().merge(pq.read_table(f"{sf}/labels.parquet").to_pandas(), on="doc_id")
+    assert got.score.nunique() > 1 and got[got.toxic == 1].predicted.mean() > 0.5 > got[got.toxic == 0].predicted.mean()
