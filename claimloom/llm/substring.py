@@ -15,8 +15,12 @@ words also start earlier (a smaller id, or earlier in the same text) are removed
    is not sent to one shard: its windows are dealt singly, by their own hash.
 4. Remove: reported windows are taken from their texts.  Texts that cannot have any do not enter a shuffle.
 
+A place is (id, start); only a strictly smaller one is earlier.  Rows are told apart by their id and a 64-bit hash of
+their text (the key ``row``), so different texts under one id, or without one, are searched and cut each for itself;
+rows that agree in both lose the same words, and none is a copy of another.
+
 Words are compared by 64-bit hashes.  Null texts have no words; texts below ``WINDOW`` words keep all; null ids
-come after all others; rows with one id count as one place and lose the same words; an empty table gives an empty result.
+count as one id after all others (as the largest long); an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -61,22 +65,37 @@ def segments(h: np.ndarray, first: np.ndarray, window: int = WINDOW, anchor: int
     return tx[new], start, count, full[am[new]], content
 
 
+def _in_order(anchor, content, doc, start, count, row):
+    """Segments by anchor, content and place, rows that agree in id and text once."""
+    order = np.lexsort((row, start, doc, content, anchor))
+    cols = [x[order] for x in (anchor, content, doc, start, count, row)]
+    same = np.ones(max(0, len(row) - 1), bool)
+    for x in (cols[0], cols[1], cols[2], cols[3], cols[5]):
+        same &= x[1:] == x[:-1]
+    keep = np.append(True, ~same)[: len(row)]
+    return [x[keep] for x in cols]
+
+
+def _places(anchor, content, doc, start):
+    """Of segments in order: which are the first of equal ones, and which start later than that."""
+    new = np.append(True, (anchor[1:] != anchor[:-1]) | (content[1:] != content[:-1]))[: len(anchor)]
+    first = np.flatnonzero(new)[np.cumsum(new) - 1]
+    return new, (doc != doc[first]) | (start != start[first])
+
+
 def _sender(batches):
     for batch in batches:
-        ids = batch.column(0).fill_null(_LAST).to_numpy()
+        ids, keys = batch.column(0).to_numpy(), batch.column(2).to_numpy()
         parts = []
         for a, _, data, off in text_chunks(batch.column(1)):
             starts, ends, first = word_spans(data, off)
             tx, start, count, anchor, content = segments(hash_spans(data, starts, ends), first)
-            parts.append((anchor.view(np.int64), content.view(np.int64), ids[a + tx], start - first[tx], count))
-        anchor, content, doc, start, count = (np.concatenate(x) for x in zip(*parts))
-        order = np.lexsort((start, doc, content, anchor))
-        anchor, content, doc, start, count = (x[order] for x in (anchor, content, doc, start, count))
-        again = np.concatenate([[False], (np.diff(anchor) == 0) & (np.diff(content) == 0)])[: len(anchor)]
-        many = np.append(again[1:], False)[: len(anchor)]
+            parts.append((anchor.view(np.int64), content.view(np.int64), ids[a + tx], start - first[tx], count, keys[a + tx]))
+        anchor, content, doc, start, count, row = _in_order(*(np.concatenate(x) for x in zip(*parts)))
+        again = _places(anchor, content, doc, start)[1]
         # what is known to be repeated need not meet anything: it is dealt out evenly
         key = np.where(again, mix64(np.arange(len(anchor)).astype(np.uint64) + doc.view(np.uint64)).view(np.int64), anchor)
-        yield pa.record_batch([pa.array(x) for x in (key, anchor, content, doc, start.astype(np.int32), count.astype(np.int32), again, many & ~again)], names=["key", "anchor", "content", "doc", "start", "windows", "again", "many"])
+        yield pa.record_batch([pa.array(x) for x in (key, anchor, content, doc, start.astype(np.int32), count.astype(np.int32), row, again)], names=["key", "anchor", "content", "doc", "start", "windows", "row", "again"])
 
 
 def _meet(batches):
@@ -86,56 +105,51 @@ def _meet(batches):
             c.append(x.to_numpy(zero_copy_only=False))
     if not cols[0]:
         return
-    anchor, content, doc, start, count, again, many = (np.concatenate(c) for c in cols)
-    order = np.lexsort((start, doc, content, anchor, again))
-    anchor, content, doc, start, count, again, many = (x[order] for x in (anchor, content, doc, start, count, again, many))
-    n = int((~again).sum())
-    a, c = anchor[:n], content[:n]
-    new_anchor = np.concatenate([[True], np.diff(a) != 0])[:n]
-    new_segment = new_anchor | np.concatenate([[True], np.diff(c) != 0])[:n]
-    group = np.cumsum(new_anchor) - 1
-    different = np.bincount(group, weights=new_segment)[group] if n else np.zeros(0)
-    copy = np.concatenate([~new_segment, np.ones(len(anchor) - n, bool)])
-    seek = np.concatenate([new_segment & (different > 1), np.zeros(len(anchor) - n, bool)])
-    hot = np.concatenate([different > HOT_SEGMENTS, np.zeros(len(anchor) - n, bool)])
-    out = np.flatnonzero(copy | seek)
-    for lo in range(0, len(out), 100_000):
-        i = out[lo : lo + 100_000]
-        yield pa.record_batch([pa.array(x) for x in (doc[i], start[i], count[i], copy[i], anchor[i], hot[i])], names=["doc", "start", "windows", "copy", "anchor", "hot"])
+    *cols, again = (np.concatenate(c) for c in cols)
+    sent = [c[again] for c in cols]  # copies for certain
+    anchor, content, doc, start, count, row = cols = _in_order(*(c[~again] for c in cols))
+    new, copy = _places(anchor, content, doc, start)
+    group = np.cumsum(np.concatenate([[True], np.diff(anchor) != 0])[: len(anchor)]) - 1
+    different = np.bincount(group, weights=new)[group] if len(group) else np.zeros(0)
+    out = np.flatnonzero(copy | (different > 1))
+    cols = [np.concatenate([x, y[out]]) for x, y in zip(sent, cols)]
+    anchor, _, doc, start, count, row = cols
+    copy, hot = np.append(np.ones(len(sent[0]), bool), copy[out]), np.append(np.zeros(len(sent[0]), bool), different[out] > HOT_SEGMENTS)
+    for lo in range(0, len(copy), 100_000):
+        i = slice(lo, lo + 100_000)
+        yield pa.record_batch([pa.array(x) for x in (doc[i], row[i], start[i], count[i], copy[i], anchor[i], hot[i])], names=["doc", "row", "start", "windows", "copy", "anchor", "hot"])
 
 
 def _fetch(shards: int):
     def run(batches):
         for batch in batches:
-            docs, places = batch.column(0).to_numpy(), batch.column(2).to_pylist()
-            out = [[] for _ in range(5)]
-            for a, _, data, off in text_chunks(batch.column(1)):
+            docs, keys, places = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(3).to_pylist()
+            out = [[] for _ in _FETCHED]
+            for a, _, data, off in text_chunks(batch.column(2)):
                 starts, ends, first = word_spans(data, off)
                 h = hash_spans(data, starts, ends)
                 for i in range(len(off) - 1):
                     words = h[first[i] : first[i + 1]]
                     for p in places[a + i]:
                         s, n = p["start"], p["windows"]
-                        if s + n + WINDOW - 1 > len(words):
-                            continue  # another text with this id
                         if not p["hot"]:
                             rows = [(p["anchor"], s, n)]
                         else:
                             g = gram_hashes(words[s : s + n + WINDOW - 1], np.array([0, n + WINDOW - 1]), WINDOW)[0].view(np.int64).tolist()
                             rows = [(g[j], s + j, 1) for j in range(n)]
                         for key, at, count in rows:
-                            for c, x in zip(out, (key % shards, docs[a + i], at, count, words[at : at + count + WINDOW - 1].tobytes())):
+                            for c, x in zip(out, (key % shards, docs[a + i], keys[a + i], at, count, words[at : at + count + WINDOW - 1].tobytes())):
                                 c.append(x)
                 if len(out[0]) > 20_000:
-                    yield pa.record_batch([pa.array(c, t) for c, t in zip(out, _FETCHED)], names=["shard", "doc", "start", "windows", "words"])
-                    out = [[] for _ in range(5)]
+                    yield pa.record_batch([pa.array(c, t) for c, t in zip(out, _FETCHED)], names=["shard", "doc", "row", "start", "windows", "words"])
+                    out = [[] for _ in _FETCHED]
             if out[0]:
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(out, _FETCHED)], names=["shard", "doc", "start", "windows", "words"])
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(out, _FETCHED)], names=["shard", "doc", "row", "start", "windows", "words"])
 
     return run
 
 
-_FETCHED = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+_FETCHED = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
 
 
 class FMIndex:
@@ -177,9 +191,10 @@ class FMIndex:
         both = self._descend(np.concatenate([c, c]), np.concatenate([lo, hi])).reshape(2, -1) + (self.before[c] - self.begin[c])
         return both[0], both[1]
 
-    def earliest(self, at: np.ndarray, length: int) -> np.ndarray:
-        """For each place, the earliest place with the same ``length`` tokens."""
-        out = at.copy()
+    def earliest(self, at: np.ndarray, length: int, when: np.ndarray | None = None) -> np.ndarray:
+        """For each place, the earliest place with the same ``length`` tokens; with ``when`` (a number for each place), the least number of those."""
+        when = np.arange(len(self.tokens)) if when is None else when
+        out = when[at]
         live = np.arange(len(at))
         c = self.tokens[at + length - 1]
         lo, hi = self.before[c], self.before[c + 1]
@@ -193,17 +208,17 @@ class FMIndex:
         end = np.zeros(len(first), np.int64)
         end[back] = hi
         edges = np.stack([first, end], axis=1).ravel()
-        least = np.minimum.reduceat(np.append(self.places, len(self.places)), edges)[::2]
+        least = np.minimum.reduceat(np.append(when[self.places], _LAST), edges)[::2]
         out[live] = least[back]
         return out
 
 
-_REMOVED = pa.schema([("doc", pa.int64()), ("start", pa.int32()), ("windows", pa.int32())])
+_REMOVED = pa.schema([("doc", pa.int64()), ("row", pa.int64()), ("start", pa.int32()), ("windows", pa.int32())])
 
 
 def _search(t: pa.Table) -> pa.Table:
-    t = t.combine_chunks().sort_by([("doc", "ascending"), ("start", "ascending")])
-    doc, start, count = (t.column(c).to_numpy().astype(np.int64) for c in ("doc", "start", "windows"))
+    t = t.combine_chunks().sort_by([("doc", "ascending"), ("row", "ascending"), ("start", "ascending")])
+    doc, row, start, count = (t.column(c).to_numpy().astype(np.int64) for c in ("doc", "row", "start", "windows"))
     size = count + WINDOW - 1
     words = np.frombuffer(b"".join(t.column("words").to_pylist()), np.uint64)
     ids = np.unique(words, return_inverse=True)[1] + 1
@@ -214,12 +229,14 @@ def _search(t: pa.Table) -> pa.Table:
     tokens[inside] = ids
     owner = np.repeat(np.arange(len(count)), count)
     at = base[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
-    hit = np.flatnonzero(FMIndex(tokens).earliest(at, WINDOW) < at)
+    when = np.full(len(tokens), _LAST)
+    when[at] = np.unique(doc, return_inverse=True)[1][owner] * (int((start + count).max()) + 1) + start[owner] + at - base[owner]
+    hit = np.flatnonzero(FMIndex(tokens).earliest(at, WINDOW, when) < when[at])
     if not len(hit):
         return _REMOVED.empty_table()
     new = np.flatnonzero(np.concatenate([[True], (np.diff(at[hit]) != 1)]))
     i = owner[hit[new]]
-    return pa.table([pa.array(doc[i]), pa.array((start[i] + at[hit[new]] - base[i]).astype(np.int32)), pa.array(np.diff(np.append(new, len(hit))).astype(np.int32))], schema=_REMOVED)
+    return pa.table([pa.array(doc[i]), pa.array(row[i]), pa.array((start[i] + at[hit[new]] - base[i]).astype(np.int32)), pa.array(np.diff(np.append(new, len(hit))).astype(np.int32))], schema=_REMOVED)
 
 
 def _finish(with_places: bool):
@@ -244,33 +261,38 @@ def _finish(with_places: bool):
     return run
 
 
+def _keyed(docs: DataFrame, text: str, id_col: str) -> DataFrame:
+    """``id, text, doc, row``: the place of a row and the key that tells it from others there."""
+    own = F.col(id_col).cast("long")
+    return docs.select(own.alias("id"), F.col(text).alias("text"), F.coalesce(own, F.lit(_LAST)).alias("doc"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("row"))
+
+
 def repeated(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """``doc, start, windows``: runs of windows (by first word) that also start earlier; a null id is the largest long."""
+    """``doc, row, start, windows``: runs of windows (by first word) that also start earlier; a null id is the largest long."""
     spark = docs.sparkSession
     small_batches(spark)
     n = docs.count()
     own = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
-    sent = rows.mapInArrow(_sender, "key long, anchor long, content long, doc long, start int, windows int, again boolean, many boolean")
-    met = stored(sent.repartition(max(own, n // MEET_TEXTS), "key").mapInArrow(_meet, "doc long, start int, windows int, copy boolean, anchor long, hot boolean"), "sub-met")
-    seek = met.filter("not copy").groupBy("doc").agg(F.collect_list(F.struct("start", "windows", "anchor", "hot")).alias("places"))
-    hits = maybe_in(F.xxhash64("doc"), met.filter("not copy").select(F.xxhash64("doc").alias("h")).distinct())
-    texts = rows.select(F.coalesce("id", F.lit(_LAST)).alias("doc"), "text").filter(hits)
+    rows = _keyed(docs, text, id_col).select("doc", "text", "row")
+    sent = rows.mapInArrow(_sender, "key long, anchor long, content long, doc long, start int, windows int, row long, again boolean")
+    met = stored(sent.repartition(max(own, n // MEET_TEXTS), "key").mapInArrow(_meet, "doc long, row long, start int, windows int, copy boolean, anchor long, hot boolean"), "sub-met")
+    seek = met.filter("not copy").groupBy("doc", "row").agg(F.collect_list(F.struct("start", "windows", "anchor", "hot")).alias("places"))
+    hits = maybe_in(F.xxhash64("doc", "row"), met.filter("not copy").select(F.xxhash64("doc", "row").alias("h")).distinct())
     shards = max(16, n // SHARD_TEXTS)
-    content = texts.join(seek, "doc").dropDuplicates(["doc"]).select("doc", "text", "places").mapInArrow(_fetch(shards), "shard long, doc long, start int, windows int, words binary")
-    found = stored(content.groupBy("shard").applyInArrow(_search, "doc long, start int, windows int"), "sub-found")
-    return met.filter("copy").select("doc", "start", "windows").union(found)
+    content = rows.filter(hits).join(seek, ["doc", "row"]).dropDuplicates(["doc", "row"]).select("doc", "row", "text", "places").mapInArrow(_fetch(shards), "shard long, doc long, row long, start int, windows int, words binary")
+    found = stored(content.groupBy("shard").applyInArrow(_search, "doc long, row long, start int, windows int"), "sub-found")
+    return met.filter("copy").select("doc", "row", "start", "windows").union(found)
 
 
 def substring_dedup(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """Per row: ``id, n_words, n_removed, kept_sha256``."""
     gone = repeated(docs, text, id_col)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text")).withColumn("doc", F.coalesce("id", F.lit(_LAST)))
-    hit = maybe_in(F.xxhash64("doc"), gone.select(F.xxhash64("doc").alias("h")).distinct())
+    rows = _keyed(docs, text, id_col)
+    hit = maybe_in(F.xxhash64("doc", "row"), gone.select(F.xxhash64("doc", "row").alias("h")).distinct())
     out = "id long, n_words long, n_removed long, kept_sha256 string"
     whole = rows.filter(~hit).select("id", "text").mapInArrow(_finish(False), out)
-    places = gone.groupBy("doc").agg(F.collect_list(F.struct("start", "windows")).alias("places"))
-    cut = rows.filter(hit).join(places, "doc", "left").select("id", "text", "places").mapInArrow(_finish(True), out)
+    places = gone.groupBy("doc", "row").agg(F.collect_list(F.struct("start", "windows")).alias("places"))
+    cut = rows.filter(hit).join(places, ["doc", "row"], "left").select("id", "text", "places").mapInArrow(_finish(True), out)
     return whole.unionByName(cut)
 
 

@@ -321,3 +321,30 @@ def test_toxicity_keeps_words_of_few_positives(positives, others, holding):
 def test_toxicity_finds_some_of_a_small_table(spark, sf):
     got = toxicity.op1_toxicity(spark, sf).toPandas().merge(pq.read_table(f"{sf}/labels.parquet").to_pandas(), on="doc_id")
     assert got.score.nunique() > 1 and got[got.toxic == 1].predicted.mean() > 0.5 > got[got.toxic == 0].predicted.mean()
+
+
+@pytest.mark.parametrize("hot", [2048, 1])
+def test_substrings_of_rows_that_share_an_id(spark, docs, hot, monkeypatch):
+    monkeypatch.setattr(substring, "HOT_SEGMENTS", hot)
+    rng = np.random.default_rng(4)
+    say = lambda n: " ".join(f"v{i}" for i in rng.integers(0, 10**6, n))
+    a, b, c, d, e = (say(60) for _ in range(5))
+    rows = [(1, a), (1, a), (2, f"{b} {say(5)} {c}"), (2, f"{say(3)} {b} {d}"), (2, f"{say(3)} {b} {d}"), (3, a)]
+    rows += [(None, f"{say(40)} {d}"), (None, f"{say(90)} {e} {b}"), (None, e), (None, e), (None, say(200)), (None, None), (4, f"{e} {e}"), (5, say(30))]
+    rows += list(zip((1000 + docs.doc_id).tolist(), docs.text))[:80]
+    windows = [[tuple(w[s : s + 20]) for s in range(len(w) - 19)] for w in (WORD.findall(t or "") for _, t in rows)]
+    place = lambda i, s: (rows[i][0] is None, rows[i][0] or 0, s)
+    least = {}
+    for i, ws in enumerate(windows):
+        for s, g in enumerate(ws):
+            least[g] = min(least.get(g, place(i, s)), place(i, s))
+    want = collections.Counter()
+    for i, (doc, t) in enumerate(rows):
+        w = WORD.findall(t or "")
+        keep = np.ones(len(w), bool)
+        for s, g in enumerate(windows[i]):
+            if least[g] < place(i, s):
+                keep[s : s + 20] = False
+        want[doc, len(w), int((~keep).sum()), hashlib.sha256(" ".join(np.array(w, object)[keep]).encode()).hexdigest()] += 1
+    got = substring.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert collections.Counter(tuple(r) for r in got) == want
