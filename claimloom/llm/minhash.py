@@ -19,8 +19,12 @@ The distance 1 - similarity is a metric, and each member's exact distance from o
 known after the first round: two members with one leader whose distances from it differ by
 more than a link's distance cannot be linked, and are not paired at last.
 
-Null and empty texts have an empty set and are linked with nothing; repeated
-rows share a set and so a class; an empty table gives an empty result.
+A node is a set (63 bits of a hash of its size and sums), not an id: texts under one id are judged apart, and rows without
+an id are linked as others are.  A class is named by its smallest id (null if it has none), and its row of the
+smallest id, null last, and then of the smallest hash of the text stays.
+
+Null and empty texts have an empty set and are linked with nothing; rows that agree in id
+and text stay or go together; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -150,22 +154,31 @@ def _similar(floor: float):
     return f"({1 - c} * {N_HASHES} - ({differ})) >= {floor * (1 - c) * N_HASHES - 1e-9}"
 
 
-def classes(docs: DataFrame, text: str = "text", id_col: str = "doc_id", k: int = SHINGLE_WORDS, percent: int = round(100 * THRESHOLD)) -> DataFrame:
-    """Per row ``id, n`` (set size), ``component_id`` and ``set_id`` (smallest id with an equal set). ids are integers; a null id is linked with nothing."""
+def _text_hash(text: str):
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
+def judged(docs: DataFrame, text: str = "text", id_col: str = "doc_id", k: int = SHINGLE_WORDS, percent: int = round(100 * THRESHOLD)) -> DataFrame:
+    """``classes`` and, per row, ``of`` (hash of its text) and ``kept`` (the row that its class keeps)."""
     small_batches(docs.sparkSession)
-    signed = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(_signer(k), "id long, n long, s1 long, s2 long, planes array<long>, bands array<long>")
-    signed = stored(signed, "near-signatures")
-    use = signed.filter("n > 0 and id is not null")
-    reps = use.groupBy("n", "s1", "s2").agg(F.min("id").alias("set_id"))
-    member = stored(use.select("id", "n", "s1", "s2").distinct().join(reps, ["n", "s1", "s2"]).select("id", "set_id"), "near-sets")
-    nodes = use.join(member.filter("id = set_id").select("id"), "id", "left_semi").dropDuplicates(["id"])
+    row = F.struct(F.col(id_col).cast("long").alias("id"), _text_hash(text).alias("of"))
+    signed = docs.select(row.alias("row"), F.col(text).alias("text")).mapInArrow(_signer(k), "id struct<id: long, of: long>, n long, s1 long, s2 long, planes array<long>, bands array<long>")
+    node = F.shiftrightunsigned(F.xxhash64("n", "s1", "s2"), 1)
+    signed = stored(signed.select("id.id", "id.of", "n", node.alias("node"), "planes", "bands"), "near-signatures")
+    use = signed.filter("n > 0")
+    least = F.struct(F.col("id").isNull().alias("none"), "id", "of")
+    reps = stored(use.groupBy("node").agg(F.min(least).alias("least")), "near-sets")
+    nodes = use.select(F.col("node").alias("id"), "planes", "bands").dropDuplicates(["id"])
     keyed = nodes.select("id", F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1")
     bucket = stored(keyed.join(shared, "key"), "near-buckets")
     ids = stored(bucket.groupBy("id").agg(F.sum("members").alias("score")), "near-nodes")
     sign = stored(nodes.select("id", "planes", "bands").join(ids, "id"), "near-planes")
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text")).filter(maybe_in(F.xxhash64("id"), ids.select(F.xxhash64("id").alias("h"))))
-    sets = stored(texts.join(ids.select("id"), "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_set_maker(k), "id long, set array<long>"), "near-full-sets")
+    at = reps.join(ids.select(F.col("id").alias("node")), "node", "left_semi").select("node", "least.none", F.coalesce("least.id", F.lit(0)).alias("at"), "least.of")
+    place = ["none", "at", "of"]
+    texts = docs.select(row.alias("row"), F.col(text).alias("text")).select(F.col("row.id").isNull().alias("none"), F.coalesce("row.id", F.lit(0)).alias("at"), "row.of", "text")
+    texts = texts.filter(maybe_in(F.xxhash64(*place), at.select(F.xxhash64(*place).alias("h"))))
+    sets = stored(texts.join(at, place).select(F.col("node").alias("id"), "text").dropDuplicates(["id"]).mapInArrow(_set_maker(k), "id long, set array<long>"), "near-full-sets")
     likely = _similar(percent / 100 - SLACK)
 
     def measured(pairs: DataFrame) -> DataFrame:
@@ -222,16 +235,25 @@ def classes(docs: DataFrame, text: str = "text", id_col: str = "doc_id", k: int
         open_ = stored(rest.join(live, "key", "left_semi").select("key", "id", "score", "comp"), "near-open")
         if open_.isEmpty():
             break
-    final = member.join(comp.select(F.col("id").alias("set_id"), "comp"), "set_id", "left").select("id", "set_id", F.coalesce("comp", "set_id").alias("component_id"))
-    return signed.select("id", "n").join(final, "id", "left").select("id", "n", F.coalesce("component_id", "id").alias("component_id"), F.coalesce("set_id", "id").alias("set_id"))
+    named = stored(reps.join(comp.select(F.col("id").alias("node"), "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node")), "near-named")
+    final = named.join(named.groupBy("comp").agg(F.min("least").alias("first")), "comp").select("node", "least", "first")
+    out = signed.select("id", "of", "n", "node").join(final, "node", "left")
+    empty = F.col("n") == 0
+    kept = empty | (F.col("id").eqNullSafe(F.col("first.id")) & F.col("of").eqNullSafe(F.col("first.of")))
+    return out.select("id", "of", "n", F.when(empty, F.col("id")).otherwise(F.col("first.id")).alias("component_id"), F.when(empty, F.col("id")).otherwise(F.col("least.id")).alias("set_id"), kept.alias("kept"))
+
+
+def classes(docs: DataFrame, text: str = "text", id_col: str = "doc_id", **options) -> DataFrame:
+    """Per row ``id, n`` (set size), ``component_id`` and ``set_id`` (smallest id with an equal set). ids are integers."""
+    return judged(docs, text, id_col, **options).select("id", "n", "component_id", "set_id")
 
 
 def deduplicated(docs: DataFrame, text: str = "text", id_col: str = "doc_id", **options) -> DataFrame:
     """The rows of ``docs`` that stay: one document of each class."""
-    gone = classes(docs, text, id_col, **options).filter("component_id <> id").select(F.col("id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
+    gone = judged(docs, text, id_col, **options).filter("not kept").select(F.col("id").alias("_gone"), F.col("of").alias("_of")).distinct()
+    return docs.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("_gone")) & (_text_hash(text) == F.col("_of")), "left_anti")
 
 
 def op9_minhash(spark, sf_dir: str) -> DataFrame:
-    out = classes(spark.read.parquet(f"{sf_dir}/documents.parquet"), k=3, percent=85)
-    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
+    out = judged(spark.read.parquet(f"{sf_dir}/documents.parquet"), k=3, percent=85)
+    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id", "kept")

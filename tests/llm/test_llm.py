@@ -348,3 +348,15 @@ def test_substrings_of_rows_that_share_an_id(spark, docs, hot, monkeypatch):
         want[doc, len(w), int((~keep).sum()), hashlib.sha256(" ".join(np.array(w, object)[keep]).encode()).hexdigest()] += 1
     got = substring.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert collections.Counter(tuple(r) for r in got) == want
+
+
+def test_near_duplicates_of_rows_that_share_an_id(spark):
+    say = lambda c, n=80: " ".join(f"{c}{i}" for i in range(n))
+    near = lambda c: say(c) + " end"
+    rows = [(1, say("a")), (2, near("a")), (2, say("b")), (3, near("b")), (4, say("c")), (None, near("c")), (None, say("d")), (None, near("d")), (None, ""), (None, say("e")), (5, say("f")), (5, near("f"))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = minhash.classes(frame).collect()
+    want = [(1, 1), (2, 1), (2, 2), (3, 2), (4, 4), (None, 4), (None, None), (None, None), (None, None), (None, None), (5, 5), (5, 5)]
+    assert collections.Counter((r.id, r.component_id) for r in got) == collections.Counter(want)
+    left = collections.Counter((r.doc_id, (r.text or " ")[0]) for r in minhash.deduplicated(frame).collect())
+    assert left == collections.Counter([(1, "a"), (2, "b"), (4, "c"), (None, "d"), (None, " "), (None, "e"), (5, "f")])
