@@ -217,13 +217,17 @@ def identified_documents(docs: DataFrame, model, text: str = "text", source: str
 #: A text is kept when it has trigrams that look like the best language, and that language is more likely than all others.
 KEPT = f"grams > 0 and fit >= {FLOOR} and confidence >= {MIN_CONFIDENCE}"
 
+#: One too short for a trigram but not blank is decided by the declared language and the host alone.
+KEPT_SHORT = f"grams = 0 and id.said and confidence >= {MIN_CONFIDENCE}"
+
 
 def kept_documents(docs: DataFrame, text: str = "text", source: str = "source", lang: str = "lang", id_col: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` whose language is identified."""
-    row = F.struct(F.col(id_col).alias("id"), F.xxhash64(text, source, lang).alias("of"))
+    said = F.coalesce(F.col(text).rlike(r"\S"), F.lit(False))
+    row = F.struct(F.col(id_col).alias("id"), F.xxhash64(text, source, lang).alias("of"), said.alias("said"))
     rows = docs.select(row.alias("row"), F.col(text).alias("text"), F.col(source).alias("source"), F.col(lang).alias("lang"))
     judged = identified_documents(rows, text_model(docs, text, lang), id_col="row")
-    gone = judged.filter(f"not ({KEPT})").select(F.col("id.id").alias("_gone_id"), F.col("id.of").alias("_gone_of")).distinct()
+    gone = judged.filter(f"not ({KEPT} or {KEPT_SHORT})").select(F.col("id.id").alias("_gone_id"), F.col("id.of").alias("_gone_of")).distinct()
     return docs.join(gone, F.col(id_col).eqNullSafe(F.col("_gone_id")) & (F.xxhash64(text, source, lang) == F.col("_gone_of")), "left_anti")
 
 

@@ -360,3 +360,11 @@ def test_near_duplicates_of_rows_that_share_an_id(spark):
     assert collections.Counter((r.id, r.component_id) for r in got) == collections.Counter(want)
     left = collections.Counter((r.doc_id, (r.text or " ")[0]) for r in minhash.deduplicated(frame).collect())
     assert left == collections.Counter([(1, "a"), (2, "b"), (4, "c"), (None, "d"), (None, " "), (None, "e"), (5, "f")])
+
+
+def test_language_keeps_short_texts_of_a_stated_language(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang", "source")
+    host = docs.filter("lang = 'en'").groupBy("source").count().orderBy(F.desc("count")).first()["source"]
+    more = spark.createDataFrame([(-1, "A.", "en", host), (-2, "é", "en", host), (-3, " ", "en", host), (-4, "", "en", host), (-5, None, "en", host)], docs.schema)
+    got = language.kept_documents(docs.unionByName(more)).filter("doc_id < 0").collect()
+    assert {r.doc_id for r in got} == {-1, -2}
