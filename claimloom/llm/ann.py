@@ -2,15 +2,18 @@
 
 Trees are fitted on a bounded sample (``SAMPLE`` vectors); every vector is put
 into one leaf of each tree.  A query's walk keeps one priority queue for all
-trees, ordered by the smallest margin on the way, and visits leaves until they
-hold ``SEARCH_SHARE`` of all vectors (``SEARCH_LEAST`` at least).  The
-vectors of visited leaves are ranked exactly, in double precision, leaf by leaf.
+trees, ordered by the sum of the margins of the splits that were crossed on the way, and visits
+leaves until they hold ``VISITS`` times as many vectors as there are (a vector counts once for each
+tree that it is met in).  The vectors of visited leaves are ranked exactly, in double precision, leaf by leaf.
+The rule is the same at every size.
 
 Equal vectors are one point with its ``top + 1`` smallest ids: no more of them can be
 among ``top`` results, as ties go to the smaller id.  So a very common vector loads no leaf.
 
-Null, zero or non-finite vectors, and those of a length that is not the most common one, take no part;
-null ids neither; repeated rows count once; an empty table gives an empty result.
+Null, zero or non-finite vectors, and those with a null or non-finite component, take no part, and neither do null
+ids.  A vector that is shorter than the longest one counts as padded with zeros.  Repeated rows count once;
+an id with several vectors has the smallest of them (component by component).  Ties in score go to the smaller id.
+Very long vectors only cost memory in proportion.  An empty table gives an empty result; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -24,13 +27,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimloom.llm.store import small_batches, stored
+from claimloom.llm.textcore import mix64
 
 TREES = 8
 SAMPLE = 16_384
 #: Vectors that a leaf has, about, and sample vectors that it has at least.
-LEAF, SAMPLE_LEAF = 128, 8
-SEARCH_SHARE = 0.62
-SEARCH_LEAST = 2000
+LEAF, SAMPLE_LEAF = 32, 8
+#: Vectors that a query meets in leaves, by the number of all vectors (see the README for the recall at this value).
+VISITS = 1.5
 TOP = 20
 BINS, BIN_ROWS = 48, 50_000
 
@@ -67,7 +71,7 @@ class Forest:
         margin = (self.normal.reshape(-1, self.normal.shape[2]) @ v).reshape(self.split.shape) - self.split
         inner, leaves = (1 << self.depth) - 1, 1 << self.depth
         margins = margin.tolist()
-        heap = [(-math.inf, t, 0) for t in range(self.trees)]
+        heap = [(0.0, t, 0) for t in range(self.trees)]
         heapq.heapify(heap)
         got, out = 0, []
         while heap and got < budget:
@@ -75,7 +79,7 @@ class Forest:
             while node < inner:
                 m = margins[t][node]
                 near, far = (2 * node + 2, 2 * node + 1) if m >= 0 else (2 * node + 1, 2 * node + 2)
-                heapq.heappush(heap, (max(p, abs(m)), t, far))
+                heapq.heappush(heap, (p + abs(m), t, far))
                 node = near
             cell = t * leaves + node - inner
             if sizes[cell]:
@@ -89,29 +93,41 @@ def _matrix(column) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1) if len(column) else np.zeros((0, 1), np.float32)
 
 
-def _assign(forest):
+def _bin(cells: np.ndarray, bins: int) -> np.ndarray:
+    return (mix64(cells.astype(np.uint64)) % np.uint64(bins)).astype(np.int64)
+
+
+def _assign(forest, bins: int):
     def run(batches):
         f = forest.value
         for b in batches:
             v = _matrix(b.column(1))
             if not len(v):
                 continue
-            cells = f.leaves(v) + (np.arange(f.trees) << f.depth)
+            cells = (f.leaves(v) + (np.arange(f.trees) << f.depth)).ravel()
             at = pa.array(np.repeat(np.arange(len(v)), f.trees))
-            yield pa.record_batch([pa.array(cells.ravel()), b.column(0).take(at), b.column(1).take(at)], names=["cell", "pid", "v"])
+            yield pa.record_batch([pa.array(_bin(cells, bins)), pa.array(cells), b.column(0).take(at), b.column(1).take(at)], names=["bin", "cell", "pid", "v"])
 
     return run
 
 
-def _walk(forest, sizes, budget):
+def _walk(forest, sizes, budget, bins: int):
+    """One row per query and bin, with the vector and the cells that the query visits there."""
+
     def run(batches):
         for b in batches:
             v = _matrix(b.column(1))
             if not len(v):
                 continue
-            cells = [forest.value.walk(x, sizes.value, budget) for x in v]
-            at = pa.array(np.repeat(np.arange(len(v)), [len(c) for c in cells]))
-            yield pa.record_batch([pa.array(np.concatenate(cells).astype(np.int64)), b.column(0).take(at), b.column(1).take(at)], names=["cell", "qid", "v"])
+            cells = [np.array(forest.value.walk(x, sizes.value, budget), np.int64) for x in v]
+            owner, flat = np.repeat(np.arange(len(v)), [len(c) for c in cells]), np.concatenate(cells)
+            where = _bin(flat, bins)
+            order = np.lexsort((where, owner))
+            owner, flat, where = owner[order], flat[order], where[order]
+            new = np.flatnonzero(np.append(True, (np.diff(owner) != 0) | (np.diff(where) != 0))[: len(flat)])
+            lists = pa.ListArray.from_arrays(pa.array(np.append(new, len(flat)).astype(np.int32)), pa.array(flat))
+            at = pa.array(owner[new])
+            yield pa.record_batch([pa.array(where[new]), lists, b.column(0).take(at), b.column(1).take(at)], names=["bin", "cells", "qid", "v"])
 
     return run
 
@@ -122,18 +138,19 @@ def _rank(top: int):
         if not len(points) or not len(queries):
             return schema.empty_table()
         p, pid, pc = _matrix(points.column("v")).astype(np.float64), points.column("pid").to_numpy(), points.column("cell").to_numpy()
-        q, qid, qc = _matrix(queries.column("v")).astype(np.float64), queries.column("qid").to_numpy(), queries.column("cell").to_numpy()
+        q, qid, cells = _matrix(queries.column("v")).astype(np.float64), queries.column("qid").to_numpy(), queries.column("cells").combine_chunks()
+        asks, qc = np.repeat(np.arange(len(q)), np.diff(cells.offsets.to_numpy())), cells.flatten().to_numpy()
         order, ask = np.lexsort((pid, pc)), np.argsort(qc, kind="stable")
-        p, pid, pc, q, qid, qc = p[order], pid[order], pc[order], q[ask], qid[ask], qc[ask]
+        p, pid, pc, asks, qc = p[order], pid[order], pc[order], asks[ask], qc[ask]
         out = []
         for c in np.unique(qc):
             lo, hi = np.searchsorted(pc, [c, c + 1])
             a, b = np.searchsorted(qc, [c, c + 1])
             for i in range(a, b if hi > lo else a, 256):
                 j = min(i + 256, b)
-                s = q[i:j] @ p[lo:hi].T
+                s = q[asks[i:j]] @ p[lo:hi].T
                 best = np.argsort(-s, axis=1, kind="stable")[:, : top + 1]
-                out.append((np.repeat(qid[i:j], best.shape[1]), pid[lo:hi][best].ravel(), np.take_along_axis(s, best, 1).ravel()))
+                out.append((np.repeat(qid[asks[i:j]], best.shape[1]), pid[lo:hi][best].ravel(), np.take_along_axis(s, best, 1).ravel()))
         if not out:
             return schema.empty_table()
         who, what, score = (np.concatenate(x) for x in zip(*out))
@@ -150,33 +167,32 @@ def _rank(top: int):
     return run
 
 
-def neighbours(table: DataFrame, id_col: str = "vec_id", vector: str = "embedding", query_every: int = 20, top: int = TOP, share: float = SEARCH_SHARE) -> DataFrame:
+def neighbours(table: DataFrame, id_col: str = "vec_id", vector: str = "embedding", query_every: int = 20, top: int = TOP, visits: float = VISITS) -> DataFrame:
     """``query_id, rank, id, score``: of rows whose id is divisible by ``query_every``, the nearest others."""
     spark = table.sparkSession
     small_batches(spark)
-    rows = table.select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<float>").alias("v")).filter("id is not null and v is not null and size(v) > 0")
+    rows = table.select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<float>").alias("v")).filter("id is not null and v is not null")
     rows = rows.filter("forall(v, x -> x is not null and not isnan(x) and abs(x) < float('infinity')) and exists(v, x -> x <> 0)")
-    common = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    rows = rows.filter(F.size("v") == (common["d"] if common else 0)).withColumns({"h1": F.xxhash64("v"), "h2": F.xxhash64(F.reverse("v"))})
+    width = rows.agg(F.max(F.size("v"))).first()[0] or 1
+    rows = rows.withColumn("v", F.concat("v", F.array_repeat(F.lit(0.0).cast("float"), F.lit(width) - F.size("v"))))
+    rows = rows.groupBy("id").agg(F.min("v").alias("v")).withColumns({"h1": F.xxhash64("v"), "h2": F.xxhash64(F.reverse("v"))})
+    rows = stored(rows, "ann-rows")
     first = rows.withColumn("_n", F.row_number().over(Window.partitionBy("h1", "h2").orderBy("id"))).filter(F.col("_n") <= top + 1)
     points = stored(first.groupBy("h1", "h2").agg(F.min("id").alias("pid"), F.array_sort(F.collect_set("id")).alias("ids"), F.first("v").alias("v")), "ann-points")
-    asking = stored(rows.filter(F.col("id") % query_every == 0).select(F.col("id").alias("query_id"), "h1", "h2").distinct().join(points.select("h1", "h2", F.col("pid").alias("qid")), ["h1", "h2"]).select("query_id", "qid"), "ann-queries")
+    asking = stored(rows.filter(F.col("id") % query_every == 0).select(F.col("id").alias("query_id"), "h1", "h2").join(points.select("h1", "h2", F.col("pid").alias("qid")), ["h1", "h2"]).select("query_id", "qid"), "ann-queries")
     n = points.count()
     sample = points.select("v", F.xxhash64("pid").alias("o")).orderBy("o").limit(SAMPLE).collect()
     depth = max(0, min(int(math.log2(max(1, n / LEAF))), int(math.log2(max(1, len(sample) / SAMPLE_LEAF)))))
     forest = spark.sparkContext.broadcast(Forest(np.array([r["v"] for r in sample], np.float32).reshape(len(sample), len(sample[0]["v"]) if sample else 1), depth))
-    cells = stored(points.select("pid", "v").mapInArrow(_assign(forest), "cell long, pid long, v array<float>"), "ann-cells")
+    # cells are ranked in bins, each of which gives a query's best once: at least BINS, and BIN_ROWS vectors in each, about
+    bins = max(BINS, -(-n * TREES // BIN_ROWS))
+    cells = stored(points.select("pid", "v").mapInArrow(_assign(forest, bins), "bin long, cell long, pid long, v array<float>"), "ann-cells")
     counts = np.zeros(TREES << depth, np.int64)
     for r in cells.groupBy("cell").count().collect():
         counts[r["cell"]] = r["count"]
-    # a budget over all trees: what is met in several trees counts once, about, as far as trees are independent
-    budget = min(float(counts.sum()), max(SEARCH_LEAST, -math.log(max(1e-9, 1 - share)) * n))
     parts = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     ask = points.select("pid", "v").join(asking.select(F.col("qid").alias("pid")).distinct(), "pid", "left_semi").repartition(parts, "pid")
-    walks = ask.mapInArrow(_walk(forest, spark.sparkContext.broadcast(counts), budget), "cell long, qid long, v array<float>")
-    # cells are ranked in bins, each of which gives a query's best once: at least BINS, and BIN_ROWS vectors in each, about
-    bins = F.pmod(F.xxhash64("cell"), F.lit(max(BINS, -(-n * TREES // BIN_ROWS)))).alias("bin")
-    cells, walks = cells.select(bins, "cell", "pid", "v"), walks.select(bins, "cell", "qid", "v")
+    walks = ask.mapInArrow(_walk(forest, spark.sparkContext.broadcast(counts), visits * n, bins), "bin long, cells array<long>, qid long, v array<float>")
     found = cells.groupBy("bin").cogroup(walks.groupBy("bin")).applyInArrow(_rank(top), "qid long, pid long, score double")
     found = found.groupBy("qid", "pid").agg(F.max("score").alias("score"))
     found = found.withColumn("_n", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "pid"))).filter(F.col("_n") <= top + 1)
