@@ -3,13 +3,18 @@
 A text is cut where the vocabulary's own pre-tokeniser always cuts: before a
 single space or line feed with a character that is no white space on either
 side.  Units repeat a lot, so each distinct unit is encoded once per worker
-(up to ``CACHE_UNITS``) and the ids of a batch are gathered by numpy.
-Strings of special tokens in a text are ordinary text.
+(up to ``CACHE_UNITS``) and the ids of a batch are gathered by numpy.  ``tiktoken`` encodes the units,
+with the ranks of the vocabulary file; tests hold its ids against ``tokenizers`` on the same file.
+The string of a special token in a text gives that token's id, and what lies between such strings is encoded
+apart, as ``tokenizers`` does; ``add_special_tokens=False`` only means that none is added.
+
+Null and empty texts have no ids.  A text without any cut is one unit: a very long one is encoded at once and not kept.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,7 +46,9 @@ class BytePairs:
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        special = {t["content"] for t in spec.get("added_tokens", [])}
+        special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
+        self.special = {k.encode(): v for k, v in special.items()}
+        self.any_special = re.compile(b"|".join(re.escape(k) for k in sorted(self.special, key=len, reverse=True))) if special else None
         of = _byte_of_char()
         ranks = {bytes(of[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
         self.encode = tiktoken.Encoding("units", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
@@ -86,6 +93,27 @@ class BytePairs:
         at = np.searchsorted(self.known, hashes)
         self.known, self.start, self.size = np.insert(self.known, at, hashes), np.insert(self.start, at, start), np.insert(self.size, at, size)
 
+    def _in_pieces(self, raw: bytes) -> np.ndarray:
+        """The ids of one text with special strings."""
+        out, done = [], 0
+        for m in self.any_special.finditer(raw):
+            out += [*self.encode(raw[done : m.start()].decode("utf-8")), self.special[m[0]]]
+            done = m.end()
+        return np.array(out + self.encode(raw[done:].decode("utf-8")), np.uint16)
+
+    def _with_specials(self, data: np.ndarray, off: np.ndarray, ids: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Texts that hold a special string are encoded anew, in pieces."""
+        raw, anew = data.tobytes(), {}
+        if self.any_special is None or not self.any_special.search(raw):
+            return ids, bound
+        for m in self.any_special.finditer(raw):
+            i = int(np.searchsorted(off, m.start(), "right")) - 1
+            anew[i] = None
+        for i in anew:
+            anew[i] = self._in_pieces(raw[off[i] : off[i + 1]])
+        parts = [anew.get(i, ids[bound[i] : bound[i + 1]]) for i in range(len(off) - 1)]
+        return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+
     def batch(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(first row, ids of consecutive texts as uint16, their bounds)."""
         for a, _, data, off in text_chunks(texts):
@@ -118,7 +146,7 @@ class BytePairs:
             size = self.size[which]
             upto = np.concatenate([[0], np.cumsum(size)])
             ids = self.flat[np.repeat(self.start[which] - upto[:-1], size) + np.arange(upto[-1])] if len(which) else np.zeros(0, np.uint16)
-            yield a, ids, upto[np.searchsorted(starts, off)]
+            yield a, *self._with_specials(data, off, ids, upto[np.searchsorted(starts, off)])
 
 
 def byte_pairs(path: str) -> BytePairs:

@@ -116,19 +116,44 @@ def test_fm_index():
     assert substring.FMIndex(t).earliest(at, 6).tolist() == want
 
 
-def test_packing(spark, sf, docs):
+WEIGHTED = {"window": 64, "block_tokens": 5000, "grain": 16, "weights": "by source"}
+
+
+@pytest.mark.parametrize("options", [{}, {"window": 16, "block_tokens": 200_000}, WEIGHTED])
+def test_packing(spark, sf, docs, options):
     import public_tokenizers
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    ids = {i: np.array([*tok.encode(t or "", add_special_tokens=False).ids, 0], "<u4") for i, t in zip(docs.doc_id, docs.text)}
-    p = packing.op6_packing(spark, sf).toPandas()
+    more = [(10**6, "a <|endoftext|> b", "x"), (10**6 + 1, None, None)]
+    table = spark.createDataFrame([*zip(docs.doc_id.tolist(), docs.text, docs.source), *more], "doc_id long, text string, source string")
+    ids = {i: np.array([*tok.encode(t or "", add_special_tokens=False).ids, 0], "<u4") for i, t, _ in table.collect()}
+    if "weights" in options:
+        options = options | {"weights": {r.source: 1.0 + i for i, r in enumerate(table.select("source").distinct().orderBy("source").collect())}}
+    p = packing.packed(table, **options).toPandas()
     for r in p.itertuples():
-        assert len(ids[r.doc_id]) == r.doc_tokens and zlib.crc32(ids[r.doc_id][r.start : r.start + r.length].tobytes()) == r.ids_crc32
+        assert len(ids[r.id]) == r.doc_tokens and zlib.crc32(ids[r.id][r.start : r.start + r.length].tobytes()) == r.ids_crc32
     gapless = lambda g, at: (g.sort_values(at)[at].to_numpy() == np.concatenate([[0], np.cumsum(g.sort_values(at).length)[:-1]])).all()
-    assert all(gapless(g, "start") and g.length.sum() == g.doc_tokens.iloc[0] for _, g in p.groupby("doc_id"))
+    assert set(p.id) == set(ids) and all(gapless(g, "start") and g.length.sum() == g.doc_tokens.iloc[0] for _, g in p.groupby("id"))
     full = p.groupby("sequence_id").length.sum()
-    assert all(gapless(g, "offset") for _, g in p.groupby("sequence_id")) and full.max() <= 1024 and ((full & (full - 1)) == 0).all()
+    assert all(gapless(g, "offset") for _, g in p.groupby("sequence_id")) and full.max() <= options.get("window", 1024) and ((full & (full - 1)) == 0).all()
+
+
+def test_packing_follows_targets_over_blocks(spark):
+    rows = [(i, f"w{i} " * 50, "ab"[i % 2]) for i in range(400)]
+    p = packing.packed(spark.createDataFrame(rows, "doc_id long, text string, source string"), window=128, grain=16, block_tokens=4000, weights={"a": 3, "b": 1}).toPandas()
+    assert p.sequence_id.nunique() > 40 and p.groupby("id").length.sum().equals(p.groupby("id").doc_tokens.first())
+    a, b = (p[p.queue == q].groupby("sequence_id").length.sum() for q in ("sa", "sb"))
+    took = np.cumsum(np.stack([a.reindex(sorted(p.sequence_id.unique()), fill_value=0), b.reindex(sorted(p.sequence_id.unique()), fill_value=0)], 1), axis=0)
+    both = took[took[:, 0] < a.sum() - 16]  # until a is empty, three of four ids are of a, up to the deficits
+    assert len(both) > 20 and np.abs(both[:, 0] - both.sum(axis=1) * 0.75).max() <= 64
+    with pytest.raises(ValueError):
+        packing.packed(spark.createDataFrame(rows, "doc_id long, text string, source string"), weights={"a": 1})
+
+
+def test_deal_opens_with_deficits():
+    take = packing.deal(np.array([500, 500]), [100] * 10, 50, np.array([-50.0, 50.0]))
+    assert take[0].tolist() == [0, 100] and take.sum(axis=0).tolist() == [500, 500]
 
 
 def test_deal_carries_deficits():
@@ -139,27 +164,6 @@ def test_deal_carries_deficits():
     assert np.abs(np.cumsum(take[:8], axis=0) - np.outer(np.arange(1, 9) * 1024, counts / 10_000)).max() <= 128
 
 
-def test_neighbours(spark, sf):
-    e = pq.read_table(f"{sf}/embeddings.parquet").to_pandas()
-    x, ids = np.stack(e.embedding).astype(float), e.vec_id.to_numpy()
-    got, hits, n = ann.op7_ann(spark, sf).toPandas(), 0, 0
-    for q in ids[ids % 20 == 0]:
-        s = x @ x[list(ids).index(q)]
-        best = [i for i in ids[np.lexsort((ids, -s))] if i != q][:20]
-        g = got[got.query_id == q].sort_values("rank")
-        assert len(g) == len(best) and g["rank"].tolist() == list(range(1, len(g) + 1))
-        hits, n = hits + len(set(best) & set(g.vec_id)), n + len(best)
-    assert hits >= 0.9 * n
-
-
-def test_neighbours_odd(spark):
-    rows = [(i, [1.0, float(i % 3), 0.5]) for i in range(50)] + [(60, None), (80, [0.0, 0.0, 0.0]), (100, [float("nan"), 1.0, 1.0]), (120, [1.0, 2.0]), (None, [1.0, 1.0, 1.0]), (20, [1.0, 2.0, 0.5])]
-    got = ann.neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).toPandas()
-    assert set(got.query_id) == {0, 20, 40} and (got.groupby("query_id").size() == 20).all() and not (got.query_id == got.id).any()
-    assert got[got.query_id == 20].sort_values("rank").id.tolist() == [2, 5, 8, 11, 14, 17, 23, 26, 29, 32, 35, 38, 41, 44, 47, *[1, 4, 7, 10, 13]]
-    assert ann.neighbours(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
-
-
 def test_shards(spark, sf, docs):
     got = sharding.op8_sharding(spark, sf).toPandas().merge(docs, on="doc_id")
     n = got.groupby("shard").size().reindex(range(16), fill_value=0)
@@ -269,10 +273,9 @@ def test_units_match_the_tokenizer(spark):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(packing.default_tokenizer())
-    tok.encode_special_tokens = True
     parts = [" ", "  ", "\n", "\t", "\r\n", "\x85", "\xa0", "　", "a", "Foo", "don't", "'s", "12", "\xe9", "\xdf", "漢", "\U0001f600", "é", "<|endoftext|>", ",", "\x00"]
     rnd = np.random.default_rng(5)
-    texts = ["".join(parts[j] for j in rnd.integers(0, len(parts), rnd.integers(0, 40))) for _ in range(3000)] + ["", None, "a" * 20_000, " " * 3000]
+    texts = ["".join(parts[j] for j in rnd.integers(0, len(parts), rnd.integers(0, 40))) for _ in range(3000)] + ["", None, "a" * 20_000, " " * 3000, "a <|endoftext|> b", "<|endoftext|>"]
     enc, got = packing.byte_pairs(packing.default_tokenizer()), []
     for lo in range(0, len(texts), 500):
         for _, ids, bound in enc.batch(pa.array(texts[lo : lo + 500], pa.string())):
