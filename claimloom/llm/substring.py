@@ -7,10 +7,11 @@ words also start earlier (a smaller id, or earlier in the same text) are removed
    form a segment; equal segments of a batch are sent once.
 2. Meet: segments are dealt by anchor.  Equal windows have equal anchors, so an anchor that occurs once ends here.
    Of equal segments the first stays; all windows of the others start earlier in it.
-3. Index: different segments of one anchor go to one shard, as word hashes.  A shard holds its
-   segments in order of their places, an FM-index over them (suffix order, Burrows-Wheeler transform in a
-   wavelet matrix of packed bits), and streams every window through backward search.  The
-   matching length is followed up to ``WINDOW``; a range that reaches it gives the earliest place.
+3. Index: different segments of one anchor go to one shard, as word hashes.  A shard holds an FM-index over its
+   segments (Burrows-Wheeler transform in a wavelet matrix of packed bits, bounds of the ``WINDOW``-deep intervals as packed bits,
+   and a sampled suffix array that keeps the earliest place of each interval with several).  Each segment is streamed through it
+   from its last word: backward search extends the match by a word, and a match of ``WINDOW`` words is contracted to its
+   interval.  These matching statistics, capped at ``WINDOW``, give the windows whose interval has an earlier place.
    An anchor with more than ``HOT_SEGMENTS`` different segments (the flanks of a very common passage)
    is not sent to one shard: its windows are dealt singly, by their own hash.
 4. Remove: reported windows are taken from their texts.  Texts that cannot have any do not enter a shuffle.
@@ -20,7 +21,8 @@ their text (the key ``row``), so different texts under one id, or without one, a
 rows that agree in both lose the same words, and none is a copy of another.
 
 Words are compared by 64-bit hashes.  Null texts have no words; texts below ``WINDOW`` words keep all; null ids
-count as one id after all others (as the largest long); an empty table gives an empty result.
+count as one id after all others (as the largest long); a very long text is read whole by one task, in chunks of words, and its segments are dealt like others;
+an empty table gives an empty result; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -39,8 +41,8 @@ from claimloom.llm.textcore import _power, gram_hashes, hash_spans, mix64, slidi
 WINDOW = 20
 ANCHOR = 8
 HOT_SEGMENTS = 2048
-#: Texts for each partition of step 2, and for each shard of step 3.
-MEET_TEXTS, SHARD_TEXTS = 8000, 1024
+#: Bytes of all texts for each partition of step 2, and for each shard of step 3.
+MEET_BYTES, SHARD_BYTES = 16 << 20, 2 << 20
 _LAST = np.iinfo(np.int64).max
 
 
@@ -152,64 +154,128 @@ def _fetch(shards: int):
 _FETCHED = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
 
 
+class Bits:
+    """Packed bits with rank (ones before a position) and select (the position of a one)."""
+
+    def __init__(self, bits: np.ndarray):
+        padded = np.zeros((len(bits) // 64 + 1) * 64, np.uint8)
+        padded[: len(bits)] = bits
+        self.words = np.packbits(padded, bitorder="little").view(np.uint64)
+        self.ones = np.concatenate([[0], np.cumsum(np.bitwise_count(self.words), dtype=np.int32)])
+
+    def rank(self, i: np.ndarray) -> np.ndarray:
+        w = i >> 6
+        return self.ones[w] + np.bitwise_count(self.words[w] & ((np.uint64(1) << (i & 63).astype(np.uint64)) - np.uint64(1)))
+
+    def select(self, k: np.ndarray) -> np.ndarray:
+        w = np.searchsorted(self.ones, k, "right") - 1
+        left, at, word = k - self.ones[w], np.zeros(len(k), np.uint64), self.words[w]
+        for half in (32, 16, 8, 4, 2, 1):
+            below = np.bitwise_count(word >> at & np.uint64((1 << half) - 1)).astype(np.int64)
+            up = left >= below
+            left = left - np.where(up, below, 0)
+            at = at + np.where(up, half, 0).astype(np.uint64)
+        return w * 64 + at.astype(np.int64)
+
+
 class FMIndex:
-    """Suffixes of ``tokens`` (0 parts segments and is the last) in the order of their first ``2 ** rounds`` tokens, and their BWT in a wavelet matrix.
+    """An index of ``tokens`` (0 parts segments and is the last), searched for patterns of up to ``depth`` tokens.
 
-    Backward search is exact for patterns up to that length.
+    Kept: the Burrows-Wheeler transform in a wavelet matrix, the bounds of the intervals of suffixes that agree in ``depth`` tokens,
+    and of each such interval with several suffixes the least number ``when`` of its places (by default the place itself).
     """
 
-    def __init__(self, tokens: np.ndarray, rounds: int = 5):
-        n = len(tokens)
-        rank = tokens.astype(np.int64)
-        for r in range(rounds):
+    def __init__(self, tokens: np.ndarray, depth: int, when: np.ndarray | None = None):
+        n, self.depth = len(tokens), depth
+        rank, long = tokens.astype(np.int64), 1
+        while long < depth:  # ranks by ``long`` tokens, from those by fewer
+            step = min(long, depth - long)
             after = np.zeros(n, np.int64)
-            after[: max(0, n - (1 << r))] = rank[1 << r :] + 1
+            after[: max(0, n - step)] = rank[step:] + 1
             rank = np.unique(rank * (int(rank.max()) + 2) + after, return_inverse=True)[1]
-        self.tokens, self.places = tokens, np.argsort(rank, kind="stable")
+            long += step
+        places = np.argsort(rank, kind="stable")
+        first = np.append(True, np.diff(rank[places]) != 0)[:n]
+        starts = np.flatnonzero(first)
+        several = np.diff(np.append(starts, n)) > 1
+        self.bounds, self.several, self.intervals, self.n = Bits(first), Bits(several), len(starts), n
+        self.least = np.minimum.reduceat((np.arange(n) if when is None else when)[places], starts)[several]
         self.before = np.concatenate([[0], np.cumsum(np.bincount(tokens))])
-        bwt = tokens[self.places - 1]
+        bwt = tokens[places - 1]
         self.levels = []
         for level in reversed(range(max(1, int(tokens.max()).bit_length()))):
             bit = bwt >> level & 1
-            padded = np.zeros((n // 64 + 1) * 64, np.uint8)
-            padded[:n] = bit
-            words = np.packbits(padded, bitorder="little").view(np.uint64)
-            ones = np.concatenate([[0], np.cumsum(np.bitwise_count(words), dtype=np.int64)])[:-1]
-            self.levels.append((level, words, ones, n - int(bit.sum())))
+            self.levels.append((level, Bits(bit), n - int(bit.sum())))
             bwt = np.concatenate([bwt[bit == 0], bwt[bit == 1]])
-        self.begin = self._descend(np.arange(int(tokens.max()) + 1), np.zeros(int(tokens.max()) + 1, np.int64))
+        every = np.arange(len(self.before) - 1)
+        self.begin = self._descend(every, np.zeros(len(every), np.int64))
 
     def _descend(self, c: np.ndarray, i: np.ndarray) -> np.ndarray:
-        for level, words, ones, zeros in self.levels:
-            w = i >> 6
-            k = ones[w] + np.bitwise_count(words[w] & ((np.uint64(1) << (i & 63).astype(np.uint64)) - np.uint64(1)))
+        for level, bits, zeros in self.levels:
+            k = bits.rank(i)
             i = np.where(c >> level & 1, zeros + k, i - k)
         return i
 
     def extend(self, c: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The suffix ranges of ``c`` before the patterns of the ranges."""
+        """The suffix ranges of ``c`` before the patterns of the ranges; empty for a token that the index does not know."""
+        known = (c > 0) & (c < len(self.before) - 1)
+        c = np.where(known, c, 0)
         both = self._descend(np.concatenate([c, c]), np.concatenate([lo, hi])).reshape(2, -1) + (self.before[c] - self.begin[c])
-        return both[0], both[1]
-
-    def earliest(self, at: np.ndarray, length: int, when: np.ndarray | None = None) -> np.ndarray:
-        """For each place, the earliest place with the same ``length`` tokens; with ``when`` (a number for each place), the least number of those."""
-        when = np.arange(len(self.tokens)) if when is None else when
-        out = when[at]
-        live = np.arange(len(at))
-        c = self.tokens[at + length - 1]
-        lo, hi = self.before[c], self.before[c + 1]
-        for j in range(length - 2, -1, -1):
-            some = hi - lo > 1  # a range of one is the place itself
-            live, lo, hi = live[some], lo[some], hi[some]
-            if not len(live):
-                return out
-            lo, hi = self.extend(self.tokens[at[live] + j], lo, hi)
-        first, back = np.unique(lo, return_inverse=True)
-        end = np.zeros(len(first), np.int64)
-        end[back] = hi
-        edges = np.stack([first, end], axis=1).ravel()
-        least = np.minimum.reduceat(np.append(when[self.places], _LAST), edges)[::2]
-        out[live] = least[back]
+        return np.where(known, both[0], 0), np.where(known, both[1], 0)
+
+    def _shorter(self, tokens: np.ndarray, at: np.ndarray, length: np.ndarray):
+        """The longest matches of at most ``length`` tokens at places where an extension has failed."""
+        length, lo, hi = length.copy(), np.zeros(len(at), np.int64), np.full(len(at), self.n)
+        todo = np.flatnonzero(length > 0)
+        while len(todo):
+            a, b = np.zeros(len(todo), np.int64), np.full(len(todo), self.n)
+            for back in range(int(length[todo].max()) - 1, -1, -1):
+                on = np.flatnonzero((back < length[todo]) & (a < b))
+                a[on], b[on] = self.extend(tokens[at[todo[on]] + back], a[on], b[on])
+            hit = a < b
+            lo[todo[hit]], hi[todo[hit]] = a[hit], b[hit]
+            todo = todo[~hit]
+            length[todo] -= 1
+            lo[todo[length[todo] == 0]], hi[todo[length[todo] == 0]] = 0, self.n
+            todo = todo[length[todo] > 0]
+        return length, lo, hi
+
+    def statistics(self, tokens: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Matching statistics of streamed texts ``tokens[start : start + size]``.
+
+        For each token of ``tokens``: how many tokens from there on occur in the index (``depth`` at most, and within its text), and where that is
+        ``depth``, the interval's number (else -1).  All texts are streamed side by side, each from its end.
+        """
+        matched, interval = np.zeros(len(tokens), np.int32), np.full(len(tokens), -1)
+        order = np.argsort(-size, kind="stable")
+        at, size = (start + size)[order], size[order]
+        lo, hi, length = np.zeros(len(at), np.int64), np.full(len(at), self.n), np.zeros(len(at), np.int64)
+        for step in range(1, int(size.max(initial=0)) + 1):
+            live = int(np.searchsorted(-size, -step, "right"))  # texts of at least so many tokens
+            i = at[:live] - step
+            a, b = self.extend(tokens[i], lo[:live], hi[:live])
+            grown = np.minimum(length[:live] + 1, self.depth)
+            lost = np.flatnonzero(a >= b)
+            if len(lost):
+                grown[lost], a[lost], b[lost] = self._shorter(tokens, i[lost], length[lost])
+            full = np.flatnonzero(grown == self.depth)
+            if len(full):
+                g = self.bounds.rank(a[full] + 1) - 1
+                interval[i[full]] = g
+                a[full] = self.bounds.select(g)
+                last = g + 1 == self.intervals
+                b[full] = np.where(last, self.n, self.bounds.select(np.where(last, 0, g + 1)))
+            lo[:live], hi[:live], length[:live] = a, b, grown
+            matched[i] = grown
+        return matched, interval
+
+    def earliest(self, interval: np.ndarray) -> np.ndarray:
+        """The least number of each interval's places; that of an interval with one place is not kept (the largest long)."""
+        out = np.full(len(interval), _LAST)
+        known = np.flatnonzero(interval >= 0)
+        g = interval[known]
+        some = self.several.rank(g + 1) > self.several.rank(g)
+        out[known[some]] = self.least[self.several.rank(g[some])]
         return out
 
 
@@ -221,9 +287,9 @@ def _search(t: pa.Table) -> pa.Table:
     doc, row, start, count = (t.column(c).to_numpy().astype(np.int64) for c in ("doc", "row", "start", "windows"))
     size = count + WINDOW - 1
     words = np.frombuffer(b"".join(t.column("words").to_pylist()), np.uint64)
-    ids = np.unique(words, return_inverse=True)[1] + 1
+    ids = np.unique(words, return_inverse=True)[1].astype(np.int32) + 1
     base = np.cumsum(size + 1) - size - 1
-    tokens = np.zeros(int((size + 1).sum()), np.int64)
+    tokens = np.zeros(int((size + 1).sum()), np.int32)
     inside = np.ones(len(tokens), bool)
     inside[base + size] = False
     tokens[inside] = ids
@@ -231,7 +297,9 @@ def _search(t: pa.Table) -> pa.Table:
     at = base[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
     when = np.full(len(tokens), _LAST)
     when[at] = np.unique(doc, return_inverse=True)[1][owner] * (int((start + count).max()) + 1) + start[owner] + at - base[owner]
-    hit = np.flatnonzero(FMIndex(tokens).earliest(at, WINDOW, when) < when[at])
+    index = FMIndex(tokens, WINDOW, when)
+    interval = index.statistics(tokens, base, size)[1]
+    hit = np.flatnonzero(index.earliest(interval[at]) < when[at])
     if not len(hit):
         return _REMOVED.empty_table()
     new = np.flatnonzero(np.concatenate([[True], (np.diff(at[hit]) != 1)]))
@@ -271,14 +339,14 @@ def repeated(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> Dat
     """``doc, row, start, windows``: runs of windows (by first word) that also start earlier; a null id is the largest long."""
     spark = docs.sparkSession
     small_batches(spark)
-    n = docs.count()
+    size = docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
     own = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = _keyed(docs, text, id_col).select("doc", "text", "row")
     sent = rows.mapInArrow(_sender, "key long, anchor long, content long, doc long, start int, windows int, row long, again boolean")
-    met = stored(sent.repartition(max(own, n // MEET_TEXTS), "key").mapInArrow(_meet, "doc long, row long, start int, windows int, copy boolean, anchor long, hot boolean"), "sub-met")
+    met = stored(sent.repartition(max(own, size // MEET_BYTES), "key").mapInArrow(_meet, "doc long, row long, start int, windows int, copy boolean, anchor long, hot boolean"), "sub-met")
     seek = met.filter("not copy").groupBy("doc", "row").agg(F.collect_list(F.struct("start", "windows", "anchor", "hot")).alias("places"))
     hits = maybe_in(F.xxhash64("doc", "row"), met.filter("not copy").select(F.xxhash64("doc", "row").alias("h")).distinct())
-    shards = max(16, n // SHARD_TEXTS)
+    shards = max(16, size // SHARD_BYTES)
     content = rows.filter(hits).join(seek, ["doc", "row"]).dropDuplicates(["doc", "row"]).select("doc", "row", "text", "places").mapInArrow(_fetch(shards), "shard long, doc long, row long, start int, windows int, words binary")
     found = stored(content.groupBy("shard").applyInArrow(_search, "doc long, row long, start int, windows int"), "sub-found")
     return met.filter("copy").select("doc", "row", "start", "windows").union(found)

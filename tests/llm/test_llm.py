@@ -109,11 +109,23 @@ def test_substrings(spark, sf, docs, hot, monkeypatch):
 
 
 def test_fm_index():
-    t = np.random.default_rng(0).integers(1, 4, 400)
-    t = np.append(t, 0)
-    at = np.arange(380)
-    want = [min(j for j in range(i + 1) if (t[j : j + 6] == t[i : i + 6]).all()) for i in at]
-    assert substring.FMIndex(t).earliest(at, 6).tolist() == want
+    """Intervals and earliest places of an indexed text, and matching statistics of another one with unknown tokens."""
+    rng = np.random.default_rng(0)
+    t = np.append(rng.integers(1, 4, 400), 0).astype(np.int32)
+    index = substring.FMIndex(t, 6)
+    matched, interval = index.statistics(t, np.array([0]), np.array([400]))
+    assert matched[:395].tolist() == [6] * 395 and matched[395:400].tolist() == [5, 4, 3, 2, 1]
+    places = [[j for j in range(395) if (t[j : j + 6] == t[i : i + 6]).all()] for i in range(395)]
+    assert index.earliest(interval[:395]).tolist() == [p[0] if len(p) > 1 else substring._LAST for p in places]
+    other = rng.choice([1, 2, 3, 7, 9], 300, p=[0.3, 0.3, 0.3, 0.05, 0.05]).astype(np.int32)
+    start, size = np.array([0, 40, 41, 200]), np.array([40, 1, 159, 100])
+    matched, interval = index.statistics(other, start, size)
+    raw = t.tobytes()
+    inside = lambda x: any(raw.startswith(x.tobytes(), 4 * j) for j in range(400))
+    for a, n in zip(start, size):
+        for i in range(a, a + n):
+            want = max(m for m in range(0, min(6, a + n - i) + 1) if inside(other[i : i + m]))
+            assert matched[i] == want and (interval[i] >= 0) == (want == 6)
 
 
 WEIGHTED = {"window": 64, "block_tokens": 5000, "grain": 16, "weights": "by source"}
