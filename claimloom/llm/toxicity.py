@@ -9,12 +9,18 @@ with logistic loss; where the second term falls below zero, its gradient is
 ascended instead.  The class prior is the toxic share among labelled training rows.
 Every feature of enough positives stays in the fit; how easily its weight leaves zero depends on its
 evidence (see ``EVIDENCE``), so risk and weight decay decide on it, not a cut.
-The fit sees a bounded sample (``MAX_POSITIVE``, ``MAX_UNLABELLED`` whole texts, taken by
-hash); every text is then scored in one narrow pass.
+
+1. Over the whole table outside the held-out fold it is counted how many texts hold each feature, and how many positives do: those of
+   enough positives are the vocabulary, and their two rates are the evidence.  No text is shuffled but that of positives.
+2. The descent sees a sample of whole texts (``max_positive`` positives and ``max_unlabelled`` others at most, by hash), as features of the vocabulary only:
+   the driver gets ``max_positive + max_unlabelled`` lists of at most the vocabulary's size, whatever the texts' length.
+3. Every text is scored in one narrow pass.
 
 Labels, language, source and id are no inputs of a score.  Null and empty texts get the score of a text without
 words; null ids are held in no fold and never trained on; repeated labels of one
-id count once, toxic if any is; without positives the score is the prior.
+id count once, toxic if any is; without positives the score is the prior.  Repeated rows are trained on and scored each for
+itself; a tie at the sample's edge goes to the smaller id; a very long text is read whole; an empty table gives an empty result and, as training data, the prior;
+other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -24,10 +30,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from claimloom.llm.bitset import maybe_in
 from claimloom.llm.store import small_batches
 from claimloom.llm.textcore import gram_hashes, hash_spans, text_chunks, word_spans
 
-#: Texts of each kind in the fit, at most.
+#: Defaults of ``max_positive`` and ``max_unlabelled``: texts of each kind in the descent, at most.
 MAX_POSITIVE, MAX_UNLABELLED = 4000, 12000
 BUCKETS = 1 << 20
 #: A feature must occur in so many positives of the sample (in 1 of fewer than ``FEW``, one more for each further ``FEW``, up to this).
@@ -56,19 +63,31 @@ def features(texts: pa.Array):
         yield a, (keys & np.uint64(0xFFFFFFFF)).astype(np.int32), np.searchsorted(keys, np.arange(n + 1, dtype=np.uint64) << np.uint64(32))
 
 
-def fit(rows: list[tuple[bool, np.ndarray]], prior: float, seed: int = 5) -> tuple[np.ndarray, np.ndarray, float]:
-    """Feature buckets (sorted), their weights, and the intercept."""
+def vocabulary(seen: np.ndarray, n: np.ndarray, positives: int) -> np.ndarray:
+    """Of features ``seen`` in ``n`` of the positives, those of enough positives (flags)."""
+    return n >= min(MIN_POSITIVES, 1 + positives // FEW)
+
+
+def fit(rows: list[tuple[bool, np.ndarray]], prior: float, seed: int = 5, counted: tuple | None = None) -> tuple[np.ndarray, np.ndarray, float]:
+    """Feature buckets (sorted), their weights, and the intercept.
+
+    ``counted``: the vocabulary, how many positives and unlabelled texts hold each feature of it, and the numbers of both, where they are known; else the rows are counted.
+    """
     pos = [x for y, x in rows if y]
     base = float(np.log(max(prior, 1e-6) / max(1 - prior, 1e-6)))
     if not pos:
         return np.zeros(0, np.int32), np.zeros(0), base
-    seen, n = np.unique(np.concatenate(pos), return_counts=True)
-    other = [x for y, x in rows if not y]
-    back = np.bincount(np.concatenate([*other, np.zeros(0, np.int32)]), minlength=BUCKETS)[seen] / max(1, len(other))
-    rate = (n + back * len(pos)) / (2 * len(pos))
-    lift = (n / len(pos) - back) / np.sqrt(rate * (1 - rate) * (1 / len(pos) + 1 / max(1, len(other))) + 1e-12)
-    some = n >= min(MIN_POSITIVES, 1 + len(pos) // FEW)
-    vocab, scale = seen[some], np.append(lift[some] ** 2 / (lift[some] ** 2 + EVIDENCE), 1.0)
+    if counted is None:
+        seen, n = np.unique(np.concatenate(pos), return_counts=True)
+        other = [x for y, x in rows if not y]
+        some = vocabulary(seen, n, len(pos))
+        held = np.bincount(np.concatenate([*other, np.zeros(0, np.int32)]), minlength=BUCKETS)[seen[some]]
+        counted = seen[some], n[some], held, len(pos), len(other)
+    vocab, n, held, n_pos, n_other = counted
+    back = held / max(1, n_other)
+    rate = (n + back * n_pos) / (2 * n_pos)
+    lift = (n / n_pos - back) / np.sqrt(rate * (1 - rate) * (1 / n_pos + 1 / max(1, n_other)) + 1e-12)
+    scale = np.append(lift**2 / (lift**2 + EVIDENCE), 1.0)
 
     def known(x):
         i = np.searchsorted(vocab, x)
@@ -113,10 +132,38 @@ def fit(rows: list[tuple[bool, np.ndarray]], prior: float, seed: int = 5) -> tup
     return vocab, (w * scale)[:-1], float(w[-1])
 
 
-def _featurise(batches):
+def _featurise(vocab):
+    """Features of the vocabulary in each text."""
+
+    def run(batches):
+        known = np.zeros(BUCKETS, bool)
+        known[vocab.value] = True
+        for batch in batches:
+            for a, f, bound in features(batch.column(1)):
+                use = known[f]
+                bound = np.concatenate([[0], np.cumsum(use)])[bound]
+                yield pa.record_batch([batch.column(0).slice(a, len(bound) - 1), pa.ListArray.from_arrays(pa.array(bound.astype(np.int32)), pa.array(f[use]))], names=["positive", "f"])
+
+    return run
+
+
+def _counter(batches):
+    """How many texts of a partition hold each bucket; as bucket -1 the number of texts."""
+    total, n = np.zeros(BUCKETS, np.int64), 0
     for batch in batches:
-        for a, f, bound in features(batch.column(1)):
-            yield pa.record_batch([batch.column(0).slice(a, len(bound) - 1), pa.ListArray.from_arrays(pa.array(bound.astype(np.int32)), pa.array(f))], names=["positive", "f"])
+        for _, f, bound in features(batch.column(0)):
+            np.add.at(total, f, 1)
+            n += len(bound) - 1
+    at = np.flatnonzero(total)
+    yield pa.record_batch([pa.array(np.append(at, -1)), pa.array(np.append(total[at], n))], names=["bucket", "n"])
+
+
+def _counts(texts: DataFrame) -> tuple[np.ndarray, int]:
+    """How many texts hold each bucket, and how many there are; at most ``BUCKETS + 1`` rows reach the driver."""
+    rows = texts.mapInArrow(_counter, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    got, out = rows.toArrow(), np.zeros(BUCKETS + 1, np.int64)
+    out[got.column("bucket").to_numpy()] = got.column("n").to_numpy()
+    return out[:BUCKETS], int(out[-1])
 
 
 def _scorer(model):
@@ -137,23 +184,29 @@ def held_out(id_col) -> F.Column:
     return F.coalesce(F.crc32(id_col.cast("string")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "doc_id"):
+def train(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "doc_id", max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED):
     """The model (broadcast) from rows outside the held-out fold."""
     spark = docs.sparkSession
     small_batches(spark)
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").alias("id")).agg(F.max("toxic").alias("toxic"))
-    prior = known.agg(F.avg("toxic")).first()[0] or 0.0
+    prior = float(known.agg(F.avg("toxic")).first()[0] or 0.0)
     order = F.xxhash64(F.col("id"), F.lit(11))
-    pos = known.filter("toxic = 1").select("id", order.alias("o")).orderBy("o", "id").limit(MAX_POSITIVE).select("id", F.lit(True).alias("positive"))
-    ids = docs.select(F.col(id_col).cast("long").alias("id")).filter(F.col("id").isNotNull() & ~held_out(F.col("id"))).join(known.filter("toxic = 1").select("id"), "id", "left_anti")
-    unl = ids.select("id", order.alias("o")).orderBy("o", "id").limit(MAX_UNLABELLED).select("id", F.lit(False).alias("positive"))
-    sample = F.broadcast(pos.union(unl).distinct())  # MAX_POSITIVE + MAX_UNLABELLED rows at most
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text")).join(sample, "id").select("positive", "text")
-    got = rows.mapInArrow(_featurise, "positive boolean, f array<int>").toArrow()
+    toxic = known.filter("toxic = 1").select("id")
+    pos = toxic.select("id", order.alias("o")).orderBy("o", "id").limit(max_positive).select("id", F.lit(True).alias("positive"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text")).filter(F.col("id").isNotNull() & ~held_out(F.col("id")))
+    # a bit set tells most other rows from positives, so that only positives meet the labels
+    near = maybe_in(F.xxhash64("id"), toxic.select(F.xxhash64("id").alias("h")))
+    n, n_pos = _counts(rows.filter(near).join(toxic, "id").select("text"))
+    every, n_every = _counts(rows.select("text"))
+    seen = np.flatnonzero(n).astype(np.int32)
+    vocab = seen[vocabulary(seen, n[seen], n_pos)]
+    unl = rows.select("id").join(toxic, "id", "left_anti").select("id", order.alias("o")).orderBy("o", "id").limit(max_unlabelled).select("id", F.lit(False).alias("positive"))
+    sample = F.broadcast(pos.union(unl).distinct())  # max_positive + max_unlabelled rows at most
+    got = rows.join(sample, "id").select("positive", "text").mapInArrow(_featurise(spark.sparkContext.broadcast(vocab)), "positive boolean, f array<int>").toArrow()
     flags = got.column("positive").to_pylist()
     lists = got.column("f").combine_chunks()
     bound, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
-    return spark.sparkContext.broadcast(fit([(y, flat[bound[i] : bound[i + 1]]) for i, y in enumerate(flags)], float(prior)))
+    return spark.sparkContext.broadcast(fit([(y, flat[bound[i] : bound[i + 1]]) for i, y in enumerate(flags)], prior, counted=(vocab, n[vocab], (every - n)[vocab], n_pos, n_every - n_pos)))
 
 
 def scored(docs: DataFrame, model, text: str = "text", id_col: str = "doc_id") -> DataFrame:
