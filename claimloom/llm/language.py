@@ -9,12 +9,14 @@ a language.  For web pages three more kinds of evidence are multiplied in:
   which are smoothed towards those of all pages.
 
 Counts are sums of the text model's posteriors (grouped aggregations), and a page's own share is
-taken out of its host's.  The text's weight is bounded (``MAX_GRAMS``), as trigrams of one
-text depend on each other.
+taken out of its host's.  Trigrams of one text depend on each other, so the weight of a longer text grows with the root of
+their number (``ROOT_GRAMS``).  The model knows the languages that at least ``LANG_SHARE`` of the documents state (there are fewer than
+1 / LANG_SHARE of them); documents of rarer ones are judged like others.
 
 Null and empty texts have no text evidence and are rejected; null ids are ordinary ids; repeated
-rows count each and share their decision, rows of one id with other texts are judged apart; an
-empty table gives an empty result; other columns are untouched.
+rows count each and share their decision, rows of one id with other texts are judged apart; of languages with equal scores the first by name is taken; a very long text
+is read whole, at a cost in proportion to its length (tags that are never closed too); an
+empty table gives an empty result; other columns, whatever their names, are untouched.
 """
 
 from __future__ import annotations
@@ -28,12 +30,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimloom.llm.store import small_batches, stored
+from claimloom.llm.store import fresh, small_batches, stored
 from claimloom.llm.textcore import text_chunks
 
 BUCKETS = 1 << 12
-#: A text counts as so many independent trigrams at most.
-MAX_GRAMS = 40.0
+#: A text of n trigrams counts as so many independent ones times the root of n, at most n.
+ROOT_GRAMS = 6.3
+#: Share of the documents with a stated language that a language of the model has at least.
+LANG_SHARE = 1e-3
 #: Weight of the parent in a prior, in pages.
 SMOOTHING = 5.0
 #: Texts whose trigrams are, on average, so much less likely than uniform ones are no language.
@@ -98,17 +102,40 @@ def text_model(docs: DataFrame, text: str = "text", lang: str = "lang"):
     """The model (broadcast: languages x ``BUCKETS`` numbers) from all documents with a stated language."""
     small_batches(docs.sparkSession)
     rows = docs.filter(F.col(lang).isNotNull()).select(F.lower(F.col(lang)).alias("lang"), F.col(text).alias("text"))
+    stated = rows.groupBy("lang").count()
+    least = LANG_SHARE * (stated.agg(F.sum("count")).first()[0] or 0)
+    rows = rows.filter(F.col("lang").isin(*[r["lang"] for r in stated.filter(F.col("count") >= least).collect()]))
     got = rows.mapInArrow(_counter, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).collect()
     return docs.sparkSession.sparkContext.broadcast(TextModel(got))
 
 
-_DROP = re.compile(r"(?is)<!--.*?-->|<(script|style|noscript|template)\b.*?</\1\s*>|<title\b.*?</title\s*>|<nav\b.*?</nav\s*>")
-_TAG = re.compile(r"(?s)<[^>]*>")
-_LANG = re.compile(r"""(?is)<html\b[^>]*?\blang\s*=\s*["']?([A-Za-z]{2,3})""")
+#: Elements whose content is no text of the page (fixed values), and where a comment or one of them begins and ends.
+HIDDEN = ("script", "style", "noscript", "template", "title", "nav")
+_OPEN = re.compile(rf"(?i)<!--|<({'|'.join(HIDDEN)})\b")
+_CLOSE = {"": re.compile("-->")} | {k: re.compile(rf"(?i)</{k}\s*>") for k in HIDDEN}
+_TAG = re.compile(r"<[^<>]*>")
+_HTML = re.compile(r"(?i)<html\b[^>]*")
+_LANG = re.compile(r"""(?i)\blang\s*=\s*["']?([A-Za-z]{2,3})""")
 
 
 def page_text(source: str) -> str:
-    return html.unescape(_TAG.sub(" ", _DROP.sub(" ", source)))
+    """The text of a page, in time linear in its length: an element that is never closed is looked for once."""
+    parts, done, at, unclosed = [], 0, 0, set()
+    while m := _OPEN.search(source, at):
+        kind, at = (m[1] or "").lower(), m.end()
+        end = None if kind in unclosed else _CLOSE[kind].search(source, at)
+        if end is None:
+            unclosed.add(kind)
+        else:
+            parts.append(source[done : m.start()])
+            done = at = end.end()
+    return html.unescape(_TAG.sub(" ", " ".join([*parts, source[done:]])))
+
+
+def declared_language(source: str) -> str | None:
+    tag = _HTML.search(source)
+    said = tag and _LANG.search(tag[0])
+    return said[1].lower() if said else None
 
 
 def address_parts(url: str | None) -> tuple[str, str, str, str | None]:
@@ -135,7 +162,7 @@ def _evidence(model, pages: bool):
                 declared = batch.column(3).slice(lo, 256).to_pylist() if not pages else []
                 if pages:
                     raw = [x or "" for x in part.to_pylist()]
-                    declared = [x[1].lower() if (x := _LANG.search(s)) else None for s in raw]
+                    declared = [declared_language(s) for s in raw]
                     part = pa.array([page_text(s) for s in raw], pa.string())
                     where = [address_parts(u) for u in where]
                 else:
@@ -143,7 +170,7 @@ def _evidence(model, pages: bool):
                     declared = [x.lower() if x else None for x in declared]
                 for a, b, data, off in text_chunks(part):
                     avg, n = m.score(data, off)
-                    ll = avg * np.minimum(n, MAX_GRAMS)[:, None]
+                    ll = avg * np.minimum(n, ROOT_GRAMS * np.sqrt(n))[:, None]
                     p = np.exp(ll - ll.max(axis=1, keepdims=True))
                     p /= p.sum(axis=1, keepdims=True)
                     p[n == 0] = 0
@@ -227,8 +254,10 @@ def kept_documents(docs: DataFrame, text: str = "text", source: str = "source",
     row = F.struct(F.col(id_col).alias("id"), F.xxhash64(text, source, lang).alias("of"), said.alias("said"))
     rows = docs.select(row.alias("row"), F.col(text).alias("text"), F.col(source).alias("source"), F.col(lang).alias("lang"))
     judged = identified_documents(rows, text_model(docs, text, lang), id_col="row")
-    gone = judged.filter(f"not ({KEPT} or {KEPT_SHORT})").select(F.col("id.id").alias("_gone_id"), F.col("id.of").alias("_gone_of")).distinct()
-    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("_gone_id")) & (F.xxhash64(text, source, lang) == F.col("_gone_of")), "left_anti")
+    gone = judged.filter(f"not ({KEPT} or {KEPT_SHORT})")
+    who, of = fresh(docs, "_id", "_of")
+    gone = gone.select(F.col("id.id").alias(who), F.col("id.of").alias(of)).distinct()
+    return docs.join(gone, F.col(id_col).eqNullSafe(F.col(who)) & (F.xxhash64(text, source, lang) == F.col(of)), "left_anti")
 
 
 def op3_language(spark, sf_dir: str) -> DataFrame:
