@@ -1,14 +1,14 @@
 """Secret scan: patterns, then structural confirmation of what they find.
 
 Base spans come from three patterns.  The method then decodes base64 and hex
-candidates of every text and parses them: ASN.1 key encodings (tag, length and
-all nested lengths must add up), SSH wire strings (length-prefixed fields to
-the last byte), PEM bodies, and signed tokens (a base64url JSON header that names an
-algorithm).  Only what parses is reported as ``token`` or ``key``; base spans stay.
-
-Whole texts are scanned.  A numpy pass over the bytes tells which texts can hold a candidate
-at all; the patterns run on those.  Null texts count as empty; null ids, repeated rows and
-other columns pass; an empty table gives an empty result.
+candidates of every text and parses them: ASN.1 (strict lengths down to the last byte) in the shapes of
+PKCS#1, PKCS#8 (plain or encrypted), SEC1, DSA and SPKI keys, the fields of SSH wire strings and of OpenSSH private keys, PEM
+bodies, and signed tokens (a base64url JSON header that names an
+algorithm).  Only what parses is reported as ``token`` or ``key``; signatures and certificates have other shapes.  Base spans stay.
+
+Whole texts are scanned, very long ones too (in one task, at a cost in proportion to their length).  A numpy pass over the bytes tells which texts can hold a candidate
+at all; the patterns run on those.  Null texts count as empty; null ids, ids of any type and repeated rows pass, each row
+for itself; spans that start together are in the order of kinds; an empty table gives an empty result; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ MIN_ASSIGN, MIN_ACCESS, MIN_HEX, MIN_BASE64 = 8, 16, 32, 24
 _ANY_HEX = re.compile(r"[0-9A-Fa-f]{32,}")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{24,}={0,2}")
 _TOKEN = re.compile(r"eyJ[A-Za-z0-9_-]*={0,2}\.[A-Za-z0-9_-]+={0,2}(?:\.[A-Za-z0-9_-]*={0,2})?")
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*?(?:KEY|CERTIFICATE))-----([A-Za-z0-9+/=\s\\n]+?)-----END \1-----")
+_PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*KEY)-----([A-Za-z0-9+/=\s\\n]+?)-----END \1-----")
 _WORDS = (b"password", b"passwd", b"secret", b"token", b"api_key", b"apikey")
 
 
@@ -50,61 +50,107 @@ _IS_HEX = _table(_DIGITS + "abcdefABCDEF")
 _IS_BASE64 = _table(_DIGITS + _LETTERS + _LETTERS.upper() + "+/_-")
 
 
-def der_key(data: bytes) -> bool:
-    """An ASN.1 SEQUENCE that fills ``data``, whose nested lengths add up, with an INTEGER, OBJECT IDENTIFIER, BIT or OCTET STRING inside."""
+#: Tags of ASN.1 (fixed values).
+INTEGER, BIT_STRING, OCTET_STRING, OID, SEQUENCE, SET = 0x02, 0x03, 0x04, 0x06, 0x30, 0x31
+#: Encoded starts of the identifiers of password-based encryption (PKCS#5 and PKCS#12).
+ENCRYPTION = (bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c01"))
+
 
-    def length(at: int, end: int) -> tuple[int, int]:
-        if at >= end:
+def der_items(data: bytes, at: int, end: int) -> list[tuple[int, int, int]]:
+    """``tag, first, end`` of the items that fill ``data[at:end]`` in strict encoding; ValueError if they do not."""
+    out = []
+    while at < end:
+        if at + 2 > end:
             raise ValueError
-        n = data[at]
-        if n < 0x80:
-            return n, at + 1
-        k = n & 0x7F
-        if not 1 <= k <= 4 or at + 1 + k > end or data[at + 1] == 0:
+        tag, n, body = data[at], data[at + 1], at + 2
+        if n >= 0x80:
+            k = n & 0x7F
+            n = int.from_bytes(data[body : body + k], "big")
+            if not 1 <= k <= 4 or body + k > end or data[body] == 0 or n < 0x80:
+                raise ValueError
+            body += k
+        if body + n > end or (tag in (INTEGER, BIT_STRING, OID) and n == 0):
             raise ValueError
-        return int.from_bytes(data[at + 1 : at + 1 + k], "big"), at + 1 + k
+        out.append((tag, body, body + n))
+        at = body + n
+    return out
+
+
+def _nested(data: bytes) -> list[tuple[int, int, int]]:
+    """The items of the one SEQUENCE that ``data`` is, after all nested lengths have been checked."""
+    top = der_items(data, 0, len(data))
+    if len(top) != 1 or top[0][0] != SEQUENCE:
+        raise ValueError
+    todo = [top[0]]
+    while todo:
+        tag, a, b = todo.pop()
+        todo += [x for x in der_items(data, a, b) if x[0] in (SEQUENCE, SET) or x[0] & 0xE0 == 0xA0]
+    return der_items(data, *top[0][1:])
 
-    seen = set()
-    todo = [(0, len(data))]
+
+def der_key(data: bytes) -> bool:
+    """One ASN.1 SEQUENCE that fills ``data``, with all nested lengths right, in the shape of a key."""
+    if len(data) < 16 or data[0] != SEQUENCE:
+        return False
     try:
-        while todo:
-            at, end = todo.pop()
-            while at < end:
-                tag = data[at]
-                n, body = length(at + 1, end)
-                if body + n > end or (tag == 2 and n == 0):
-                    raise ValueError
-                seen.add(tag)
-                if tag in (0x30, 0x31) or tag & 0xE0 == 0xA0:
-                    todo.append((body, body + n))
-                at = body + n
+        items = _nested(data)
+        tags = [t for t, _, _ in items]
+        size = [b - a for _, a, b in items]
+        small = lambda i: int.from_bytes(data[items[i][1] : items[i][2]], "big") if size[i] == 1 else -1
+        algorithm = lambda i: (inner := der_items(data, *items[i][1:])) and inner[0][0] == OID and data[inner[0][1] : inner[0][2]]
+        if tags and all(t == INTEGER for t in tags):
+            if len(tags) >= 9:  # PKCS#1 private: version, modulus, exponents, primes
+                return small(0) in (0, 1) and size[1] >= 32
+            if len(tags) == 6:  # DSA private
+                return small(0) == 0 and size[1] >= 32
+            # PKCS#1 public: a long modulus and a short odd exponent (a signature has two numbers of like size)
+            return len(tags) == 2 and size[0] >= 64 and size[1] <= 8 and data[items[1][2] - 1] % 2 == 1
+        if tags[:3] == [INTEGER, SEQUENCE, OCTET_STRING]:  # PKCS#8
+            return small(0) in (0, 1) and bool(algorithm(1)) and all(t & 0xE0 in (0xA0, 0x80) for t in tags[3:])
+        if tags[:2] == [INTEGER, OCTET_STRING]:  # SEC1
+            return small(0) == 1 and size[1] >= 16 and all(t in (0xA0, 0xA1) for t in tags[2:])
+        if tags == [SEQUENCE, BIT_STRING]:  # SPKI
+            return bool(algorithm(0)) and data[items[1][1]] == 0 and size[1] >= 17
+        if tags == [SEQUENCE, OCTET_STRING]:  # PKCS#8, encrypted
+            return (algorithm(0) or b"").startswith(ENCRYPTION) and size[1] >= 16
     except (ValueError, IndexError):
-        return False
-    if len(data) < 16 or data[0] != 0x30:
-        return False
-    return bool(seen & {2, 6}) and bool(seen & {2, 3, 4}) and 2 + len(data) > 16 and _one_sequence(data)
+        pass
+    return False
 
 
-def _one_sequence(data: bytes) -> bool:
-    n = data[1]
-    if n < 0x80:
-        return 2 + n == len(data)
-    k = n & 0x7F
-    return 2 + k + int.from_bytes(data[2 : 2 + k], "big") == len(data)
+_KEY_TYPE = re.compile(rb"(ssh-|ecdsa-|sk-)[a-z0-9@.-]+$")
 
 
-def ssh_key(data: bytes) -> bool:
-    """SSH wire format: length-prefixed fields up to the last byte, the first one a key type; or an OpenSSH private key."""
-    if data.startswith(b"openssh-key-v1\0"):
-        return True
-    at, fields = 0, []
-    while at + 4 <= len(data):
+def _wire(data: bytes, at: int = 0, most: int = -1) -> tuple[list[bytes], int]:
+    """Length-prefixed fields from ``at`` on (``most`` of them, or up to the last byte), and where they end; ValueError if they do not fit."""
+    fields = []
+    while len(fields) != most and (most >= 0 or at < len(data)):
         n = int.from_bytes(data[at : at + 4], "big")
-        if at + 4 + n > len(data):
-            return False
+        if at + 4 + n > len(data) or at + 4 > len(data):
+            raise ValueError
         fields.append(data[at + 4 : at + 4 + n])
         at += 4 + n
-    return at == len(data) and len(fields) >= 2 and re.match(rb"(ssh-|ecdsa-|sk-)[a-z0-9@.-]+$", fields[0]) is not None
+    return fields, at
+
+
+def ssh_key(data: bytes) -> bool:
+    """SSH wire format up to the last byte, the first field a key type; or an OpenSSH private key with all its fields."""
+    magic = b"openssh-key-v1\0"
+    try:
+        if not data.startswith(magic):
+            fields = _wire(data)[0]
+            return len(fields) >= 2 and _KEY_TYPE.match(fields[0]) is not None and all(fields[1:2])
+        (cipher, kdf, _), at = _wire(data, len(magic), 3)
+        keys = int.from_bytes(data[at : at + 4], "big")
+        if not cipher or not kdf or not 1 <= keys <= 64:
+            return False
+        parts, at = _wire(data, at + 4, keys + 1)
+        secret = parts.pop()
+        if at != len(data) or not all(ssh_key(p) for p in parts) or len(secret) < 16:
+            return False
+        return cipher != b"none" or secret[:4] == secret[4:8]
+    except ValueError:
+        return False
 
 
 def _from_base64(s: str) -> bytes:
