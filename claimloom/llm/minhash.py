@@ -24,7 +24,8 @@ an id are linked as others are.  A class is named by its smallest id (null if it
 smallest id, null last, and then of the smallest hash of the text stays.
 
 Null and empty texts have an empty set and are linked with nothing; rows that agree in id
-and text stay or go together; an empty table gives an empty result.
+and text stay or go together; ids are integers; a very long text is read whole (a set of one 64-bit hash for each distinct shingle); ties do not arise, as links are symmetric;
+other columns, whatever their names, are untouched; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimloom.llm.bitset import maybe_in
-from claimloom.llm.store import small_batches, stored
+from claimloom.llm.store import discard, fresh, small_batches, stored
 from claimloom.llm.textcore import gram_hashes, hash_spans, mix64, text_chunks, word_spans
 
 BANDS, ROWS = 32, 6
@@ -140,10 +141,13 @@ def components(edges: DataFrame) -> DataFrame:
         near = both.join(label.select(F.col("id").alias("b"), F.col("comp").alias("c")), "b").groupBy(F.col("a").alias("id")).agg(F.min("c").alias("c"))
         step = label.join(near, "id").select("id", F.least("comp", "c").alias("comp"), F.col("comp").alias("old"))
         jump = label.select(F.col("id").alias("comp"), F.col("comp").alias("up"))
-        step = stored(step.join(jump, "comp", "left").select("id", F.least(F.col("comp"), F.coalesce(F.col("up"), F.col("comp"))).alias("comp"), "old"), "cc-label")
+        old, step = label, stored(step.join(jump, "comp", "left").select("id", F.least(F.col("comp"), F.coalesce(F.col("up"), F.col("comp"))).alias("comp"), "old"), "cc-label")
         moved = step.filter("comp <> old").count()
+        discard(old)
         label = step.select("id", "comp")
+        label._stored_path = step._stored_path
         if not moved:
+            discard(both)
             return label
 
 
@@ -223,8 +227,10 @@ def judged(docs: DataFrame, text: str = "text", id_col: str = "doc_id", k: int =
         if n := found.count():
             links += n
             ca, cb = comp.select(F.col("id").alias("a"), F.col("comp").alias("ca")), comp.select(F.col("id").alias("b"), F.col("comp").alias("cb"))
-            merged = components(found.join(ca, "a").join(cb, "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")).filter("a <> b")).select(F.col("id").alias("comp"), F.col("comp").alias("new"))
-            comp = stored(comp.join(merged, "comp", "left").select("id", F.coalesce("new", "comp").alias("comp")), "near-components")
+            label = components(found.join(ca, "a").join(cb, "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")).filter("a <> b"))
+            merged = label.select(F.col("id").alias("comp"), F.col("comp").alias("new"))
+            last, comp = comp, stored(comp.join(merged, "comp", "left").select("id", F.coalesce("new", "comp").alias("comp")), "near-components")
+            discard(label, last)
         # a leader of a later turn has met all members of its bucket; buckets of one component are done
         if turn == LEADER_ROUNDS:
             break
@@ -232,7 +238,8 @@ def judged(docs: DataFrame, text: str = "text", id_col: str = "doc_id", k: int =
         if turn:
             rest = rest.join(lead.select("key", F.col("a").alias("id")), ["key", "id"], "left_anti")
         live = rest.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
-        open_ = stored(rest.join(live, "key", "left_semi").select("key", "id", "score", "comp"), "near-open")
+        last, open_ = open_, stored(rest.join(live, "key", "left_semi").select("key", "id", "score", "comp"), "near-open")
+        discard(last, lead)
         if open_.isEmpty():
             break
     named = stored(reps.join(comp.select(F.col("id").alias("node"), "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node")), "near-named")
@@ -250,10 +257,25 @@ def classes(docs: DataFrame, text: str = "text", id_col: str = "doc_id", **optio
 
 def deduplicated(docs: DataFrame, text: str = "text", id_col: str = "doc_id", **options) -> DataFrame:
     """The rows of ``docs`` that stay: one document of each class."""
-    gone = judged(docs, text, id_col, **options).filter("not kept").select(F.col("id").alias("_gone"), F.col("of").alias("_of")).distinct()
-    return docs.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("_gone")) & (_text_hash(text) == F.col("_of")), "left_anti")
+    who, of = fresh(docs, "_id", "_of")
+    gone = judged(docs, text, id_col, **options).filter("not kept").select(F.col("id").alias(who), F.col("of").alias(of)).distinct()
+    return docs.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col(who)) & (_text_hash(text) == F.col(of)), "left_anti")
 
 
 def op9_minhash(spark, sf_dir: str) -> DataFrame:
     out = judged(spark.read.parquet(f"{sf_dir}/documents.parquet"), k=3, percent=85)
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id", "kept")
+
+
+OP9_SQL = """
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, unnest(CASE WHEN len(w) >= 3 THEN list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))
+                                 WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both_have FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * both_have >= 85 * (x.n + y.n - both_have)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r AS (SELECT doc_id, doc_id AS c FROM documents UNION SELECT r.doc_id, e.b FROM r JOIN e ON r.c = e.a),
+m AS (SELECT doc_id, min(c) AS component_id FROM r GROUP BY doc_id)
+SELECT doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, component_id = doc_id AS kept FROM m LEFT JOIN n USING (doc_id)
+"""

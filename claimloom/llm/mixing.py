@@ -3,11 +3,13 @@
 Each source is a queue of its documents in a shuffled order, read up to
 ``max_repeats`` times.  A document's virtual finish time is the number of its
 source's words up to and with it, divided by the source's target; the mix is the
-documents in order of finish time (a range sort), cut off where the total reaches the budget,
-which is the sum of all sizes.
+documents in order of finish time, cut off where the total reaches the budget,
+which is the sum of all sizes.  :func:`mixed` range-sorts the mix by finish time.  :func:`planned` (and the query, whose rows have no order) finds
+the same cut without sorting all entries: sums by slots of finish time, then an exact running total in the slot where the budget ends.
 
 Null texts have size 0 and are never taken; a null source is one source, the last;
-repeated rows are separate documents; an empty table gives an empty mix.
+repeated rows are separate documents; ties in finish time are ordered by source, reading, shuffled key and id; a very long text is one document and only its word count moves (and its row, in :func:`mixed`); null ids and ids of any type pass;
+the caller's columns, whatever their names, come back untouched; an empty table gives an empty mix.
 """
 
 from __future__ import annotations
@@ -82,7 +84,7 @@ def _cut(entries: DataFrame, budget: int, n: int):
 
 
 def planned(docs: DataFrame, text: str = "text", source: str = "source", id_col: str = "doc_id", carry: bool = True, weights=WEIGHTS, max_repeats: int = MAX_REPEATS, seed: str = SEED) -> DataFrame:
-    """``docs`` (all columns, or only the id) with ``_size, _source_size, _target, _passes`` (how often the mix takes the row), ``_upto``."""
+    """Per row ``_id, _size, _source_size, _target, _passes`` (how often the mix takes the row), ``_upto``, and with ``carry`` the row itself as ``_row``."""
     added = {"_size": n_words(F.col(text)), "_u": uniform_key(F.col(id_col), F.lit(seed)), "_source": F.col(source), "_id": F.col(id_col)}
     small = stored(docs.select(*[c.alias(k) for k, c in added.items()]), "mix-rows")
     n = small.count()
@@ -90,7 +92,7 @@ def planned(docs: DataFrame, text: str = "text", source: str = "source", id_col:
     budget = sources.agg(F.sum("source_size")).first()[0] or 0
     queued = stored(_queued(small, sources, n), "mix-queues")
     cut = _cut(_entries(queued, max_repeats), budget, n)
-    rows = _queued(docs.withColumns(added), sources, n) if carry else queued
+    rows = _queued(docs.select(F.struct("*").alias("_row"), *[c.alias(k) for k, c in added.items()]), sources, n) if carry else queued
     if cut is None:
         return rows.withColumn("_passes", F.lit(0))
     done = lambda k: F.col("_upto") + k * F.col("_source_size")
@@ -104,7 +106,7 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     rows = planned(docs, **options).filter("_passes > 0")
     rows = rows.withColumn("_pass", F.explode(F.sequence(F.lit(0), F.col("_passes") - 1)))
     rows = rows.withColumn("_finish", (F.col("_upto") + F.col("_pass") * F.col("_source_size")) / F.col("_target"))
-    return rows.orderBy(*_ORDER).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return rows.orderBy(*_ORDER).select("_row.*")
 
 
 def op10_mixing(spark, sf_dir: str) -> DataFrame:

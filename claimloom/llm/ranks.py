@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 KEY_BITS = 60
 #: Rows that a bucket of the largest group has, about.
-BUCKET_ROWS = 2000
+BUCKET_ROWS = 500
 
 
 def uniform_key(*parts: Column) -> Column:

@@ -13,7 +13,8 @@ above their quota for the shards below it: row counts differ by one at most.
 Rows of large groups meet their places by broadcast and are told apart by bucketed running
 totals, so a group of any size spreads over tasks.
 
-Null texts count as empty; null ids are allowed; repeated rows are separate rows of one group;
+Null texts count as empty; null ids and ids of any type are allowed; repeated rows are separate rows of one group;
+ties are broken by hashes of group and id, so reruns agree; a very long text is read once and never moved; other columns, whatever their names, are not read;
 an empty table gives an empty result.
 """
 
