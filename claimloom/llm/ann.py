@@ -3,8 +3,8 @@
 Trees are fitted on a bounded sample (``SAMPLE`` vectors); every vector is put
 into one leaf of each tree.  A query's walk keeps one priority queue for all
 trees, ordered by the sum of the margins of the splits that were crossed on the way, and visits
-leaves until they hold ``VISITS`` times as many vectors as there are (a vector counts once for each
-tree that it is met in).  The vectors of visited leaves are ranked exactly, in double precision, leaf by leaf.
+leaves until they hold ``VISITS / sqrt(depth)`` times as many vectors as there are (a vector counts once for each
+tree that it is met in; deeper trees order their leaves better).  The vectors of visited leaves are ranked exactly, in double precision, leaf by leaf.
 The rule is the same at every size.
 
 Equal vectors are one point with its ``top + 1`` smallest ids: no more of them can be
@@ -33,9 +33,11 @@ TREES = 8
 SAMPLE = 16_384
 #: Vectors that a leaf has, about, and sample vectors that it has at least.
 LEAF, SAMPLE_LEAF = 32, 8
-#: Vectors that a query meets in leaves, by the number of all vectors (see the README for the recall at this value).
-VISITS = 1.5
+#: Vectors that a query meets in leaves, by the number of all vectors, times the root of the trees' depth (see the README for the recall at this value).
+VISITS = 2.8
 TOP = 20
+#: Candidates that a bin gathers before it drops all but each query's best.
+GATHERED = 200_000
 BINS, BIN_ROWS = 48, 50_000
 
 
@@ -93,8 +95,10 @@ def _matrix(column) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1) if len(column) else np.zeros((0, 1), np.float32)
 
 
-def _bin(cells: np.ndarray, bins: int) -> np.ndarray:
-    return (mix64(cells.astype(np.uint64)) % np.uint64(bins)).astype(np.int64)
+def _bin(cells: np.ndarray, bins: int, depth: int) -> np.ndarray:
+    """A bin holds cells of one tree only, so no vector twice; ``bins`` is a multiple of ``TREES``."""
+    each = np.uint64(bins // TREES)
+    return (cells >> depth) * (bins // TREES) + (mix64(cells.astype(np.uint64)) % each).astype(np.int64)
 
 
 def _assign(forest, bins: int):
@@ -106,7 +110,7 @@ def _assign(forest, bins: int):
                 continue
             cells = (f.leaves(v) + (np.arange(f.trees) << f.depth)).ravel()
             at = pa.array(np.repeat(np.arange(len(v)), f.trees))
-            yield pa.record_batch([pa.array(_bin(cells, bins)), pa.array(cells), b.column(0).take(at), b.column(1).take(at)], names=["bin", "cell", "pid", "v"])
+            yield pa.record_batch([pa.array(_bin(cells, bins, f.depth)), pa.array(cells), b.column(0).take(at), b.column(1).take(at)], names=["bin", "cell", "pid", "v"])
 
     return run
 
@@ -121,7 +125,7 @@ def _walk(forest, sizes, budget, bins: int):
                 continue
             cells = [np.array(forest.value.walk(x, sizes.value, budget), np.int64) for x in v]
             owner, flat = np.repeat(np.arange(len(v)), [len(c) for c in cells]), np.concatenate(cells)
-            where = _bin(flat, bins)
+            where = _bin(flat, bins, forest.value.depth)
             order = np.lexsort((where, owner))
             owner, flat, where = owner[order], flat[order], where[order]
             new = np.flatnonzero(np.append(True, (np.diff(owner) != 0) | (np.diff(where) != 0))[: len(flat)])
@@ -142,27 +146,33 @@ def _rank(top: int):
         asks, qc = np.repeat(np.arange(len(q)), np.diff(cells.offsets.to_numpy())), cells.flatten().to_numpy()
         order, ask = np.lexsort((pid, pc)), np.argsort(qc, kind="stable")
         p, pid, pc, asks, qc = p[order], pid[order], pc[order], asks[ask], qc[ask]
-        out = []
+        floor, held, n = np.full(len(q), -np.inf), [], 0
+
+        def best() -> tuple:
+            """Each query's best so far; what is below them need not be gathered."""
+            who, what, score = (np.concatenate(x) for x in zip(*held))
+            o = np.lexsort((what, -score, who))
+            who, what, score = who[o], what[o], score[o]
+            nth = np.arange(len(who)) - np.searchsorted(who, who)
+            floor[who[nth == top]] = score[nth == top]
+            return who[nth <= top], what[nth <= top], score[nth <= top]
+
         for c in np.unique(qc):
             lo, hi = np.searchsorted(pc, [c, c + 1])
             a, b = np.searchsorted(qc, [c, c + 1])
             for i in range(a, b if hi > lo else a, 256):
-                j = min(i + 256, b)
-                s = q[asks[i:j]] @ p[lo:hi].T
-                best = np.argsort(-s, axis=1, kind="stable")[:, : top + 1]
-                out.append((np.repeat(qid[asks[i:j]], best.shape[1]), pid[lo:hi][best].ravel(), np.take_along_axis(s, best, 1).ravel()))
-        if not out:
+                ask = asks[i : min(i + 256, b)]
+                s = q[ask] @ p[lo:hi].T
+                x, y = np.nonzero(s >= floor[ask][:, None])
+                held.append((ask[x], pid[lo + y], s[x, y]))
+                n += len(x)
+            if n > GATHERED:
+                held = [best()]
+                n = 0
+        if not held:
             return schema.empty_table()
-        who, what, score = (np.concatenate(x) for x in zip(*out))
-        # a point may come from several trees
-        o = np.lexsort((-score, what, who))
-        who, what, score = who[o], what[o], score[o]
-        new = np.flatnonzero(np.concatenate([[True], (np.diff(who) != 0) | (np.diff(what) != 0)]))
-        who, what, score = who[new], what[new], score[new]
-        o = np.lexsort((what, -score, who))
-        who, what, score = who[o], what[o], score[o]
-        keep = np.arange(len(who)) - np.searchsorted(who, who) <= top
-        return pa.table([pa.array(x[keep]) for x in (who, what, score)], schema=schema)
+        who, what, score = best()
+        return pa.table([pa.array(qid[who]), pa.array(what), pa.array(score)], schema=schema)
 
     return run
 
@@ -185,14 +195,14 @@ def neighbours(table: DataFrame, id_col: str = "vec_id", vector: str = "embeddin
     depth = max(0, min(int(math.log2(max(1, n / LEAF))), int(math.log2(max(1, len(sample) / SAMPLE_LEAF)))))
     forest = spark.sparkContext.broadcast(Forest(np.array([r["v"] for r in sample], np.float32).reshape(len(sample), len(sample[0]["v"]) if sample else 1), depth))
     # cells are ranked in bins, each of which gives a query's best once: at least BINS, and BIN_ROWS vectors in each, about
-    bins = max(BINS, -(-n * TREES // BIN_ROWS))
+    bins = TREES * max(BINS // TREES, -(-n // BIN_ROWS))
     cells = stored(points.select("pid", "v").mapInArrow(_assign(forest, bins), "bin long, cell long, pid long, v array<float>"), "ann-cells")
     counts = np.zeros(TREES << depth, np.int64)
     for r in cells.groupBy("cell").count().collect():
         counts[r["cell"]] = r["count"]
     parts = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     ask = points.select("pid", "v").join(asking.select(F.col("qid").alias("pid")).distinct(), "pid", "left_semi").repartition(parts, "pid")
-    walks = ask.mapInArrow(_walk(forest, spark.sparkContext.broadcast(counts), visits * n, bins), "bin long, cells array<long>, qid long, v array<float>")
+    walks = ask.mapInArrow(_walk(forest, spark.sparkContext.broadcast(counts), visits / math.sqrt(max(1, depth)) * n, bins), "bin long, cells array<long>, qid long, v array<float>")
     found = cells.groupBy("bin").cogroup(walks.groupBy("bin")).applyInArrow(_rank(top), "qid long, pid long, score double")
     found = found.groupBy("qid", "pid").agg(F.max("score").alias("score"))
     found = found.withColumn("_n", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "pid"))).filter(F.col("_n") <= top + 1)

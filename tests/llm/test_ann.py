@@ -22,7 +22,7 @@ def test_recall(spark, table):
         f = ann.Forest(x[:16384].astype(np.float32), depth)
         cells = f.leaves(x.astype(np.float32)) + (np.arange(f.trees) << depth)
         sizes = np.bincount(cells.ravel(), minlength=f.trees << depth)
-        met = [np.isin(cells, f.walk(x[q].astype(np.float32), sizes, ann.VISITS * len(x))).any(axis=1).mean() for q in range(20)]
+        met = [np.isin(cells, f.walk(x[q].astype(np.float32), sizes, ann.VISITS / np.sqrt(depth) * len(x))).any(axis=1).mean() for q in range(20)]
         assert np.mean(met) < 0.85
     got = {q: g.sort_values("rank") for q, g in ann.op7_ann(spark, f"/root/testdata/{table}").toPandas().groupby("query_id")}
     asked = np.flatnonzero(ids % 20 == 0)
