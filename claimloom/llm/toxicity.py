@@ -147,20 +147,24 @@ def _featurise(vocab):
     return run
 
 
-def _counter(batches):
-    """How many texts of a partition hold each bucket; as bucket -1 the number of texts."""
-    total, n = np.zeros(BUCKETS, np.int64), 0
-    for batch in batches:
-        for _, f, bound in features(batch.column(0)):
-            np.add.at(total, f, 1)
-            n += len(bound) - 1
-    at = np.flatnonzero(total)
-    yield pa.record_batch([pa.array(np.append(at, -1)), pa.array(np.append(total[at], n))], names=["bucket", "n"])
-
-
-def _counts(texts: DataFrame) -> tuple[np.ndarray, int]:
+def _counter(vocab):
+    """How many texts of a partition hold each bucket (of the vocabulary, if there is one); as bucket -1 the number of texts."""
+
+    def run(batches):
+        total, n = np.zeros(BUCKETS, np.int64), 0
+        for batch in batches:
+            for _, f, bound in features(batch.column(0)):
+                total += np.bincount(f, minlength=BUCKETS)
+                n += len(bound) - 1
+        at = np.flatnonzero(total) if vocab is None else vocab.value
+        yield pa.record_batch([pa.array(np.append(at, -1).astype(np.int64)), pa.array(np.append(total[at], n))], names=["bucket", "n"])
+
+    return run
+
+
+def _counts(texts: DataFrame, vocab=None) -> tuple[np.ndarray, int]:
     """How many texts hold each bucket, and how many there are; at most ``BUCKETS + 1`` rows reach the driver."""
-    rows = texts.mapInArrow(_counter, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    rows = texts.mapInArrow(_counter(vocab), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
     got, out = rows.toArrow(), np.zeros(BUCKETS + 1, np.int64)
     out[got.column("bucket").to_numpy()] = got.column("n").to_numpy()
     return out[:BUCKETS], int(out[-1])
@@ -188,21 +192,22 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str =
     """The model (broadcast) from rows outside the held-out fold."""
     spark = docs.sparkSession
     small_batches(spark)
-    known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").alias("id")).agg(F.max("toxic").alias("toxic"))
-    prior = float(known.agg(F.avg("toxic")).first()[0] or 0.0)
+    told = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").alias("id")).agg(F.max("toxic").alias("toxic"))
+    prior = float(told.agg(F.avg("toxic")).first()[0] or 0.0)
     order = F.xxhash64(F.col("id"), F.lit(11))
-    toxic = known.filter("toxic = 1").select("id")
+    toxic = told.filter("toxic = 1").select("id")
     pos = toxic.select("id", order.alias("o")).orderBy("o", "id").limit(max_positive).select("id", F.lit(True).alias("positive"))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text")).filter(F.col("id").isNotNull() & ~held_out(F.col("id")))
     # a bit set tells most other rows from positives, so that only positives meet the labels
     near = maybe_in(F.xxhash64("id"), toxic.select(F.xxhash64("id").alias("h")))
     n, n_pos = _counts(rows.filter(near).join(toxic, "id").select("text"))
-    every, n_every = _counts(rows.select("text"))
     seen = np.flatnonzero(n).astype(np.int32)
     vocab = seen[vocabulary(seen, n[seen], n_pos)]
+    known = spark.sparkContext.broadcast(vocab)
+    every, n_every = _counts(rows.select("text"), known)
     unl = rows.select("id").join(toxic, "id", "left_anti").select("id", order.alias("o")).orderBy("o", "id").limit(max_unlabelled).select("id", F.lit(False).alias("positive"))
     sample = F.broadcast(pos.union(unl).distinct())  # max_positive + max_unlabelled rows at most
-    got = rows.join(sample, "id").select("positive", "text").mapInArrow(_featurise(spark.sparkContext.broadcast(vocab)), "positive boolean, f array<int>").toArrow()
+    got = rows.join(sample, "id").select("positive", "text").mapInArrow(_featurise(known), "positive boolean, f array<int>").toArrow()
     flags = got.column("positive").to_pylist()
     lists = got.column("f").combine_chunks()
     bound, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
