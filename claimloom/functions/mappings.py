@@ -31,6 +31,18 @@ def pop(d, key: Column) -> Column:
     return F.struct(F.try_element_at(d, key).alias("value"), F.map_filter(d, lambda k, v: k != key).alias("rest"))
 
 
+def set_item(d, key: Column, value: Column) -> Column:
+    d = _c(d)
+    return F.map_concat(F.map_filter(d, lambda k, v: k != key), F.create_map(key, value))
+
+
+def pop_item(d) -> Column:
+    """The entry inserted last and the rest; null for an empty mapping."""
+    d = _c(d)
+    last = F.element_at(F.map_entries(d), -1)
+    return F.when(F.size(d) > 0, F.struct(last["key"].alias("key"), last["value"].alias("value"), F.map_filter(d, lambda k, v: k != last["key"]).alias("rest")))
+
+
 def map_text(d) -> Column:
     entries = F.array_sort(F.map_entries(_c(d)))
     return F.array_join(F.transform(entries, lambda e: F.concat_ws("=", e["key"], e["value"])), ",")

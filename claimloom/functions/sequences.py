@@ -11,6 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from claimloom.functions.status import outcome
+
 Fn = Callable[[Column], Column]
 
 
@@ -122,15 +124,31 @@ def intersperse(a: Column, sep: Column) -> Column:
     return F.flatten(F.transform(a, lambda x, i: F.when(i == 0, F.array(x)).otherwise(F.array(sep, x))))
 
 
-def kmerge(arrays: Column) -> Column:
-    """Merge of sorted sequences: equal to a stable sort of their concatenation for plain values."""
-    return F.array_sort(F.flatten(arrays))
+def kmerge(arrays: Column, key: Fn | None = None) -> Column:
+    """Merge of sequences that are sorted by ``key``: stable, equal keys in the order of the sequences."""
+    flat = F.flatten(arrays)
+    if key is None:
+        return F.array_sort(flat)
+    tagged = F.transform(flat, lambda x, i: F.struct(key(x).alias("k"), i.alias("i"), x.alias("x")))
+    return F.transform(F.array_sort(tagged), lambda t: t["x"])
 
 
 def scan(a: Column, init: Column, f: Callable[[Column, Column], Column]) -> Column:
-    """The states after each element."""
-    kind = F.struct(init.alias("s"), F.slice(F.array(init), 1, 0).alias("out"))
-    return F.aggregate(a, kind, lambda acc, x: F.struct(f(acc["s"], x).alias("s"), F.concat(acc["out"], F.array(f(acc["s"], x))).alias("out")), lambda acc: acc["out"])
+    """The states after each element; ``f`` is evaluated once for each.
+
+    Each state copies those before it, so long sequences go through :func:`capped`, or in row form through a window.
+    """
+    return F.aggregate(a, F.array(init), lambda acc, x: F.concat(acc, F.array(f(F.element_at(acc, -1), x))), lambda acc: F.slice(acc, F.lit(2), F.size(acc) - 1))
+
+
+#: Elements of a sequence that an operator takes at most; longer ones are incomplete, not cut.
+CAP = 4096
+
+
+def capped(a: Column, result: Fn, cap: int = CAP) -> Column:
+    """``result(a)`` as an outcome; a sequence above the cap is incomplete and is not evaluated."""
+    over = F.size(a) > cap
+    return outcome(F.when(~over, result(a)), incomplete=over, effect="LengthCap")
 
 
 def fold(a: Column, init: Column, f: Callable[[Column, Column], Column]) -> Column:
@@ -201,3 +219,48 @@ def symmetric_difference(a: Column, b: Column) -> Column:
 
 def joined(a: Column, sep: str = ",") -> Column:
     return F.array_join(F.transform(a, lambda x: x.cast("string")), sep)
+
+
+def stepped(a: Column, lo: int | None = None, hi: int | None = None, step: int = 1) -> Column:
+    """``a[lo:hi:step]`` with negative bounds from the end, clipped, and negative steps; a step of zero is refused."""
+    if step == 0:
+        raise ValueError("a step of zero is refused")
+    n = F.size(a)
+    at = lambda x, d, least, most: d if x is None else F.least(F.greatest(F.lit(x) if x >= 0 else n + x, least), most)
+    if step > 0:
+        start, end = at(lo, F.lit(0), F.lit(0), n), at(hi, n, F.lit(0), n)
+        many = F.ceil(F.greatest(end - start, F.lit(0)) / step)
+    else:
+        start, end = at(lo, n - 1, F.lit(-1), n - 1), at(hi, F.lit(-1), F.lit(-1), n - 1)
+        many = F.ceil(F.greatest(start - end, F.lit(0)) / -step)
+    return F.transform(indices(many.cast("int")), lambda i: F.get(a, (start + i * step).cast("int")))
+
+
+def unpack(a: Column, before: int, after: int) -> Column:
+    """``x, .., *rest, .., z``: the first ones, the rest and the last ones; null where there are too few."""
+    enough = F.size(a) >= before + after
+    return F.when(enough, F.struct(F.slice(a, 1, before).alias("first"), F.slice(a, F.lit(before + 1), F.size(a) - before - after).alias("rest"), F.slice(a, F.size(a) - after + 1, F.lit(after)).alias("last")))
+
+
+def insert(a: Column, i: int, x: Column) -> Column:
+    """Before position ``i``, which is clipped."""
+    at = F.least(F.lit(i), F.size(a)) if i >= 0 else F.greatest(F.size(a) + i, F.lit(0))
+    return F.concat(F.slice(a, F.lit(1), at), F.array(x), F.slice(a, at + 1, F.size(a)))
+
+
+def pop(a: Column, i: int = -1) -> Column:
+    """The element at ``i`` and the rest; null out of range."""
+    at = F.lit(i) if i >= 0 else F.size(a) + i
+    ok = (at >= 0) & (at < F.size(a))
+    return F.when(ok, F.struct(F.get(a, at).alias("value"), F.concat(F.slice(a, F.lit(1), at), F.slice(a, at + 2, F.size(a))).alias("rest")))
+
+
+def set_item(a: Column, i: int, x: Column) -> Column:
+    """Null out of range."""
+    at = F.lit(i) if i >= 0 else F.size(a) + i
+    return F.when((at >= 0) & (at < F.size(a)), F.transform(a, lambda v, k: F.when(k == at, x).otherwise(v)))
+
+
+def intersperse_concat(arrays: Column, sep: Column) -> Column:
+    """The elements of all sequences with those of ``sep`` between them."""
+    return F.flatten(F.transform(arrays, lambda x, i: F.when(i == 0, x).otherwise(F.concat(sep, x))))

@@ -34,13 +34,20 @@ def symbol_key(bridge: Column, prop: Column) -> Column:
 
 
 def classify_reports(verdicts: DataFrame, group: list[str], errors: Column | None = None) -> DataFrame:
-    """Per group: LinkFailed over VerifyFailed over Undecided over Verified, and the exit code; a report without rows is undecided."""
+    """Per group: VerifyFailed over Undecided over Verified, and the exit code; a report without rows is undecided. See :func:`with_link_surface`."""
     err = F.coalesce(F.sum(errors) if errors is not None else F.lit(0), F.lit(0))
     agg = verdicts.groupBy(*group).agg(F.count("verdict").alias("rows"), F.count_if(F.col("verdict").isin(*HARD)).alias("hard"), F.count_if(F.col("verdict") == DISCHARGED).alias("discharged"), err.alias("errors"))
     c = F.when(F.col("hard") > 0, "VerifyFailed").when((F.col("errors") > 0) | (F.col("rows") == 0) | (F.col("discharged") < F.col("rows")), "Undecided").otherwise("Verified")
     return agg.withColumn("class", c).withColumn("exit_code", F.when(c == "Verified", 0).when(c == "VerifyFailed", 1).otherwise(3))
 
 
+def with_link_surface(reports: DataFrame, link_errors: DataFrame, group: list[str]) -> DataFrame:
+    """Reports whose group has link errors become LinkFailed (exit 4), whatever they said; their counts stay."""
+    bad = link_errors.select(*group).distinct().withColumn("_bad", F.lit(True))
+    out = reports.join(bad, group, "left")
+    return out.withColumns({"class": F.when(F.col("_bad"), "LinkFailed").otherwise(F.col("class")), "exit_code": F.when(F.col("_bad"), 4).otherwise(F.col("exit_code"))}).drop("_bad")
+
+
 def merge_contracts(slots: DataFrame) -> DataFrame:
     """``name, slot, cid`` rows: equal slots dedupe, disjoint slots merge, two ids in one slot are a conflict."""
     per = slots.groupBy("name", "slot").agg(F.countDistinct("cid").alias("ids"), F.count("*").alias("claims"), F.min("cid").alias("cid"))
@@ -50,12 +57,11 @@ def merge_contracts(slots: DataFrame) -> DataFrame:
 
 
 def link_edges(edges: DataFrame, contracts: DataFrame) -> DataFrame:
-    """Call edges to contracts: a direct id wins, else the symbol after its first colon by name; unmatched edges have a null target."""
-    direct = contracts.select(F.col("cid").alias("_direct"))
-    named = contracts.select(F.col("name").alias("_name"), F.col("cid").alias("_named")).dropDuplicates(["_name"])
+    """Call edges to contracts: a direct id wins as it stands, else the symbol after its first colon by name (the smallest id of that name); unmatched edges have a null target."""
+    named = contracts.groupBy(F.col("name").alias("_name")).agg(F.min("cid").alias("_named"))
     bare = F.when(F.instr("target_symbol", ":") > 0, F.expr("substring(target_symbol, instr(target_symbol, ':') + 1)")).otherwise(F.col("target_symbol"))
-    out = edges.join(direct, F.col("target_cid") == F.col("_direct"), "left").join(named, bare == F.col("_name"), "left")
-    return out.withColumn("linked_cid", F.coalesce("_direct", "_named")).drop("_direct", "_name", "_named")
+    out = edges.join(named, bare == F.col("_name"), "left")
+    return out.withColumn("linked_cid", F.coalesce("target_cid", "_named")).drop("_name", "_named")
 
 
 def resolve(callsites: DataFrame, bridges: DataFrame, contracts: DataFrame) -> DataFrame:
@@ -117,6 +123,18 @@ def closure(edges: DataFrame, source: str, target: str, depth: int = 64) -> Data
     return reach.select(F.col("s").alias(source), F.col("t").alias(target))
 
 
+def reaching(edges: DataFrame, source: str, target: str, ends: DataFrame) -> DataFrame:
+    """``node``: all with a path of one step or more to one of ``ends`` (column ``node``): a walk back from the ends, not a closure of all pairs."""
+    found = None
+    front = ends.select("node").distinct()
+    while True:
+        step = edges.join(front.select(F.col("node").alias(target)), target, "left_semi").select(F.col(source).alias("node")).distinct()
+        front = (step if found is None else step.join(found, "node", "left_anti")).checkpoint()
+        if found is not None and front.isEmpty():
+            return found
+        found = front if found is None else found.union(front).checkpoint()
+
+
 def region_holds(demands: DataFrame, facts_closure: DataFrame, top: str) -> DataFrame:
     """``a outlives b``: equal, the top region on either side, or in the closure; and how."""
     c = facts_closure.select(F.col("longer").alias("a"), F.col("shorter").alias("b"), F.lit(True).alias("_in"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimloom.operators.claims import closure
+from claimloom.operators.claims import closure, reaching
 
 
 def callsites(terms: DataFrame, bridges: DataFrame) -> DataFrame:
@@ -146,20 +146,33 @@ def fail_closed(references: DataFrame, entries: DataFrame, declarations: DataFra
     """
     row = lambda d, c, why: d.select(F.col(c).cast("string").alias("subject"), F.lit(why).alias("reason"))
     names = entries.groupBy("name").agg(F.countDistinct("cid").alias("cids"), F.countDistinct("catalog").alias("catalogs"))
-    reach = closure(depends, "cid", "on")
+    links = depends.select("cid", "on").distinct()
     faults = (
         row(entries.join(declarations, "cid", "left_anti"), "cid", "declaration_missing")
         .union(row(declarations.filter("not signed"), "cid", "invalid_signature"))
         .union(row(declarations.filter("revoked"), "cid", "signer_key_revoked"))
         .union(row(declarations.filter("not compatible"), "cid", "compiler_incompatible"))
-        .union(row(reach.filter(F.col("cid") == F.col("on")), "cid", "cyclic_dependency"))
-    )
-    bad = faults.select(F.col("subject").alias("_bad")).distinct()
-    through = row(reach.join(bad, F.col("on").cast("string") == F.col("_bad"), "left_semi"), "cid", "dependency_unresolvable")
+        .union(row(on_cycles(links, "cid", "on"), "cid", "cyclic_dependency"))
+    ).checkpoint()
+    text = links.select(F.col("cid").cast("string").alias("cid"), F.col("on").cast("string").alias("on"))
+    through = row(reaching(text, "cid", "on", faults.select(F.col("subject").alias("node"))), "node", "dependency_unresolvable")
     named = row(references.join(names, "name", "left_anti"), "name", "no_resolution").union(row(names.filter("cids > 1 and catalogs > 1"), "name", "name_collision"))
     return faults.union(through).union(named).distinct()
 
 
+def on_cycles(links: DataFrame, source: str, target: str) -> DataFrame:
+    """Nodes (as ``source``) on a cycle: ends without a way on or back are peeled off until none is left, and only the core is closed."""
+    core = links.checkpoint()
+    left = core.count()
+    while left:
+        core = core.join(core.select(F.col(source).alias(target)), target, "left_semi").join(core.select(F.col(target).alias(source)), source, "left_semi").select(source, target).checkpoint()
+        now = core.count()
+        if now == left:
+            break
+        left = now
+    return closure(core, source, target).filter(F.col(source) == F.col(target)).select(source)
+
+
 def sequential(state: Column, posts: Column) -> Column:
     """Constraints after a statement; null (top) on either side absorbs."""
     return F.when(state.isNotNull() & posts.isNotNull(), F.array_sort(F.array_union(state, posts)))
@@ -168,3 +181,125 @@ def sequential(state: Column, posts: Column) -> Column:
 def branched(then: Column, other: Column) -> Column:
     """Constraints that hold after both branches; a branch at top leaves none known."""
     return F.when(then.isNotNull() & other.isNotNull(), F.array_sort(F.array_intersect(then, other)))
+
+
+def pin_gate(callsites: DataFrame, members: DataFrame) -> DataFrame:
+    """Callsites (``target_cid, bundle``) whose target must come from the pinned bundle; a null bundle pins nothing."""
+    known = members.select("bundle").distinct().withColumn("_bundle", F.lit(True))
+    held = members.select("bundle", F.col("cid").alias("target_cid")).distinct().withColumn("_held", F.lit(True))
+    out = callsites.join(known, "bundle", "left").join(held, ["bundle", "target_cid"], "left")
+    reason = F.when(F.col("bundle").isNull(), F.lit(None).cast("string")).when(F.col("_bundle").isNull(), "PinnedBundleMissing").when(F.col("_held").isNull(), "NotInPinnedBundle")
+    return out.withColumn("reason", reason).drop("_bundle", "_held")
+
+
+def region_substitution(formals: Column, actuals: Column) -> Column:
+    """Formal regions to actual ones: pairs with a null are dropped, of a repeated formal the last pair counts, the longer side is cut."""
+    n = F.least(F.size(formals), F.size(actuals))
+    pairs = F.filter(F.zip_with(F.slice(formals, 1, n), F.slice(actuals, 1, n), lambda f, a: F.struct(f.alias("f"), a.alias("a"))), lambda p: p["f"].isNotNull() & p["a"].isNotNull())
+    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["f"] == p["f"]))
+    return F.map_from_entries(last)
+
+
+def substituted(subst: Column, region: Column) -> Column:
+    return F.coalesce(F.try_element_at(subst, region), region)
+
+
+def discharge_parameters(candidates: DataFrame, formals: DataFrame, declared: DataFrame, universes: DataFrame) -> DataFrame:
+    """Each candidate's resolution (``declared-demand``) or the named gap that blocks it.
+
+    ``candidates(owner, coordinate, ordinal, sort, demand, fresh, basis)``; ``formals(owner, coordinate, ordinal, sort, fresh, contract_fresh)``, one
+    row for each formal; ``declared(owner, demand)``; ``universes(owner, closed, external)``.
+    """
+    f = formals.select("owner", "coordinate", F.col("ordinal").alias("_ordinal"), F.col("sort").alias("_sort"), F.col("fresh").alias("_fresh"))
+    own = formals.groupBy("owner").agg(F.bool_and("contract_fresh").alias("_contract"))
+    d = declared.select("owner", "demand").distinct().withColumn("_declared", F.lit(True))
+    u = universes.select("owner", F.col("closed").alias("_closed"), F.col("external").alias("_external"), F.lit(True).alias("_universe"))
+    out = candidates.join(own, "owner", "left").join(f, ["owner", "coordinate"], "left").join(d, ["owner", "demand"], "left").join(u, "owner", "left")
+    gap = (
+        F.when(~F.col("fresh"), "StaleCandidateOrDemand")
+        .when(F.col("_contract").isNull(), "MissingFormalOwnershipTestimony")
+        .when(~F.col("_contract"), "StaleContract")
+        .when(F.col("_ordinal").isNull(), "FormalCoordinateMismatch")
+        .when(~F.col("_fresh"), "StaleFormalCoordinate")
+        .when(F.col("_ordinal") != F.col("ordinal"), "FormalOrdinalMismatch")
+        .when(F.col("_sort") != F.col("sort"), "FormalSortMismatch")
+        .when((F.col("basis") == "closed-callers") & F.col("_universe").isNull(), "StaleResolution")
+        .when(F.col("_declared"), "declared-demand")
+        .when(F.coalesce(~F.col("_closed") | F.col("_external"), F.lit(True)), "OpenCallerUniverse")
+        .otherwise("NoIncomingCaller")
+    )
+    return out.withColumn("resolution", gap).select(*candidates.columns, "resolution")
+
+
+def attribute_safety(sites: DataFrame, shapes: DataFrame) -> DataFrame:
+    """Attribute accesses (``receiver, attribute, guarded``): discharged by a guard or by the receiver's guaranteed attributes, else unproven with a reason."""
+    known = shapes.select(F.col("receiver")).distinct().withColumn("_shape", F.lit(True))
+    sure = shapes.filter("guaranteed").select("receiver", "attribute").distinct().withColumn("_sure", F.lit(True))
+    out = sites.join(known, "receiver", "left").join(sure, ["receiver", "attribute"], "left")
+    how = (
+        F.when(F.coalesce(F.col("receiver"), F.lit("")) == "", "unproven:unknown-receiver")
+        .when(F.coalesce(F.col("attribute"), F.lit("")) == "", "unproven:empty-attribute")
+        .when(F.col("guarded"), "discharged:guard")
+        .when(F.col("_shape").isNull(), "unproven:no-shape")
+        .when(F.col("_sure"), "discharged:shape")
+        .otherwise("unproven:not-guaranteed")
+    )
+    return out.withColumn("how", how).drop("_shape", "_sure")
+
+
+def effect_verdicts(effects: DataFrame, table: DataFrame) -> DataFrame:
+    """Effects (``kind``) to their verdict and reason; a kind that the table does not know is undecidable."""
+    t = table.select("kind", "verdict", "reason")
+    return effects.join(t, "kind", "left").withColumns({"verdict": F.coalesce("verdict", F.lit("Undecidable")), "reason": F.coalesce("reason", F.concat(F.lit("unknown effect "), F.col("kind")))})
+
+
+def compose_chains(chains: DataFrame, registry: DataFrame) -> DataFrame:
+    """Method chains (``id, methods``) as one composed id over their steps' contracts; null below two steps or where a step has none."""
+    steps = chains.select("id", F.posexplode("methods").alias("pos", "name")).join(registry.groupBy("name").agg(F.min("cid").alias("cid")), "name", "left")
+    made = steps.groupBy("id").agg(F.count("*").alias("steps"), F.count("cid").alias("known"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "cid"))), lambda s: s["cid"]), ">").alias("text"))
+    return chains.select("id").join(made, "id", "left").select("id", F.when((F.col("steps") >= 2) & (F.col("steps") == F.col("known")), F.sha2("text", 256)).alias("composed"))
+
+
+def claim_errors(claims: DataFrame, scopes: DataFrame, sorts: list[str]) -> DataFrame:
+    """``id, error`` of claims (``id, scope, sort, provenance``) that cannot be built; a claim may have several."""
+    named = claims.join(scopes.select("scope").distinct().withColumn("_scope", F.lit(True)), "scope", "left")
+    errors = F.array_compact(F.array(F.when(F.col("_scope").isNull(), "UnknownScope"), F.when(~F.coalesce(F.col("sort").isin(*sorts), F.lit(False)), "UnknownSort"), F.when(F.coalesce(F.col("provenance"), F.lit("")) == "", "NoProvenance")))
+    return named.select("id", F.explode(errors).alias("error"))
+
+
+def bindings(rows: DataFrame, *parts: str) -> DataFrame:
+    """Content-addressed binding entries: each distinct one once, with its id and how many rows stated it."""
+    entry = F.concat_ws("\x1f", *[F.coalesce(F.col(p).cast("string"), F.lit("\x00")) for p in parts])
+    return rows.groupBy(*parts).agg(F.count("*").alias("stated")).withColumn("entry_cid", F.sha2(entry, 256))
+
+
+def spoken(facts: DataFrame, universes: DataFrame, implications: DataFrame) -> DataFrame:
+    """Utterances of three kinds as one pool: ``speaker, kind, subject, object``."""
+    one = lambda d, kind, o: d.select("speaker", F.lit(kind).alias("kind"), F.col("subject").cast("string").alias("subject"), o.cast("string").alias("object"))
+    return one(facts, "fact", F.lit(None)).union(one(universes, "universe", F.lit(None))).union(one(implications, "implication", F.col("object")))
+
+
+def solved(pool: DataFrame) -> DataFrame:
+    """What a step of implication gives from the pool's facts: the object, the speaker of the implication and that of the fact; known facts are left out."""
+    facts = pool.filter("kind = 'fact'").select("subject", F.col("speaker").alias("fact_by")).distinct()
+    rules = pool.filter("kind = 'implication'").select("subject", "object", F.col("speaker").alias("rule_by")).distinct()
+    new = facts.join(rules, "subject").select(F.col("object").alias("subject"), "rule_by", "fact_by").distinct()
+    return new.join(facts.select("subject"), "subject", "left_anti")
+
+
+def link_or_share(groups: DataFrame, group: list[str]) -> DataFrame:
+    """Per group of parts (``composed``: the id they compose to, or null; ``contracts``: their contract ids): composed if all compose, else a contract that all share, else refused."""
+    all_shared = F.array_sort(F.array_distinct(F.flatten(F.collect_list("contracts"))))
+    g = groups.groupBy(*group).agg(F.count("*").alias("parts"), F.count("composed").alias("made"), F.collect_list("contracts").alias("each"), all_shared.alias("any"))
+    shared = F.filter("any", lambda c: F.forall("each", lambda e: F.array_contains(e, c)))
+    return g.select(*group, F.when(F.col("parts") == F.col("made"), "composed").when(F.size(shared) > 0, "shared").otherwise("refused").alias("link"), F.when(F.col("parts") != F.col("made"), F.get(shared, F.lit(0))).alias("contract"))
+
+
+def decided(obligations: DataFrame, solver) -> DataFrame:
+    """Obligations with the ``verdict`` of a solver: a function from the table's columns to a Column; a null verdict is undecidable."""
+    return obligations.withColumn("verdict", F.coalesce(solver(F.col), F.lit("Undecidable")))
+
+
+def interval_solver(c) -> Column:
+    """``lo <= x <= hi`` implies ``x <= bound``: the default solver; an open interval is left undecided, an empty one discharges."""
+    return F.when(c("lo") > c("hi"), "Discharged").when(c("hi") <= c("bound"), "Discharged").when(c("hi") > c("bound"), "Unsatisfied")

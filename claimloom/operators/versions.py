@@ -24,19 +24,28 @@ def set_bump(old: DataFrame, new: DataFrame, member: str, group: list[str]) -> D
 
 
 def version_walk(releases: DataFrame, base, signers: list[str], channel: str, yanked: DataFrame | None = None, depth: int = 1000) -> DataFrame:
-    """Releases reachable from ``base`` by previous-set links over trusted, unyanked releases of a channel, each with its step."""
+    """Releases reachable from ``base`` by previous-set links over trusted, unyanked releases of a channel, each once with its first step.
+
+    A frontier is joined to the links, and what has been seen leaves it, so cycles end; each round is checkpointed.
+    """
     ok = releases.filter(F.col("signer").isin(*signers) & (F.col("channel") == channel))
     if yanked is not None:
         ok = ok.join(yanked.select("set_cid").distinct(), "set_cid", "left_anti")
-    spark = releases.sparkSession
-    ok.select("set_cid", "previous_set_cid", "declared_at").createOrReplaceTempView("_walk_releases")
-    # depth bound: links form a tree, so a walk ends by itself; a cycle is cut
-    return spark.sql(f"""
-        WITH RECURSIVE walk(set_cid, declared_at, step) MAX RECURSION LEVEL {depth} AS (
-          SELECT set_cid, declared_at, 0 FROM _walk_releases WHERE set_cid = {base!r}
-          UNION ALL
-          SELECT r.set_cid, r.declared_at, w.step + 1 FROM walk w JOIN _walk_releases r ON r.previous_set_cid = w.set_cid WHERE w.step < {depth - 1})
-        SELECT * FROM walk""")
+    ok = ok.select("set_cid", "previous_set_cid", "declared_at").checkpoint()
+    once = lambda d, step: d.groupBy("set_cid").agg(F.max("declared_at").alias("declared_at")).withColumn("step", F.lit(step)).checkpoint()
+    front = seen = once(ok.filter(F.col("set_cid") == F.lit(base)), 0)
+    for step in range(1, depth):
+        if front.isEmpty():
+            break
+        reached = ok.join(front.select(F.col("set_cid").alias("previous_set_cid")), "previous_set_cid", "left_semi")
+        front = once(reached.join(seen.select("set_cid"), "set_cid", "left_anti"), step)
+        seen = seen.unionByName(front).checkpoint()
+    return seen
+
+
+def latest_release(walk: DataFrame) -> DataFrame:
+    """The release of a walk that was declared last; ties by the larger id."""
+    return walk.groupBy().agg(F.max_by(F.struct("set_cid", "declared_at", "step"), F.struct("declared_at", "set_cid")).alias("r")).filter("r is not null").select("r.*")
 
 
 def quorum(signatures: DataFrame, eligible: list[str], size: int, group: str) -> DataFrame:

@@ -52,11 +52,11 @@ def orphan_transition(spark, sf):
     return linking.orphaned(_t(spark, sf, "part").filter("p_size > 5").select("p_partkey"), uses.filter("l_shipdate < '1998-01-01'"), uses.filter("l_shipdate >= '2001-06-01'"), "p_partkey")
 
 
-@query("demand_gaps", """WITH d AS (SELECT o_custkey AS owner, o_orderstatus AS parameter, count(DISTINCT o_orderpriority) AS sorts, min(o_orderpriority) AS s FROM orders WHERE o_orderkey % 3 = 0 GROUP BY 1, 2)
+@query("demand_gaps", """WITH d AS (SELECT o_custkey AS owner, o_orderstatus AS parameter, count(DISTINCT o_orderpriority) AS sorts, min(o_orderpriority) AS s FROM orders WHERE o_orderpriority <> '4-NOT SPECIFIED' GROUP BY 1, 2)
     SELECT c_custkey AS owner, 'P' AS parameter, '5-LOW' AS sort, CASE WHEN c_custkey NOT IN (SELECT owner FROM d) THEN 'NoOwner' WHEN sorts IS NULL THEN 'NoParameter' WHEN sorts > 1 THEN 'Ambiguous' WHEN s <> '5-LOW' THEN 'SortMismatch' ELSE 'met' END AS gap
     FROM customer LEFT JOIN d ON d.owner = c_custkey AND parameter = 'P'""")
 def demand_gaps(spark, sf):
-    declared = _t(spark, sf, "orders").filter("o_orderkey % 3 = 0").select(F.col("o_custkey").alias("owner"), F.col("o_orderstatus").alias("parameter"), F.col("o_orderpriority").alias("sort"))
+    declared = _t(spark, sf, "orders").filter("o_orderpriority <> '4-NOT SPECIFIED'").select(F.col("o_custkey").alias("owner"), F.col("o_orderstatus").alias("parameter"), F.col("o_orderpriority").alias("sort"))
     return linking.demand_gaps(_t(spark, sf, "customer").select(F.col("c_custkey").alias("owner"), F.lit("P").alias("parameter"), F.lit("5-LOW").alias("sort")), declared)
 
 
@@ -66,10 +66,10 @@ def pool_union(spark, sf):
     return linking.union_by_cid(l.filter("l_returnflag = 'R'"), l.filter("l_discount > 0.08"), _t(spark, sf, "part").filter("p_size = 7").select(F.col("p_partkey").alias("cid")))
 
 
-@query("order_discrimination", """WITH r AS (SELECT user_id, event_id % 2 AS run, sha256(string_agg(event_type, ',' ORDER BY ts, event_id)) AS h FROM events WHERE value > 180 GROUP BY 1, 2)
+@query("order_discrimination", """WITH r AS (SELECT user_id, event_id % 2 AS run, sha256(string_agg(event_type, ',' ORDER BY ts, event_id)) AS h FROM events GROUP BY 1, 2)
     SELECT coalesce(a.user_id, b.user_id) AS user_id, CASE WHEN a.h IS NULL THEN 'only-b' WHEN b.h IS NULL THEN 'only-a' WHEN a.h = b.h THEN 'same' ELSE 'differs' END AS state FROM (FROM r WHERE run = 0) a FULL JOIN (FROM r WHERE run = 1) b ON a.user_id = b.user_id""")
 def order_discrimination(spark, sf):
-    run = lambda r: linking.run_identity(_t(spark, sf, "events").filter(f"value > 180 and event_id % 2 = {r}"), ["user_id"], ["ts", "event_id"], "event_type")
+    run = lambda r: linking.run_identity(_t(spark, sf, "events").filter(f"event_id % 2 = {r}"), ["user_id"], ["ts", "event_id"], "event_type")
     return linking.same_order(run(0), run(1), ["user_id"])
 
 
@@ -126,6 +126,7 @@ def yank_policies(spark, sf):
 @query("patch_walk", """WITH RECURSIVE w AS (SELECT c_custkey, 0 AS step FROM customer WHERE c_custkey = 1 UNION ALL SELECT c.c_custkey, step + 1 FROM w JOIN customer c ON c.c_custkey // 3 = w.c_custkey AND c.c_custkey > 0
     WHERE c.c_mktsegment IN (SELECT c_mktsegment FROM customer WHERE c_custkey = 1) OR c.c_custkey < 30) SELECT c_custkey::VARCHAR AS set_cid, step FROM w""")
 def patch_walk(spark, sf):
+    _checkpoints(spark)
     c = _t(spark, sf, "customer").filter("c_custkey > 0")
     same = c.filter("c_custkey = 1").select("c_mktsegment")
     c = c.filter((F.col("c_mktsegment") == same.scalar()) | (F.col("c_custkey") < 30))
@@ -180,26 +181,26 @@ def _on_sequences(name, column, sql):
         return sequences(spark, sf).select("user_id", column().alias("r"))
 
 
-_PARTS = "list_distinct(a[:20])", "list_distinct(a[11:30])"
+_PARTS = "list_distinct(a)", "list_distinct(list_transform(a, lambda x: x + 1))"
 
 
 def _parts():
-    return F.array_distinct(F.slice("a", 1, 20)), F.array_distinct(F.slice("a", 11, 20))
+    return F.array_distinct("a"), F.array_distinct(F.transform("a", lambda x: x + 1))
 
 
 _on_sequences("constraints_sequential", lambda: F.array_join(linking.sequential(*_parts()), ","), f"array_to_string(list_sort(list_distinct({_PARTS[0]} || {_PARTS[1]})), ',')")
 _on_sequences("constraints_branched", lambda: F.array_join(linking.branched(*_parts()), ","), f"coalesce(array_to_string(list_sort(list_intersect({_PARTS[0]}, {_PARTS[1]})), ','), '')")
 _on_sequences("constraints_top", lambda: F.when(linking.branched(_parts()[0], F.when(F.size("a") % 2 == 0, _parts()[1])).isNull(), "top").otherwise("known"), "CASE WHEN len(a) % 2 = 1 THEN 'top' ELSE 'known' END")
-_on_sequences("try_map", lambda: M.outcome_text(M.try_map(F.slice("a", 1, 6), lambda x: F.when(x >= 7, x - 7))), "CASE WHEN list_min(a[:6]) < 7 THEN 'err:' || (list_position(list_transform(a[:6], lambda x: x < 7), true) - 1) ELSE 'ok:' || array_to_string(list_transform(a[:6], lambda x: x - 7), ',') END")
+_on_sequences("try_map", lambda: M.outcome_text(M.try_map(F.col("a"), lambda x: F.when(x >= 7, x - 7))), "CASE WHEN list_min(a) < 7 THEN 'err:' || (list_position(list_transform(a, lambda x: x < 7), true) - 1) ELSE 'ok:' || array_to_string(list_transform(a, lambda x: x - 7), ',') END")
 _on_sequences("try_from_fn", lambda: M.outcome_text(M.try_from_fn(4, lambda i: F.get("a", i * 20))), "CASE WHEN len(a) <= 60 THEN 'err:' || CASE WHEN len(a) <= 20 THEN 1 WHEN len(a) <= 40 THEN 2 ELSE 3 END ELSE 'ok:' || a[1] || ',' || a[21] || ',' || a[41] || ',' || a[61] END")
 _on_sequences("transpose", lambda: M.transpose(F.get("a", F.lit(70)).isNotNull(), F.get("a", F.lit(70)) % 2 == 0, F.get("a", F.lit(70))), "CASE WHEN len(a) <= 70 THEN 'ok:none' WHEN a[71] % 2 = 0 THEN 'ok:some:' || a[71] ELSE 'err:' || a[71] END")
-_on_sequences("membership", lambda: M.membership(F.transform(F.slice("a", 1, 9), lambda x: F.when(x >= 5, x)), F.lit(20)), "CASE WHEN list_contains(a[:9], 20) THEN 'in' WHEN list_min(a[:9]) < 5 THEN 'undecided' ELSE 'out' END")
+_on_sequences("membership", lambda: M.membership(F.transform("a", lambda x: F.when(x >= 5, x)), F.lit(20)), "CASE WHEN list_contains(a, 20) THEN 'in' WHEN list_min(a) < 5 THEN 'undecided' ELSE 'out' END")
 _on_sequences("char_range", lambda: M.char_range(F.lit(0xD7F0), F.lit(0xD7F0) + F.get("a", F.lit(0)) % 30 + 0x800), "array_to_string(list_transform(list_filter(range(55280, 55280 + a[1] % 30 + 2048), lambda c: c < 55296 OR c > 57343), lambda c: chr(c::INTEGER)), '')")
 
 
-@query("seq_equality_facts", _SEQ + "SELECT user_id, -1 AS pos, (len(a[:5]) = len(a[4:8])) AS holds FROM s UNION ALL SELECT user_id, unnest(range(0, least(len(a[:5]), len(a[4:8]))))::INTEGER, unnest(list_transform(range(1, least(len(a[:5]), len(a[4:8])) + 1), lambda i: a[i] = a[i + 3])) FROM s")
+@query("seq_equality_facts", _SEQ + "SELECT user_id, -1 AS pos, (len(a) = len(a[4:])) AS holds FROM s UNION ALL SELECT user_id, unnest(range(0, greatest(len(a) - 3, 0)))::INTEGER, unnest(list_transform(range(1, greatest(len(a) - 3, 0) + 1), lambda i: a[i] = a[i + 3])) FROM s")
 def seq_equality_facts(spark, sf):
-    return sequences(spark, sf).select("user_id", F.inline(M.equality_facts(F.slice("a", 1, 5), F.slice("a", 4, 5))))
+    return sequences(spark, sf).select("user_id", F.inline(M.equality_facts(F.col("a"), F.slice("a", F.lit(4), F.size("a")))))
 
 
 # --- mappings and JSON ---

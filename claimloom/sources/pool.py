@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -50,3 +50,23 @@ def decode(lines: DataFrame, text: str, schema: T.StructType) -> tuple[DataFrame
 def file_cids(spark: SparkSession, path: str) -> DataFrame:
     """Content ids of all files below ``path``."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length", F.concat(F.lit("sha2-512:"), F.sha2("content", 512)).alias("cid"))
+
+
+def enumerated(rows: DataFrame, payload: list[str], broken: Column, reason: Column) -> tuple[DataFrame, DataFrame]:
+    """An enumeration's nodes and its gaps: what cannot be given is a row with a reason, never silence."""
+    bad = F.coalesce(broken, F.lit(True))
+    return rows.filter(~bad).select(F.struct(*payload).alias("payload")), rows.filter(bad).select(F.struct(*payload).alias("memento"), reason.alias("reason"))
+
+
+def dump(rows: DataFrame) -> DataFrame:
+    """Each member as one line of JSON, keys in order of name, nulls left out."""
+    return rows.select(F.to_json(F.struct(*sorted(rows.columns))).alias("line"))
+
+
+def save_results(rows: DataFrame, path: str, manifest: str, part: str) -> None:
+    """Per-part results bound to a manifest: parts of a run that is repeated replace themselves, other parts and manifests stay."""
+    rows.withColumn("manifest", F.lit(manifest)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("manifest", part).parquet(path)
+
+
+def saved_results(spark: SparkSession, path: str, manifest: str) -> DataFrame:
+    return spark.read.parquet(path).filter(F.col("manifest") == manifest).drop("manifest")
