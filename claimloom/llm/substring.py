@@ -4,7 +4,8 @@ A window is ``WINDOW`` consecutive words of one text.  Words covered by a window
 words also start earlier (a smaller id, or earlier in the same text) are removed.
 
 1. Scan: each window's anchor is its least hash of ``ANCHOR`` words.  Windows in a row with one anchor
-   form a segment; equal segments of a batch are sent once.
+   form a segment; of equal segments of a batch the first is sent, and of those that a task meets often only one that starts earlier than
+   all before.  An anchor with ``LOCAL_HOT`` different segments in one batch is split: its segments are dealt by content, and a mark tells the anchor's own task.
 2. Meet: segments are dealt by anchor.  Equal windows have equal anchors, so an anchor that occurs once ends here.
    Of equal segments the first stays; all windows of the others start earlier in it.
 3. Index: different segments of one anchor go to one shard, as word hashes.  A shard holds an FM-index over its
@@ -12,8 +13,8 @@ words also start earlier (a smaller id, or earlier in the same text) are removed
    and a sampled suffix array that keeps the earliest place of each interval with several).  Each segment is streamed through it
    from its last word: backward search extends the match by a word, and a match of ``WINDOW`` words is contracted to its
    interval.  These matching statistics, capped at ``WINDOW``, give the windows whose interval has an earlier place.
-   An anchor with more than ``HOT_SEGMENTS`` different segments (the flanks of a very common passage)
-   is not sent to one shard: its windows are dealt singly, by their own hash.
+   A split anchor, or one with more than ``HOT_SEGMENTS`` different segments (the flanks of a very common passage),
+   is not sent to one shard: its windows are dealt singly, by their own hash, and of equal ones a task sends only one that starts earlier than all before.
 4. Remove: reported windows are taken from their texts.  Texts that cannot have any do not enter a shuffle.
 
 A place is (id, start); only a strictly smaller one is earlier.  Rows are told apart by their id and a 64-bit hash of
@@ -40,7 +41,8 @@ from claimloom.llm.textcore import _power, gram_hashes, hash_spans, mix64, slidi
 
 WINDOW = 20
 ANCHOR = 8
-HOT_SEGMENTS = 2048
+#: Different segments of one anchor above which its windows are dealt singly: in the task of step 2, and within one batch of step 1.
+HOT_SEGMENTS, LOCAL_HOT = 2048, 4
 #: Bytes of all texts for each partition of step 2, and for each shard of step 3.
 MEET_BYTES, SHARD_BYTES = 16 << 20, 2 << 20
 _LAST = np.iinfo(np.int64).max
@@ -85,68 +87,150 @@ def _places(anchor, content, doc, start):
     return new, (doc != doc[first]) | (start != start[first])
 
 
-def _sender(batches):
-    for batch in batches:
-        ids, keys = batch.column(0).to_numpy(), batch.column(2).to_numpy()
-        parts = []
-        for a, _, data, off in text_chunks(batch.column(1)):
-            starts, ends, first = word_spans(data, off)
-            tx, start, count, anchor, content = segments(hash_spans(data, starts, ends), first)
-            parts.append((anchor.view(np.int64), content.view(np.int64), ids[a + tx], start - first[tx], count, keys[a + tx]))
-        anchor, content, doc, start, count, row = _in_order(*(np.concatenate(x) for x in zip(*parts)))
-        again = _places(anchor, content, doc, start)[1]
-        # what is known to be repeated need not meet anything: it is dealt out evenly
-        key = np.where(again, mix64(np.arange(len(anchor)).astype(np.uint64) + doc.view(np.uint64)).view(np.int64), anchor)
-        yield pa.record_batch([pa.array(x) for x in (key, anchor, content, doc, start.astype(np.int32), count.astype(np.int32), row, again)], names=["key", "anchor", "content", "doc", "start", "windows", "row", "again"])
-
-
-def _meet(batches):
-    cols = [[] for _ in range(7)]
-    for batch in batches:
-        for c, x in zip(cols, batch.columns[1:]):
-            c.append(x.to_numpy(zero_copy_only=False))
-    if not cols[0]:
-        return
-    *cols, again = (np.concatenate(c) for c in cols)
-    sent = [c[again] for c in cols]  # copies for certain
-    anchor, content, doc, start, count, row = cols = _in_order(*(c[~again] for c in cols))
-    new, copy = _places(anchor, content, doc, start)
-    group = np.cumsum(np.concatenate([[True], np.diff(anchor) != 0])[: len(anchor)]) - 1
-    different = np.bincount(group, weights=new)[group] if len(group) else np.zeros(0)
-    out = np.flatnonzero(copy | (different > 1))
-    cols = [np.concatenate([x, y[out]]) for x, y in zip(sent, cols)]
-    anchor, _, doc, start, count, row = cols
-    copy, hot = np.append(np.ones(len(sent[0]), bool), copy[out]), np.append(np.zeros(len(sent[0]), bool), different[out] > HOT_SEGMENTS)
-    for lo in range(0, len(copy), 100_000):
-        i = slice(lo, lo + 100_000)
-        yield pa.record_batch([pa.array(x) for x in (doc[i], row[i], start[i], count[i], copy[i], anchor[i], hot[i])], names=["doc", "row", "start", "windows", "copy", "anchor", "hot"])
+class _Least:
+    """The least place of each of some keys, as far as a task has read; keys are told apart by their anchor too."""
+
+    def __init__(self):
+        self.cols = [np.zeros(0, np.int64) for _ in range(4)]
+
+    def look(self, key, anchor, doc, start):
+        """Which keys are known, and which places start later than the one known."""
+        k, a, d, s = self.cols
+        if not len(k):
+            return np.zeros(len(key), bool), np.zeros(len(key), bool)
+        i = np.minimum(np.searchsorted(k, key), len(k) - 1)
+        known = (k[i] == key) & (a[i] == anchor)
+        return known, known & ((doc > d[i]) | ((doc == d[i]) & (start > s[i])))
+
+    def learn(self, key, anchor, doc, start):
+        key, anchor, doc, start = (np.concatenate(x) for x in zip(self.cols, (key, anchor, doc, start)))
+        order = np.lexsort((start, doc, key))
+        first = order[np.append(True, key[order][1:] != key[order][:-1])[: len(key)]]
+        self.cols = [x[first] for x in (key, anchor, doc, start)]
+
+
+PLAIN, COPY, SPLIT, MARK = range(4)
+
+
+def _sender(local: int):
+    def run(batches):
+        least, hot = _Least(), np.zeros(0, np.int64)
+        for batch in batches:
+            ids, keys = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+            parts = []
+            for a, _, data, off in text_chunks(batch.column(1)):
+                starts, ends, first = word_spans(data, off)
+                tx, start, count, anchor, content = segments(hash_spans(data, starts, ends), first)
+                parts.append((anchor.view(np.int64), content.view(np.int64), ids[a + tx], start - first[tx], count, keys[a + tx]))
+            anchor, content, doc, start, count, row = _in_order(*(np.concatenate(x) for x in zip(*parts)))
+            new, again = _places(anchor, content, doc, start)
+            known, later = least.look(content, anchor, doc, start)
+            head = np.flatnonzero(new)
+            if len(head):
+                often = head[np.logical_or.reduceat(again | known, head)]
+                least.learn(content[often], anchor[often], doc[often], start[often])
+            again |= later
+            group = np.cumsum(np.append(True, anchor[1:] != anchor[:-1])[: len(anchor)]) - 1
+            many = np.unique(anchor[np.bincount(group, weights=new)[group] >= local]) if len(group) else anchor
+            marks = np.setdiff1d(many, hot)
+            hot = np.union1d(hot, marks)
+            kind = np.where(again, COPY, np.where(np.isin(anchor, hot), SPLIT, PLAIN))
+            # what is known to be repeated need not meet anything: it is dealt out evenly; segments of an anchor with many are dealt by content
+            spread = mix64(np.arange(len(anchor)).astype(np.uint64) + doc.view(np.uint64)).view(np.int64)
+            apart = mix64(anchor.view(np.uint64) + content.view(np.uint64)).view(np.int64)
+            key = np.where(kind == COPY, spread, np.where(kind == SPLIT, apart, anchor))
+            none = np.zeros(len(marks), np.int64)
+            cols = [np.concatenate([x, y]) for x, y in zip((key, anchor, content, doc, start, count, row, kind), (marks, marks, none, none, none, none, none, none + MARK))]
+            types = (np.int64, np.int64, np.int64, np.int64, np.int32, np.int32, np.int64, np.int8)
+            yield pa.record_batch([pa.array(x.astype(t)) for x, t in zip(cols, types)], names=["key", "anchor", "content", "doc", "start", "windows", "row", "kind"])
+
+    return run
+
+
+def _meet(most: int):
+    def run(batches):
+        cols = [[] for _ in range(7)]
+        for batch in batches:
+            for c, x in zip(cols, batch.columns[1:]):
+                c.append(x.to_numpy(zero_copy_only=False))
+        if not cols[0]:
+            return
+        *cols, kind = (np.concatenate(c) for c in cols)
+        sent = [c[kind == COPY] for c in cols]
+        split = np.unique(cols[0][kind >= SPLIT])  # other tasks may hold segments of these anchors
+        anchor, content, doc, start, count, row = cols = _in_order(*(c[(kind == PLAIN) | (kind == SPLIT)] for c in cols))
+        new, copy = _places(anchor, content, doc, start)
+        group = np.cumsum(np.append(True, anchor[1:] != anchor[:-1])[: len(anchor)]) - 1
+        different = np.bincount(group, weights=new)[group] if len(group) else np.zeros(0)
+        hot = np.isin(anchor, split) | (different > most)
+        out = np.flatnonzero(copy | (different > 1) | hot)
+        cols = [np.concatenate([x, y[out]]) for x, y in zip(sent, cols)]
+        anchor, _, doc, start, count, row = cols
+        copy, hot = np.append(np.ones(len(sent[0]), bool), copy[out]), np.append(np.zeros(len(sent[0]), bool), hot[out])
+        for lo in range(0, len(copy), 100_000):
+            i = slice(lo, lo + 100_000)
+            yield pa.record_batch([pa.array(x) for x in (doc[i], row[i], start[i], count[i], copy[i], anchor[i], hot[i])], names=["doc", "row", "start", "windows", "copy", "anchor", "hot"])
+
+    return run
+
+
+def _singly(pieces, least: _Least, h: np.ndarray):
+    """Of hot ``pieces`` ``(anchor, doc, row, start, windows, first word in h)``: each window to search by its own hash, and runs that are copies for certain.
+
+    ``(key, doc, row, start, windows, words or None)``; ``least`` holds the least place of each window that the task has met.
+    """
+    n = np.array([p[4] for p in pieces], np.int64)
+    of = np.repeat(np.arange(len(n)), n)
+    step = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+    anchor, doc, row, start, at = (np.array([p[i] for p in pieces], np.int64)[of] for i in (0, 1, 2, 3, 5))
+    start, at = start + step, at + step
+    g = np.concatenate([gram_hashes(h[p[5] : p[5] + p[4] + WINDOW - 1], np.array([0, p[4] + WINDOW - 1]), WINDOW)[0] for p in pieces]).view(np.int64)
+    order = np.lexsort((start, doc, anchor, g))
+    new, again = _places(anchor[order], g[order], doc[order], start[order])
+    gone = np.zeros(len(g), bool)
+    gone[order] = again
+    gone |= least.look(g, anchor, doc, start)[1]
+    first = order[new]
+    least.learn(g[first], anchor[first], doc[first], start[first])
+    for i in np.flatnonzero(~gone).tolist():
+        yield int(g[i]), int(doc[i]), int(row[i]), int(start[i]), 1, h[at[i] : at[i] + WINDOW].tobytes()
+    copies = np.flatnonzero(gone)
+    if len(copies):
+        head = np.flatnonzero(np.append(True, (np.diff(copies) != 1) | (np.diff(of[copies]) != 0)))
+        spread = mix64(np.arange(len(head)).astype(np.uint64) + doc[copies[head]].view(np.uint64)).view(np.int64)
+        for k, i, m in zip(spread.tolist(), copies[head].tolist(), np.diff(np.append(head, len(copies))).tolist()):
+            yield k, int(doc[i]), int(row[i]), int(start[i]), m, None
 
 
 def _fetch(shards: int):
+    names = ["shard", "doc", "row", "start", "windows", "words"]
+
     def run(batches):
+        least = _Least()
         for batch in batches:
             docs, keys, places = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(3).to_pylist()
             out = [[] for _ in _FETCHED]
             for a, _, data, off in text_chunks(batch.column(2)):
                 starts, ends, first = word_spans(data, off)
                 h = hash_spans(data, starts, ends)
+                rows, pieces = [], []
                 for i in range(len(off) - 1):
-                    words = h[first[i] : first[i + 1]]
                     for p in places[a + i]:
-                        s, n = p["start"], p["windows"]
-                        if not p["hot"]:
-                            rows = [(p["anchor"], s, n)]
+                        s, n, at = p["start"], p["windows"], first[i] + p["start"]
+                        if p["hot"]:
+                            pieces.append((p["anchor"], docs[a + i], keys[a + i], s, n, at))
                         else:
-                            g = gram_hashes(words[s : s + n + WINDOW - 1], np.array([0, n + WINDOW - 1]), WINDOW)[0].view(np.int64).tolist()
-                            rows = [(g[j], s + j, 1) for j in range(n)]
-                        for key, at, count in rows:
-                            for c, x in zip(out, (key % shards, docs[a + i], keys[a + i], at, count, words[at : at + count + WINDOW - 1].tobytes())):
-                                c.append(x)
+                            rows.append((p["anchor"], docs[a + i], keys[a + i], s, n, h[at : at + n + WINDOW - 1].tobytes()))
+                if pieces:
+                    rows += _singly(pieces, least, h)
+                for key, *rest in rows:
+                    for c, x in zip(out, (key % shards, *rest)):
+                        c.append(x)
                 if len(out[0]) > 20_000:
-                    yield pa.record_batch([pa.array(c, t) for c, t in zip(out, _FETCHED)], names=["shard", "doc", "row", "start", "windows", "words"])
+                    yield pa.record_batch([pa.array(c, t) for c, t in zip(out, _FETCHED)], names=names)
                     out = [[] for _ in _FETCHED]
             if out[0]:
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(out, _FETCHED)], names=["shard", "doc", "row", "start", "windows", "words"])
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(out, _FETCHED)], names=names)
 
     return run
 
@@ -283,7 +367,14 @@ _REMOVED = pa.schema([("doc", pa.int64()), ("row", pa.int64()), ("start", pa.int
 
 
 def _search(t: pa.Table) -> pa.Table:
-    t = t.combine_chunks().sort_by([("doc", "ascending"), ("row", "ascending"), ("start", "ascending")])
+    t = t.combine_chunks()
+    known = t.filter(t.column("words").is_null()).select(_REMOVED.names)
+    t = t.filter(t.column("words").is_valid())
+    return pa.concat_tables([known, _indexed(t)]).cast(_REMOVED) if len(t) else known
+
+
+def _indexed(t: pa.Table) -> pa.Table:
+    t = t.sort_by([("doc", "ascending"), ("row", "ascending"), ("start", "ascending")])
     doc, row, start, count = (t.column(c).to_numpy().astype(np.int64) for c in ("doc", "row", "start", "windows"))
     size = count + WINDOW - 1
     words = np.frombuffer(b"".join(t.column("words").to_pylist()), np.uint64)
@@ -342,8 +433,8 @@ def repeated(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> Dat
     size = docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
     own = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = _keyed(docs, text, id_col).select("doc", "text", "row")
-    sent = rows.mapInArrow(_sender, "key long, anchor long, content long, doc long, start int, windows int, row long, again boolean")
-    met = stored(sent.repartition(max(own, size // MEET_BYTES), "key").mapInArrow(_meet, "doc long, row long, start int, windows int, copy boolean, anchor long, hot boolean"), "sub-met")
+    sent = rows.mapInArrow(_sender(LOCAL_HOT), "key long, anchor long, content long, doc long, start int, windows int, row long, kind byte")
+    met = stored(sent.repartition(max(own, size // MEET_BYTES), "key").mapInArrow(_meet(HOT_SEGMENTS), "doc long, row long, start int, windows int, copy boolean, anchor long, hot boolean"), "sub-met")
     seek = met.filter("not copy").groupBy("doc", "row").agg(F.collect_list(F.struct("start", "windows", "anchor", "hot")).alias("places"))
     hits = maybe_in(F.xxhash64("doc", "row"), met.filter("not copy").select(F.xxhash64("doc", "row").alias("h")).distinct())
     shards = max(16, size // SHARD_BYTES)

@@ -99,13 +99,27 @@ def removal(docs):
     return out
 
 
-@pytest.mark.parametrize("hot", [2048, 1])
-def test_substrings(spark, sf, docs, hot, monkeypatch):
+@pytest.mark.parametrize("hot, local", [(2048, 4), (1, 4), (2048, 1), (2048, 2)])
+def test_substrings(spark, sf, docs, hot, local, monkeypatch):
     monkeypatch.setattr(substring, "HOT_SEGMENTS", hot)
+    monkeypatch.setattr(substring, "LOCAL_HOT", local)
     got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring.op2_substring(spark, sf).collect()}
     assert got == removal(docs)
 
 
+def test_hot_windows_are_sent_by_their_least_place_only():
+    """Of windows that a task meets again, only places before all met so far are searched; the rest are copies."""
+    rng = np.random.default_rng(3)
+    h = rng.integers(1, 2**62, 60).astype(np.uint64)
+    least, sent, gone = substring._Least(), [], []
+    for doc in (5, 9, 3, 9, 3, 1):
+        rows = list(substring._singly([(7, doc, doc, 10, 41, 0), (7, doc, doc, 100, 41, 0)], least, h))
+        sent += [(r[1], r[3]) for r in rows if r[5] is not None]
+        gone += [(r[1], r[3] + j) for r in rows if r[5] is None for j in range(r[4])]
+    assert sorted(sent) == sorted((d, 10 + j) for d in (5, 3, 3, 1) for j in range(41))
+    assert len(sent) + len(gone) == 6 * 82 and (9, 10) in gone and (5, 100) in gone
+
+
 def test_fm_index():
     """Intervals and earliest places of an indexed text, and matching statistics of another one with unknown tokens."""
     rng = np.random.default_rng(0)
@@ -314,9 +328,10 @@ def test_toxicity_finds_some_of_a_small_table(spark, sf):
     assert got.score.nunique() > 1 and got[got.toxic == 1].predicted.mean() > 0.5 > got[got.toxic == 0].predicted.mean()
 
 
-@pytest.mark.parametrize("hot", [2048, 1])
-def test_substrings_of_rows_that_share_an_id(spark, docs, hot, monkeypatch):
+@pytest.mark.parametrize("hot, local", [(2048, 4), (1, 4), (2048, 1), (2048, 2)])
+def test_substrings_of_rows_that_share_an_id(spark, docs, hot, local, monkeypatch):
     monkeypatch.setattr(substring, "HOT_SEGMENTS", hot)
+    monkeypatch.setattr(substring, "LOCAL_HOT", local)
     rng = np.random.default_rng(4)
     say = lambda n: " ".join(f"v{i}" for i in rng.integers(0, 10**6, n))
     a, b, c, d, e = (say(60) for _ in range(5))
