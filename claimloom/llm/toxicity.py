@@ -37,6 +37,8 @@ from claimloom.llm.textcore import gram_hashes, hash_spans, text_chunks, word_sp
 #: Defaults of ``max_positive`` and ``max_unlabelled``: texts of each kind in the descent, at most.
 MAX_POSITIVE, MAX_UNLABELLED = 4000, 12000
 BUCKETS = 1 << 20
+#: Buckets whose counts make one row.
+BLOCK = 1 << 12
 #: A feature must occur in so many positives of the sample (in 1 of fewer than ``FEW``, one more for each further ``FEW``, up to this).
 MIN_POSITIVES, FEW = 4, 20
 #: A feature counts ``z * z / (z * z + EVIDENCE)`` in the fit, where its rates in positives and unlabelled texts differ by ``z`` standard errors.
@@ -148,26 +150,44 @@ def _featurise(vocab):
 
 
 def _counter(vocab):
-    """How many texts of a partition hold each bucket (of the vocabulary, if there is one); as bucket -1 the number of texts."""
+    """How many texts of a partition hold each bucket (of the vocabulary, if there is one), in blocks; as block -1 the number of texts."""
 
     def run(batches):
-        total, n = np.zeros(BUCKETS, np.int64), 0
+        total, n = np.zeros(BUCKETS, np.int32), 0
         for batch in batches:
             for _, f, bound in features(batch.column(0)):
-                total += np.bincount(f, minlength=BUCKETS)
+                total += np.bincount(f, minlength=BUCKETS).astype(np.int32)
                 n += len(bound) - 1
-        at = np.flatnonzero(total) if vocab is None else vocab.value
-        yield pa.record_batch([pa.array(np.append(at, -1).astype(np.int64)), pa.array(np.append(total[at], n))], names=["bucket", "n"])
+        held = total if vocab is None else total[vocab.value]
+        yield pa.record_batch([pa.array([-1], pa.int32()), pa.array([[n]], pa.list_(pa.int32()))], names=["block", "counts"])
+        for lo in range(0, len(held), BLOCK):
+            if (part := held[lo : lo + BLOCK]).any():
+                yield pa.record_batch([pa.array([lo // BLOCK], pa.int32()), pa.array([part], pa.list_(pa.int32()))], names=["block", "counts"])
 
     return run
 
 
+def _adder(batches):
+    """Blocks of counts, added up; a task holds its blocks only, however many partitions sent them."""
+    sums = {}
+    for batch in batches:
+        for block, counts in zip(batch.column(0).to_pylist(), batch.column(1)):
+            x = counts.values.to_numpy().astype(np.int64)
+            sums[block] = sums[block] + x if block in sums else x
+    for block, x in sums.items():
+        yield pa.record_batch([pa.array([block], pa.int32()), pa.array([x], pa.list_(pa.int64()))], names=["block", "counts"])
+
+
 def _counts(texts: DataFrame, vocab=None) -> tuple[np.ndarray, int]:
-    """How many texts hold each bucket, and how many there are; at most ``BUCKETS + 1`` rows reach the driver."""
-    rows = texts.mapInArrow(_counter(vocab), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-    got, out = rows.toArrow(), np.zeros(BUCKETS + 1, np.int64)
-    out[got.column("bucket").to_numpy()] = got.column("n").to_numpy()
-    return out[:BUCKETS], int(out[-1])
+    """How many texts hold each bucket, and how many there are; at most ``BUCKETS + 1`` counts reach the driver."""
+    rows = texts.mapInArrow(_counter(vocab), "block int, counts array<int>").repartition("block").mapInArrow(_adder, "block int, counts array<long>").toArrow()
+    at, out, n = np.arange(BUCKETS) if vocab is None else vocab.value, np.zeros(BUCKETS, np.int64), 0
+    for block, counts in zip(rows.column("block").to_pylist(), rows.column("counts").to_pylist()):
+        if block < 0:
+            n = counts[0]
+        else:
+            out[at[block * BLOCK : block * BLOCK + len(counts)]] = counts
+    return out, n
 
 
 def _scorer(model):
