@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimloom.llm.bitset import maybe_in
-from claimloom.llm.store import fresh, stored
+from claimloom.llm.store import discard, fresh, stored
 
 PREFIX_CHARS = 64
 #: A group with more than this part of all rows is joined by broadcast; there are fewer such groups than parts.
@@ -36,8 +36,10 @@ def classes(docs: DataFrame, text: str = "text", id_col: str = "doc_id", digest:
     norm = normalised(F.col(text))
     rows = docs.select(F.col(id_col).alias("id"), F.length(F.coalesce(F.col(text), F.lit(""))).cast("long").alias("chars"), norm.alias("norm"))
     rows = rows.withColumns({"length": F.length("norm").cast("long"), "prefix_hash": F.xxhash64(F.substring("norm", 1, PREFIX_CHARS)), "row": F.monotonically_increasing_id()})
+    made = []
     if digest:
         rows = stored(rows.select("id", "chars", "length", "prefix_hash", "row", F.sha2("norm", 256).alias("digest")), "exact-digests")
+        made = [rows]
     lengths = stored(rows.groupBy("length", "prefix_hash").agg(F.count("*").alias("n")), "exact-prefix")
     # level 1: lengths that two rows share; level 2: prefixes that two rows of such a length share
     shared = lengths.groupBy("length").agg(F.sum("n").alias("m")).filter("m > 1").select("length")
@@ -45,7 +47,11 @@ def classes(docs: DataFrame, text: str = "text", id_col: str = "doc_id", digest:
     hit = maybe_in(F.xxhash64("length", "prefix_hash"), alive)
     # level 3: the full content, of survivors only
     full = F.col("digest") if digest else F.sha2("norm", 256)
-    return rows.select("id", "chars", "length", "prefix_hash", "row", F.when(hit, full).alias("full_hash"), *(["digest"] if digest else []))
+    rows = rows.select("id", "chars", "length", "prefix_hash", "row", F.when(hit, full).alias("full_hash"), *(["digest"] if digest else []))
+    # later plans read the three levels, none of them repeats the subquery of the bit set
+    out = stored(rows, "exact-rows")
+    discard(lengths, *made)
+    return out
 
 
 def exact_dedup(docs: DataFrame, text: str = "text", id_col: str = "doc_id", digest: bool = False) -> DataFrame:
@@ -54,8 +60,6 @@ def exact_dedup(docs: DataFrame, text: str = "text", id_col: str = "doc_id", dig
     Of equal texts the row with most code points, then the smallest id, stays.
     """
     rows = classes(docs, text, id_col, digest)
-    if not digest:  # the content is read once
-        rows = stored(rows, "exact-rows")
     alone = rows.filter("full_hash is null").withColumns({"keep_id": F.col("id"), "group_size": F.lit(1).cast("long"), "kept": F.lit(True)}).drop("row")
     met = rows.filter("full_hash is not null")
     # of repeated rows the first one stored stays
