@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from claimloom.llm import ann, exact, language, minhash, mixing, packing, secrets, sharding, substring, toxicity
+from claimloom.llm import ann, exact, language, minhash, mixing, packing, repair, secrets, sharding, substring, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_sharding": sharding.op8_sharding,
     "op9_minhash": minhash.op9_minhash,
     "op10_mixing": mixing.op10_mixing,
+    "op13_repair": repair.op13_repair,
 }
 
 #: Those that SQL can express over whole tables; the others are tested against brute force.
