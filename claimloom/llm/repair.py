@@ -42,7 +42,6 @@ SOUND, BLANK, DUPLICATE, TRUNCATED = range(4)
 #: States of the pattern: nothing yet, after s, after u, after a.
 _START, _S, _U, _A = range(4)
 _NEXT = {(_START, "s"): _S, **{(q, "u"): _U for q in (_START, _S, _A)}, (_U, "a"): _A}
-_SPACES = " \t\n\x0b\x0c\r"
 
 
 def _turn(q: int) -> tuple[str, str]:
@@ -106,15 +105,6 @@ def lines(rows: list[tuple[str, str]], audit: str, q: int) -> list[str]:
     return out
 
 
-def _state_after(audit: str, initials: str, q: int) -> int:
-    i = 0
-    for edit in audit:
-        if edit != "D":
-            q = _NEXT[q, initials[i] if edit == "K" else _turn(q)[1]]
-        i += edit != "I"
-    return q
-
-
 _EDGE = "array<struct<a:int,b:int,cost:long,audit:string>>"
 _STATS = ["rows", "blank", "duplicate", "truncated", "illegal", "turns"]
 

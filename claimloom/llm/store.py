@@ -62,6 +62,14 @@ def discard(*tables: DataFrame) -> None:
             fs.delete(where, True)
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` from a reliable checkpoint in the shared folder: lineage is cut, and partitions and their order stay as they are."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(shared_dir(df.sparkSession))
+    return df.checkpoint()
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """The names, with underscores behind them as far as columns of ``df`` have them (in either case)."""
     taken, out = {c.lower() for c in df.columns}, []
