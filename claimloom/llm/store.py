@@ -47,13 +47,20 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/claimloom/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    fs, where = _file(spark, path)
-    fs.deleteOnExit(where)
+    temporary(spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_path = path
     return out
 
 
+def temporary(spark: SparkSession, path: str) -> None:
+    """Have ``path`` removed when the driver's JVM ends, whether it exists by now or not."""
+    fs, where = _file(spark, path)
+    if not fs.exists(where):
+        fs.mkdirs(where)
+    fs.deleteOnExit(where)
+
+
 def discard(*tables: DataFrame) -> None:
     """Remove the files of stored tables that nothing reads any more: all that was made of them is stored itself."""
     for t in tables:
