@@ -7,12 +7,13 @@ leaves until they hold ``VISITS / sqrt(depth)`` times as many vectors as there a
 tree that it is met in; deeper trees order their leaves better).  The vectors of visited leaves are ranked exactly, in double precision, leaf by leaf.
 The rule is the same at every size.
 
-Equal vectors are one point with its ``top + 1`` smallest ids: no more of them can be
-among ``top`` results, as ties go to the smaller id.  So a very common vector loads no leaf.
+Rows are numbered in order of id.  Equal vectors are one point with the ``top + 1`` first of its rows: no more of them can be
+among ``top`` results, as ties go to the smaller id.  So a very common vector loads no leaf.  Components stay what they are,
+float or double; products are taken in double precision.
 
 Null, zero or non-finite vectors, and those with a null or non-finite component, take no part, and neither do null
-ids.  A vector that is shorter than the longest one counts as padded with zeros.  Repeated rows count once;
-an id with several vectors has the smallest of them (component by component).  Ties in score go to the smaller id.
+ids.  A vector that is shorter than the longest one counts as padded with zeros.  Every row is a candidate and, where its id
+says so, a query, repeated rows and several vectors of one id too; only a row itself is not its own neighbour.  Ties in score go to the smaller id.
 Very long vectors only cost memory in proportion.  An empty table gives an empty result; other columns, whatever their names, are not read.
 """
 
@@ -25,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from claimloom.llm.store import small_batches, stored
 from claimloom.llm.textcore import mix64
@@ -47,9 +49,10 @@ class Forest:
     def __init__(self, sample: np.ndarray, depth: int, trees: int = TREES, seed: int = 7):
         rng = np.random.default_rng(seed)
         self.depth, self.trees, inner = depth, trees, (1 << depth) - 1
-        self.normal = rng.standard_normal((trees, inner, sample.shape[1])).astype(np.float32)
+        # vectors of doubles may not fit in floats
+        self.normal = rng.standard_normal((trees, inner, sample.shape[1])).astype(sample.dtype)
         self.normal /= np.linalg.norm(self.normal, axis=2, keepdims=True)
-        self.split = np.zeros((trees, inner), np.float32)
+        self.split = np.zeros((trees, inner), sample.dtype)
         for t in range(trees):
             groups = {0: np.arange(len(sample))}
             for node in range(inner):
@@ -70,7 +73,7 @@ class Forest:
 
     def walk(self, v: np.ndarray, sizes: np.ndarray, budget: float) -> list[int]:
         """Cells (tree * leaves + leaf) that one query visits; sizes: vectors of each cell."""
-        margin = (self.normal.reshape(-1, self.normal.shape[2]) @ v).reshape(self.split.shape) - self.split
+        margin = np.nan_to_num((self.normal.reshape(-1, self.normal.shape[2]) @ v).reshape(self.split.shape) - self.split)
         inner, leaves = (1 << self.depth) - 1, 1 << self.depth
         margins = margin.tolist()
         heap = [(0.0, t, 0) for t in range(self.trees)]
@@ -181,35 +184,40 @@ def neighbours(table: DataFrame, id_col: str = "vec_id", vector: str = "embeddin
     """``query_id, rank, id, score``: of rows whose id is divisible by ``query_every``, the nearest others."""
     spark = table.sparkSession
     small_batches(spark)
-    rows = table.select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<float>").alias("v")).filter("id is not null and v is not null")
-    rows = rows.filter("forall(v, x -> x is not null and not isnan(x) and abs(x) < float('infinity')) and exists(v, x -> x <> 0)")
+    part = "double" if isinstance(table.schema[vector].dataType.elementType, T.DoubleType) else "float"
+    rows = table.select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast(f"array<{part}>").alias("v")).filter("id is not null and v is not null")
+    rows = rows.filter(f"forall(v, x -> x is not null and not isnan(x) and abs(x) < cast('infinity' as {part})) and exists(v, x -> x <> 0)")
     width = rows.agg(F.max(F.size("v"))).first()[0] or 1
-    rows = rows.withColumn("v", F.concat("v", F.array_repeat(F.lit(0.0).cast("float"), F.lit(width) - F.size("v"))))
-    rows = rows.groupBy("id").agg(F.min("v").alias("v")).withColumns({"h1": F.xxhash64("v"), "h2": F.xxhash64(F.reverse("v"))})
+    # -0 and 0 are one component, so that equal vectors hash alike
+    rows = rows.withColumn("v", F.transform(F.concat("v", F.array_repeat(F.lit(0.0).cast(part), F.lit(width) - F.size("v"))), lambda x: F.when(x == 0, F.lit(0.0).cast(part)).otherwise(x)))
+    rows = rows.withColumns({"h1": F.xxhash64("v"), "h2": F.xxhash64(F.reverse("v"))})
+    # the numbers are in order of id, over partitions too; rows of one id are spread by their vector
+    rows = rows.repartitionByRange("id", "h1", "h2").sortWithinPartitions("id", "h1", "h2").withColumn("row", F.monotonically_increasing_id())
     rows = stored(rows, "ann-rows")
-    first = rows.withColumn("_n", F.row_number().over(Window.partitionBy("h1", "h2").orderBy("id"))).filter(F.col("_n") <= top + 1)
-    points = stored(first.groupBy("h1", "h2").agg(F.min("id").alias("pid"), F.array_sort(F.collect_set("id")).alias("ids"), F.first("v").alias("v")), "ann-points")
-    asking = stored(rows.filter(F.col("id") % query_every == 0).select(F.col("id").alias("query_id"), "h1", "h2").join(points.select("h1", "h2", F.col("pid").alias("qid")), ["h1", "h2"]).select("query_id", "qid"), "ann-queries")
+    first = rows.withColumn("_n", F.row_number().over(Window.partitionBy("h1", "h2").orderBy("row"))).filter(F.col("_n") <= top + 1)
+    points = stored(first.groupBy("h1", "h2").agg(F.min("row").alias("pid"), F.array_sort(F.collect_list(F.struct("row", "id"))).alias("ids"), F.first("v").alias("v")), "ann-points")
+    asking = stored(rows.filter(F.col("id") % query_every == 0).select(F.col("id").alias("query_id"), F.col("row").alias("query_row"), "h1", "h2").join(points.select("h1", "h2", F.col("pid").alias("qid")), ["h1", "h2"]).select("query_id", "query_row", "qid"), "ann-queries")
     n = points.count()
-    sample = points.select("v", F.xxhash64("pid").alias("o")).orderBy("o").limit(SAMPLE).collect()
+    sample = points.select("v", F.xxhash64("h1", "h2").alias("o")).orderBy("o", "pid").limit(SAMPLE).collect()
     depth = max(0, min(int(math.log2(max(1, n / LEAF))), int(math.log2(max(1, len(sample) / SAMPLE_LEAF)))))
-    forest = spark.sparkContext.broadcast(Forest(np.array([r["v"] for r in sample], np.float32).reshape(len(sample), len(sample[0]["v"]) if sample else 1), depth))
+    forest = spark.sparkContext.broadcast(Forest(np.array([r["v"] for r in sample], np.float64 if part == "double" else np.float32).reshape(len(sample), len(sample[0]["v"]) if sample else 1), depth))
     # cells are ranked in bins, each of which gives a query's best once: at least BINS, and BIN_ROWS vectors in each, about
     bins = TREES * max(BINS // TREES, -(-n // BIN_ROWS))
-    cells = stored(points.select("pid", "v").mapInArrow(_assign(forest, bins), "bin long, cell long, pid long, v array<float>"), "ann-cells")
+    cells = stored(points.select("pid", "v").mapInArrow(_assign(forest, bins), f"bin long, cell long, pid long, v array<{part}>"), "ann-cells")
     counts = np.zeros(TREES << depth, np.int64)
     for r in cells.groupBy("cell").count().collect():
         counts[r["cell"]] = r["count"]
     parts = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     ask = points.select("pid", "v").join(asking.select(F.col("qid").alias("pid")).distinct(), "pid", "left_semi").repartition(parts, "pid")
-    walks = ask.mapInArrow(_walk(forest, spark.sparkContext.broadcast(counts), visits / math.sqrt(max(1, depth)) * n, bins), "bin long, cells array<long>, qid long, v array<float>")
+    walks = ask.mapInArrow(_walk(forest, spark.sparkContext.broadcast(counts), visits / math.sqrt(max(1, depth)) * n, bins), f"bin long, cells array<long>, qid long, v array<{part}>")
     found = cells.groupBy("bin").cogroup(walks.groupBy("bin")).applyInArrow(_rank(top), "qid long, pid long, score double")
     found = found.groupBy("qid", "pid").agg(F.max("score").alias("score"))
     found = found.withColumn("_n", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "pid"))).filter(F.col("_n") <= top + 1)
-    found = found.join(points.select("pid", "ids"), "pid").select("qid", "score", F.explode("ids").alias("id"))
-    found = found.withColumn("_n", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "id"))).filter(F.col("_n") <= top + 1)
-    out = asking.join(found.select("qid", "id", "score"), "qid").filter("id <> query_id")
-    out = out.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).filter(F.col("rank") <= top)
+    found = found.join(points.select("pid", "ids"), "pid").select("qid", "score", F.inline("ids"))
+    found = found.withColumn("_n", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "row"))).filter(F.col("_n") <= top + 1)
+    # a query of a point of more than top + 1 equal rows need not be among them: then the first top are its neighbours
+    out = asking.join(found.select("qid", "row", "id", "score"), "qid").filter("row <> query_row")
+    out = out.withColumn("rank", F.row_number().over(Window.partitionBy("query_row").orderBy(F.desc("score"), "row"))).filter(F.col("rank") <= top)
     return out.select("query_id", "rank", "id", "score")
 
 
