@@ -10,8 +10,9 @@ a language.  For web pages three more kinds of evidence are multiplied in:
 
 Counts are sums of the text model's posteriors (grouped aggregations), and a page's own share is
 taken out of its host's.  Trigrams of one text depend on each other, so the weight of a longer text grows with the root of
-their number (``ROOT_GRAMS``).  The model knows the languages that at least ``LANG_SHARE`` of the documents state (there are fewer than
-1 / LANG_SHARE of them); documents of rarer ones are judged like others.
+their number (``ROOT_GRAMS``).  The model knows every stated language, however rare: counts are sparse, so a language costs what
+its trigrams cost, and a row's scores are as many numbers as there are languages.  A rare language's unseen trigrams are as
+unlikely as a common one's (``UNSEEN``), so junk does not look like it; one that a single document states knows only that document.
 
 Null and empty texts have no text evidence and are rejected; null ids are ordinary ids; repeated
 rows count each and share their decision, rows of one id with other texts are judged apart; of languages with equal scores the first by name is taken; a very long text
@@ -36,8 +37,10 @@ from claimloom.llm.textcore import text_chunks
 BUCKETS = 1 << 12
 #: A text of n trigrams counts as so many independent ones times the root of n, at most n.
 ROOT_GRAMS = 6.3
-#: Share of the documents with a stated language that a language of the model has at least.
-LANG_SHARE = 1e-3
+#: Share of a language's trigrams that is given to unseen ones at most, and what each bucket gets at most (in trigrams).
+UNSEEN, PSEUDO = 0.02, 0.5
+#: Languages that a counting task holds before it hands on its counts.
+HELD = 256
 #: Weight of the parent in a prior, in pages.
 SMOOTHING = 5.0
 #: Texts whose trigrams are, on average, so much less likely than uniform ones are no language.
@@ -65,48 +68,63 @@ def grams(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _counter(batches):
     total: dict[str, np.ndarray] = {}
+
+    def counts():
+        for lang, c in total.items():
+            at = np.flatnonzero(c)
+            yield pa.record_batch([pa.array([lang] * len(at), pa.string()), pa.array(at), pa.array(c[at])], names=["lang", "bucket", "n"])
+        total.clear()
+
     for batch in batches:
         langs = batch.column(0).to_pylist()
         for a, _, data, off in text_chunks(batch.column(1)):
             g, bound = grams(data, off)
             for i in range(len(off) - 1):
-                c = total.setdefault(langs[a + i], np.zeros(BUCKETS, np.int64))
                 if bound[i + 1] > bound[i]:
+                    c = total.setdefault(langs[a + i], np.zeros(BUCKETS, np.int64))
                     c += np.bincount(g[bound[i] : bound[i + 1]], minlength=BUCKETS)
-    for lang, c in total.items():
-        at = np.flatnonzero(c)
-        yield pa.record_batch([pa.array([lang] * len(at), pa.string()), pa.array(at), pa.array(c[at])], names=["lang", "bucket", "n"])
+                    if len(total) > HELD:
+                        yield from counts()
+    yield from counts()
 
 
 class TextModel:
-    def __init__(self, rows: list):
-        self.langs = sorted({r["lang"] for r in rows}) or ["und"]
-        count = np.full((len(self.langs), BUCKETS), 0.5)
-        at = {x: i for i, x in enumerate(self.langs)}
-        for r in rows:
-            count[at[r["lang"]], r["bucket"]] += r["n"]
-        self.logp = np.log(count / count.sum(axis=1, keepdims=True))
+    """Log probabilities of the buckets in each language: those seen, sparse, and one for all others."""
+
+    def __init__(self, lang: np.ndarray, bucket: np.ndarray, n: np.ndarray):
+        order = np.argsort(lang, kind="stable")
+        lang, bucket, n = lang[order], bucket[order], n[order]
+        names, first = np.unique(lang, return_index=True)
+        self.langs = [str(x) for x in names] or ["und"]
+        self.seen, self.rest = [], []
+        for a, b in zip(first, [*first[1:], len(lang)]):
+            each = min(PSEUDO, UNSEEN * n[a:b].sum() / BUCKETS)
+            total = n[a:b].sum() + each * BUCKETS
+            self.seen.append((bucket[a:b].astype(np.int16), np.log((n[a:b] + each) / total)))
+            self.rest.append(float(np.log(each / total)))
+        if not self.seen:
+            self.seen, self.rest = [(np.zeros(0, np.int16), np.zeros(0))], [float(-np.log(BUCKETS))]
 
     def score(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Mean log likelihood above a uniform one (texts x languages), and numbers of trigrams."""
         g, bound = grams(data, off)
         n = np.diff(bound)
         out = np.zeros((len(off) - 1, len(self.langs)))
-        for j, p in enumerate(self.logp):
-            total = np.concatenate([[0], np.cumsum(p[g])])
+        for j, ((at, p), rest) in enumerate(zip(self.seen, self.rest)):
+            logp = np.full(BUCKETS, rest)
+            logp[at] = p
+            total = np.concatenate([[0], np.cumsum(logp[g])])
             out[:, j] = (total[bound[1:]] - total[bound[:-1]]) / np.maximum(n, 1) - np.where(n > 0, np.log(1 / BUCKETS), 0)
         return out, n
 
 
 def text_model(docs: DataFrame, text: str = "text", lang: str = "lang"):
-    """The model (broadcast: languages x ``BUCKETS`` numbers) from all documents with a stated language."""
+    """The model (broadcast: for each stated language at most ``BUCKETS`` numbers) from all documents with a stated language."""
     small_batches(docs.sparkSession)
     rows = docs.filter(F.col(lang).isNotNull()).select(F.lower(F.col(lang)).alias("lang"), F.col(text).alias("text"))
-    stated = rows.groupBy("lang").count()
-    least = LANG_SHARE * (stated.agg(F.sum("count")).first()[0] or 0)
-    rows = rows.filter(F.col("lang").isin(*[r["lang"] for r in stated.filter(F.col("count") >= least).collect()]))
-    got = rows.mapInArrow(_counter, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).collect()
-    return docs.sparkSession.sparkContext.broadcast(TextModel(got))
+    got = rows.mapInArrow(_counter, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    lang_, bucket, n = (got.column(c).to_numpy() for c in ("lang", "bucket", "n"))
+    return docs.sparkSession.sparkContext.broadcast(TextModel(lang_.astype(str), bucket, n))
 
 
 #: Elements whose content is no text of the page (fixed values), and where a comment or one of them begins and ends.

@@ -222,6 +222,32 @@ def test_language(spark, sf):
     assert language.address_parts("https://A.b.Example.com/en/1?x")[:3] == ("a.b.example.com", "example.com", "com")
 
 
+def test_rare_languages_stay(spark):
+    """Five documents in ten thousand of a language, and one of another; junk of no language that looks like them goes."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text", "source", "lang")
+    words = "вечер град дете живот земя история къща любов море народ огън песен река слънце трева улица хляб цвете човек школа".split()
+    rng = np.random.default_rng(4)
+    rare = [(1_000_000 + i, " ".join(rng.choice(words, 60)), "src1", "bg") for i in range(5)]
+    rare += [(2_000_000, "τα παιδιά παίζουν στον κήπο και η γάτα κοιμάται στον ήλιο κάθε πρωί", "src2", "el")]
+    junk = [(3_000_000 + i, " ".join("".join(rng.choice(list("qxzjkvwq#%"), 9)) for _ in range(60)), "src1", "en") for i in range(5)]
+    table = docs.unionByName(spark.createDataFrame(rare + junk, "doc_id long, text string, source string, lang string"))
+    model = language.text_model(table)
+    assert model.value.langs == ["bg", "de", "el", "en", "es", "fr"]
+    kept = {r.doc_id for r in language.kept_documents(table).select("doc_id").collect()}
+    assert {r[0] for r in rare} <= kept and not {r[0] for r in junk} & kept
+    said = {r.id: r.lang for r in language.identified_documents(table, model).filter("id >= 1000000").select("id", "lang").collect()}
+    assert all(said[r[0]] == r[3] for r in rare)
+
+
+def test_near_duplicate_ids(spark, tmp_path):
+    """Two texts under one id: ``kept`` says that the id is its component's, for both rows."""
+    text = " ".join(f"w{i}" for i in range(200))
+    rows = [(1, text), (1, text + " extra"), (2, text), (3, None), (3, "other")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in minhash.op9_minhash(spark, str(tmp_path)).collect())
+    assert got == [(1, 1, True), (1, 1, True), (2, 1, False), (3, 3, True), (3, 3, True)]
+
+
 def test_odd_tables(spark, odd):
     n = odd.count()
     assert exact.exact_dedup(odd).count() == n and substring.substring_dedup(odd).count() == n
