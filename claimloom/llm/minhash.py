@@ -264,7 +264,7 @@ def deduplicated(docs: DataFrame, text: str = "text", id_col: str = "doc_id", **
 
 def op9_minhash(spark, sf_dir: str) -> DataFrame:
     out = judged(spark.read.parquet(f"{sf_dir}/documents.parquet"), k=3, percent=85)
-    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id", "kept")
+    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 OP9_SQL = """
