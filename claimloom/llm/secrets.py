@@ -4,9 +4,11 @@ Base spans come from three patterns.  The method then decodes base64 and hex
 candidates of every text and parses them: ASN.1 (strict lengths down to the last byte) in the shapes of
 PKCS#1, PKCS#8 (plain or encrypted), SEC1, DSA and SPKI keys, the fields of SSH wire strings and of OpenSSH private keys, PEM
 bodies, and signed tokens (a base64url JSON header that names an
-algorithm).  Only what parses is reported as ``token`` or ``key``; signatures and certificates have other shapes.  Base spans stay.
+algorithm).  Only what parses is reported: ``token``, ``key``, and ``public`` for keys that are no secret (SPKI, PKCS#1 public, SSH
+public); signatures and certificates have other shapes.  Base spans stay.
 
-Whole texts are scanned, very long ones too (in one task, at a cost in proportion to their length).  A numpy pass over the bytes tells which texts can hold a candidate
+Whole texts are scanned, very long ones too, in one task and in proportion to their length: every run of characters is read
+a fixed number of times, and candidates look up found keys by bisection.  A numpy pass over the bytes tells which texts can hold a candidate
 at all; the patterns run on those.  Null texts count as empty; null ids, ids of any type and repeated rows pass, each row
 for itself; spans that start together are in the order of kinds; an empty table gives an empty result; other columns, whatever their names, are not read.
 """
@@ -15,6 +17,7 @@ from __future__ import annotations
 
 import base64
 import binascii
+import bisect
 import hashlib
 import json
 import re
@@ -30,11 +33,12 @@ from claimloom.llm.textcore import text_chunks
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
-KINDS = ("assign", "access", "hex", "token", "key")
+KINDS = ("assign", "access", "hex", "token", "key", "public")
 MIN_ASSIGN, MIN_ACCESS, MIN_HEX, MIN_BASE64 = 8, 16, 32, 24
 _ANY_HEX = re.compile(r"[0-9A-Fa-f]{32,}")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{24,}={0,2}")
-_TOKEN = re.compile(r"eyJ[A-Za-z0-9_-]*={0,2}\.[A-Za-z0-9_-]+={0,2}(?:\.[A-Za-z0-9_-]*={0,2})?")
+#: A part of a token: each character is read once, whatever stands before it.
+_PART = re.compile(r"[A-Za-z0-9_-]+={0,2}")
 _PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*KEY)-----([A-Za-z0-9+/=\s\\n]+?)-----END \1-----")
 _WORDS = (b"password", b"passwd", b"secret", b"token", b"api_key", b"apikey")
 
@@ -88,34 +92,35 @@ def _nested(data: bytes) -> list[tuple[int, int, int]]:
     return der_items(data, *top[0][1:])
 
 
-def der_key(data: bytes) -> bool:
-    """One ASN.1 SEQUENCE that fills ``data``, with all nested lengths right, in the shape of a key."""
+def der_key(data: bytes) -> str:
+    """``key`` or ``public`` for one ASN.1 SEQUENCE that fills ``data``, with all nested lengths right, in the shape of such a key; else an empty string."""
     if len(data) < 16 or data[0] != SEQUENCE:
-        return False
+        return ""
     try:
         items = _nested(data)
         tags = [t for t, _, _ in items]
         size = [b - a for _, a, b in items]
         small = lambda i: int.from_bytes(data[items[i][1] : items[i][2]], "big") if size[i] == 1 else -1
         algorithm = lambda i: (inner := der_items(data, *items[i][1:])) and inner[0][0] == OID and data[inner[0][1] : inner[0][2]]
+        secret = public = False
         if tags and all(t == INTEGER for t in tags):
             if len(tags) >= 9:  # PKCS#1 private: version, modulus, exponents, primes
-                return small(0) in (0, 1) and size[1] >= 32
-            if len(tags) == 6:  # DSA private
-                return small(0) == 0 and size[1] >= 32
+                secret = small(0) in (0, 1) and size[1] >= 32
+            elif len(tags) == 6:  # DSA private
+                secret = small(0) == 0 and size[1] >= 32
             # PKCS#1 public: a long modulus and a short odd exponent (a signature has two numbers of like size)
-            return len(tags) == 2 and size[0] >= 64 and size[1] <= 8 and data[items[1][2] - 1] % 2 == 1
-        if tags[:3] == [INTEGER, SEQUENCE, OCTET_STRING]:  # PKCS#8
-            return small(0) in (0, 1) and bool(algorithm(1)) and all(t & 0xE0 in (0xA0, 0x80) for t in tags[3:])
-        if tags[:2] == [INTEGER, OCTET_STRING]:  # SEC1
-            return small(0) == 1 and size[1] >= 16 and all(t in (0xA0, 0xA1) for t in tags[2:])
-        if tags == [SEQUENCE, BIT_STRING]:  # SPKI
-            return bool(algorithm(0)) and data[items[1][1]] == 0 and size[1] >= 17
-        if tags == [SEQUENCE, OCTET_STRING]:  # PKCS#8, encrypted
-            return (algorithm(0) or b"").startswith(ENCRYPTION) and size[1] >= 16
+            public = len(tags) == 2 and size[0] >= 64 and size[1] <= 8 and data[items[1][2] - 1] % 2 == 1
+        elif tags[:3] == [INTEGER, SEQUENCE, OCTET_STRING]:  # PKCS#8
+            secret = small(0) in (0, 1) and bool(algorithm(1)) and all(t & 0xE0 in (0xA0, 0x80) for t in tags[3:])
+        elif tags[:2] == [INTEGER, OCTET_STRING]:  # SEC1
+            secret = small(0) == 1 and size[1] >= 16 and all(t in (0xA0, 0xA1) for t in tags[2:])
+        elif tags == [SEQUENCE, BIT_STRING]:  # SPKI
+            public = bool(algorithm(0)) and data[items[1][1]] == 0 and size[1] >= 17
+        elif tags == [SEQUENCE, OCTET_STRING]:  # PKCS#8, encrypted
+            secret = (algorithm(0) or b"").startswith(ENCRYPTION) and size[1] >= 16
+        return "key" if secret else "public" if public else ""
     except (ValueError, IndexError):
-        pass
-    return False
+        return ""
 
 
 _KEY_TYPE = re.compile(rb"(ssh-|ecdsa-|sk-)[a-z0-9@.-]+$")
@@ -133,24 +138,24 @@ def _wire(data: bytes, at: int = 0, most: int = -1) -> tuple[list[bytes], int]:
     return fields, at
 
 
-def ssh_key(data: bytes) -> bool:
-    """SSH wire format up to the last byte, the first field a key type; or an OpenSSH private key with all its fields."""
+def ssh_key(data: bytes) -> str:
+    """``public`` for SSH wire format up to the last byte, the first field a key type; ``key`` for an OpenSSH private key with all its fields; else an empty string."""
     magic = b"openssh-key-v1\0"
     try:
         if not data.startswith(magic):
             fields = _wire(data)[0]
-            return len(fields) >= 2 and _KEY_TYPE.match(fields[0]) is not None and all(fields[1:2])
+            return "public" if len(fields) >= 2 and _KEY_TYPE.match(fields[0]) is not None and all(fields[1:2]) else ""
         (cipher, kdf, _), at = _wire(data, len(magic), 3)
         keys = int.from_bytes(data[at : at + 4], "big")
         if not cipher or not kdf or not 1 <= keys <= 64:
-            return False
+            return ""
         parts, at = _wire(data, at + 4, keys + 1)
         secret = parts.pop()
         if at != len(data) or not all(ssh_key(p) for p in parts) or len(secret) < 16:
-            return False
-        return cipher != b"none" or secret[:4] == secret[4:8]
+            return ""
+        return "key" if cipher != b"none" or secret[:4] == secret[4:8] else ""
     except ValueError:
-        return False
+        return ""
 
 
 def _from_base64(s: str) -> bytes:
@@ -177,23 +182,54 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
+def token_spans(text: str) -> list[tuple[int, int]]:
+    """``eyJ... . ... [. ...]``: parts side by side with one dot between them, the first from its first ``eyJ`` on."""
+    out, begun, first, second = [], 0, None, None
+    for m in [*_PART.finditer(text), None]:
+        joins = m is not None and second is not None and m.start() == second + 1 and text[second] == "."
+        if second is not None and not joins:
+            # behind its dot the third part may hold no letter
+            if text[second : second + 1] == ".":
+                second += 1
+                second += len(text[second : second + 2]) - len(text[second : second + 2].lstrip("="))
+            out.append((begun, second))
+            second = None
+        elif joins:
+            out.append((begun, m.end()))
+            first = second = None
+            continue
+        if m is None:
+            break
+        if first is not None and m.start() == first + 1 and text[first] == ".":
+            second, first = m.end(), None
+            continue
+        at = text.find("eyJ", m.start(), m.end())
+        first, begun = (m.end(), at) if at >= 0 else (None, 0)
+    return out
+
+
 def confirmed_spans(text: str) -> list[tuple[int, int, int]]:
-    out = [(m.start(), 3, m.end()) for m in _TOKEN.finditer(text) if signed_token(m[0])]
-    taken = []
+    out = [(a, 3, b) for a, b in token_spans(text) if signed_token(text[a:b])] if "eyJ" in text else []
+    kind = {"key": KINDS.index("key"), "public": KINDS.index("public")}
+
+    def inside(at: int, spans: list[tuple[int, int]]) -> bool:
+        i = bisect.bisect_right(spans, (at, len(text) + 1)) - 1
+        return i >= 0 and at < spans[i][1]
+
+    blocks, runs = [], []
     for m in _PEM.finditer(text):
         data = _from_base64(re.sub(r"\s|\\n", "", m[2]))
-        if der_key(data) or ssh_key(data):
-            out.append((m.start(), 4, m.end()))
-            taken.append(m.span())
-    free = lambda m: not any(a <= m.start() < b for a, b in taken)
+        if found := der_key(data) or ssh_key(data):
+            out.append((m.start(), kind[found], m.end()))
+            blocks.append(m.span())
     for m in _BASE64.finditer(text):
         data = _from_base64(m[0])
-        if data and free(m) and (der_key(data) or ssh_key(data)):
-            out.append((m.start(), 4, m.end()))
-            taken.append(m.span())
+        if data and not inside(m.start(), blocks) and (found := der_key(data) or ssh_key(data)):
+            out.append((m.start(), kind[found], m.end()))
+            runs.append(m.span())
     for m in _ANY_HEX.finditer(text):
-        if len(m[0]) % 2 == 0 and free(m) and (der_key(data := bytes.fromhex(m[0])) or ssh_key(data)):
-            out.append((m.start(), 4, m.end()))
+        if len(m[0]) % 2 == 0 and not inside(m.start(), blocks) and not inside(m.start(), runs) and (found := der_key(data := bytes.fromhex(m[0])) or ssh_key(data)):
+            out.append((m.start(), kind[found], m.end()))
     return out
 
 
