@@ -260,11 +260,14 @@ def leaf(*fields: Column) -> Column:
 
 def manifest(rows: DataFrame, group: str = "source", id_col: str = "doc_id", fields: tuple[str, ...] = ("doc_id", "source", "lang", "n_chars", "text"), per_partition: int = ROWS, **more: Column) -> DataFrame:
     """Per row: ``id, group, leaf, subroot, root, proof`` (left and right siblings of each level from the leaf to the root), and ``more``."""
-    n = rows.count()
     # '=' parts the empty group from the null one and keeps the order of bytes
     g = F.coalesce(F.concat(F.lit("="), F.col(group).cast("string")), F.lit(""))
     leaves = rows.select(g.alias("g"), F.col(id_col).alias("id"), leaf(*[F.col(c) for c in fields]).alias("node"), *[c.alias(k) for k, c in more.items()])
+    # hashed once: the range sort reads its input twice
+    leaves = stored(leaves, "merkle-leaves")
+    n = leaves.count()
     trees = Forest(leaves, ["id"], n, per_partition)
+    discard(leaves)
     subroots = stored(trees.roots, "merkle-roots")
     over = Forest(subroots.select(F.lit("").alias("g"), F.col("g").alias("of"), F.col("root").alias("node")), ["of"], subroots.count(), per_partition)
     top = stored(over.proofs().select(F.col("of").alias("g"), F.col("root").alias("top"), F.col("proof").alias("path")), "merkle-top")
