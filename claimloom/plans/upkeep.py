@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from claimloom.operators.incremental import Workspace
 from claimloom.plans.catalogue import _t, query
+from claimloom.sources.scratch import folder
+from claimloom.streaming import cursors
 
 # --- incremental recomputation: orders -> customers (brackets of 100,000) -> nations (sums) -> regions (maxima) ---
 
@@ -75,3 +77,46 @@ def incremental_revert(spark, sf):
         orders = _orders(spark, sf, edited)
         out = w.refresh(_sources(orders), _deps(spark, sf, orders), RULES)
     return out
+
+
+# --- consumption state: users are iterators, event types are operations ---
+
+_OPERATION = "CASE event_type WHEN 'signup' THEN 'define' WHEN 'view' THEN 'advance' WHEN 'click' THEN 'advance' WHEN 'purchase' THEN 'consume' WHEN 'error' THEN 'reset' ELSE event_type END"
+_CONSUMED = f"""WITH e AS (SELECT user_id::VARCHAR AS key, ts, event_id AS id, {_OPERATION} AS op FROM events),
+    v AS (SELECT *, count_if(op = 'define') OVER w AS version, count_if(op IN ('define', 'reset')) OVER w AS part, op IN ('advance', 'consume') AS takes FROM e WINDOW w AS (PARTITION BY key ORDER BY ts, id)),
+    g AS (SELECT *, coalesce(count_if(op = 'consume') OVER (PARTITION BY key, version ORDER BY ts, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) > 0 AS gone FROM v),
+    r AS (SELECT *, CASE WHEN takes AND version = 0 THEN 'refused:undefined' WHEN takes AND gone THEN 'refused:consumed' END AS refused FROM g),
+    o AS (SELECT *, CASE WHEN takes AND refused IS NULL THEN count_if(takes AND refused IS NULL) OVER (PARTITION BY key, part ORDER BY ts, id) - 1 END AS occurrence FROM r)
+    SELECT key, id, version, occurrence, CASE WHEN occurrence = 0 THEN '@def' || version WHEN occurrence > 0 THEN '@adv' || occurrence END AS alias, coalesce(refused, op) AS outcome FROM o"""
+
+
+def _operations(spark, sf):
+    return _t(spark, sf, "events").select(F.col("user_id").cast("string").alias("key"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("id"), F.expr(_OPERATION).alias("op"))
+
+
+@query("consumption_batch", _CONSUMED)
+def consumption_batch(spark, sf):
+    return cursors.batch(_operations(spark, sf))
+
+
+@query("consumption_stream", _CONSUMED)
+def consumption_stream(spark, sf):
+    """All events as a stream of three runs that go on from one checkpoint: shuffled, and every tenth a run later than its time."""
+    path, ops = folder(spark, "cursors"), _operations(spark, sf)
+    span = ops.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).first()
+    if span.lo is None:
+        return cursors.batch(ops)
+    third = (span.hi - span.lo).total_seconds() / 3 + 1
+    run = F.floor((F.unix_micros("ts") / 1_000_000 - F.lit(span.lo).cast("timestamp").cast("double")) / third)
+    run = F.least(F.lit(2), run + F.when(F.xxhash64("id") % 10 == 0, 1).otherwise(0))
+    ops = ops.withColumn("run", run.cast("int"))
+    delay = f"{int(2 * third) + 1} seconds"
+    for k in range(3):
+        part = ops.filter(F.col("run") == k).drop("run")
+        if k == 2:  # a time that lets all before it pass
+            last = ops.agg((F.max("ts") + F.expr(f"make_interval(0, 0, 0, 0, 0, 0, {int(2 * third) + cursors.BUCKET_MS // 500})")).alias("ts"))
+            part = part.unionByName(last.select(F.lit("").alias("key"), "ts", F.lit(-1).cast("long").alias("id"), F.lit("close").alias("op")))
+        part.orderBy(F.rand(k)).write.mode("append").parquet(f"{path}/in")
+        source = spark.readStream.schema(part.schema).parquet(f"{path}/in")
+        cursors.append_to(cursors.stream(source, delay), f"{path}/out", f"{path}/checkpoint")
+    return spark.read.parquet(f"{path}/out").filter("key <> ''")
