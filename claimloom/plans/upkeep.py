@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from claimloom.operators.incremental import Workspace
+from claimloom.operators.interning import TermGraph
 from claimloom.plans.catalogue import _t, query
 from claimloom.sources.scratch import folder
 from claimloom.streaming import cursors
@@ -120,3 +122,34 @@ def consumption_stream(spark, sf):
         source = spark.readStream.schema(part.schema).parquet(f"{path}/in")
         cursors.append_to(cursors.stream(source, delay), f"{path}/out", f"{path}/checkpoint")
     return spark.read.parquet(f"{path}/out").filter("key <> ''")
+
+
+# --- interned terms: each order is the sum of its lines, ((q1 + q2) + q3) ..., each line a constant ---
+
+
+def _sums(spark, sf):
+    """Node ``<order>/<line>`` adds line ``<line>`` to what stands before; ``<order>/<line>c`` is the line's constant."""
+    line = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", F.floor("l_quantity"))
+    l = _t(spark, sf, "lineitem").select("l_orderkey", (F.floor("l_quantity").cast("int") % 10).cast("string").alias("q"), F.row_number().over(line).alias("n"), F.count("*").over(Window.partitionBy("l_orderkey")).alias("m"))
+    at = lambda n, c="": F.concat(F.col("l_orderkey").cast("string"), F.lit("/"), n.cast("string"), F.lit(c))
+    n, above = F.col("n"), F.when(F.col("n") < F.col("m"), at(F.col("n") + 1))
+    plus = l.select(at(n).alias("id"), above.alias("parent"), F.lit(0).alias("pos"), F.lit("ctor").alias("kind"), F.lit("+").alias("label"))
+    # the first line's node has its constant only
+    const = l.select(at(n, "c").alias("id"), at(n).alias("parent"), F.when(n == 1, 0).otherwise(1).alias("pos"), F.lit("const").alias("kind"), F.col("q").alias("label"))
+    return plus.unionByName(const)
+
+
+_TERMS = """WITH RECURSIVE l AS (SELECT l_orderkey AS o, (floor(l_quantity)::INTEGER % 10)::VARCHAR AS q, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, floor(l_quantity)) AS n FROM lineitem),
+    k AS (SELECT o, n, q, sha256('const' || chr(31) || q || chr(31) || '0' || chr(31) || sha256('')) AS c FROM l),
+    p AS (SELECT o, n, c, NULL::VARCHAR AS below, sha256('ctor' || chr(31) || '+' || chr(31) || '1' || chr(31) || sha256(c)) AS cid FROM k WHERE n = 1
+      UNION ALL SELECT k.o, k.n, k.c, p.cid, sha256('ctor' || chr(31) || '+' || chr(31) || '2' || chr(31) || sha256(p.cid || k.c)) FROM p JOIN k ON k.o = p.o AND k.n = p.n + 1)"""
+
+
+@query("term_graph", _TERMS + """ SELECT c AS cid, 'const' AS kind, q AS label, 0 AS height, count(*) AS uses FROM k GROUP BY 1, 3 UNION ALL SELECT cid, 'ctor', '+', n::INTEGER, count(*) FROM p GROUP BY 1, 4""")
+def term_graph(spark, sf):
+    return TermGraph(_sums(spark, sf)).terms()
+
+
+@query("term_edges", _TERMS + """ SELECT cid, pos::INTEGER AS pos, child, count(*) AS uses FROM (SELECT cid, CASE WHEN n = 1 THEN 0 ELSE 1 END AS pos, c AS child FROM p UNION ALL SELECT cid, 0, below FROM p WHERE below IS NOT NULL) GROUP BY 1, 2, 3""")
+def term_edges(spark, sf):
+    return TermGraph(_sums(spark, sf)).edges()
