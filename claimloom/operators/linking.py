@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimloom.operators.claims import closure, reaching
+from claimloom.operators.claims import reaching
+from claimloom.operators.graphs import components
 
 
 def callsites(terms: DataFrame, bridges: DataFrame) -> DataFrame:
@@ -161,16 +162,8 @@ def fail_closed(references: DataFrame, entries: DataFrame, declarations: DataFra
 
 
 def on_cycles(links: DataFrame, source: str, target: str) -> DataFrame:
-    """Nodes (as ``source``) on a cycle: ends without a way on or back are peeled off until none is left, and only the core is closed."""
-    core = links.checkpoint()
-    left = core.count()
-    while left:
-        core = core.join(core.select(F.col(source).alias(target)), target, "left_semi").join(core.select(F.col(target).alias(source)), source, "left_semi").select(source, target).checkpoint()
-        now = core.count()
-        if now == left:
-            break
-        left = now
-    return closure(core, source, target).filter(F.col(source) == F.col(target)).select(source)
+    """Nodes (as ``source``) on a cycle: those of the strongly connected components, found without a closure."""
+    return components(links, source, target).select(F.col("node").alias(source))
 
 
 def sequential(state: Column, posts: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from claimloom.sources.scratch import written
+
 
 def closure_delta(pre: DataFrame, post: DataFrame, key: list[str], group: list[str] | None = None) -> DataFrame:
     """Closed, remaining and new result rows, and the shape of the change."""
@@ -23,23 +25,24 @@ def set_bump(old: DataFrame, new: DataFrame, member: str, group: list[str]) -> D
     return closure_delta(old, new, [member], group).select(*group, "closed", "new", F.when(F.col("closed") > 0, "major").when(F.col("new") > 0, "minor").otherwise("patch").alias("bump"))
 
 
-def version_walk(releases: DataFrame, base, signers: list[str], channel: str, yanked: DataFrame | None = None, depth: int = 1000) -> DataFrame:
+def version_walk(releases: DataFrame, base, signers: list[str], channel: str, yanked: DataFrame | None = None) -> DataFrame:
     """Releases reachable from ``base`` by previous-set links over trusted, unyanked releases of a channel, each once with its first step.
 
-    A frontier is joined to the links, and what has been seen leaves it, so cycles end; each round is checkpointed.
+    A frontier is joined to the links, and what has been seen leaves it, so cycles end; the walk goes on until the frontier is empty.
     """
     ok = releases.filter(F.col("signer").isin(*signers) & (F.col("channel") == channel))
     if yanked is not None:
         ok = ok.join(yanked.select("set_cid").distinct(), "set_cid", "left_anti")
-    ok = ok.select("set_cid", "previous_set_cid", "declared_at").checkpoint()
-    once = lambda d, step: d.groupBy("set_cid").agg(F.max("declared_at").alias("declared_at")).withColumn("step", F.lit(step)).checkpoint()
-    front = seen = once(ok.filter(F.col("set_cid") == F.lit(base)), 0)
-    for step in range(1, depth):
-        if front.isEmpty():
-            break
+    # links lie by their previous release, once; a round reads them and writes its frontier
+    ok = written(ok.select("set_cid", "previous_set_cid", "declared_at").repartition("previous_set_cid"), "releases")
+    once = lambda d, step: written(d.groupBy("set_cid").agg(F.max("declared_at").alias("declared_at")).withColumn("step", F.lit(step)), "walk")
+    front, step = once(ok.filter(F.col("set_cid") == F.lit(base)), 0), 0
+    seen = front
+    while not front.isEmpty():
+        step += 1
         reached = ok.join(front.select(F.col("set_cid").alias("previous_set_cid")), "previous_set_cid", "left_semi")
         front = once(reached.join(seen.select("set_cid"), "set_cid", "left_anti"), step)
-        seen = seen.unionByName(front).checkpoint()
+        seen = seen.unionByName(front) if step % 16 else written(seen.unionByName(front), "walk")
     return seen
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from claimloom.operators import graphs
 from claimloom.operators.incremental import Workspace
 from claimloom.operators.interning import TermGraph
 from claimloom.plans.catalogue import _t, query
@@ -153,3 +154,37 @@ def term_graph(spark, sf):
 @query("term_edges", _TERMS + """ SELECT cid, pos::INTEGER AS pos, child, count(*) AS uses FROM (SELECT cid, CASE WHEN n = 1 THEN 0 ELSE 1 END AS pos, c AS child FROM p UNION ALL SELECT cid, 0, below FROM p WHERE below IS NOT NULL) GROUP BY 1, 2, 3""")
 def term_edges(spark, sf):
     return TermGraph(_sums(spark, sf)).edges()
+
+
+# --- graphs: rings of 40 customers, every third block a chain; links on to twice the number ---
+
+_LINKS = """SELECT c_custkey AS a, CASE WHEN c_custkey % 40 = 39 THEN c_custkey - 39 ELSE c_custkey + 1 END AS b FROM customer WHERE NOT (c_custkey % 40 = 39 AND c_custkey // 40 % 3 = 1)
+    UNION SELECT c_custkey, 2 * c_custkey FROM customer WHERE c_custkey % 40 = 5 UNION SELECT c_custkey, c_custkey FROM customer WHERE c_custkey % 120 = 77"""
+
+
+@query("cyclic_components", f"""WITH RECURSIVE e AS ({_LINKS}), r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+    SELECT p.a AS node, min(p.b) AS component FROM r p JOIN r q ON q.a = p.b AND q.b = p.a GROUP BY p.a""")
+def cyclic_components(spark, sf):
+    c = _t(spark, sf, "customer").select(F.col("c_custkey").alias("a"))
+    on = c.filter("not (a % 40 = 39 and a div 40 % 3 = 1)").select("a", F.expr("case when a % 40 = 39 then a - 39 else a + 1 end").alias("b"))
+    return graphs.components(on.union(c.filter("a % 40 = 5").select("a", F.col("a") * 2)).union(c.filter("a % 120 = 77").select("a", "a")), "a", "b")
+
+
+_TREE = """WITH RECURSIVE p AS (SELECT c_custkey AS v, [c_custkey] AS path, 0 AS depth FROM customer WHERE c_custkey = 0
+      UNION ALL SELECT c_custkey, list_append(path, c_custkey), depth + 1 FROM p JOIN customer ON c_custkey // 3 = v AND c_custkey > 0)"""
+
+
+def _labels(spark, sf):
+    return graphs.intervals(_t(spark, sf, "customer").select("c_custkey", F.expr("nullif(c_custkey div 3, c_custkey)").alias("parent")), "c_custkey", "parent")
+
+
+@query("enclosure_intervals", _TREE + """, n AS (SELECT a, count(*) AS n FROM (SELECT unnest(path) AS a FROM p) GROUP BY a), o AS (SELECT v, depth, row_number() OVER (ORDER BY path) - 1 AS f FROM p)
+    SELECT v AS node, f AS first, f + n - 1 AS last, depth FROM o JOIN n ON a = v""")
+def enclosure_intervals(spark, sf):
+    return _labels(spark, sf)
+
+
+@query("enclosure_tests", _TREE + " SELECT o_orderkey, o_orderkey % 50 <> o_custkey AND list_contains(path, o_orderkey % 50) AS encloses FROM orders JOIN p ON v = o_custkey")
+def enclosure_tests(spark, sf):
+    pairs = _t(spark, sf, "orders").select("o_orderkey", (F.col("o_orderkey") % 50).alias("outer"), F.col("o_custkey").alias("inner"))
+    return graphs.encloses(pairs, _labels(spark, sf), "outer", "inner").select("o_orderkey", "encloses")
