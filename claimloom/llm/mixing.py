@@ -61,7 +61,7 @@ def _queued(rows: DataFrame, sources: DataFrame, n: int) -> DataFrame:
     """Rows (``_id, _size, _u, _source`` and others) with their source's figures and ``_upto``, the words of the source up to and with the row."""
     s = sources.select(F.col("source").alias("_s"), F.col("source_size").alias("_source_size"), F.col("rank").alias("_rank"), F.col("target").alias("_target"))
     rows = rows.join(s, F.expr("_source <=> _s")).drop("_s")
-    return running_total(rows, ["_rank"], "_u", ["_id", "_size"], F.col("_size"), "_upto", n)
+    return running_total(rows, ["_rank"], "_u", ["_id", "_size"], F.col("_size"), "_upto", n, spread=True)
 
 
 def _parts(queued: DataFrame, repeats: int, rounds: int, n: int) -> DataFrame:
@@ -73,7 +73,7 @@ def _parts(queued: DataFrame, repeats: int, rounds: int, n: int) -> DataFrame:
         open_ = queued.filter((F.col("_size") > 0) & (F.col("_base") + reading < repeats)).join(part, "_rank", "left").withColumn("_part", F.coalesce("_part", F.lit(0).cast("long")))
         open_ = open_.select("_k", "_rank", "_u", "_id", "_size", "_base", "_rest", "_part")
         for _ in range(rounds):
-            now = stored(running_total(open_.filter(F.col("_size") <= F.col("_rest") - F.col("_part")), ["_rank"], "_u", ["_id", "_size"], F.col("_size"), "_t", n), "mix-round")
+            now = stored(running_total(open_.filter(F.col("_size") <= F.col("_rest") - F.col("_part")), ["_rank"], "_u", ["_id", "_size"], F.col("_size"), "_t", n, spread=True), "mix-round")
             if now.isEmpty():
                 break
             found = found.unionByName(now.filter(fits).select("_k", "_rank", (F.col("_base") + reading).alias("_pass"), (F.col("_part") + F.col("_t")).alias("_at")))

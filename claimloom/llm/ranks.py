@@ -26,10 +26,14 @@ def bits_for(rows: int) -> int:
     return min(24, max(1, math.ceil(math.log2(max(2, rows / BUCKET_ROWS)))))
 
 
-def running_total(df: DataFrame, group: list[str], key: str, order: list[str], value: Column, out: str, rows: int) -> DataFrame:
-    """Add ``out``: the inclusive running total of ``value`` in each group (columns without nulls), in order of ``key`` and then ``order``."""
+def running_total(df: DataFrame, group: list[str], key: str, order: list[str], value: Column, out: str, rows: int, spread: bool = False) -> DataFrame:
+    """Add ``out``: the inclusive running total of ``value`` in each group (columns without nulls), in order of ``key`` and then ``order``.
+
+    ``spread``: the rows come from a join by group, whose partitions the windows inside the buckets would else keep.
+    """
     b = df.withColumn("_b", F.shiftright(F.col(key), KEY_BITS - bits_for(rows))).withColumn("_v", value)
     keys = [*group, "_b"]
+    b = b.repartition(*keys) if spread else b
     sums = b.groupBy(*keys).agg(F.sum("_v").alias("_s"))
     before = Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(*keys, F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_o"))
