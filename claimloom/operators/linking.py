@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from claimloom.operators.claims import reaching
 from claimloom.operators.graphs import components
+from claimloom.operators.selection import nearest_ranks
 
 
 def callsites(terms: DataFrame, bridges: DataFrame) -> DataFrame:
@@ -132,8 +133,8 @@ def estimate_costs(rows: DataFrame, group: list[str], bands: int = 4) -> DataFra
     known = known.withColumn("_j", F.row_number().over(inside.orderBy("cost_s", "path")) - 1).withColumn("_n", F.count("*").over(inside))
     band = known.groupBy(*group, "_band").agg(F.max("size_bytes").alias("_max"), F.max(F.when(F.col("_j") == F.floor(F.col("_n") / 2), F.col("cost_s"))).alias("_median"))
     band = band.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("_max", "_median"))).alias("_bands"))
-    floor = rows.groupBy(*group).agg(F.expr("percentile_disc(0.75) within group (order by cost_s)").alias("_floor"))
-    out = rows.join(floor, group).join(band, group, "left")
+    floor = nearest_ranks(rows, group, "cost_s", [0.75]).select(*group, F.col("result").alias("_floor"))
+    out = rows.join(floor, group, "left").join(band, group, "left")
     fits = F.get(F.filter("_bands", lambda b: b["_max"] >= F.greatest(F.col("size_bytes"), F.lit(0))), F.lit(0))["_median"]
     least = F.coalesce("_floor", F.lit(1.0))
     return out.withColumn("estimate", F.coalesce("cost_s", F.greatest(least, F.coalesce(fits, least)))).drop("_floor", "_bands")

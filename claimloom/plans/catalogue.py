@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from claimloom.functions import scalars as X
 from claimloom.functions import sequences as S
-from claimloom.operators import census, claims, versions
+from claimloom.operators import census, claims, selection, versions
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -447,7 +447,8 @@ def residual_rank(spark, sf):
 
 @query("percentile_nearest", "SELECT o_orderpriority, quantile_disc(o_totalprice, 0.75) AS p75, min(o_totalprice) AS p0, max(o_totalprice) AS p100 FROM orders GROUP BY 1")
 def percentile_nearest(spark, sf):
-    return _t(spark, sf, "orders").groupBy("o_orderpriority").agg(*[census.nearest_rank(p / 100, "o_totalprice").alias(f"p{p}") for p in (0, 75, 100)])
+    found = selection.nearest_ranks(_t(spark, sf, "orders"), ["o_orderpriority"], "o_totalprice", [0.0, 0.75, 1.0])
+    return found.groupBy("o_orderpriority").agg(*[F.max(F.when(F.col("p") == p / 100, F.col("result"))).alias(f"p{p}") for p in (0, 75, 100)])
 
 
 @query("quantile_bins", """WITH r AS (SELECT o_totalprice AS c, o_orderkey, row_number() OVER (ORDER BY o_totalprice, o_orderkey) - 1 AS i, count(*) OVER () AS n FROM orders), b AS (SELECT *, floor(i * 10 / n)::INTEGER AS bin FROM r),

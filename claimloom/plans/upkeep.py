@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from claimloom.operators import graphs
+from claimloom.operators import determinism, graphs, lattice, selection
 from claimloom.operators.incremental import Workspace
 from claimloom.operators.interning import TermGraph
 from claimloom.plans.catalogue import _t, query
@@ -188,3 +188,58 @@ def enclosure_intervals(spark, sf):
 def enclosure_tests(spark, sf):
     pairs = _t(spark, sf, "orders").select("o_orderkey", (F.col("o_orderkey") % 50).alias("outer"), F.col("o_custkey").alias("inner"))
     return graphs.encloses(pairs, _labels(spark, sf), "outer", "inner").select("o_orderkey", "encloses")
+
+
+# --- losses along searched paths: customers to nations, nations to nations ---
+
+_LOSS_EDGES = """SELECT 'c' || c_custkey AS a, 'n' || c_nationkey AS b, [0, 1, 2, 4, 8, 0][1 + c_custkey % 6] AS bits FROM customer
+    UNION SELECT 'n' || n_nationkey, 'n' || (n_nationkey * 2 + 1) % 25, [0, 1, 2][1 + n_nationkey % 3] FROM nation UNION SELECT 'n' || n_nationkey, 'n' || (n_nationkey + 5) % 25, [4, 0, 8, 1][1 + n_nationkey % 4] FROM nation"""
+
+
+@query("least_losses", f"""WITH RECURSIVE e AS ({_LOSS_EDGES}), r AS (SELECT a, b, bits FROM e WHERE a LIKE 'c%' UNION SELECT r.a, e.b, r.bits | e.bits FROM r JOIN e ON e.a = r.b)
+    SELECT a AS source, b AS target, CASE WHEN bits & 12 = 12 THEN 'compound:saturating+wrapping' WHEN bits & 8 <> 0 THEN 'wrapping' WHEN bits & 4 <> 0 THEN 'saturating' WHEN bits & 2 <> 0 THEN 'narrowing' WHEN bits & 1 <> 0 THEN 'widening' ELSE 'none' END AS loss, bits
+    FROM r WHERE NOT EXISTS (SELECT 1 FROM r x WHERE x.a = r.a AND x.b = r.b AND x.bits & r.bits = x.bits AND x.bits <> r.bits)""")
+def least_losses(spark, sf):
+    c, n = _t(spark, sf, "customer"), _t(spark, sf, "nation")
+    pick = lambda labels, k: F.get(F.array(*[F.lit(x) for x in labels]), (k % len(labels)).cast("int"))
+    nation = lambda k: F.concat(F.lit("n"), k.cast("string"))
+    k = F.col("n_nationkey")
+    edges = c.select(F.concat(F.lit("c"), "c_custkey").alias("a"), nation(F.col("c_nationkey")).alias("b"), pick(["none", "widening", "narrowing", "saturating", "wrapping", "none"], F.col("c_custkey")).alias("loss"))
+    edges = edges.unionByName(n.select(nation(k).alias("a"), nation((k * 2 + 1) % 25).alias("b"), pick(["none", "widening", "narrowing"], k).alias("loss")))
+    edges = edges.unionByName(n.select(nation(k).alias("a"), nation((k + 5) % 25).alias("b"), pick(["saturating", "none", "wrapping", "widening"], k).alias("loss")))
+    out = lattice.least_losses(edges.withColumn("bits", lattice.mode(F.col("loss"))), c.select(F.concat(F.lit("c"), "c_custkey").alias("source")))
+    return out.select("source", "target", lattice.label(F.col("bits")).alias("loss"), "bits")
+
+
+# --- exact percentiles by counting ---
+
+
+@query("percentile_rounds", "WITH p AS (SELECT unnest([0.0::DOUBLE, 0.25, 0.5, 0.9, 1.0]) AS p), r AS (SELECT l_suppkey, l_extendedprice - 30000 AS v, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice) AS k, count(*) OVER (PARTITION BY l_suppkey) AS n FROM lineitem) SELECT l_suppkey, p, min(v) AS result FROM r, p WHERE k = least(n, greatest(1, ceil(p * n - 1e-9))) GROUP BY 1, 2")
+def percentile_rounds(spark, sf):
+    rows = _t(spark, sf, "lineitem").select("l_suppkey", (F.col("l_extendedprice") - 30000).alias("v"))
+    return selection.nearest_ranks(rows, ["l_suppkey"], "v", [0.0, 0.25, 0.5, 0.9, 1.0])
+
+
+# --- stored queries: each nation has one ---
+
+_STORED = [
+    ("'select p_partkey, p_name from part where p_size = {} order by p_partkey limit 5'", ""),
+    ("'select p_name from part where p_size > {} order by p_size limit 5'", "limit,order"),
+    ("'select count(*) as n from orders where o_custkey = {}'", ""),
+    ("'select rand() as r, n_name from nation where n_nationkey < {} order by n_nationkey'", "random"),
+    ("'select current_date() as today, max(o_orderdate) as last from orders where o_custkey > {}'", "clock"),
+    ("'select o_custkey, sum(o_totalprice) as s from orders where o_orderkey > {} group by o_custkey order by o_custkey'", ""),
+    ("'select o_custkey, first(o_orderkey) as f from orders where o_orderkey > {} group by o_custkey order by o_custkey'", "arrival"),
+    ("'select x from nowhere where x = {}'", "unknown"),
+    ("'select o_orderkey, row_number() over (partition by o_custkey order by o_orderdate) as n from orders where o_custkey < {} order by o_orderkey'", "window"),
+    ("'select n_name, p_name from nation join part on p_size = n_nationkey where n_nationkey < {} order by n_nationkey, p_partkey'", ""),
+    ("'select distinct p_size from part where p_partkey > {}'", "order"),
+]
+
+
+@query("determinism_plans", "SELECT n_nationkey, faults, faults = '' AS runs FROM (SELECT n_nationkey, [" + ", ".join(f"'{f}'" for _, f in _STORED) + f"][1 + n_nationkey % {len(_STORED)}] AS faults FROM nation)")
+def determinism_plans(spark, sf):
+    n = _t(spark, sf, "nation")
+    text = F.get(F.array(*[F.replace(F.expr(t), F.lit("{}"), F.col("n_nationkey").cast("string")) for t, _ in _STORED]), (F.col("n_nationkey") % len(_STORED)).cast("int"))
+    tables = {name: (_t(spark, sf, name), [key]) for name, key in (("part", "p_partkey"), ("orders", "o_orderkey"), ("nation", "n_nationkey"))}
+    return determinism.judged(n.select("n_nationkey", text.alias("text")), tables, "n_nationkey")
