@@ -32,11 +32,6 @@ def ranked(rows: DataFrame, owner: str) -> DataFrame:
     return positions(n, F.desc("n"), F.col(owner), out="rank").withColumn("rank", F.col("rank") + 1)
 
 
-def nearest_rank(p: float, value: str) -> Column:
-    """The nearest-rank percentile of a column: a value that occurs; null for no rows, which callers report as an error."""
-    return F.min(value) if p <= 0 else F.max(value) if p >= 1 else F.expr(f"percentile_disc({p}) within group (order by `{value}`)")
-
-
 def bins(rows: DataFrame, cost: str, key: str, n: int) -> DataFrame:
     """Bins of equal count in order of cost: row i of N (from 0) is in bin ``floor(i * n / N)``. With each bin's upper median."""
     total = rows.count()

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,19 +16,6 @@ RELATIONS = {
     "effects": ("function string, kind string, target string, source_cid string", [], ["kind in ('Reads', 'Writes', 'Io', 'Unsafe', 'Panics', 'UnresolvedCall')"]),
     "composed_contracts": ("composed_cid string, chain array<string>, effect_set_cid string, ccp_version string, source_cid string", ["composed_cid"], []),
 }
-#: Functions that a predicate may call (fixed values).
-ALLOWED = {"abs", "avg", "cast", "coalesce", "count", "exists", "ifnull", "instr", "length", "lower", "ltrim", "max", "min", "nullif", "replace", "round", "rtrim", "substr", "sum", "total", "trim", "upper", "json_extract", "json_each", "json_array", "json_object", "json_array_length", "json_type", "json_valid"}
-_WORDS = {"and", "as", "by", "distinct", "except", "from", "in", "intersect", "join", "not", "on", "or", "over", "select", "union", "using", "values", "when", "where", "with", "recursive", "then", "else", "case", "having", "is", "like", "between"}
-
-
-def disqualified(sql: str) -> list[str]:
-    """Calls of functions that are not allowed (clocks, random numbers, whatever is unknown), sorted."""
-    bare = re.sub(r"'(?:[^']|'')*'", "''", sql)
-    named = {m[1].lower() for m in re.finditer(r"\b([A-Za-z_]\w*)\s*\(", bare)}
-    tables = {m[1].lower() for m in re.finditer(r"(?i)\b([A-Za-z_]\w*)\s*(?:\([\w\s,]*\))?\s+as\s*\(", bare)}
-    return sorted(named - ALLOWED - _WORDS - tables)
-
-
 def violations(rows: DataFrame, relation: str) -> DataFrame:
     """``rule, key, rows`` of each broken rule: a missing or repeated key, a check that does not hold."""
     _, key, checks = RELATIONS[relation]

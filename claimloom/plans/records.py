@@ -5,11 +5,10 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from claimloom.functions import canonical
 from claimloom.functions.registry import Operator, Registry
-from claimloom.operators import claims, linking, predicates, versions
+from claimloom.operators import claims, determinism, linking, predicates, versions
 from claimloom.plans.catalogue import _VERDICT, _checkpoints, _t, _verdicts, query
 from claimloom.sources import pool
 from claimloom.streaming.upsert import tumbling, upsert, upserted
@@ -266,10 +265,19 @@ def discharging_test(spark, sf):
     return predicates.discharged(versions.closure_delta(pre, post, ["l_partkey"], ["l_suppkey"]), closed, F.col("l_partkey") % 2 == 0, ["l_suppkey"])
 
 
-_TEXTS = {"select count(*) from functions where length(name) > 3": "", "select random(), now() from functions": "now,random", "with recursive r(x) as (select 1) select json_extract(args, '$') from r": "", "select uuid('max(x)')": "uuid"}
+#: A region's stored query, and what stands against it.
+_TEXTS = [
+    ("select count(*) as n from functions where length(name) > 3", ""),
+    ("select random() as r, now() as t from functions", "random,clock,order"),
+    ("select name, line from functions order by name, line limit 5", "limit,order"),
+    ("select current_timestamp as t, name from functions order by id limit 5", "clock"),
+    ("select name, line from functions order by line, id limit 5", ""),
+]
 
 
-@query("determinism_rule", " UNION ALL ".join(f"SELECT {i} AS query, '{bad}' AS disqualified, {str(not bad).lower()} AS runs" for i, bad in enumerate(_TEXTS.values())))
+@query("determinism_rule", "SELECT r_regionkey AS query, d AS disqualified, d = '' AS runs FROM (SELECT r_regionkey, [" + ", ".join(f"'{d}'" for _, d in _TEXTS) + f"][1 + r_regionkey % {len(_TEXTS)}] AS d FROM region)")
 def determinism_rule(spark, sf):
-    rows = [(i, ",".join(predicates.disqualified(q))) for i, q in enumerate(_TEXTS)]
-    return spark.createDataFrame([(i, bad, not bad) for i, bad in rows], T.StructType.fromDDL("query int, disqualified string, runs boolean"))
+    functions = _t(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_size").alias("line"))
+    text = F.get(F.array(*[F.lit(t) for t, _ in _TEXTS]), (F.col("r_regionkey") % len(_TEXTS)).cast("int"))
+    stored = _t(spark, sf, "region").select(F.col("r_regionkey").alias("query"), text.alias("text"))
+    return determinism.judged(stored, {"functions": (functions, ["id"])}, "query").withColumnRenamed("faults", "disqualified")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from claimloom.functions import utf8
 from claimloom.operators import determinism, graphs, lattice, selection
 from claimloom.operators.incremental import Workspace
 from claimloom.operators.interning import TermGraph
@@ -243,3 +244,21 @@ def determinism_plans(spark, sf):
     text = F.get(F.array(*[F.replace(F.expr(t), F.lit("{}"), F.col("n_nationkey").cast("string")) for t, _ in _STORED]), (F.col("n_nationkey") % len(_STORED)).cast("int"))
     tables = {name: (_t(spark, sf, name), [key]) for name, key in (("part", "p_partkey"), ("orders", "o_orderkey"), ("nation", "n_nationkey"))}
     return determinism.judged(n.select("n_nationkey", text.alias("text")), tables, "n_nationkey")
+
+
+# --- texts that break in the middle: what four of five documents have there is no character ---
+
+_BREAKS = ["", "C3", "E282", "F09F98", "C0AF"]
+
+
+@query("utf8_chunks", """WITH d AS (SELECT doc_id, left(text, length(text) // 2) AS a, substr(text, length(text) // 2 + 1) AS b, doc_id % 5 AS k FROM documents WHERE text IS NOT NULL),
+    c AS (SELECT doc_id, 0 AS chunk, a || b AS valid, '' AS invalid FROM d WHERE k = 0 AND a || b <> '' UNION ALL SELECT doc_id, 0, a, ['C3', 'E282', 'F09F98', 'C0'][k::INTEGER] FROM d WHERE k > 0
+      UNION ALL SELECT doc_id, 1, '', 'AF' FROM d WHERE k = 4 UNION ALL SELECT doc_id, CASE WHEN k = 4 THEN 2 ELSE 1 END, b, '' FROM d WHERE k > 0 AND b <> '')
+    SELECT doc_id, chunk, sha256(valid) AS valid_sha256, strlen(valid) AS valid_bytes, invalid FROM c""")
+def utf8_chunks(spark, sf):
+    d = _t(spark, sf, "documents").filter("text is not null")
+    half = F.expr("length(text) div 2")
+    broken = F.get(F.array(*[F.unhex(F.lit(x)) for x in _BREAKS]), (F.col("doc_id") % 5).cast("int"))
+    raw = F.concat(F.substring("text", F.lit(1), half.cast("int")).cast("binary"), broken, F.substring("text", (half + 1).cast("int"), F.length("text")).cast("binary"))
+    out = utf8.chunks(d.select("doc_id", raw.alias("raw")), "doc_id", "raw")
+    return out.select(F.col("id").alias("doc_id"), "chunk", F.sha2("valid", 256).alias("valid_sha256"), F.octet_length("valid").alias("valid_bytes"), F.hex("invalid").alias("invalid"))
