@@ -10,6 +10,7 @@ from claimloom.operators import determinism, graphs, lattice, selection
 from claimloom.operators.incremental import Workspace
 from claimloom.operators.interning import TermGraph
 from claimloom.plans.catalogue import _t, query
+from claimloom.sources import kit
 from claimloom.sources.scratch import folder
 from claimloom.streaming import cursors
 
@@ -262,3 +263,22 @@ def utf8_chunks(spark, sf):
     raw = F.concat(F.substring("text", F.lit(1), half.cast("int")).cast("binary"), broken, F.substring("text", (half + 1).cast("int"), F.length("text")).cast("binary"))
     out = utf8.chunks(d.select("doc_id", raw.alias("raw")), "doc_id", "raw")
     return out.select(F.col("id").alias("doc_id"), "chunk", F.sha2("valid", 256).alias("valid_sha256"), F.octet_length("valid").alias("valid_bytes"), F.hex("invalid").alias("invalid"))
+
+
+# --- a kit's enumeration: facts of a file, gaps as rows ---
+
+
+@query("kit_facts", """SELECT o_orderpriority, count(*) AS n, sum(o_orderkey)::BIGINT AS keys, CASE WHEN o_orderpriority IS NULL THEN 'missing-file' END AS reason FROM orders GROUP BY 1
+    UNION ALL SELECT NULL, 1, NULL, 'missing-file'""")
+def kit_facts(spark, sf):
+    asked = lambda at: kit.enumerated(spark, sf, "facts", at=at)
+    rows = asked("orders.parquet").unionByName(asked("order.parquet"))
+    of = F.from_json("payload", "o_orderkey long, o_orderpriority string")
+    return rows.groupBy(of["o_orderpriority"].alias("o_orderpriority"), "reason").agg(F.count("*").alias("n"), F.sum(of["o_orderkey"]).alias("keys")).select("o_orderpriority", "n", "keys", "reason")
+
+
+@query("kit_seek", "SELECT n_nationkey, n_name FROM nation WHERE n_nationkey BETWEEN 5 AND 9")
+def kit_seek(spark, sf):
+    """A slice by pushed bounds and a fact by its seek; nations lie in order of their keys."""
+    got = kit.enumerated(spark, sf, "facts", at="nation.parquet").filter("ordinal between 5 and 8").unionByName(kit.enumerated(spark, sf, "facts", at="nation.parquet", seek="true", ordinal=9))
+    return got.select(F.from_json("payload", "n_nationkey long, n_name string").alias("r")).select(F.col("r.n_nationkey").alias("n_nationkey"), "r.n_name")
