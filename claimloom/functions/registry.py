@@ -6,7 +6,8 @@ import hashlib
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 
 @dataclass(frozen=True)
@@ -17,6 +18,9 @@ class Operator:
     before: tuple[str, ...] = ()
     good: str = ""  # a witness that holds, and one that does not
     bad: str = ""
+    tree: dict | None = None  # a shape of its own, and SQL expressions that it must and must not equal
+    equal: str = ""
+    unequal: str = ""
 
     @property
     def cid(self) -> str:
@@ -52,5 +56,19 @@ class Registry:
                 return op.desugar(node, self.build)
         raise ValueError(f"no operator for {node.get('kind')}")
 
+    def witnesses(self, rows: DataFrame) -> DataFrame:
+        """``name, rows, good, bad``: on how many of ``rows`` each operator's own shape gives what it must, and what it must not.
+
+        The good and the bad witness in words are expressions too, and count as a row that holds or fails everywhere.
+        """
+        out = None
+        for op in self.ordered():
+            value = op.desugar(op.tree, self.build)
+            good = value.eqNullSafe(F.expr(op.equal)) & F.expr(op.good)
+            bad = value.eqNullSafe(F.expr(op.unequal)) | F.expr(op.bad)
+            one = rows.agg(F.count("*").alias("rows"), F.count_if(good).alias("good"), F.count_if(bad).alias("bad")).select(F.lit(op.name).alias("name"), "rows", "good", "bad")
+            out = one if out is None else out.unionByName(one)
+        return out
+
     def roster(self) -> list[tuple[str, str, int]]:
         return [(o.name, o.cid, i) for i, o in enumerate(self.ordered())]

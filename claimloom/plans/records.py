@@ -116,10 +116,10 @@ def solver_verdicts(spark, sf):
 def operators() -> Registry:
     """A small roster: constants, a column, addition, and doubling before addition."""
     r = Registry()
-    r.add(Operator("const", lambda n: n["kind"] == "const", lambda n, f: F.lit(n["value"]), good="1 = 1", bad="1 = 2"))
-    r.add(Operator("var", lambda n: n["kind"] == "var", lambda n, f: F.col(n["name"]), good="x = x", bad="x = x + 1"))
-    r.add(Operator("sum", lambda n: n["kind"] == "add", lambda n, f: f(n["args"][0]) + f(n["args"][1]), good="1 + 2 = 3", bad="1 + 2 = 4"))
-    r.add(Operator("twice", lambda n: n["kind"] == "add" and n["args"][0] == n["args"][1], lambda n, f: f(n["args"][0]) * 2, before=("sum",), good="2 + 2 = 4", bad="2 + 2 = 5"))
+    r.add(Operator("const", lambda n: n["kind"] == "const", lambda n, f: F.lit(n["value"]), good="1 = 1", bad="1 = 2", tree={"kind": "const", "value": 7}, equal="3 + 4", unequal="8"))
+    r.add(Operator("var", lambda n: n["kind"] == "var", lambda n, f: F.col(n["name"]), good="x = x", bad="x = x + 1", tree={"kind": "var", "name": "x"}, equal="x", unequal="x + 1"))
+    r.add(Operator("sum", lambda n: n["kind"] == "add", lambda n, f: f(n["args"][0]) + f(n["args"][1]), good="1 + 2 = 3", bad="1 + 2 = 4", tree={"kind": "add", "args": [{"kind": "var", "name": "x"}, {"kind": "const", "value": 2}]}, equal="2 + x", unequal="x * 2 + 3"))
+    r.add(Operator("twice", lambda n: n["kind"] == "add" and n["args"][0] == n["args"][1], lambda n, f: f(n["args"][0]) * 2, before=("sum",), good="2 + 2 = 4", bad="2 + 2 = 5", tree={"kind": "add", "args": [{"kind": "var", "name": "x"}] * 2}, equal="x + x", unequal="2 * x + 1"))
     return r
 
 

@@ -21,17 +21,28 @@ def load(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """A sealed pool's members whose id agrees with their bytes, and the load errors."""
     rows = spark.read.parquet(f"{path}/members").withColumn("_again", cid(F.col("body")))
     bad = F.coalesce(F.col("cid") != F.col("_again"), F.lit(True))
-    return rows.filter(~bad).drop("_again").dropDuplicates(["cid"]), rows.filter(bad).select("cid", F.lit("CidMismatch").alias("reason"))
+    return rows.filter(~bad).drop("_again").dropDuplicates(["cid", "name"]), rows.filter(bad).select("cid", F.lit("CidMismatch").alias("reason"))
 
 
 def seal(claims: DataFrame, path: str) -> None:
-    """Members and a manifest of groups (by ``name``) with sorted ids; the whole set's id stands in the manifest."""
-    rows = claims.filter("cid is not null").dropDuplicates(["cid"])
+    """Members and a manifest of groups (by ``name``) with sorted ids and the id of each set; a body under two names is a member of both."""
+    rows = claims.filter("cid is not null").dropDuplicates(["cid", "name"])
     rows.write.mode("overwrite").parquet(f"{path}/members")
     again = claims.sparkSession.read.parquet(f"{path}/members")
     again.groupBy("name").agg(F.array_sort(F.collect_set("cid")).alias("member_cids")).withColumn("group_cid", set_cid(F.col("member_cids"))).withColumn("version", F.lit(1)).write.mode("overwrite").parquet(f"{path}/manifest")
 
 
+def manifest_gaps(spark: SparkSession, path: str) -> DataFrame:
+    """``name, reason`` of groups whose manifest does not stand: an id that is not its set's, a member that is missing, a member that it does not name."""
+    m = spark.read.parquet(f"{path}/manifest")
+    stale = m.filter(F.col("group_cid") != set_cid(F.col("member_cids"))).select("name", F.lit("GroupCidMismatch").alias("reason"))
+    said = m.select("name", F.explode("member_cids").alias("cid")).withColumn("_said", F.lit(True))
+    have = load(spark, path)[0].select("name", "cid").withColumn("_have", F.lit(True))
+    both = said.join(have, ["name", "cid"], "full_outer")
+    why = F.when(F.col("_have").isNull(), "MemberMissing").when(F.col("_said").isNull(), "MemberUnnamed")
+    return stale.unionByName(both.select("name", why.alias("reason")).filter("reason is not null").distinct())
+
+
 def call_edges(spark: SparkSession, path: str) -> DataFrame:
     """Edges of all ``*.call-edges.json`` files below ``path``."""
     files = spark.read.schema(T.StructType([T.StructField("edges", T.ArrayType(EDGE))])).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.call-edges.json").json(path)

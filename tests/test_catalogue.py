@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from claimloom.plans import catalogue, kernel, records, relations, upkeep  # noqa: F401  (the others add their queries to the catalogue)
+from claimloom.plans import catalogue, kernel, records, relations, terms, upkeep  # noqa: F401  (the others add their queries to the catalogue)
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
