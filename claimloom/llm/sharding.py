@@ -4,10 +4,10 @@ Documents with equal texts are linked (through their text's hash).  A group larg
 than ``1 / (8 * shards)`` of all rows is large; there are fewer than ``8 * shards`` of
 them, so they are placed first, on the driver, largest first: whole where a shard
 has room for all, else (and above a shard's quota always) in parts that fill as few shards as possible.
-The other groups then propagate labels: a group's members ask to move to the shard where most
-of them are; a shard admits whole groups while it has room, documents without links
-counting as room because they can go anywhere.  Refused groups ask anew, by the
-room left; the few that remain are placed as the large ones are.  Last, rows without links leave shards
+The other groups then propagate labels: each round counts, by a join, where a group's members are, and they ask to move to the
+shard that has most of them among those with room for all; a shard admits whole groups while it has room, documents without links
+counting as room because they can go anywhere.  Refused groups count anew; one whose members' shards have no room left asks by the
+room of all; the few that remain are placed as the large ones are.  Last, rows without links leave shards
 above their quota for the shards below it: row counts differ by one at most.
 
 Rows of large groups meet their places by broadcast and are told apart by bucketed running
@@ -74,25 +74,27 @@ def assigned(docs: DataFrame, text: str = "text", id_col: str = "doc_id", shards
     quota = [n // shards + (s < n % shards) for s in range(shards)]
     room = list(quota)
     at = rows.groupBy("group", "start").agg(F.count("*").alias("here"))
-    groups = at.groupBy("group").agg(F.sum("here").alias("members"), F.max_by("start", F.struct("here", F.xxhash64("group", "start"))).alias("want")).filter("members > 1")
+    groups = at.groupBy("group").agg(F.sum("here").alias("members")).filter("members > 1")
     groups = stored(groups, "shard-groups")
     large = F.col("members") > max(1, n // (8 * shards))
     pieces = placed([(r["group"], r["members"]) for r in groups.filter(large).collect()], room)  # fewer than 8 * shards groups
-    todo, homes = groups.filter(~large), []
+    todo, homes = groups.filter(~large).select("group", "members"), []
+    near = stored(at.join(todo.select("group"), "group", "left_semi"), "shard-near")
     left = todo.count()
     for k in range(4 * rounds):
         if not left or (k >= rounds and left <= REFUSED):
             break
-        if k:
-            open_room = F.pmod(F.xxhash64("group", F.lit(k)), F.lit(max(1, sum(room)))) + 1
-            todo = todo.withColumn("want", _nth_shard(open_room, room))
+        with_room = near.join(todo, "group").filter(F.get(_table(room), F.col("start")) >= F.col("members"))
+        most = with_room.groupBy("group").agg(F.max_by("start", F.struct("here", F.xxhash64("group", "start"))).alias("most"))
+        open_room = F.pmod(F.xxhash64("group", F.lit(k)), F.lit(max(1, sum(room)))) + 1
+        todo = todo.join(most, "group", "left").withColumn("want", F.coalesce("most", _nth_shard(open_room, room)))
         ranked = running_total(todo.withColumn("_key", uniform_key(F.col("group"), F.lit(k))), ["want"], "_key", ["group"], F.col("members"), "_r", left)
         fits = F.col("_r") <= F.get(_table(room), F.col("want"))
         ranked = stored(ranked.withColumn("fits", fits).select("group", "members", "want", "fits"), f"shard-round{k}")
         homes.append(ranked.filter("fits").select("group", F.col("want").alias("home")))
         for r in ranked.filter("fits").groupBy("want").agg(F.sum("members").alias("used")).collect():
             room[r["want"]] -= r["used"]
-        todo = ranked.filter("not fits").select("group", "members", "want")
+        todo = ranked.filter("not fits").select("group", "members")
         left = todo.count()
     pieces += placed([(r["group"], r["members"]) for r in todo.collect()] if left else [], room)
     parts = F.broadcast(spark.createDataFrame(pieces, "group long, first long, last long, shard int"))
