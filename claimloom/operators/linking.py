@@ -140,12 +140,17 @@ def estimate_costs(rows: DataFrame, group: list[str], bands: int = 4) -> DataFra
     return out.withColumn("estimate", F.coalesce("cost_s", F.greatest(least, F.coalesce(fits, least)))).drop("_floor", "_bands")
 
 
-def fail_closed(references: DataFrame, entries: DataFrame, declarations: DataFrame, depends: DataFrame) -> DataFrame:
+def fail_closed(references: DataFrame, entries: DataFrame, declarations: DataFrame, depends: DataFrame, core: list[str] = (), revocations: DataFrame | None = None) -> DataFrame:
     """``subject, reason`` of all that a verifier must refuse.
 
     ``references(name)``; ``entries(catalog, name, cid)``; ``declarations(cid, signed, revoked, compatible)``;
-    ``depends(cid, on)``.  Whatever depends on a refused id, by any path, is refused too.
+    ``depends(cid, on)``.  Whatever depends on a refused id, by any path, is refused too.  Names in ``core`` need no entry.
+    With ``revocations(signer, revoked_at)`` a declaration (``signer, declared_at``) is refused from its signer's first revocation on.
     """
+    if revocations is not None:
+        since = revocations.groupBy("signer").agg(F.min("revoked_at").alias("_since"))
+        declarations = declarations.join(since, "signer", "left").withColumn("revoked", F.coalesce(F.col("revoked"), F.lit(False)) | F.coalesce(F.col("declared_at") >= F.col("_since"), F.lit(False)))
+    references = references.filter(~F.col("name").cast("string").isin(*core)) if core else references
     row = lambda d, c, why: d.select(F.col(c).cast("string").alias("subject"), F.lit(why).alias("reason"))
     names = entries.groupBy("name").agg(F.countDistinct("cid").alias("cids"), F.countDistinct("catalog").alias("catalogs"))
     links = depends.select("cid", "on").distinct()

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from claimloom.functions import canonical
 from claimloom.functions import sequences as S
-from claimloom.operators import predicates
-from claimloom.plans.catalogue import _SEQ, _SEQUENCES, _t, query, sequences
+from claimloom.operators import linking, predicates
+from claimloom.plans.catalogue import _SEQ, _SEQUENCES, _checkpoints, _t, query, sequences
 from claimloom.plans.records import _lines, operators
 from claimloom.sources import pool
 from claimloom.sources.scratch import folder
@@ -125,3 +125,23 @@ def seq_over_cap(spark, sf):
     rows = sequences(spark, sf).select("user_id", F.inline(F.array(*[one(n, made) for n, (made, _) in _SEQUENCES.items()])))
     over = F.when(F.col("o.reason") == "LengthCap", "LengthCap").otherwise("")
     return rows.select("user_id", "operator", over.alias("over"), F.when(F.col("o.status") == "INCOMPLETE", F.when(over == "LengthCap", "INCOMPLETE")).alias("status"))
+
+
+# --- fail-closed rules: names of the core, and keys that were revoked at a time ---
+
+
+@query("fail_closed_times", """WITH RECURSIVE d AS (SELECT o_orderkey AS cid, o_orderkey // 2 AS on_ FROM orders WHERE o_orderkey % 5 = 1),
+    v AS (SELECT o_orderkey AS cid FROM orders WHERE (o_custkey % 26 = 4 AND o_orderdate >= TIMESTAMP '2000-01-01') OR (o_custkey % 26 = 17 AND o_orderdate >= TIMESTAMP '2001-06-01')),
+    r AS (SELECT d.cid FROM d JOIN v ON v.cid = d.on_ UNION SELECT d.cid FROM r JOIN d ON d.on_ = r.cid)
+    SELECT cid::VARCHAR AS subject, 'signer_key_revoked' AS reason FROM v UNION ALL SELECT DISTINCT cid::VARCHAR, 'dependency_unresolvable' FROM r
+    UNION ALL SELECT n_name, 'no_resolution' FROM nation WHERE n_nationkey % 3 = 0 AND n_name NOT IN ('NATION_0', 'NATION_3')""")
+def fail_closed_times(spark, sf):
+    """Orders as declarations by their customers: some keys are revoked, one of them twice; older declarations stand."""
+    _checkpoints(spark)
+    o, n, c = _t(spark, sf, "orders"), _t(spark, sf, "nation"), _t(spark, sf, "customer")
+    k = F.col("o_orderkey")
+    said = o.select(k.alias("cid"), F.lit(True).alias("signed"), F.lit(False).alias("revoked"), F.lit(True).alias("compatible"), F.col("o_custkey").alias("signer"), F.col("o_orderdate").alias("declared_at"))
+    at = lambda day: F.lit(day).cast("timestamp_ntz").alias("revoked_at")
+    gone = c.filter("c_custkey % 13 = 4").select(F.col("c_custkey").alias("signer"), at("2001-06-01")).unionByName(c.filter("c_custkey % 26 = 4").select(F.col("c_custkey").alias("signer"), at("2000-01-01")))
+    entries = n.filter("n_nationkey % 3 <> 0").select(F.lit(0).alias("catalog"), F.col("n_name").alias("name"), F.col("n_nationkey").cast("long").alias("cid"))
+    return linking.fail_closed(n.select(F.col("n_name").alias("name")), entries, said, o.filter(k % 5 == 1).select(k.alias("cid"), F.expr("o_orderkey div 2").alias("on")), ["NATION_0", "NATION_3"], gone)

@@ -129,6 +129,8 @@ def test_walks_end_on_cycles(spark, tmp_path):
     walk = versions.version_walk(rel, "a", ["s"], "m")
     assert sorted((r.set_cid, r.step) for r in walk.collect()) == [("a", 0), ("b", 1), ("c", 2), ("d", 2)]
     assert versions.latest_release(walk).first()["set_cid"] == "c" and versions.version_walk(rel, "zz", ["s"], "m").count() == 0
+    chain = spark.createDataFrame([(f"r{i}", f"r{i - 1}", i) for i in range(20)], "set_cid string, previous_set_cid string, declared_at int").withColumns({"signer": F.lit("s"), "channel": F.lit("m")})
+    assert sorted(r.step for r in versions.version_walk(chain, "r0", ["s"], "m").collect()) == list(range(20))  # as far as it goes
     e = spark.createDataFrame([(1, 2), (2, 1), (2, 3), (3, 4), (4, 4), (5, 1), (6, 7)], "a int, b int")
     assert sorted(r.a for r in linking.on_cycles(e, "a", "b").collect()) == [1, 2, 4]
     assert sorted(r.node for r in claims.reaching(e, "a", "b", spark.createDataFrame([(3,)], "node int")).collect()) == [1, 2, 5]
