@@ -21,4 +21,4 @@ QUERIES = {
 }
 
 #: Those that SQL can express over whole tables; the others are tested against brute force.
-ORACLES = {"op2_substring": substring.OP2_SQL, "op9_minhash": minhash.OP9_SQL, "op5_exact_dedup": exact.OP5_SQL, "op10_mixing": mixing.OP10_SQL, "op11_warc": warc.OP11_SQL, "op12_manifest": manifest.OP12_SQL}
+ORACLES = {"op2_substring": substring.OP2_SQL, "op9_minhash": minhash.OP9_SQL, "op5_exact_dedup": exact.OP5_SQL, "op10_mixing": mixing.OP10_SQL, "op11_warc": warc.OP11_SQL, "op12_manifest": manifest.OP12_SQL, "op13_repair": repair.OP13_SQL}

@@ -330,3 +330,42 @@ def op13_repair(spark, sf_dir: str) -> DataFrame:
     counts = [_or(c, 0) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
     none = hashlib.sha256(b"").hexdigest()
     return every.join(done, F.col("conv_id").eqNullSafe(F.col("conv")), "left").select("conv_id", *counts, _or("audit", ""), _or("repaired_sha256", none))
+
+
+#: CRC-32 of the text's bytes, bit by bit (ids and turns are ASCII).
+_CRC = "xor(list_reduce(list_prepend(4294967295, list_transform(string_split({0}, ''), lambda c: ord(c)::bigint)), lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"
+#: Two inserts in one place are enough: two more lead back to where they began.
+OP13_SQL = f"""
+WITH RECURSIVE raw AS (
+    SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_CRC.format("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS kind FROM conversations),
+dam AS (
+    SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+           unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) AS copy FROM raw WHERE kind <> 0),
+num AS (
+    SELECT *, left(role, 1) AS c, regexp_replace(text, '[\\x20\\x09-\\x0D]+$', '') AS bare, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i,
+           row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again FROM dam),
+row_ AS (
+    SELECT *, CASE WHEN bare = '' THEN 1 WHEN again THEN 2 WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault, lag(c) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM num),
+conv AS (
+    SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate,
+           count(*) FILTER (fault = 3) AS truncated, count(*) FILTER (before || c NOT IN ('su', 'ua', 'au')) AS illegal FROM row_ GROUP BY conv_id),
+ins(q, to_, price, edits, lines) AS (
+    SELECT * FROM (VALUES (0, 0, 0, '', []::VARCHAR[]), (1, 1, 0, '', []), (2, 2, 0, '', []), (3, 3, 0, '', []), (0, 2, 5, 'I', ['user:']), (1, 2, 5, 'I', ['user:']), (2, 3, 5, 'I', ['assistant:']), (3, 2, 5, 'I', ['user:']),
+        (0, 3, 10, 'II', ['user:', 'assistant:']), (1, 3, 10, 'II', ['user:', 'assistant:']), (2, 2, 10, 'II', ['assistant:', 'user:']), (3, 3, 10, 'II', ['user:', 'assistant:']))),
+act(q, to_, edit, c, role) AS (
+    SELECT * FROM (VALUES (0, 0, 'D', NULL, NULL), (1, 1, 'D', NULL, NULL), (2, 2, 'D', NULL, NULL), (3, 3, 'D', NULL, NULL), (0, 1, 'K', 's', NULL), (0, 2, 'K', 'u', NULL), (1, 2, 'K', 'u', NULL), (3, 2, 'K', 'u', NULL), (2, 3, 'K', 'a', NULL),
+        (0, 2, 'R', NULL, 'user'), (1, 2, 'R', NULL, 'user'), (3, 2, 'R', NULL, 'user'), (2, 3, 'R', NULL, 'assistant'))),
+st AS (
+    SELECT conv_id, 0::BIGINT AS i, 0 AS q, {{'cost': 0::BIGINT, 'audit': '', 'made': []::VARCHAR[]}} AS b FROM conv
+    UNION ALL
+    SELECT st.conv_id, r.i, act.to_, min({{'cost': b.cost + price + CASE edit WHEN 'D' THEN 2 WHEN 'R' THEN 1 ELSE 0 END + CASE WHEN fault = 3 AND edit <> 'D' THEN 5 ELSE 0 END, 'audit': b.audit || edits || edit,
+        'made': list_concat(list_concat(b.made, lines), CASE WHEN edit = 'D' THEN [] ELSE [coalesce(act.role, r.role) || ':' || text] END)}})
+    FROM st JOIN row_ r ON r.conv_id IS NOT DISTINCT FROM st.conv_id AND r.i = st.i + 1 JOIN ins ON ins.q = st.q JOIN act ON act.q = ins.to_
+    WHERE (edit <> 'K' OR act.c = r.c) AND (edit = 'D' OR fault NOT IN (1, 2)) GROUP BY st.conv_id, r.i, act.to_),
+best AS (
+    SELECT st.conv_id, min({{'cost': b.cost + price, 'audit': b.audit || edits, 'made': list_concat(b.made, lines)}}) AS b
+    FROM st JOIN conv ON conv.conv_id IS NOT DISTINCT FROM st.conv_id AND conv.n = st.i JOIN ins ON ins.q = st.q WHERE ins.to_ IN (0, 3) GROUP BY st.conv_id)
+SELECT e.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(b.cost, 0)::BIGINT AS cost,
+       coalesce(b.audit, '') AS audit, sha256(coalesce(array_to_string(b.made, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) e LEFT JOIN conv ON conv.conv_id IS NOT DISTINCT FROM e.conv_id LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM e.conv_id
+"""
