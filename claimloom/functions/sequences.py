@@ -151,6 +151,16 @@ def capped(a: Column, result: Fn, cap: int = CAP) -> Column:
     return outcome(F.when(~over, result(a)), incomplete=over, effect="LengthCap")
 
 
+#: Producers whose elements are all there when a sequence is written down.
+FINITE = ("literal", "range", "collection", "repeat")
+
+
+def from_source(a: Column, producer: Column, result: Fn) -> Column:
+    """``result(a)`` as an outcome, if its producer is finite; what a generator, a call or an unknown producer gives is read at a time of its own, so it is incomplete and not guessed."""
+    known = F.coalesce(producer.isin(*FINITE), F.lit(False))
+    return outcome(F.when(known, result(a)), incomplete=~known, effect="AmbiguousTemporalIdentity")
+
+
 def fold(a: Column, init: Column, f: Callable[[Column, Column], Column]) -> Column:
     return F.aggregate(a, init, f)
 

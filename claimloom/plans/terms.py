@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from claimloom.functions import canonical
+from claimloom.functions.sorts import sort_name
 from claimloom.functions import sequences as S
 from claimloom.operators import linking, predicates
 from claimloom.plans.catalogue import _SEQ, _SEQUENCES, _checkpoints, _t, query, sequences
@@ -145,3 +146,28 @@ def fail_closed_times(spark, sf):
     gone = c.filter("c_custkey % 13 = 4").select(F.col("c_custkey").alias("signer"), at("2001-06-01")).unionByName(c.filter("c_custkey % 26 = 4").select(F.col("c_custkey").alias("signer"), at("2000-01-01")))
     entries = n.filter("n_nationkey % 3 <> 0").select(F.lit(0).alias("catalog"), F.col("n_name").alias("name"), F.col("n_nationkey").cast("long").alias("cid"))
     return linking.fail_closed(n.select(F.col("n_name").alias("name")), entries, said, o.filter(k % 5 == 1).select(k.alias("cid"), F.expr("o_orderkey div 2").alias("on")), ["NATION_0", "NATION_3"], gone)
+
+
+# --- sources that are read at a time of their own, and the sorts of types ---
+
+
+@query("seq_runtime_sources", _SEQ + "SELECT user_id, CASE WHEN user_id % 5 < 3 THEN 'COMPLETE' ELSE 'INCOMPLETE' END AS status, CASE WHEN user_id % 5 < 3 THEN list_sum(a)::BIGINT END AS total, CASE WHEN user_id % 5 < 3 THEN '' ELSE 'AmbiguousTemporalIdentity' END AS reason FROM s")
+def seq_runtime_sources(spark, sf):
+    producer = F.get(F.array(*[F.lit(x) for x in ("literal", "range", "collection", "from_fn", None)]), (F.col("user_id") % 5).cast("int"))
+    out = S.from_source(F.col("a"), producer, lambda a: S.fold(a, F.lit(0).cast("long"), lambda x, y: x + y))
+    return sequences(spark, sf).select("user_id", out.alias("o")).select("user_id", "o.status", F.col("o.value").alias("total"), "o.reason")
+
+
+#: Type texts and their sorts; {} is the part's size.
+_TYPES = [
+    ("u{}", "u{}"), ("&'a mut Vec<S{}>", "RefMut<Vec<S{}>>"), ("[f64; {}]", "Array<Real>"), ("(bool, std::option::Option<&str>, ())", "Tuple<Bool,Option<Ref<Str>>,Unit>"), ("*const [S{}]", "Ptr<Slice<S{}>>"), ("fn(i32, S{}) -> String", "FnPtr"),
+    ("Box<dyn Iterator>", "Box<Opaque>"), ("HashMap<String, Result<(), my::Err{}>>", "HashMap<String,Result<Unit,Err{}>>"), ("[u8; {}", "Unknown"), ("(((usize)))", "Int"), ("&&'b [(char, &mut [i64; 3])]", "Ref<Ref<Slice<Tuple<Char,RefMut<Array<Int>>>>>>"),
+]
+
+
+@query("sort_names", "SELECT p_partkey, replace([" + ", ".join("'" + b + "'" for _, b in _TYPES) + f"][1 + p_partkey % {len(_TYPES)}], '{{}}', p_size::VARCHAR) AS s, CASE WHEN s IN ('u8', 'u16', 'u32') THEN 'Int' ELSE s END AS sort FROM part")
+def sort_names(spark, sf):
+    p = _t(spark, sf, "part")
+    text = F.replace(F.get(F.array(*[F.lit(a) for a, _ in _TYPES]), (F.col("p_partkey") % len(_TYPES)).cast("int")), F.lit("{}"), F.col("p_size").cast("string"))
+    plain = F.replace(F.get(F.array(*[F.lit(b) for _, b in _TYPES]), (F.col("p_partkey") % len(_TYPES)).cast("int")), F.lit("{}"), F.col("p_size").cast("string"))
+    return p.select("p_partkey", plain.alias("s"), sort_name(text).alias("sort"))

@@ -216,3 +216,15 @@ def test_streams(spark, sf, tmp_path):
         upsert(s, str(tmp_path / "out"), str(tmp_path / f"c{k}")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
     assert tumbling(spark.read.parquet(f"{sf}/events.parquet")).agg(F.sum("n")).first()[0] > 0
+
+
+def test_sort_names(spark):
+    from claimloom.functions.sorts import sort_name
+
+    want = {
+        "&str": "Ref<Str>", "&'a str": "Ref<Str>", "&'a mut u32": "RefMut<Int>", "i128": "Int", "String": "String", "Vec<u32>": "Vec<Int>", "Thing": "Thing", "crate::a::Thing": "Thing", "()": "Unit", "(u8,)": "Tuple<Int>", "(A<B>, C<D>)": "Tuple<A<B>,C<D>>",
+        "[[u8; 4]]": "Slice<Array<Int>>", "*mut T": "PtrMut<T>", "impl Iterator": "Opaque", "&dyn Send": "Ref<Opaque>", "fn()": "FnPtr", "fn(u8) -> (u8, bool)": "FnPtr", "Option<fn(u8)>": "Option<FnPtr>", "!": "Never", "_": "Infer", "Cow<'a, str>": "Cow<Str>", "Foo<'a>": "Foo",
+        "": "Unknown", "&": "Unknown", "(u8": "Unknown", "u8 u8": "Unknown", None: None,
+    }
+    got = {r.t: r.s for r in spark.createDataFrame([(k,) for k in want], "t string").select("t", sort_name(F.col("t")).alias("s")).collect()}
+    assert got == want
