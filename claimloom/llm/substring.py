@@ -4,18 +4,20 @@ A window is ``WINDOW`` consecutive words of one text.  Words covered by a window
 words also start earlier (a smaller id, or earlier in the same text) are removed.
 
 1. Scan: each window's anchor is its least hash of ``ANCHOR`` words.  Windows in a row with one anchor
-   form a segment; of equal segments of a batch the first is sent, and of those that a task meets often only one that starts earlier than
+   form a segment; of equal segments of a batch the first two are sent, and of those that a task has met twice only one that starts earlier than
    all before.  An anchor with ``LOCAL_HOT`` different segments in one batch is split: its segments are dealt by content, and a mark tells the anchor's own task.
 2. Meet: segments are dealt by anchor.  Equal windows have equal anchors, so an anchor that occurs once ends here.
-   Of equal segments the first stays; all windows of the others start earlier in it.
-3. Index: different segments of one anchor go to one shard, as word hashes.  A shard holds an FM-index over its
-   segments (Burrows-Wheeler transform in a wavelet matrix of packed bits, bounds of the ``WINDOW``-deep intervals as packed bits,
-   and a sampled suffix array that keeps the earliest place of each interval with several).  Each segment is streamed through it
+   Of equal segments the first stands for all in the index, and the next is their witness, which is streamed; both go to the shard of the first
+   one's stretch of ``HOME`` words, joined to runs with their neighbours in the text.  What is left of equal segments are further copies.
+3. Index: different segments of one anchor go to one shard too.  A shard holds word hashes in an FM-index over its
+   runs (Burrows-Wheeler transform in a wavelet matrix of packed bits, bounds of the ``WINDOW``-deep intervals as packed bits,
+   and a sampled suffix array that keeps the earliest place of each interval with several).  Each run is streamed through it
    from its last word: backward search extends the match by a word, and a match of ``WINDOW`` words is contracted to its
-   interval.  These matching statistics, capped at ``WINDOW``, give the windows whose interval has an earlier place.
+   interval.  Windows whose matching statistic reaches ``WINDOW`` and whose interval has an earlier place are reported.
    A split anchor, or one with more than ``HOT_SEGMENTS`` different segments (the flanks of a very common passage),
-   is not sent to one shard: its windows are dealt singly, by their own hash, and of equal ones a task sends only one that starts earlier than all before.
-4. Remove: reported windows are taken from their texts.  Texts that cannot have any do not enter a shuffle.
+   is not sent to one shard: its windows are dealt singly, by their own hash, and of equal ones a task sends only those that start earlier than all before, and one witness.
+4. Copies: a further copy has the words of a witness and starts later than the first; it goes where the index has reported the whole witness.
+5. Remove: reported windows are taken from their texts.  Texts that cannot have any do not enter a shuffle.
 
 A place is (id, start); only a strictly smaller one is earlier.  Rows are told apart by their id and a 64-bit hash of
 their text (the key ``row``), so different texts under one id, or without one, are searched and cut each for itself;
@@ -45,6 +47,10 @@ ANCHOR = 8
 HOT_SEGMENTS, LOCAL_HOT = 2048, 4
 #: Bytes of all texts for each partition of step 2, and for each shard of step 3.
 MEET_BYTES, SHARD_BYTES = 16 << 20, 2 << 20
+#: Words of the stretches of a text whose repeated segments share a shard.
+HOME = 512
+#: A segment whose share of all further copies is above one in so many meets its witness by broadcast (there are fewer such segments).
+HOT_PARTS = 1000
 _LAST = np.iinfo(np.int64).max
 
 
@@ -87,6 +93,12 @@ def _places(anchor, content, doc, start):
     return new, (doc != doc[first]) | (start != start[first])
 
 
+def _second(new, again):
+    """Of segments in order: the first of each run of equal ones that ``again`` marks."""
+    at = np.flatnonzero(again)
+    return at[np.unique(np.cumsum(new)[at], return_index=True)[1]]
+
+
 class _Least:
     """The least place of each of some keys, as far as a task has read; keys are told apart by their anchor too."""
 
@@ -126,10 +138,12 @@ def _sender(local: int):
             new, again = _places(anchor, content, doc, start)
             known, later = least.look(content, anchor, doc, start)
             head = np.flatnonzero(new)
+            witness = _second(new, again & ~known)
             if len(head):
                 often = head[np.logical_or.reduceat(again | known, head)]
                 least.learn(content[often], anchor[often], doc[often], start[often])
             again |= later
+            again[witness] = False
             group = np.cumsum(np.append(True, anchor[1:] != anchor[:-1])[: len(anchor)]) - 1
             many = np.unique(anchor[np.bincount(group, weights=new)[group] >= local]) if len(group) else anchor
             marks = np.setdiff1d(many, hot)
@@ -147,6 +161,10 @@ def _sender(local: int):
     return run
 
 
+SEEK, HOT, FIRST, WITNESS, FURTHER, REPORTED, VERDICT = range(7)
+_MET = "doc long, row long, start int, windows int, role byte, anchor long, content long, home long"
+
+
 def _meet(most: int):
     def run(batches):
         cols = [[] for _ in range(7)]
@@ -163,21 +181,49 @@ def _meet(most: int):
         group = np.cumsum(np.append(True, anchor[1:] != anchor[:-1])[: len(anchor)]) - 1
         different = np.bincount(group, weights=new)[group] if len(group) else np.zeros(0)
         hot = np.isin(anchor, split) | (different > most)
-        out = np.flatnonzero(copy | (different > 1) | hot)
-        cols = [np.concatenate([x, y[out]]) for x, y in zip(sent, cols)]
-        anchor, _, doc, start, count, row = cols
-        copy, hot = np.append(np.ones(len(sent[0]), bool), copy[out]), np.append(np.zeros(len(sent[0]), bool), hot[out])
-        for lo in range(0, len(copy), 100_000):
-            i = slice(lo, lo + 100_000)
-            yield pa.record_batch([pa.array(x) for x in (doc[i], row[i], start[i], count[i], copy[i], anchor[i], hot[i])], names=["doc", "row", "start", "windows", "copy", "anchor", "hot"])
+        seek = np.flatnonzero(~copy & ((different > 1) | hot))
+        witness = _second(new, copy)
+        first = np.flatnonzero(new)[np.cumsum(new)[witness] - 1]
+        home = mix64(doc[first].view(np.uint64) ^ mix64(row[first].view(np.uint64) + (start[first] // HOME).astype(np.uint64))).view(np.int64)
+        further = copy.copy()
+        further[witness] = False
+        none = np.zeros(0, np.int64)
+        for at, role, where in ((seek, np.where(hot[seek], HOT, SEEK), none), (first, FIRST, home), (witness, WITNESS, home), (np.flatnonzero(further), FURTHER, none), (None, FURTHER, none)):
+            some = sent if at is None else [c[at] for c in cols]
+            yield from _met_rows(some, np.broadcast_to(role, len(some[0])), where if len(where) else np.zeros(len(some[0]), np.int64))
 
     return run
 
 
-def _singly(pieces, least: _Least, h: np.ndarray):
-    """Of hot ``pieces`` ``(anchor, doc, row, start, windows, first word in h)``: each window to search by its own hash, and runs that are copies for certain.
+def _met_rows(cols, role, home):
+    anchor, content, doc, start, count, row = cols
+    for lo in range(0, len(anchor), 100_000):
+        i = slice(lo, lo + 100_000)
+        yield pa.record_batch([pa.array(x[i]) for x in (doc, row, start.astype(np.int32), count.astype(np.int32), role.astype(np.int8), anchor, content, home)], names=["doc", "row", "start", "windows", "role", "anchor", "content", "home"])
+
+
+class _Witnessed:
+    """Windows of which a task has sent a witness."""
+
+    def __init__(self):
+        self.keys = np.zeros(0, np.int64)
+
+    def unsent(self, key: np.ndarray) -> np.ndarray:
+        """Places in ``key`` of one witness for each window that has none yet."""
+        k, at = np.unique(key, return_index=True)
+        at = at[~np.isin(k, self.keys)]
+        self.keys = np.union1d(self.keys, key[at])
+        return at
 
-    ``(key, doc, row, start, windows, words or None)``; ``least`` holds the least place of each window that the task has met.
+
+def _segs(anchor, content, windows, ask) -> bytes:
+    return np.array([anchor, content, windows, ask], np.int64).tobytes()
+
+
+def _singly(pieces, least: _Least, witnessed: _Witnessed, h: np.ndarray):
+    """Of hot ``pieces`` ``(anchor, doc, row, start, windows, first word in h)``: each window to search by its own hash, and further copies.
+
+    ``(key, doc, row, start, windows, words or None, segments or None)``; ``least`` holds the least place of each window that the task has met.
     """
     n = np.array([p[4] for p in pieces], np.int64)
     of = np.repeat(np.arange(len(n)), n)
@@ -192,37 +238,50 @@ def _singly(pieces, least: _Least, h: np.ndarray):
     gone |= least.look(g, anchor, doc, start)[1]
     first = order[new]
     least.learn(g[first], anchor[first], doc[first], start[first])
-    for i in np.flatnonzero(~gone).tolist():
-        yield int(g[i]), int(doc[i]), int(row[i]), int(start[i]), 1, h[at[i] : at[i] + WINDOW].tobytes()
     copies = np.flatnonzero(gone)
-    if len(copies):
-        head = np.flatnonzero(np.append(True, (np.diff(copies) != 1) | (np.diff(of[copies]) != 0)))
-        spread = mix64(np.arange(len(head)).astype(np.uint64) + doc[copies[head]].view(np.uint64)).view(np.int64)
-        for k, i, m in zip(spread.tolist(), copies[head].tolist(), np.diff(np.append(head, len(copies))).tolist()):
-            yield k, int(doc[i]), int(row[i]), int(start[i]), m, None
+    witness = np.zeros(len(g), bool)
+    witness[copies[witnessed.unsent(g[copies])]] = True
+    spread = mix64(np.arange(len(g)).astype(np.uint64) + doc.view(np.uint64)).view(np.int64)
+    for i in range(len(g)):
+        words = None if gone[i] and not witness[i] else h[at[i] : at[i] + WINDOW].tobytes()
+        segs = _segs([anchor[i]], [g[i]], [1], [1]) if gone[i] else None
+        yield int(g[i] if words else spread[i]), int(doc[i]), int(row[i]), int(start[i]), 1, words, segs
+
+
+def _runs(of, start, n, role, anchor, content, home, at, h):
+    """Segments of repeated stretches, neighbours in one text and shard joined: ``(key, text, start, windows, words, segments or None)``."""
+    order = np.lexsort((start, of))
+    of, start, n, role, anchor, content, home, at = (x[order] for x in (of, start, n, role, anchor, content, home, at))
+    head = np.flatnonzero(np.append(True, (of[1:] != of[:-1]) | (home[1:] != home[:-1]) | (start[1:] != start[:-1] + n[:-1]))[: len(of)])
+    for a, b in zip(head.tolist(), np.append(head[1:], len(of)).tolist()):
+        m = int(n[a:b].sum())
+        ask = role[a:b] == WITNESS
+        yield int(home[a]), int(of[a]), int(start[a]), m, h[at[a] : at[a] + m + WINDOW - 1].tobytes(), _segs(anchor[a:b], content[a:b], n[a:b], ask) if ask.any() else None
 
 
 def _fetch(shards: int):
-    names = ["shard", "doc", "row", "start", "windows", "words"]
+    names = ["shard", "doc", "row", "start", "windows", "words", "segs"]
 
     def run(batches):
-        least = _Least()
+        least, witnessed = _Least(), _Witnessed()
         for batch in batches:
-            docs, keys, places = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(3).to_pylist()
+            docs, keys, places = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(3)
+            flat = places.flatten()
+            owner = np.repeat(np.arange(len(places)), np.diff(places.offsets.to_numpy()))
+            of_place = [flat.field(c).to_numpy().astype(np.int64) for c in ("start", "windows", "role", "anchor", "content", "home")]
             out = [[] for _ in _FETCHED]
             for a, _, data, off in text_chunks(batch.column(2)):
                 starts, ends, first = word_spans(data, off)
                 h = hash_spans(data, starts, ends)
-                rows, pieces = [], []
-                for i in range(len(off) - 1):
-                    for p in places[a + i]:
-                        s, n, at = p["start"], p["windows"], first[i] + p["start"]
-                        if p["hot"]:
-                            pieces.append((p["anchor"], docs[a + i], keys[a + i], s, n, at))
-                        else:
-                            rows.append((p["anchor"], docs[a + i], keys[a + i], s, n, h[at : at + n + WINDOW - 1].tobytes()))
-                if pieces:
-                    rows += _singly(pieces, least, h)
+                lo, hi = np.searchsorted(owner, [a, a + len(off) - 1])
+                of = owner[lo:hi]
+                start, n, role, anchor, content, home = (x[lo:hi] for x in of_place)
+                at = first[of - a] + start
+                hot, pair = np.flatnonzero(role == HOT), np.flatnonzero(role >= FIRST)
+                rows = [(int(anchor[i]), docs[of[i]], keys[of[i]], int(start[i]), int(n[i]), h[at[i] : at[i] + n[i] + WINDOW - 1].tobytes(), None) for i in np.flatnonzero(role == SEEK).tolist()]
+                rows += [(key, docs[i], keys[i], *rest) for key, i, *rest in _runs(*(x[pair] for x in (of, start, n, role, anchor, content, home, at)), h)]
+                if len(hot):
+                    rows += _singly([(anchor[i], docs[of[i]], keys[of[i]], start[i], n[i], at[i]) for i in hot.tolist()], least, witnessed, h)
                 for key, *rest in rows:
                     for c, x in zip(out, (key % shards, *rest)):
                         c.append(x)
@@ -235,7 +294,7 @@ def _fetch(shards: int):
     return run
 
 
-_FETCHED = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+_FETCHED = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
 
 
 class Bits:
@@ -363,17 +422,25 @@ class FMIndex:
         return out
 
 
-_REMOVED = pa.schema([("doc", pa.int64()), ("row", pa.int64()), ("start", pa.int32()), ("windows", pa.int32())])
+_FOUND = pa.schema([("doc", pa.int64()), ("row", pa.int64()), ("start", pa.int32()), ("windows", pa.int32()), ("role", pa.int8()), ("anchor", pa.int64()), ("content", pa.int64())])
+
+
+def _found(role: int, doc, row, start, windows, anchor=None, content=None) -> pa.Table:
+    cols = [np.zeros(len(doc), np.int64) if c is None else np.asarray(c) for c in (doc, row, start, windows, np.full(len(doc), role), anchor, content)]
+    return pa.table([pa.array(c.astype(f.type.to_pandas_dtype())) for c, f in zip(cols, _FOUND)], schema=_FOUND)
 
 
 def _search(t: pa.Table) -> pa.Table:
     t = t.combine_chunks()
-    known = t.filter(t.column("words").is_null()).select(_REMOVED.names)
+    copies = t.filter(t.column("words").is_null())
+    segs = np.frombuffer(b"".join(copies.column("segs").to_pylist()), np.int64).reshape(-1, 4)
+    further = _found(FURTHER, *(copies.column(c).to_numpy() for c in ("doc", "row", "start", "windows")), segs[:, 0], segs[:, 1])
     t = t.filter(t.column("words").is_valid())
-    return pa.concat_tables([known, _indexed(t)]).cast(_REMOVED) if len(t) else known
+    return pa.concat_tables([further, *_indexed(t)]) if len(t) else further
 
 
-def _indexed(t: pa.Table) -> pa.Table:
+def _indexed(t: pa.Table) -> list[pa.Table]:
+    """What matching statistics report: runs of windows that start earlier, and the segments of witnesses that are such runs throughout."""
     t = t.sort_by([("doc", "ascending"), ("row", "ascending"), ("start", "ascending")])
     doc, row, start, count = (t.column(c).to_numpy().astype(np.int64) for c in ("doc", "row", "start", "windows"))
     size = count + WINDOW - 1
@@ -384,18 +451,26 @@ def _indexed(t: pa.Table) -> pa.Table:
     inside = np.ones(len(tokens), bool)
     inside[base + size] = False
     tokens[inside] = ids
-    owner = np.repeat(np.arange(len(count)), count)
-    at = base[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+    owner, begin = np.repeat(np.arange(len(count)), count), np.cumsum(count) - count
+    at = base[owner] + np.arange(len(owner)) - begin[owner]
     when = np.full(len(tokens), _LAST)
     when[at] = np.unique(doc, return_inverse=True)[1][owner] * (int((start + count).max()) + 1) + start[owner] + at - base[owner]
     index = FMIndex(tokens, WINDOW, when)
-    interval = index.statistics(tokens, base, size)[1]
-    hit = np.flatnonzero(index.earliest(interval[at]) < when[at])
-    if not len(hit):
-        return _REMOVED.empty_table()
-    new = np.flatnonzero(np.concatenate([[True], (np.diff(at[hit]) != 1)]))
-    i = owner[hit[new]]
-    return pa.table([pa.array(doc[i]), pa.array(row[i]), pa.array((start[i] + at[hit[new]] - base[i]).astype(np.int32)), pa.array(np.diff(np.append(new, len(hit))).astype(np.int32))], schema=_REMOVED)
+    matched, interval = index.statistics(tokens, base, size)
+    hit = (matched[at] >= WINDOW) & (index.earliest(interval[at]) < when[at])
+    runs = np.flatnonzero(hit)
+    new = np.flatnonzero(np.append(True, np.diff(at[runs]) != 1)[: len(runs)])
+    i = owner[runs[new]]
+    out = [_found(REPORTED, doc[i], row[i], start[i] + at[runs[new]] - base[i], np.diff(np.append(new, len(runs))))]
+    asked = [(first, np.frombuffer(segs, np.int64).reshape(4, -1)) for first, segs in zip(begin.tolist(), t.column("segs").to_pylist()) if segs]
+    if asked:
+        anchor, content, n, ask = np.concatenate([segs for _, segs in asked], axis=1)
+        head = np.concatenate([first + np.cumsum(segs[2]) - segs[2] for first, segs in asked])
+        upto = np.append(0, np.cumsum(hit))
+        whole = np.flatnonzero((ask == 1) & (upto[head + n] - upto[head] == n))
+        none = np.zeros(len(whole), np.int64)
+        out.append(_found(VERDICT, none, none, none, none, anchor[whole], content[whole]))
+    return out
 
 
 def _finish(with_places: bool):
@@ -427,20 +502,36 @@ def _keyed(docs: DataFrame, text: str, id_col: str) -> DataFrame:
 
 
 def repeated(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """``doc, row, start, windows``: runs of windows (by first word) that also start earlier; a null id is the largest long."""
+    """``doc, row, start, windows, copy``: runs of windows (by first word) that also start earlier; a null id is the largest long.
+
+    ``copy``: has the words of a witness that the index has reported (else reported itself).
+    """
     spark = docs.sparkSession
     small_batches(spark)
     size = docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
     own = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = _keyed(docs, text, id_col).select("doc", "text", "row")
     sent = rows.mapInArrow(_sender(LOCAL_HOT), "key long, anchor long, content long, doc long, start int, windows int, row long, kind byte")
-    met = stored(sent.repartition(max(own, size // MEET_BYTES), "key").mapInArrow(_meet(HOT_SEGMENTS), "doc long, row long, start int, windows int, copy boolean, anchor long, hot boolean"), "sub-met")
-    seek = met.filter("not copy").groupBy("doc", "row").agg(F.collect_list(F.struct("start", "windows", "anchor", "hot")).alias("places"))
-    hits = maybe_in(F.xxhash64("doc", "row"), met.filter("not copy").select(F.xxhash64("doc", "row").alias("h")).distinct())
+    met = stored(sent.repartition(max(own, size // MEET_BYTES), "key").mapInArrow(_meet(HOT_SEGMENTS), _MET), "sub-met")
+    searched = met.filter(F.col("role") != FURTHER)
+    seek = searched.groupBy("doc", "row").agg(F.collect_list(F.struct("start", "windows", "role", "anchor", "content", "home")).alias("places"))
+    hits = maybe_in(F.xxhash64("doc", "row"), searched.select(F.xxhash64("doc", "row").alias("h")).distinct())
     shards = max(16, size // SHARD_BYTES)
-    content = rows.filter(hits).join(seek, ["doc", "row"]).dropDuplicates(["doc", "row"]).select("doc", "row", "text", "places").mapInArrow(_fetch(shards), "shard long, doc long, row long, start int, windows int, words binary")
-    found = stored(content.groupBy("shard").applyInArrow(_search, "doc long, row long, start int, windows int"), "sub-found")
-    return met.filter("copy").select("doc", "row", "start", "windows").union(found)
+    content = rows.filter(hits).join(seek, ["doc", "row"]).dropDuplicates(["doc", "row"]).select("doc", "row", "text", "places").mapInArrow(_fetch(shards), "shard long, doc long, row long, start int, windows int, words binary, segs binary")
+    found = stored(content.groupBy("shard").applyInArrow(_search, "doc long, row long, start int, windows int, role byte, anchor long, content long"), "sub-found")
+    runs = ["doc", "row", "start", "windows"]
+    further = met.unionByName(found, allowMissingColumns=True).filter(F.col("role") == FURTHER).select(*runs, "anchor", "content")
+    gone = stored(_confirmed(further, found.filter(F.col("role") == VERDICT).select("anchor", "content").distinct()).select(runs), "sub-copies")
+    return found.filter(F.col("role") == REPORTED).select(*runs, F.lit(False).alias("copy")).union(gone.withColumn("copy", F.lit(True)))
+
+
+def _confirmed(further: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """Copies whose witness the index has reported; those of the most copied segments meet it by broadcast."""
+    key = ["anchor", "content"]
+    counts = stored(further.groupBy(key).agg(F.count("*").alias("n")).join(verdicts, key, "left_semi"), "sub-counts")
+    often = F.col("n") * HOT_PARTS > (counts.agg(F.sum("n")).first()[0] or 0)
+    hot, rest = counts.filter(often).select(key), counts.filter(~often).select(key)
+    return further.join(F.broadcast(hot), key, "left_semi").unionByName(further.join(F.broadcast(hot), key, "left_anti").join(rest, key, "left_semi"))
 
 
 def substring_dedup(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:

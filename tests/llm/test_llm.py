@@ -111,13 +111,34 @@ def test_hot_windows_are_sent_by_their_least_place_only():
     """Of windows that a task meets again, only places before all met so far are searched; the rest are copies."""
     rng = np.random.default_rng(3)
     h = rng.integers(1, 2**62, 60).astype(np.uint64)
-    least, sent, gone = substring._Least(), [], []
+    least, witnessed, sent, gone, witnesses = substring._Least(), substring._Witnessed(), [], [], []
     for doc in (5, 9, 3, 9, 3, 1):
-        rows = list(substring._singly([(7, doc, doc, 10, 41, 0), (7, doc, doc, 100, 41, 0)], least, h))
-        sent += [(r[1], r[3]) for r in rows if r[5] is not None]
-        gone += [(r[1], r[3] + j) for r in rows if r[5] is None for j in range(r[4])]
+        rows = list(substring._singly([(7, doc, doc, 10, 41, 0), (7, doc, doc, 100, 41, 0)], least, witnessed, h))
+        sent += [(r[1], r[3]) for r in rows if r[6] is None]
+        gone += [(r[1], r[3]) for r in rows if r[6] is not None]
+        witnesses += [r[0] for r in rows if r[6] is not None and r[5] is not None]
     assert sorted(sent) == sorted((d, 10 + j) for d in (5, 3, 3, 1) for j in range(41))
     assert len(sent) + len(gone) == 6 * 82 and (9, 10) in gone and (5, 100) in gone
+    assert len(witnesses) == len(set(witnesses)) == 41
+
+
+@pytest.mark.parametrize("hot, local", [(2048, 4), (1, 1)])
+def test_the_index_reports_every_repeated_window(spark, sf, docs, hot, local, monkeypatch):
+    """Matching statistics decide: what is removed was reported by the index, or has the words of a later window that it has reported."""
+    monkeypatch.setattr(substring, "HOT_SEGMENTS", hot)
+    monkeypatch.setattr(substring, "LOCAL_HOT", local)
+    words = {i: WORD.findall(t or "") for i, t in zip(docs.doc_id.tolist(), docs.text)}
+    places = collections.defaultdict(list)
+    for i in sorted(words):
+        for s in range(len(words[i]) - 19):
+            places[tuple(words[i][s : s + 20])].append((i, s))
+    got = {True: set(), False: set()}
+    for r in substring.repeated(spark.read.parquet(f"{sf}/documents.parquet")).collect():
+        got[r.copy] |= {(r.doc, r.start + j) for j in range(r.windows)}
+    searched = {g for g, at in places.items() if any(p in got[False] for p in at)}
+    assert searched == {g for g, at in places.items() if len(at) > 1}
+    assert got[True] | got[False] == {p for at in places.values() for p in at[1:]}
+    assert got[True] and not any(at[0] in got[False] for at in places.values())
 
 
 def test_fm_index():
