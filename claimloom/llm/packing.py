@@ -133,6 +133,19 @@ def _schedule(sizes: dict[str, int], weights: dict[str, float]):
     return lambda time: line(time, 0), lambda ids: line(ids, 1)
 
 
+def _opened(sums: DataFrame) -> DataFrame:
+    """``queue, chunk, n, before``: the ids of a queue before each chunk.
+
+    A chunk's number has its partition's in the upper bits: one window runs over a queue's partitions, one over a partition's chunks.
+    """
+    sums = sums.withColumn("part", F.shiftright("chunk", 32))
+    upto = lambda *keys: Window.partitionBy(*keys[:-1]).orderBy(keys[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    parts = sums.groupBy("queue", "part").agg(F.sum("n").alias("all"))
+    parts = parts.select("queue", "part", F.coalesce(F.sum("all").over(upto("queue", "part")), F.lit(0)).alias("opening"))
+    inside = sums.repartition("queue", "part").withColumn("within", F.coalesce(F.sum("n").over(upto("queue", "part", "chunk")), F.lit(0)))
+    return inside.join(parts, ["queue", "part"]).select("queue", "chunk", (F.col("opening") + F.col("within")).alias("before"), "n")
+
+
 def packed(docs: DataFrame, text: str = "text", source: str = "source", id_col: str = "doc_id", tokenizer: str | None = None, window: int = WINDOW, grain: int = GRAIN, block_tokens: int = BLOCK_TOKENS, weights: dict[str | None, float] | None = None) -> DataFrame:
     """One row per piece: ``id, start, length, ids_crc32, doc_tokens, sequence_id, offset, queue`` (the source after an ``s``, or ``n`` for null).
 
@@ -144,9 +157,7 @@ def packed(docs: DataFrame, text: str = "text", source: str = "source", id_col:
     rows = docs.select(F.col(id_col).alias("id"), name(F.col(source)).alias("queue"), F.col(text).alias("text"))
     ids = rows.mapInArrow(_encoder(tokenizer or default_tokenizer()), f"id {kind}, queue string, chunk long, at long, size long, ids binary")
     ids = stored(ids, "pack-ids")
-    sums = ids.groupBy("queue", "chunk").agg(F.sum("size").alias("n"))
-    upto = Window.partitionBy("queue").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    sums = stored(sums.select("queue", "chunk", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("before"), "n"), "pack-sums")
+    sums = stored(_opened(ids.groupBy("queue", "chunk").agg(F.sum("size").alias("n"))), "pack-sums")
     queues = sums.groupBy("queue").agg(F.sum("n").alias("all"))
     found = queues.agg(F.sum("all").alias("total"), F.count("*").alias("queues")).first()
     total, blocks = found["total"] or 0, max(1, -(-(found["total"] or 0) // block_tokens))

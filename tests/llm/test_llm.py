@@ -421,3 +421,10 @@ def test_language_keeps_short_texts_of_a_stated_language(spark, sf):
     more = spark.createDataFrame([(-1, "A.", "en", host), (-2, "é", "en", host), (-3, " ", "en", host), (-4, "", "en", host), (-5, None, "en", host)], docs.schema)
     got = language.kept_documents(docs.unionByName(more)).filter("doc_id < 0").collect()
     assert {r.doc_id for r in got} == {-1, -2}
+
+
+def test_openings_of_chunks_over_partitions(spark):
+    rng = np.random.default_rng(8)
+    rows = [(f"s{q}", part << 32 | chunk, int(rng.integers(1, 10**6))) for q in range(3) for part in range(9) for chunk in range(7) if rng.random() < 0.8]
+    got = {(r["queue"], r["chunk"]): (r["before"], r["n"]) for r in packing._opened(spark.createDataFrame(rows, "queue string, chunk long, n long")).collect()}
+    assert got == {(q, c): (sum(m for p, d, m in rows if p == q and d < c), n) for q, c, n in rows}
