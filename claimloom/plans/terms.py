@@ -71,7 +71,7 @@ def pool_manifest(spark, sf):
     """Groups by the manifest that was written, with what is wrong with them; all bodies stand in a second group too."""
     path, lines = folder(spark, "pool"), pool.members(_lines(spark, sf))
     pool.seal(lines.unionByName(lines.withColumn("name", F.lit("all"))), path)
-    m = spark.read.parquet(f"{path}/manifest").select("name", F.size("member_cids").cast("long").alias("members"))
+    m = spark.read.parquet(f"{path}/manifest").groupBy("name").agg(F.sum(F.size("member_cids")).alias("members"))
     return m.join(pool.manifest_gaps(spark, path), "name", "left")
 
 

@@ -24,18 +24,31 @@ def load(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return rows.filter(~bad).drop("_again").dropDuplicates(["cid", "name"]), rows.filter(bad).select("cid", F.lit("CidMismatch").alias("reason"))
 
 
+def _group_cids(parts: DataFrame) -> DataFrame:
+    """``name, group_cid``: the id of the set of a group's part ids."""
+    return parts.groupBy("name").agg(set_cid(F.collect_list("part_cid")).alias("group_cid"))
+
+
 def seal(claims: DataFrame, path: str) -> None:
-    """Members and a manifest of groups (by ``name``) with sorted ids and the id of each set; a body under two names is a member of both."""
+    """Members and a manifest of groups (by ``name``); a body under two names is a member of both.
+
+    The manifest has a row for each group and part (of 4,096, by the ids' hash): its sorted ids, the id of their set and the group's id, which is
+    that of the set of its parts.  So no row holds a large group.
+    """
     rows = claims.filter("cid is not null").dropDuplicates(["cid", "name"])
     rows.write.mode("overwrite").parquet(f"{path}/members")
     again = claims.sparkSession.read.parquet(f"{path}/members")
-    again.groupBy("name").agg(F.array_sort(F.collect_set("cid")).alias("member_cids")).withColumn("group_cid", set_cid(F.col("member_cids"))).withColumn("version", F.lit(1)).write.mode("overwrite").parquet(f"{path}/manifest")
+    parts = again.groupBy("name", F.substring(F.sha2("cid", 256), 1, 3).alias("part")).agg(F.array_sort(F.collect_set("cid")).alias("member_cids"))
+    parts.withColumn("part_cid", set_cid(F.col("member_cids"))).write.mode("overwrite").parquet(f"{path}/parts")
+    parts = claims.sparkSession.read.parquet(f"{path}/parts")
+    parts.join(_group_cids(parts).withColumnRenamed("name", "_name"), F.col("name").eqNullSafe(F.col("_name"))).drop("_name").withColumn("version", F.lit(1)).write.mode("overwrite").parquet(f"{path}/manifest")
 
 
 def manifest_gaps(spark: SparkSession, path: str) -> DataFrame:
     """``name, reason`` of groups whose manifest does not stand: an id that is not its set's, a member that is missing, a member that it does not name."""
     m = spark.read.parquet(f"{path}/manifest")
-    stale = m.filter(F.col("group_cid") != set_cid(F.col("member_cids"))).select("name", F.lit("GroupCidMismatch").alias("reason"))
+    again = _group_cids(m.withColumn("part_cid", set_cid(F.col("member_cids")))).select(F.col("name").alias("_name"), F.col("group_cid").alias("_again"))
+    stale = m.join(again, F.col("name").eqNullSafe(F.col("_name"))).filter(~F.col("group_cid").eqNullSafe(F.col("_again"))).select("name", F.lit("GroupCidMismatch").alias("reason")).distinct()
     said = m.select("name", F.explode("member_cids").alias("cid")).withColumn("_said", F.lit(True))
     have = load(spark, path)[0].select("name", "cid").withColumn("_have", F.lit(True))
     both = said.join(have, ["name", "cid"], "full_outer")
