@@ -167,6 +167,11 @@ def is_normal(x: Column) -> Column:
     return is_finite(x) & (F.abs(x) >= 2.2250738585072014e-308)
 
 
+def in_normal_range(x: Column) -> Column:
+    """A magnitude from 1 to 1e300: that of ``x`` where it lies there, else the nearer end (null: 1, NaN: 1e300)."""
+    return F.least(F.greatest(F.abs(x), F.lit(1.0)), F.lit(1e300))
+
+
 def is_infinite(x: Column) -> Column:
     return F.abs(x) == float("inf")
 

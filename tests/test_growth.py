@@ -1,8 +1,11 @@
 """What must not grow with the tables: rows that hold a group, tasks that make a key's pairs, columns of states, rounds over equals."""
 
 
+import duckdb
+import pandas as pd
 from pyspark.sql import functions as F
 
+from claimloom.plans import catalogue, kernel  # noqa: F401  (adds its queries to the catalogue)
 from claimloom.sources import pool
 
 
@@ -21,3 +24,13 @@ def test_manifest_in_parts(spark, tmp_path):
     less.write.parquet(f"{path}/less")
     spark.read.parquet(f"{path}/less").write.mode("overwrite").parquet(f"{path}/manifest")
     assert {tuple(r) for r in pool.manifest_gaps(spark, path).collect()} == {("odd", "GroupCidMismatch"), ("odd", "MemberUnnamed")}
+
+
+def test_floats_at_the_edges(spark, tmp_path):
+    """Values of zero, without a value, tiny and not finite: the same as SQL."""
+    values = [0.0, -0.0, None, 1e-310, float("inf"), float("-inf"), float("nan"), -3.5, 7.25] * 11
+    pd.DataFrame({"event_id": range(len(values)), "value": pd.array(values, dtype="Float64")}).to_parquet(tmp_path / "events.parquet")
+    duckdb.sql(f"CREATE OR REPLACE TEMP VIEW events AS FROM '{tmp_path}/events.parquet'")
+    for name in ("float_normal", "float_infinity_equal"):
+        mine = catalogue.QUERIES[name](spark, str(tmp_path)).collect()
+        assert sorted((r.event_id, r.out) for r in mine) == sorted(duckdb.sql(catalogue.SQL[name]).fetchall()), name
