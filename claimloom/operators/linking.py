@@ -22,10 +22,32 @@ def own_callsites(sites: DataFrame, owned: DataFrame, key: list[str], imported:
     return sites.filter(~F.coalesce(imported, F.lit(False))).join(owned.select(*key).distinct(), key, "left_anti")
 
 
-def compose_endpoints(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Pairs of one domain where an input of ``b`` (array ``from``) is the output ``to`` of ``a``."""
-    ends = b.select(F.col("id").alias("b_id"), "domain", F.explode(F.array_distinct("from")).alias("to"))
-    return a.select(F.col("id").alias("a_id"), "domain", "to").join(ends, ["domain", "to"])
+#: Pairs that are made in one block of a large key, and blocks that a task gets on average.
+BLOCK_PAIRS, TASK_BLOCKS = 1 << 21, 8
+
+
+def compose_endpoints(a: DataFrame, b: DataFrame, block_pairs: int = BLOCK_PAIRS) -> DataFrame:
+    """Pairs of one domain where an input of ``b`` (array ``from``) is the output ``to`` of ``a``.
+
+    A key's pairs are made in blocks of about ``block_pairs``: its rows of ``a`` are dealt over the blocks, those of ``b`` stand in
+    each, and the number of tasks follows from that of all pairs.  So no task's work grows with the tables, however few keys there are.
+    """
+    key = ["domain", "to"]
+    ends = b.select(F.col("id").alias("b_id"), "domain", F.explode(F.array_distinct("from")).alias("to")).dropna(subset=key)
+    starts = a.select(F.col("id").alias("a_id"), *key).dropna(subset=key)
+    # both counts in a double: their product may pass a long
+    load = starts.groupBy(*key).agg(F.count("*").alias("_a")).join(ends.groupBy(*key).agg(F.count("*").alias("_b")), key)
+    load = load.withColumn("_blocks", F.least(F.col("_a"), F.ceil(F.col("_a").cast("double") * F.col("_b") / block_pairs)).cast("long"))
+    blocks = load.select(F.sum("_blocks").alias("n")).first().n or 0
+    session = a.sparkSession
+    tasks = min(max(blocks // TASK_BLOCKS, int(session.conf.get("spark.sql.shuffle.partitions"))), 100_000)
+    large = load.filter("_blocks > 1").select(*key, "_blocks")
+    one = F.coalesce(F.col("_blocks"), F.lit(1).cast("long"))
+    at = F.struct(*key, "_block").alias("_at")  # one key: a part that is constant would leave a join's keys, and the partitions with it
+    starts = starts.join(large, key, "left").withColumn("_block", F.pmod(F.xxhash64("a_id"), one)).select("a_id", *key, at)
+    ends = ends.join(large, key, "left").withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), one - 1))).select("b_id", at)
+    # a number of partitions that is asked for is not coalesced by bytes: pairs cost more than the rows that make them
+    return starts.repartition(tasks, "_at").join(ends.repartition(tasks, "_at").hint("merge"), "_at").drop("_at")
 
 
 def manifest_group(members: DataFrame, name: str) -> DataFrame:

@@ -5,6 +5,7 @@ import duckdb
 import pandas as pd
 from pyspark.sql import functions as F
 
+from claimloom.operators import linking
 from claimloom.plans import catalogue, kernel  # noqa: F401  (adds its queries to the catalogue)
 from claimloom.sources import pool
 
@@ -34,3 +35,14 @@ def test_floats_at_the_edges(spark, tmp_path):
     for name in ("float_normal", "float_infinity_equal"):
         mine = catalogue.QUERIES[name](spark, str(tmp_path)).collect()
         assert sorted((r.event_id, r.out) for r in mine) == sorted(duckdb.sql(catalogue.SQL[name]).fetchall()), name
+
+
+def test_a_key_with_many_pairs(spark):
+    a = spark.range(3000).select("id", F.lit(1).alias("domain"), (F.col("id") % 2).alias("to"))
+    b = spark.range(40).select("id", F.lit(1).alias("domain"), F.array(F.col("id") % 2, F.col("id") % 3, F.lit(None)).alias("from"))
+    got = linking.compose_endpoints(a, b, 500)
+    want = [(i, j) for i in range(3000) for j in range(40) if i % 2 in (j % 2, j % 3)]
+    assert sorted((r.a_id, r.b_id) for r in got.collect()) == want and set(got.columns) == {"domain", "to", "a_id", "b_id"}
+    most = got.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert most < len(want) / 8  # two keys of 39,000 and 51,000 pairs
+    assert linking.compose_endpoints(a.limit(0), b).count() == 0
