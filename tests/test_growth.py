@@ -1,10 +1,13 @@
 """What must not grow with the tables: rows that hold a group, tasks that make a key's pairs, columns of states, rounds over equals."""
 
+import tracemalloc
 
 import duckdb
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+from claimloom.functions import utf8
 from claimloom.operators import linking
 from claimloom.plans import catalogue, kernel  # noqa: F401  (adds its queries to the catalogue)
 from claimloom.sources import pool
@@ -46,3 +49,27 @@ def test_a_key_with_many_pairs(spark):
     most = got.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
     assert most < len(want) / 8  # two keys of 39,000 and 51,000 pairs
     assert linking.compose_endpoints(a.limit(0), b).count() == 0
+
+
+def test_states_of_a_block_only():
+    data = np.tile(np.frombuffer("aé€\U0001f600".encode() + b"\xe2\x82\xff\xf0\x9f\x98", np.uint8), 1000)
+    off = np.array([0, 3, 3, 7000, 7001, len(data)])
+    start, size, fine = utf8.runs(data, off)
+    for block in (1, 2, 3, 5, 64, 1 << 20):
+        at, n = utf8.broken(data, off, block)
+        assert (at == start[~fine]).all() and (n == size[~fine]).all()
+    import pyarrow as pa
+
+    batch = pa.record_batch([pa.array(range(64)), pa.array([b"plain text " * 50_000] * 64)], names=["id", "data"])
+    tracemalloc.start()
+    assert sum(b.num_rows for b in utf8._chunked(iter([batch]))) == 64
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 3 * batch.nbytes
+
+
+def test_slices():
+    import pyarrow as pa
+
+    batch = pa.record_batch([pa.array(range(7)), pa.array([b"x" * n if n is not None else None for n in (3, 0, 9, None, 2, 2, 1)])], names=["id", "data"])
+    assert [s.column(0).to_pylist() for s in utf8._slices(batch, 5)] == [[0, 1], [2], [3, 4, 5, 6]]
