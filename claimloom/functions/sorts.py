@@ -6,7 +6,7 @@ traits are opaque.  What is left over after ``depth`` rounds, or was no type, is
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Primitive types and their sorts.
@@ -49,11 +49,19 @@ def sort_name(source: Column, depth: int = 6) -> Column:
         out = F.regexp_replace(out, pattern, by)
 
     # a round is one step of a fold, so the expression does not grow with depth
+    # and a text that is an atom is not looked at again: no pattern of a round applies to one
     def once(text: Column) -> Column:
+        new = text
         for pattern, by in _ROUND:
-            text = F.regexp_replace(text, pattern, by)
-        return text
+            new = F.regexp_replace(new, pattern, by)
+        return F.when(text.rlike(f"^{_A}$"), text).otherwise(new)
 
     out = F.aggregate(F.sequence(F.lit(1), F.lit(depth)), out, lambda text, _: once(text))
     out = F.regexp_replace(out, r"\s*([<>,])\s*", "$1")
     return F.when(source.isNotNull(), F.when(out.rlike(f"^{_A}$"), out).otherwise("Unknown"))
+
+
+def with_sorts(rows: DataFrame, text: str, out: str) -> DataFrame:
+    """``rows`` with the sort of the type in column ``text`` as ``out``; each distinct text is rewritten once."""
+    named = rows.select(text).distinct().select(text, sort_name(F.col(text)).alias(out))
+    return rows.join(named, text, "left")

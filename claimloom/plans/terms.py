@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from claimloom.functions import canonical
-from claimloom.functions.sorts import sort_name
+from claimloom.functions.sorts import with_sorts
 from claimloom.functions import sequences as S
 from claimloom.operators import linking, predicates
 from claimloom.plans.catalogue import _SEQ, _SEQUENCES, _checkpoints, _t, query, sequences
@@ -170,4 +170,4 @@ def sort_names(spark, sf):
     p = _t(spark, sf, "part")
     text = F.replace(F.get(F.array(*[F.lit(a) for a, _ in _TYPES]), (F.col("p_partkey") % len(_TYPES)).cast("int")), F.lit("{}"), F.col("p_size").cast("string"))
     plain = F.replace(F.get(F.array(*[F.lit(b) for _, b in _TYPES]), (F.col("p_partkey") % len(_TYPES)).cast("int")), F.lit("{}"), F.col("p_size").cast("string"))
-    return p.select("p_partkey", plain.alias("s"), sort_name(text).alias("sort"))
+    return with_sorts(p.select("p_partkey", plain.alias("s"), text.alias("text")), "text", "sort").drop("text")

@@ -1,5 +1,6 @@
 """What must not grow with the tables: rows that hold a group, tasks that make a key's pairs, columns of states, rounds over equals."""
 
+import time
 import tracemalloc
 
 import duckdb
@@ -8,6 +9,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from claimloom.functions import utf8
+from claimloom.functions.sorts import sort_name
 from claimloom.operators import linking
 from claimloom.plans import catalogue, kernel  # noqa: F401  (adds its queries to the catalogue)
 from claimloom.sources import pool
@@ -73,3 +75,15 @@ def test_slices():
 
     batch = pa.record_batch([pa.array(range(7)), pa.array([b"x" * n if n is not None else None for n in (3, 0, 9, None, 2, 2, 1)])], names=["id", "data"])
     assert [s.column(0).to_pylist() for s in utf8._slices(batch, 5)] == [[0, 1], [2], [3, 4, 5, 6]]
+
+
+def test_sorts_stop_at_an_atom(spark):
+    d = spark.range(0, 3000, 1, 1).select(F.format_string("&mut Vec<S%d>", "id").alias("t"))
+
+    def took(depth):
+        t = time.time()
+        assert d.select(sort_name(F.col("t"), depth).alias("s")).filter("s = 'RefMut<Vec<S7>>'").count() == 1
+        return time.time() - t
+
+    took(2)
+    assert took(400) < 10 * took(6)
