@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from claimloom.functions import utf8
+from claimloom.functions import canonical, utf8
 from claimloom.functions.sorts import sort_name
 from claimloom.operators import linking
 from claimloom.plans import catalogue, kernel  # noqa: F401  (adds its queries to the catalogue)
@@ -87,3 +87,12 @@ def test_sorts_stop_at_an_atom(spark):
 
     took(2)
     assert took(400) < 10 * took(6)
+
+
+def test_forms_by_the_standard_encoder(monkeypatch):
+    odd = ['{"b":[1,"é",null,true],"a":{"z":1,"y":"\\n\\u001f\\"\\\\/\\u007f"}}', '{"a":1.5}', '{"a":1.5,"a":1}', "[NaN]", "[-0, 1e2]", "﻿1", '"\\ud83d\\ude00"', "{", None, str(10**40), '{"B":1,"a":2,"\\u00e9":3}']
+    want = ['{"a":{"y":"\\u000a\\u001f\\"\\\\/\x7f","z":1},"b":[1,"é",null,true]}', None, '{"a":1}', None, None, None, '"\U0001f600"', None, None, str(10**40), '{"B":1,"a":2,"é":3}']
+    assert list(canonical.canonical.func(pd.Series(odd))) == want
+    monkeypatch.setattr(canonical, "encode", None)
+    plain = ['{"kind":"exists","name":"x","body":{"kind":"var","name":"x"}}']
+    assert list(canonical.alpha_form.func(pd.Series(plain))) == ['{"body":{"kind":"var","name":"$b0"},"kind":"exists","name":"$b0"}']
