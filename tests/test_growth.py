@@ -96,3 +96,9 @@ def test_forms_by_the_standard_encoder(monkeypatch):
     monkeypatch.setattr(canonical, "encode", None)
     plain = ['{"kind":"exists","name":"x","body":{"kind":"var","name":"x"}}']
     assert list(canonical.alpha_form.func(pd.Series(plain))) == ['{"body":{"kind":"var","name":"$b0"},"kind":"exists","name":"$b0"}']
+
+
+def test_folds_by_the_standard_encoder(monkeypatch):
+    monkeypatch.setattr(canonical, "encode", None)
+    plain = ['{"kind":"ctor","name":"<<","args":[{"kind":"const","value":3},{"kind":"const","value":4}]}']
+    assert list(canonical.alpha_form.func(pd.Series(plain))) == ['{"kind":"const","sort":{"kind":"primitive","name":"Int"},"value":48}']
