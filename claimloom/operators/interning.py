@@ -4,16 +4,26 @@ A term's id is the hash of its kind, its label and its children's ids, so equal
 are relations, not texts: leaves get their ids first, and level by level the ids of finished children are joined into their
 parents (a join and an aggregation a level; a level's tables are written and the last one's dropped).  No row holds a subtree; children are hashed
 in parts of ``PART`` positions, so a very wide node is no wide row either.
+
+Where nodes name their tree (``tree``), trees of up to ``TREE`` nodes take one shuffle instead: a task gets them one behind another and
+hashes each from its leaves on, and nothing but what is counted leaves it.  Larger ones go level by level.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import hashlib
+from collections.abc import Iterator
+from itertools import groupby
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimloom.sources.scratch import dropped, written
 
 PART = 1024
+#: Nodes of a tree that a task hashes at once.
+TREE = 20_000
 
 
 def term_id(kind: Column, label: Column, arity: Column, children: Column) -> Column:
@@ -21,15 +31,95 @@ def term_id(kind: Column, label: Column, arity: Column, children: Column) -> Col
     return F.sha2(F.concat_ws("\x1f", kind, F.coalesce(label, F.lit("\x00")), arity.cast("string"), children), 256)
 
 
+def _sha(text: str) -> str:
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+_NONE = _sha("")
+
+
+def _hashed(parent: list, id_: list, pos: list, kind: list, label: list) -> Iterator[tuple]:
+    """Row number, id of the term, height and the parent's term of the nodes of whole trees, from the leaves on."""
+    at, n = {x: i for i, x in enumerate(id_)}, len(id_)
+    up = [at.get(p) if p is not None else None for p in parent]
+    kids: list[list[int]] = [[] for _ in range(n)]
+    for i, j in enumerate(up):
+        if j is not None:
+            kids[j].append(i)
+    left, cid, height = [len(k) for k in kids], [None] * n, [0] * n
+    ready = [i for i in range(n) if not left[i]]
+    for i in ready:  # grows while it is read
+        below, children = kids[i], _NONE
+        if below:
+            below.sort(key=lambda k: (pos[k], cid[k]))
+            children = "".join(_sha("".join(cid[k] for k in part)) for _, part in groupby(below, lambda k: pos[k] // PART))
+            height[i] = 1 + max(height[k] for k in below)
+        said = "\x00" if label[i] is None else label[i]
+        cid[i] = _sha("\x1f".join([*([] if kind[i] is None else [kind[i]]), said, str(len(below)), children]))
+        if (j := up[i]) is not None:
+            left[j] -= 1
+            if not left[j]:
+                ready.append(j)
+    return ((i, cid[i], height[i], None if up[i] is None else cid[up[i]]) for i in ready)
+
+
+def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of nodes in order of trees; the last tree of a batch waits for the next one."""
+    held: list[pa.RecordBatch] = []
+
+    def out(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        got = list(_hashed(*(rows[c].to_pylist() for c in ("parent", "id", "pos", "kind", "label"))))
+        if got:
+            i, cid, height, up = zip(*got)
+            mine = rows.select(["id", "parent", "pos", "kind", "label"]).take(pa.array(i))
+            mine = mine.append_column("cid", pa.array(cid, pa.string())).append_column("height", pa.array(height, pa.int32())).append_column("up", pa.array(up, pa.string()))
+            yield from mine.combine_chunks().to_batches()
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        tree = batch.column(0)
+        first, last, before = tree[0].as_py(), tree[-1].as_py(), held[0].column(0)[0].as_py() if held else None
+        if held and before != first:
+            yield from out(pa.Table.from_batches(held))
+            held = []
+        # rows of one tree stand together, so its first one cuts the batch
+        cut = tree.to_pylist().index(last)
+        if cut:
+            yield from out(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+            held = []
+        held.append(batch.slice(cut))
+    if held:
+        yield from out(pa.Table.from_batches(held))
+
+
 class TermGraph:
     """``nodes`` (``id, parent, pos, kind, label``; a root has no parent) interned.
 
-    ``ids``: ``id, cid, height`` of every node; :meth:`terms`, :meth:`edges` are the graph.  Nodes on a cycle of parents, or
+    ``tree`` names a column with the tree of each node, which is that of its parent too.  ``ids``: ``id, cid, height`` of every node; :meth:`terms`, :meth:`edges` are the graph.  Nodes on a cycle of parents, or
     below one, get no id; :meth:`unfinished` has them.
     """
 
-    def __init__(self, nodes: DataFrame):
+    def __init__(self, nodes: DataFrame, tree: str | None = None, most: int = TREE):
         self.nodes = nodes.select("id", "parent", "pos", "kind", "label")
+        if tree is None:
+            self._by_level(self.nodes)
+            up = self.ids.select(F.col("id").alias("parent"), F.col("cid").alias("up"))
+            self.placed = self.nodes.join(self.ids, "id").join(up, "parent", "left")
+            return
+        rows = nodes.select(F.col(tree).alias("tree"), *self.nodes.columns).filter("id is not null")
+        large = written(rows.groupBy("tree").agg(F.count("*").alias("n")).filter(F.col("n") > most).select("tree"), "terms-large")
+        # a count over trees asks for their nodes side by side, and moves none that lie so
+        sized = rows.withColumn("n", F.count("*").over(Window.partitionBy("tree"))).filter(F.col("n") <= most)
+        types = {f.name: f.dataType.simpleString() for f in rows.schema}
+        shape = ", ".join(f"{c} {types[c]}" for c in self.nodes.columns)
+        self.placed = sized.select("tree", *self.nodes.columns).mapInArrow(_trees, f"{shape}, cid string, height int, up string")
+        if not large.isEmpty():
+            by_level = TermGraph(rows.withColumnRenamed("tree", "_tree").join(large.withColumnRenamed("tree", "_large"), F.col("_tree").eqNullSafe(F.col("_large")), "left_semi"))
+            self.placed = self.placed.unionByName(by_level.placed)
+        self.ids = self.placed.select("id", "cid", "height")
+
+    def _by_level(self, nodes: DataFrame) -> None:
         arity = self.nodes.filter("parent is not null").groupBy(F.col("parent").alias("id")).agg(F.count("*").alias("arity"))
         shape = written(self.nodes.join(arity, "id", "left").withColumn("arity", F.coalesce("arity", F.lit(0))), "terms-shape")
         empty = F.sha2(F.lit(""), 256)
@@ -57,17 +147,14 @@ class TermGraph:
 
     def terms(self) -> DataFrame:
         """Each term once: ``cid, kind, label, height, uses`` (nodes that are this term)."""
-        rows = self.nodes.select("id", "kind", "label").join(self.ids, "id")
-        return rows.groupBy("cid", "kind", "label", "height").agg(F.count("*").alias("uses"))
+        return self.placed.groupBy("cid", "kind", "label", "height").agg(F.count("*").alias("uses"))
 
     def edges(self) -> DataFrame:
         """``cid, pos, child, uses``: a term's children."""
-        up = self.ids.select(F.col("id").alias("parent"), F.col("cid").alias("up"))
-        rows = self.nodes.filter("parent is not null").join(self.ids, "id").join(up, "parent")
-        return rows.groupBy(F.col("up").alias("cid"), "pos", F.col("cid").alias("child")).agg(F.count("*").alias("uses"))
+        return self.placed.filter("up is not null").groupBy(F.col("up").alias("cid"), "pos", F.col("cid").alias("child")).agg(F.count("*").alias("uses"))
 
     def roots(self) -> DataFrame:
-        return self.nodes.filter("parent is null").join(self.ids, "id").select("id", "cid")
+        return self.placed.filter("parent is null").select("id", "cid")
 
     def unfinished(self) -> DataFrame:
         return self.nodes.join(self.ids.select("id"), "id", "left_anti")

@@ -132,14 +132,16 @@ def consumption_stream(spark, sf):
 
 def _sums(spark, sf):
     """Node ``<order>/<line>`` adds line ``<line>`` to what stands before; ``<order>/<line>c`` is the line's constant."""
-    line = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", F.floor("l_quantity"))
-    l = _t(spark, sf, "lineitem").select("l_orderkey", (F.floor("l_quantity").cast("int") % 10).cast("string").alias("q"), F.row_number().over(line).alias("n"), F.count("*").over(Window.partitionBy("l_orderkey")).alias("m"))
-    at = lambda n, c="": F.concat(F.col("l_orderkey").cast("string"), F.lit("/"), n.cast("string"), F.lit(c))
+    line = Window.partitionBy("tree").orderBy("l_linenumber", "l_partkey", "l_suppkey", "quantity")
+    l = _t(spark, sf, "lineitem").select(F.col("l_orderkey").alias("tree"), "l_linenumber", "l_partkey", "l_suppkey", F.floor("l_quantity").alias("quantity"))
+    l = l.select("tree", (F.col("quantity").cast("int") % 10).cast("string").alias("q"), F.row_number().over(line).alias("n"), F.count("*").over(Window.partitionBy("tree")).alias("m"))
+    at = lambda n, c="": F.concat(F.col("tree").cast("string"), F.lit("/"), n.cast("string"), F.lit(c))
     n, above = F.col("n"), F.when(F.col("n") < F.col("m"), at(F.col("n") + 1))
-    plus = l.select(at(n).alias("id"), above.alias("parent"), F.lit(0).alias("pos"), F.lit("ctor").alias("kind"), F.lit("+").alias("label"))
+    node = lambda id_, parent, pos, kind, label: F.struct(id_.alias("id"), parent.alias("parent"), pos.alias("pos"), F.lit(kind).alias("kind"), label.alias("label"))
+    plus = node(at(n), above, F.lit(0), "ctor", F.lit("+"))
     # the first line's node has its constant only
-    const = l.select(at(n, "c").alias("id"), at(n).alias("parent"), F.when(n == 1, 0).otherwise(1).alias("pos"), F.lit("const").alias("kind"), F.col("q").alias("label"))
-    return plus.unionByName(const)
+    const = node(at(n, "c"), at(n), F.when(n == 1, 0).otherwise(1), "const", F.col("q"))
+    return l.select("tree", F.inline(F.array(plus, const)))  # both side by side, so that no tree is moved again
 
 
 _TERMS = """WITH RECURSIVE l AS (SELECT l_orderkey AS o, (floor(l_quantity)::INTEGER % 10)::VARCHAR AS q, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, floor(l_quantity)) AS n FROM lineitem),
@@ -150,12 +152,12 @@ _TERMS = """WITH RECURSIVE l AS (SELECT l_orderkey AS o, (floor(l_quantity)::INT
 
 @query("term_graph", _TERMS + """ SELECT c AS cid, 'const' AS kind, q AS label, 0 AS height, count(*) AS uses FROM k GROUP BY 1, 3 UNION ALL SELECT cid, 'ctor', '+', n::INTEGER, count(*) FROM p GROUP BY 1, 4""")
 def term_graph(spark, sf):
-    return TermGraph(_sums(spark, sf)).terms()
+    return TermGraph(_sums(spark, sf), "tree").terms()
 
 
 @query("term_edges", _TERMS + """ SELECT cid, pos::INTEGER AS pos, child, count(*) AS uses FROM (SELECT cid, CASE WHEN n = 1 THEN 0 ELSE 1 END AS pos, c AS child FROM p UNION ALL SELECT cid, 0, below FROM p WHERE below IS NOT NULL) GROUP BY 1, 2, 3""")
 def term_edges(spark, sf):
-    return TermGraph(_sums(spark, sf)).edges()
+    return TermGraph(_sums(spark, sf), "tree").edges()
 
 
 # --- graphs: rings of 40 customers, every third block a chain; links on to twice the number ---
