@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from claimloom.operators.incremental import set_hash
 from claimloom.sources.scratch import dropped, written
 
 #: Bits of the modes (fixed values); a label that is none of these is a mode without a known composition.
@@ -41,11 +42,16 @@ def _undominated(sets: Column) -> Column:
 def least_losses(edges: DataFrame, sources: DataFrame) -> DataFrame:
     """``source, target, bits``: for each of ``sources`` (``source``) and each sort reached by ``edges`` (``a, b, bits``) in one step or more, the undominated losses.
 
-    A round follows only labels that the last one found.  Edges with a null end lead nowhere.
+    A round follows only labels that the last one found.  Edges with a null end lead nowhere.  Sources with the same ways out reach
+    the same, so one of them walks for all that are alike; they are told apart by a hash of their ways.
     """
     ways = edges.filter("a is not null and b is not null").groupBy("a", "b").agg(F.collect_set("bits").alias("ways"))
     ways = written(ways.select("a", "b", F.explode(_undominated(F.col("ways"))).alias("way")).repartition("a"), "ways")
     start = sources.select("source").distinct()
+    alike = written(set_hash(start.join(ways, F.col("source") == F.col("a")), ["source"], F.to_json(F.struct("b", "way"))), "alike")
+    first = alike.groupBy("evidence").agg(F.min("source").alias("first"))
+    members = written(alike.join(first, "evidence").select(F.col("source").alias("member"), "first"), "members")
+    start = members.select(F.col("first").alias("source")).distinct()
     found = None
     new = start.select("source", F.col("source").alias("target"), F.lit(0).alias("bits"))
     while True:
@@ -59,4 +65,5 @@ def least_losses(edges: DataFrame, sources: DataFrame) -> DataFrame:
         last, found = now, now.select("source", "target", "held")
         new = now.select("source", "target", F.explode("new").alias("bits"))
         if new.isEmpty():
-            return found.select("source", "target", F.explode("held").alias("bits"))
+            found = found.select(F.col("source").alias("first"), "target", F.explode("held").alias("bits"))
+            return members.join(found, "first").select(F.col("member").alias("source"), "target", "bits")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from claimloom.functions import canonical, utf8
 from claimloom.functions.sorts import sort_name
-from claimloom.operators import linking
+from claimloom.operators import lattice, linking
 from claimloom.plans import catalogue, kernel  # noqa: F401  (adds its queries to the catalogue)
 from claimloom.sources import pool
 
@@ -102,3 +102,15 @@ def test_folds_by_the_standard_encoder(monkeypatch):
     monkeypatch.setattr(canonical, "encode", None)
     plain = ['{"kind":"ctor","name":"<<","args":[{"kind":"const","value":3},{"kind":"const","value":4}]}']
     assert list(canonical.alpha_form.func(pd.Series(plain))) == ['{"kind":"const","sort":{"kind":"primitive","name":"Int"},"value":48}']
+
+
+def test_alike_sources_walk_once(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(lattice, "written", lambda d, name, own=lattice.written: made.append((name, t := own(d, name))) or t)
+    edges = spark.range(2000).select(F.format_string("s%d", "id").alias("a"), F.format_string("h%d", F.col("id") % 3).alias("b"), (F.col("id") % 2).cast("int").alias("bits"))
+    edges = edges.unionByName(spark.createDataFrame([("h0", "h1", 2), ("h1", "h2", 4), ("h2", "h0", 0), ("h1", "s5", 8)], "a string, b string, bits int"))
+    got = {(r.source, r.target, r.bits) for r in lattice.least_losses(edges, spark.range(2000).select(F.format_string("s%d", "id").alias("source"))).collect()}
+    first = {(i % 3, i % 2): i for i in range(6)}
+    assert got == {(f"s{i}", t, b) for i in range(2000) for s, t, b in got if s == f"s{first[i % 3, i % 2]}"} and len({s for s, _, _ in got}) == 2000
+    assert ("s0", "h0", 0) in got and ("s0", "h2", 6) in got and ("s0", "s5", 10) in got
+    assert made[-1][1].select("source").distinct().count() == 6
