@@ -23,19 +23,30 @@ from claimloom.sources.scratch import folder, written
 Rule = Callable[[DataFrame], DataFrame]
 
 
+#: Characters up to which a text is its own content id, marked so that it is no other text's.
+SHORT = 40
+#: Commits after which the cache's parts become one table.
+GATHER = 8
+
+
+def short(text: Column) -> Column:
+    """A text that is short as it is, another one as its hash; two texts never have one id."""
+    return F.when(F.length(text) <= SHORT, F.concat(F.lit("="), text)).otherwise(F.sha2(text, 256))
+
+
 def content_id(value: Column) -> Column:
-    return F.when(value.isNull(), "null").otherwise(F.sha2(value, 256))
+    return F.when(value.isNull(), "null").otherwise(short(value))
 
 
 def set_hash(rows: DataFrame, key: list[str], item: Column) -> DataFrame:
     """``key, evidence``: the hash of each key's distinct items, gathered in parts of parts, so that no row holds a large key's items."""
-    h = rows.select(*key, F.sha2(item, 256).alias("h")).distinct()
-    for digits in (3, 0):
-        joined = F.array_join(F.array_sort(F.collect_list("h")), "")
-        h = h.groupBy(*key, F.substring("h", 1, digits).alias("part")).agg(F.sha2(joined, 256).alias("p"))
-        # the part stays in front of its hash, and the next round sorts and groups by it
-        h = h.select(*key, F.concat("part", "p").alias("h"))
-    return h.select(*key, F.col("h").alias("evidence"))
+    # an item goes through one shuffle, as it is if it is short; its part follows from its hash
+    h = rows.select(*key, short(item).alias("h"))
+    h = h.groupBy(*key, F.substring(F.sha2("h", 256), 1, 3).alias("part")).agg(F.array_sort(F.collect_set("h")).alias("hs"))
+    # lengths in front, so that no two lists of items make one text
+    p = F.sha2(F.array_join(F.transform("hs", lambda x: F.concat(F.length(x).cast("string"), F.lit(":"), x)), ""), 256)
+    h = h.select(*key, F.concat("part", p).alias("h"))
+    return h.groupBy(*key).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("evidence"))
 
 
 class Workspace:
@@ -65,11 +76,14 @@ class Workspace:
         gen = f"g{self.generation + 1}"
         src = sources.select(F.lit(0).alias("level"), "id", "value", content_id(F.col("value")).alias("cid"))
         now = written(src, f"{gen}-sources")
-        deps = written(deps.select("node", "level", "input", F.coalesce("complete", F.lit(False)).alias("complete")).distinct(), f"{gen}-deps")
+        deps = deps.select("node", "level", "input", F.coalesce("complete", F.lit(False)).alias("complete"))
+        # both sides meet once: each row with where it stands, the old ones too
+        sides = deps.withColumn("side", F.lit(1)).unionByName(self.deps.withColumn("side", F.lit(2)))
+        sides = written(sides.groupBy("node", "level", "input", "complete").agg(F.bit_or("side").alias("side")), f"{gen}-deps")
+        deps = sides.filter("side <> 2").drop("side")
         context = set_hash(now, [], F.concat_ws("\x1f", "id", "cid")).select(F.col("evidence").alias("context")) if now.take(1) else self.spark.sql("SELECT '' AS context")
         moved = self._moved(now, self.values.filter("level = 0"))
-        sides = deps.withColumn("side", F.lit(1)).unionByName(self.deps.withColumn("side", F.lit(-1)))
-        rewired = written(sides.groupBy(*deps.columns).agg(F.sum("side").alias("side")).filter("side <> 0").select("node").distinct(), f"{gen}-rewired")
+        rewired = written(sides.filter("side <> 3").select("node").distinct(), f"{gen}-rewired")
         any_moved = bool(moved.take(1))
         made, cached = [], self.cache
         for level in sorted(rules):
@@ -95,8 +109,9 @@ class Workspace:
             now = now.unionByName(rows.drop("status"))
             made.append(rows)
         if commit:
-            self.values, self.deps, self.generation = written(now, "values"), deps, self.generation + 1
-            self.cache = written(cached, "cache")
+            # all parts are written already; the cache's, which grow in number, are put together now and then
+            self.values, self.deps, self.generation = now, deps, self.generation + 1
+            self.cache = cached if self.generation % GATHER else written(cached, "cache")
         out = made[0]
         for rows in made[1:]:
             out = out.unionByName(rows)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from claimloom.functions import canonical, utf8
 from claimloom.functions.sorts import sort_name
-from claimloom.operators import lattice, linking
+from claimloom.operators import incremental, lattice, linking
 from claimloom.plans import catalogue, kernel  # noqa: F401  (adds its queries to the catalogue)
 from claimloom.sources import pool
 
@@ -114,3 +114,12 @@ def test_alike_sources_walk_once(spark, monkeypatch):
     assert got == {(f"s{i}", t, b) for i in range(2000) for s, t, b in got if s == f"s{first[i % 3, i % 2]}"} and len({s for s, _, _ in got}) == 2000
     assert ("s0", "h0", 0) in got and ("s0", "h2", 6) in got and ("s0", "s5", 10) in got
     assert made[-1][1].select("source").distinct().count() == 6
+
+
+def test_short_texts_are_their_own_ids(spark):
+    texts = ["", "5", "x" * 40, "x" * 41, "null", "=5", None]
+    got = [r.c for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(incremental.content_id(F.col("t")).alias("c")).collect()]
+    assert got[0] == "=" and got[1] == "=5" and got[2] == "=" + "x" * 40 and len(got[3]) == 64 and got[6] == "null" and len(set(got)) == len(texts)
+    # items that make one text when they are put together are two sets
+    rows = spark.createDataFrame([(1, "a"), (1, "b=c"), (2, "a=b"), (2, "c")], "k int, v string")
+    assert rows.transform(lambda d: incremental.set_hash(d, ["k"], F.col("v"))).select("evidence").distinct().count() == 2
