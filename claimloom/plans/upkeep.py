@@ -144,6 +144,10 @@ def _sums(spark, sf):
     return l.select("tree", F.inline(F.array(plus, const)))  # both side by side, so that no tree is moved again
 
 
+def _sizes(spark, sf):
+    return _t(spark, sf, "lineitem").groupBy("l_orderkey").agg((2 * F.count("*")).alias("n"))
+
+
 _TERMS = """WITH RECURSIVE l AS (SELECT l_orderkey AS o, (floor(l_quantity)::INTEGER % 10)::VARCHAR AS q, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, floor(l_quantity)) AS n FROM lineitem),
     k AS (SELECT o, n, q, sha256('const' || chr(31) || q || chr(31) || '0' || chr(31) || sha256('')) AS c FROM l),
     p AS (SELECT o, n, c, NULL::VARCHAR AS below, sha256('ctor' || chr(31) || '+' || chr(31) || '1' || chr(31) || sha256(c)) AS cid FROM k WHERE n = 1
@@ -152,12 +156,12 @@ _TERMS = """WITH RECURSIVE l AS (SELECT l_orderkey AS o, (floor(l_quantity)::INT
 
 @query("term_graph", _TERMS + """ SELECT c AS cid, 'const' AS kind, q AS label, 0 AS height, count(*) AS uses FROM k GROUP BY 1, 3 UNION ALL SELECT cid, 'ctor', '+', n::INTEGER, count(*) FROM p GROUP BY 1, 4""")
 def term_graph(spark, sf):
-    return TermGraph(_sums(spark, sf), "tree").terms()
+    return TermGraph(_sums(spark, sf), "tree", sizes=_sizes(spark, sf)).terms()
 
 
 @query("term_edges", _TERMS + """ SELECT cid, pos::INTEGER AS pos, child, count(*) AS uses FROM (SELECT cid, CASE WHEN n = 1 THEN 0 ELSE 1 END AS pos, c AS child FROM p UNION ALL SELECT cid, 0, below FROM p WHERE below IS NOT NULL) GROUP BY 1, 2, 3""")
 def term_edges(spark, sf):
-    return TermGraph(_sums(spark, sf), "tree").edges()
+    return TermGraph(_sums(spark, sf), "tree", sizes=_sizes(spark, sf)).edges()
 
 
 # --- graphs: rings of 40 customers, every third block a chain; links on to twice the number ---
