@@ -25,6 +25,8 @@ Rule = Callable[[DataFrame], DataFrame]
 
 #: Characters up to which a text is its own content id, marked so that it is no other text's.
 SHORT = 40
+#: Words of 32 bits in the hash of a set.
+WORDS = 5
 #: Commits after which the cache's parts become one table.
 GATHER = 8
 
@@ -39,14 +41,15 @@ def content_id(value: Column) -> Column:
 
 
 def set_hash(rows: DataFrame, key: list[str], item: Column) -> DataFrame:
-    """``key, evidence``: the hash of each key's distinct items, gathered in parts of parts, so that no row holds a large key's items."""
-    # an item goes through one shuffle, as it is if it is short; its part follows from its hash
-    h = rows.select(*key, short(item).alias("h"))
-    h = h.groupBy(*key, F.substring(F.sha2("h", 256), 1, 3).alias("part")).agg(F.array_sort(F.collect_set("h")).alias("hs"))
-    # lengths in front, so that no two lists of items make one text
-    p = F.sha2(F.array_join(F.transform("hs", lambda x: F.concat(F.length(x).cast("string"), F.lit(":"), x)), ""), 256)
-    h = h.select(*key, F.concat("part", p).alias("h"))
-    return h.groupBy(*key).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("evidence"))
+    """``key, evidence``: the hash of each key's items in any order: the sums of the words of their hashes, and their number.
+
+    Sums are taken where the rows lie, so a large key meets as a row a task.
+    """
+    # eight hexadecimal digits are a word of 32 bits, of which a long holds the sum of two thousand million
+    h = rows.select(*key, F.sha2(short(item), 256).alias("h"))
+    words = [F.conv(F.substring("h", 1 + 8 * i, 8), 16, 10).cast("long") for i in range(WORDS)]
+    sums = h.groupBy(*key).agg(F.count("*").alias("n"), *[F.sum(w).alias(f"w{i}") for i, w in enumerate(words)])
+    return sums.filter("n > 0").select(*key, F.sha2(F.concat_ws(",", "n", *[f"w{i}" for i in range(WORDS)]), 256).alias("evidence"))
 
 
 class Workspace:
@@ -59,11 +62,9 @@ class Workspace:
         self.cache = spark.createDataFrame([], "key string, value string")
         self.generation = 0
 
-    def _key(self, candidates: DataFrame, deps: DataFrame, now: DataFrame, context: DataFrame) -> DataFrame:
+    def _key(self, candidates: DataFrame, items: DataFrame, context: DataFrame) -> DataFrame:
         """Candidates (``node, complete``) with the key of their evidence."""
-        cids = now.select(F.col("id").alias("input"), "cid")
-        items = deps.join(candidates.filter("complete").select("node"), "node", "left_semi").join(cids, "input", "left")
-        said = set_hash(items, ["node"], F.concat_ws("\x1f", "input", F.coalesce("cid", F.lit("gone"))))
+        said = set_hash(items.filter("complete"), ["node"], F.concat_ws("\x1f", "input", F.coalesce("cid", F.lit("gone"))))
         out = candidates.join(said, "node", "left").crossJoin(F.broadcast(context))  # one row: the context of all sources
         return out.select("node", F.sha2(F.concat_ws("\x1f", "node", F.when(F.col("complete"), F.col("evidence")).otherwise(F.concat(F.lit("all:"), "context"))), 256).alias("key"))
 
@@ -81,23 +82,34 @@ class Workspace:
         sides = deps.withColumn("side", F.lit(1)).unionByName(self.deps.withColumn("side", F.lit(2)))
         sides = written(sides.groupBy("node", "level", "input", "complete").agg(F.bit_or("side").alias("side")), f"{gen}-deps")
         deps = sides.filter("side <> 2").drop("side")
-        context = set_hash(now, [], F.concat_ws("\x1f", "id", "cid")).select(F.col("evidence").alias("context")) if now.take(1) else self.spark.sql("SELECT '' AS context")
-        moved = self._moved(now, self.values.filter("level = 0"))
-        rewired = written(sides.filter("side <> 3").select("node").distinct(), f"{gen}-rewired")
-        any_moved = bool(moved.take(1))
+        context = written(set_hash(now, [], F.concat_ws("\x1f", "id", "cid")).select(F.col("evidence").alias("context")), f"{gen}-context") if now.take(1) else self.spark.sql("SELECT '' AS context")
+        later = self.generation > 0  # before the first commit all is new, and nothing has to be looked for
+        if later:
+            moved = self._moved(now, self.values.filter("level = 0"))
+            rewired = written(sides.filter("side <> 3").select("node").distinct(), f"{gen}-rewired")
+            any_moved = bool(moved.take(1))
         made, cached = [], self.cache
         for level in sorted(rules):
             mine = deps.filter(F.col("level") == level)
             nodes = mine.groupBy("node").agg(F.bool_and("complete").alias("complete"))
             old = self.values.filter(F.col("level") == level)
-            touched = mine.join(moved.select(F.col("id").alias("input")), "input", "left_semi").select("node").unionByName(rewired)
-            if any_moved:
-                touched = touched.unionByName(nodes.filter("not complete").select("node"))
-            candidates = nodes.join(touched.distinct(), "node", "left_semi")
-            keys = self._key(candidates, mine, now, context).join(cached.withColumn("status", F.lit("hit")), "key", "left")
+            if not later:
+                candidates, read = nodes, mine
+            else:
+                touched = mine.join(moved.select(F.col("id").alias("input")), "input", "left_semi").select("node").unionByName(rewired)
+                if any_moved:
+                    touched = touched.unionByName(nodes.filter("not complete").select("node"))
+                candidates = written(nodes.join(touched.distinct(), "node", "left_semi"), f"{gen}-candidates")
+                read = mine.join(candidates.select("node"), "node", "left_semi")
+            # what candidates read meets its values once, for the evidence and for the rule
+            items = written(read.join(now.select(F.col("id").alias("input"), "cid", "value"), "input", "left").select("node", "input", "complete", "cid", "value"), f"{gen}-items")
+            keys = self._key(candidates, items, context).join(cached.withColumn("status", F.lit("hit")), "key", "left")
             keys = written(keys, f"{gen}-keys")
             hits, misses = keys.filter("status is not null"), keys.filter("status is null").select("node", "key")
-            inputs = mine.join(misses.select("node"), "node", "left_semi").join(now.select(F.col("id").alias("input"), "value"), "input").select("node", "input", "value")
+            inputs = items.filter("cid is not null")
+            if later or made:
+                inputs = inputs.join(misses.select("node"), "node", "left_semi")
+            inputs = inputs.select("node", "input", "value")
             got = rules[level](inputs).select("node", F.col("value").cast("string").alias("value"))
             # a node without inputs has no row here, and no value
             fresh = written(hits.select("node", "key", "value", "status").unionByName(misses.join(got, "node").select("node", "key", "value", F.lit("recomputed").alias("status"))), f"{gen}-fresh")
@@ -105,7 +117,8 @@ class Workspace:
             rows = kept.select("level", "id", "value", "cid", F.lit("kept").alias("status")).unionByName(fresh.select(F.lit(level).alias("level"), F.col("node").alias("id"), "value", content_id(F.col("value")).alias("cid"), "status"))
             rows = written(rows, f"{gen}-level")
             cached = cached.unionByName(fresh.filter("status = 'recomputed'").select("key", "value"))
-            moved = moved.unionByName(self._moved(rows.drop("status"), old))
+            if later:
+                moved = moved.unionByName(self._moved(rows.drop("status"), old))
             now = now.unionByName(rows.drop("status"))
             made.append(rows)
         if commit:
