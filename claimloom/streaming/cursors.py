@@ -11,13 +11,15 @@ An operation before any definition has no standing and is refused too; refused o
 
 :func:`batch` is the answer over a table, by windows.  :func:`stream` gives the same rows from a stream whose rows come in any
 order within the watermark's delay: they wait in buckets of event time, and a timer of each bucket, which fires when the
-watermark has passed it, works its rows off in order.  State is a counter row a key and the open buckets; a restart goes on
-from the checkpoint.  Rows behind the watermark are dropped, as by every stateful operator.
+watermark has passed it, works its rows off in order.  Up to ``few`` rows of a key wait together, with one timer for the earliest
+bucket, as each look at a state or timer is a message between processes; a key that once has more waits in a row a bucket from then on.
+State is a counter row a key and what waits; a restart goes on from the checkpoint.  Rows behind the watermark are dropped, as by every stateful operator.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain, islice
 from typing import Any
 
 from pyspark.sql import DataFrame, Row, Window
@@ -27,6 +29,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 OPERATIONS = ("define", "advance", "consume", "reset")
 #: Milliseconds of event time that wait and are worked off together.
 BUCKET_MS = 6 * 3_600_000
+#: Rows of a key that wait as one row of state with one timer.
+FEW = 500
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -53,32 +57,68 @@ OUTPUT = "key string, id long, version long, occurrence long, alias string, outc
 
 
 class _Cursor(StatefulProcessor):
-    def __init__(self, bucket_ms: int):
-        self.bucket_ms = bucket_ms
+    def __init__(self, bucket_ms: int, few: int):
+        self.bucket_ms, self.few = bucket_ms, few
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.now = handle.getValueState("now", "version long, occurrence long, gone boolean")
-        self.waiting = handle.getMapState("waiting", "bucket long", "rows array<struct<us:long,id:long,op:string>>")
+        rows = "rows array<struct<us:long,id:long,op:string>>"
+        self.first = handle.getValueState("first", f"many boolean, {rows}")
+        self.waiting = handle.getMapState("waiting", "bucket long", rows)
+
+    def _bucket(self, row: tuple) -> int:
+        return row[0] // 1000 // self.bucket_ms
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        many, held = self.first.get() if self.first.exists() else (False, [])
+        new = ((r.us, r.id, r.op) for r in rows)
+        if not many:
+            before = min(map(self._bucket, held := [tuple(x) for x in held]), default=None)
+            some = [*held, *islice(new, self.few + 1 - len(held))]
+            if len(some) <= self.few:
+                if some and (before is None or min(map(self._bucket, some)) < before):
+                    self.handle.registerTimer((min(map(self._bucket, some)) + 1) * self.bucket_ms)
+                self.first.update((False, some))
+                return iter(())
+            self.first.update((True, []))
+            new = chain(some, new)
         come: dict[int, list] = {}
-        for r in rows:
-            come.setdefault(r.us // 1000 // self.bucket_ms, []).append((r.us, r.id, r.op))
-        for bucket, new in come.items():
+        for r in new:
+            come.setdefault(self._bucket(r), []).append(r)
+        for bucket, new_ in come.items():
             held = self.waiting.getValue((bucket,)) if self.waiting.containsKey((bucket,)) else None
             if held is None:
                 self.handle.registerTimer((bucket + 1) * self.bucket_ms)
-            self.waiting.updateValue((bucket,), ([*(tuple(x) for x in (held[0] if held else [])), *new],))
+            self.waiting.updateValue((bucket,), ([*(tuple(x) for x in (held[0] if held else [])), *new_],))
         return iter(())
 
+    def _due(self, bucket: int, watermark_ms: int) -> list[tuple]:
+        """Rows whose bucket has passed, taken out of the state."""
+        many, held = self.first.get() if self.first.exists() else (True, [])
+        if many:
+            if not self.waiting.containsKey((bucket,)):
+                return []
+            (held,) = self.waiting.getValue((bucket,))
+            self.waiting.removeKey((bucket,))
+            return [tuple(x) for x in held]
+        held = [tuple(x) for x in held]
+        passed = max(bucket, watermark_ms // self.bucket_ms - 1)
+        later = [x for x in held if self._bucket(x) > passed]
+        if len(later) < len(held):
+            self.first.update((False, later))
+            if later:
+                self.handle.registerTimer((min(map(self._bucket, later)) + 1) * self.bucket_ms)
+        return [x for x in held if self._bucket(x) <= passed]
+
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
         bucket = expiredTimerInfo.getExpiryTimeInMs() // self.bucket_ms - 1
-        (held,) = self.waiting.getValue((bucket,))
-        self.waiting.removeKey((bucket,))
+        held = self._due(bucket, timerValues.getCurrentWatermarkInMs())
+        if not held:
+            return iter(())
         version, occurrence, gone = self.now.get() if self.now.exists() else (0, 0, False)
         out = []
-        for _, id_, op in sorted((tuple(x) for x in held), key=lambda x: x[:2]):
+        for _, id_, op in sorted(held, key=lambda x: x[:2]):
             at = alias = None
             outcome = op
             if op == "define":
@@ -99,10 +139,10 @@ class _Cursor(StatefulProcessor):
         return iter(out)
 
 
-def stream(rows: DataFrame, delay: str, bucket_ms: int = BUCKET_MS) -> DataFrame:
+def stream(rows: DataFrame, delay: str, bucket_ms: int = BUCKET_MS, few: int = FEW) -> DataFrame:
     """The same rows as :func:`batch` from a stream of ``key, ts, id, op``, each when the watermark (``delay`` behind the latest time seen) has passed its bucket."""
     rows = rows.select(F.col("key").cast("string").alias("key"), "ts", F.unix_micros("ts").alias("us"), F.col("id").cast("long").alias("id"), "op").withWatermark("ts", delay)
-    return rows.groupBy("key").transformWithState(_Cursor(bucket_ms), OUTPUT, "append", "eventTime")
+    return rows.groupBy("key").transformWithState(_Cursor(bucket_ms, few), OUTPUT, "append", "eventTime")
 
 
 def append_to(rows: DataFrame, path: str, checkpoint: str) -> None:

@@ -72,3 +72,48 @@ def test_stream_over_restarts(spark, tmp_path):
     source = spark.readStream.schema(SCHEMA).parquet(f"{tmp_path}/in")
     cursors.append_to(cursors.stream(source, "35000 seconds", bucket_ms=600_000), f"{tmp_path}/out", f"{tmp_path}/checkpoint")
     assert answer(spark.read.parquet(f"{tmp_path}/out")) == got
+
+
+class Held:
+    """A state or a handle that counts what is asked of it."""
+
+    def __init__(self):
+        self.calls, self.value, self.map, self.timers = 0, None, {}, set()
+
+    def __getattr__(self, name):
+        do = {
+            "exists": lambda: self.value is not None, "get": lambda: self.value, "update": lambda v: setattr(self, "value", v),
+            "containsKey": lambda k: k in self.map, "getValue": lambda k: self.map[k], "updateValue": self.map.__setitem__, "removeKey": self.map.pop, "registerTimer": self.timers.add,
+        }[name]
+
+        def call(*args):
+            self.calls += 1
+            return do(*args)
+
+        return call
+
+
+class At:
+    def __init__(self, ms):
+        self.getCurrentWatermarkInMs = self.getExpiryTimeInMs = lambda: ms
+
+
+def test_few_rows_take_few_messages():
+    """A key's rows over many buckets, in two batches of input and two of time: the same answer whether they wait together or by bucket, or turn from one to the other."""
+    rng = random.Random(4)
+    rows = [(rng.randrange(0, 50_000_000), i, rng.choice(["define", "advance", "consume", "reset", None])) for i in range(200)]
+    want, calls = walk([("k", r[0], r[1], r[2]) for r in rows]), {}
+    for few in (0, 150, 500):
+        c, out = cursors._Cursor(1000, few), []
+        c.handle, c.now, c.first, c.waiting = states = Held(), Held(), Held(), Held()
+        at = lambda ms: [out.extend(c.handleExpiredTimer(("k",), At(ms), At(t))) for t in sorted(c.handle.timers) if t <= ms and not c.handle.timers.discard(t)]
+        rows.sort(key=lambda r: (r[0] > 30_000_000, r[1]))
+        late = [r for r in rows if r[0] > 20_000_000 and r[1] % 3 == 0]
+        c.handleInputRows(("k",), iter([cursors.Row(us=r[0], id=r[1], op=r[2]) for r in rows if r not in late]), At(0))
+        at(20_000)
+        seen = len(out)
+        c.handleInputRows(("k",), iter([cursors.Row(us=r[0], id=r[1], op=r[2]) for r in late]), At(20_000))
+        at(60_000)
+        assert 0 < seen < 200 and collections.Counter((r.key, r.id, r.version, r.occurrence, r.alias, r.outcome) for r in out) == want, few
+        calls[few] = sum(s.calls for s in states)
+    assert calls[500] < 25 < 200 < calls[0]
