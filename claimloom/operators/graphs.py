@@ -1,7 +1,8 @@
 """Directed graphs as tables: strongly connected components without a closure, and interval labels of trees.
 
 All steps keep as many rows as there are edges (or nodes); pointers are followed by doubling, so a chain or ring of n nodes
-takes log n joins and not n.  Each step's table is written to the shared folder and read again.
+takes log n joins and not n.  Each step's table is written to the shared folder and read again.  Joins of steps are merges by hint: a
+step's table is often small enough to be broadcast, but a hundred steps would send all of theirs through the driver.
 """
 
 from __future__ import annotations
@@ -21,32 +22,32 @@ class _Chains:
     def __init__(self, links: DataFrame):
         ways = links.groupBy("a").agg(F.count("*").alias("n"), F.min("b").alias("to")).filter("n = 1").select("a", "to")
         inside = ways.select(F.col("a").alias("to"), F.lit(True).alias("on"))
-        now = written(ways.join(inside, "to", "left").select("a", "to", F.coalesce("on", F.lit(False)).alias("on"), F.least("a", "to").alias("low")), "chains")
+        now = written(ways.hint("merge").join(inside, "to", "left").select("a", "to", F.coalesce("on", F.lit(False)).alias("on"), F.least("a", "to").alias("low")), "chains")
         self.hops, size, n = [now], 1, now.count()
         self.any = n > 0
         # one that goes on after n steps goes round
         while size < n and not now.filter("on").isEmpty():
             there = now.select(F.col("a").alias("to"), F.col("to").alias("next"), F.col("on").alias("more"), F.col("low").alias("low_"))
-            step = now.join(there, "to", "left").select("a", F.coalesce("next", "to").alias("to"), F.coalesce("more", F.lit(False)).alias("on"), F.least("low", "low_").alias("low"))
+            step = now.hint("merge").join(there, "to", "left").select("a", F.coalesce("next", "to").alias("to"), F.coalesce("more", F.lit(False)).alias("on"), F.least("low", "low_").alias("low"))
             now, size = written(step, "chains"), 2 * size
             self.hops.append(now)
         self.ends = now.filter("not on").select("a", "to")
         turning = now.filter("on")
         # after n steps all are on their ring, and every node of a ring is where another one is
         ring = turning.select(F.col("to").alias("a")).distinct()
-        self.rings = written(turning.join(ring, "a").select(F.col("a").alias("node"), F.col("low").alias("component")), "rings")
-        self.entries = written(links.join(now.select("a"), "a", "left_anti").join(self.ends.select(F.col("a").alias("b"), F.col("to").alias("end")), "b").select(F.col("a").alias("u"), F.col("b").alias("v"), "end"), "entries")
+        self.rings = written(turning.hint("merge").join(ring, "a").select(F.col("a").alias("node"), F.col("low").alias("component")), "rings")
+        self.entries = written(links.hint("merge").join(now.select("a"), "a", "left_anti").hint("merge").join(self.ends.select(F.col("a").alias("b"), F.col("to").alias("end")), "b").select(F.col("a").alias("u"), F.col("b").alias("v"), "end"), "entries")
         # what is no chain stays, with the chains' ends in their place; what leads to rings only is no part of a larger component
-        plain = links.join(now.select("a"), "a", "left_anti").join(now.select(F.col("a").alias("b")), "b", "left_anti")
+        plain = links.hint("merge").join(now.select("a"), "a", "left_anti").hint("merge").join(now.select(F.col("a").alias("b")), "b", "left_anti")
         self.left = written(plain.select("a", "b").unionByName(self.entries.select(F.col("u").alias("a"), F.col("end").alias("b"))).distinct(), "contracted")
 
     def expanded(self, found: DataFrame) -> DataFrame:
         """``found`` (``node, component``) with the chain nodes that lie between two nodes of one component."""
         u, end = found.select(F.col("node").alias("u"), F.col("component").alias("cu")), found.select(F.col("node").alias("end"), F.col("component").alias("ce"))
-        marked = self.entries.join(u, "u").join(end, "end").filter("cu = ce").select(F.col("v").alias("node"), F.col("ce").alias("component")).distinct()
+        marked = self.entries.hint("merge").join(u, "u").hint("merge").join(end, "end").filter("cu = ce").select(F.col("v").alias("node"), F.col("ce").alias("component")).distinct()
         for hop in reversed(self.hops):
-            on = marked.join(hop.select(F.col("a").alias("node"), "to"), "node").select(F.col("to").alias("node"), "component")
-            on = on.join(self.ends.select(F.col("a").alias("node")), "node", "left_semi")
+            on = marked.hint("merge").join(hop.select(F.col("a").alias("node"), "to"), "node").select(F.col("to").alias("node"), "component")
+            on = on.hint("merge").join(self.ends.select(F.col("a").alias("node")), "node", "left_semi")
             marked = written(marked.unionByName(on).distinct(), "marked")
         return found.unionByName(marked)
 
@@ -56,7 +57,7 @@ class _Chains:
 
 def _trimmed(links: DataFrame) -> DataFrame:
     """Links between nodes that have a way in and a way out."""
-    return links.join(links.select(F.col("b").alias("a")).distinct(), "a", "left_semi").join(links.select(F.col("a").alias("b")).distinct(), "b", "left_semi").select("a", "b")
+    return links.hint("merge").join(links.select(F.col("b").alias("a")).distinct(), "a", "left_semi").hint("merge").join(links.select(F.col("a").alias("b")).distinct(), "b", "left_semi").select("a", "b")
 
 
 def _coloured(links: DataFrame) -> DataFrame:
@@ -66,19 +67,19 @@ def _coloured(links: DataFrame) -> DataFrame:
         colour = written(links.select("a").union(links.select("b")).distinct().select(F.col("a").alias("node"), F.col("a").alias("colour")), "colours")
         front = colour
         while not front.isEmpty():
-            come = links.join(front.select(F.col("node").alias("a"), "colour"), "a").groupBy(F.col("b").alias("node")).agg(F.min("colour").alias("new"))
-            front = written(colour.join(come, "node").filter("new < colour").select("node", F.col("new").alias("colour")), "colours-new")
-            colour = written(colour.join(front.select("node", F.col("colour").alias("new")), "node", "left").select("node", F.coalesce("new", "colour").alias("colour")), "colours")
-        same = links.join(colour.select(F.col("node").alias("a"), F.col("colour").alias("ca")), "a").join(colour.select(F.col("node").alias("b"), F.col("colour").alias("cb")), "b").filter("ca = cb").select("a", "b", "ca")
+            come = links.hint("merge").join(front.select(F.col("node").alias("a"), "colour"), "a").groupBy(F.col("b").alias("node")).agg(F.min("colour").alias("new"))
+            front = written(colour.hint("merge").join(come, "node").filter("new < colour").select("node", F.col("new").alias("colour")), "colours-new")
+            colour = written(colour.hint("merge").join(front.select("node", F.col("colour").alias("new")), "node", "left").select("node", F.coalesce("new", "colour").alias("colour")), "colours")
+        same = links.hint("merge").join(colour.select(F.col("node").alias("a"), F.col("colour").alias("ca")), "a").hint("merge").join(colour.select(F.col("node").alias("b"), F.col("colour").alias("cb")), "b").filter("ca = cb").select("a", "b", "ca")
         same = written(same, "one-colour")
         front = found = written(colour.filter("node = colour"), "reached")
         while not front.isEmpty():
-            back = same.join(front.select(F.col("node").alias("b")), "b", "left_semi").select(F.col("a").alias("node"), F.col("ca").alias("colour")).distinct()
-            front = written(back.join(found.select("node"), "node", "left_anti"), "reached-new")
+            back = same.hint("merge").join(front.select(F.col("node").alias("b")), "b", "left_semi").select(F.col("a").alias("node"), F.col("ca").alias("colour")).distinct()
+            front = written(back.hint("merge").join(found.select("node"), "node", "left_anti"), "reached-new")
             found = written(found.unionByName(front), "reached")
         large = found.groupBy("colour").agg(F.count("*").alias("n")).filter("n > 1").select("colour")
-        out = out.unionByName(found.join(large, "colour").select("node", F.col("colour").alias("component")))
-        rest = links.join(found.select(F.col("node").alias("a")), "a", "left_anti").join(found.select(F.col("node").alias("b")), "b", "left_anti")
+        out = out.unionByName(found.hint("merge").join(large, "colour").select("node", F.col("colour").alias("component")))
+        rest = links.hint("merge").join(found.select(F.col("node").alias("a")), "a", "left_anti").hint("merge").join(found.select(F.col("node").alias("b")), "b", "left_anti")
         links = written(_trimmed(rest), "rest")
     return out
 
@@ -104,13 +105,13 @@ def components(links: DataFrame, source: str, target: str) -> DataFrame:
         idle = 0 if chains.any else idle + 1
         live = live.select(F.col("b").alias("a"), F.col("a").alias("b"))  # the other way round: nodes with one way in
     found = written(_coloured(live).unionByName(rings), "found")
-    found = written(found.unionByName(selves.distinct().join(found.select("node"), "node", "left_anti")), "found")
+    found = written(found.unionByName(selves.distinct().hint("merge").join(found.select("node"), "node", "left_anti")), "found")
     for chains in reversed(frames):
         found = written(chains.expanded(found).dropDuplicates(["node"]), "found")
         chains.drop()
-    found = found.unionByName(loops.join(found.select("node"), "node", "left_anti"))
+    found = found.unionByName(loops.hint("merge").join(found.select("node"), "node", "left_anti"))
     least = found.groupBy("component").agg(F.min("node").alias("least"))
-    return found.join(least, "component").select("node", F.col("least").alias("component"))
+    return found.hint("merge").join(least, "component").select("node", F.col("least").alias("component"))
 
 
 def intervals(tree: DataFrame, node: str, parent: str) -> DataFrame:
@@ -123,12 +124,12 @@ def intervals(tree: DataFrame, node: str, parent: str) -> DataFrame:
 
     known = tree.select(F.col(node).alias("v")).distinct()
     rows = tree.select(F.col(node).alias("v"), F.col(parent).alias("u")).groupBy("v").agg(F.min("u").alias("u"))
-    rows = rows.join(known.select(F.col("v").alias("u"), F.lit(True).alias("_in")), "u", "left").select("v", F.when(F.col("_in"), F.col("u")).alias("u"))
+    rows = rows.hint("merge").join(known.select(F.col("v").alias("u"), F.lit(True).alias("_in")), "u", "left").select("v", F.when(F.col("_in"), F.col("u")).alias("u"))
     # brothers stand side by side in order of (parent, id); no parent's children meet in one task
     rows = written(positions(rows, F.col("u").asc_nulls_first(), "v", out="at"), "forest")
     right = rows.select(F.col("u").alias("u_"), F.col("v").alias("brother"), (F.col("at") - 1).alias("at"))
     eldest = rows.filter("u is not null").groupBy(F.col("u").alias("v")).agg(F.min("v").alias("child"))
-    shape = rows.join(right, "at", "left").withColumn("brother", F.when(F.col("u").eqNullSafe(F.col("u_")), F.col("brother"))).join(eldest, "v", "left")
+    shape = rows.hint("merge").join(right, "at", "left").withColumn("brother", F.when(F.col("u").eqNullSafe(F.col("u_")), F.col("brother"))).hint("merge").join(eldest, "v", "left")
     step = lambda v, up: F.struct(v.alias("v"), F.lit(up).alias("up"))
     enter = F.coalesce(F.when(F.col("child").isNotNull(), step(F.col("child"), False)), step(F.col("v"), True))
     leave = F.coalesce(F.when(F.col("brother").isNotNull(), step(F.col("brother"), False)), F.when(F.col("u").isNotNull(), step(F.col("u"), True)))
@@ -137,7 +138,7 @@ def intervals(tree: DataFrame, node: str, parent: str) -> DataFrame:
     size, steps = 1, 2 * rows.count()
     while size < 2 * steps and not walk.filter("to is not null").isEmpty():
         there = walk.select(F.struct("v", "up").alias("to"), F.col("to").alias("next"), F.col("n").alias("n_"), F.col("d").alias("d_"))
-        more = walk.join(there, "to", "left")
+        more = walk.hint("merge").join(there, "to", "left")
         last, walk = walk, written(more.select("v", "up", F.col("next").alias("to"), (F.col("n") + F.coalesce("n_", F.lit(0))).alias("n"), (F.col("d") + F.coalesce("d_", F.lit(0))).alias("d")), "walk")
         dropped(last)
         size *= 2

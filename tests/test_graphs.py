@@ -111,3 +111,17 @@ def test_intervals_of_odd_forests(spark):
     assert graphs.intervals(spark.createDataFrame([], "v long, u long"), "v", "u").count() == 0
     got = {r.node: (r.first, r.last, r.depth) for r in graphs.intervals(spark.createDataFrame([(1, None), (2, 1), (3, 4), (4, 3), (5, 4), (6, None)], "v long, u long"), "v", "u").collect()}
     assert got == {1: (0, 1, 0), 2: (1, 1, 1), 6: (2, 2, 0), 3: (None,) * 3, 4: (None,) * 3, 5: (None,) * 3}
+
+
+def test_nothing_through_the_driver(spark, monkeypatch):
+    """No step of components or labels broadcasts a side of a join."""
+    plans = []
+    monkeypatch.setattr(graphs, "written", lambda d, name, own=graphs.written: plans.append((name, d._jdf.queryExecution().executedPlan().toString())) or own(d, name))
+    rows = [(i, i + 1 if i % 7 < 6 else i - 6) for i in range(21)] + [(3, 10), (10, 3), (4, 4), (30, 31)]
+    got = graphs.components(spark.createDataFrame(rows, "a long, b long"), "a", "b")
+    assert {(r.node, r.component) for r in got.collect()} == {(i, 0 if i < 14 else 14) for i in range(21)}
+    tree = graphs.intervals(spark.createDataFrame([(1, None), (2, 1), (3, 1), (4, 2)], "v long, u long"), "v", "u")
+    assert {(r.node, r.first, r["last"]) for r in tree.collect()} == {(1, 0, 3), (2, 1, 2), (4, 2, 2), (3, 3, 3)}
+    plans.append(("components", got._jdf.queryExecution().executedPlan().toString()))
+    # the forest's places are offsets of partitions, a row each
+    assert any("Join" in p for _, p in plans) and {n for n, p in plans if "Broadcast" in p} <= {"forest"}
