@@ -1,5 +1,6 @@
 """What must not grow with the tables: rows that hold a group, tasks that make a key's pairs, columns of states, rounds over equals."""
 
+import json
 import time
 import tracemalloc
 
@@ -104,6 +105,20 @@ def test_folds_by_the_standard_encoder(monkeypatch):
     assert list(canonical.alpha_form.func(pd.Series(plain))) == ['{"kind":"const","sort":{"kind":"primitive","name":"Int"},"value":48}']
 
 
+def test_constants_as_they_are(monkeypatch):
+    """A plain constant is not copied, a folded term needs no encoder; other texts come out as before."""
+    const = {"kind": "const", "value": 3}
+    assert canonical.alpha(const) is const
+    deep = '{"kind":"const","value":[{"kind":"ctor","name":"^","args":[{"kind":"const","value":6},{"value":3,"kind":"const"}]}]}'
+    ctor = '{"kind":"ctor","name":"%s","args":[{"kind":"const","value":%s},{"kind":"const","value":%s}]}'
+    odd = [ctor % x for x in [("&", "true", "1"), ("|", '"1"', "1"), ("<<", "1", "128"), (">>", "1", "-1"), ("&", "1.5", "1"), ("+", "1", "2"), ("[]", "1", "2")]]
+    plain = [json.dumps(json.loads(x), sort_keys=True, separators=(",", ":")) for x in odd]
+    plain[4] = None
+    assert list(canonical.alpha_form.func(pd.Series([deep, " " + deep + "\n", deep + "}", "", None, *odd]))) == [f'{{"kind":"const","value":[{canonical._FOLDED}5}}]}}'] * 2 + [None] * 3 + plain
+    monkeypatch.setattr(canonical, "_ENCODER", None)
+    assert list(canonical.alpha_form.func(pd.Series([ctor % ("<<", -1, 127), ctor % ("|", 5, 2)]))) == [f"{canonical._FOLDED}{-(2**127)}}}", f"{canonical._FOLDED}7}}"]
+
+
 def test_alike_sources_walk_once(spark, monkeypatch):
     made = []
     monkeypatch.setattr(lattice, "written", lambda d, name, own=lattice.written: made.append((name, t := own(d, name))) or t)
